@@ -2,31 +2,43 @@
 
 ``bucketed_rank`` gives every row its 1-based position in a total order:
 
-1. range-partition on the order key (Spark samples the key to choose balanced
-   bounds, so a dense key range cannot pile into one task) and sort inside
-   each partition;
-2. number rows locally from ``monotonically_increasing_id`` (partition index
-   in the high bits, position inside the partition in the low 33 bits);
-3. count rows per partition — a table with at most ``num_buckets`` rows —
-   turn it into prefix offsets and broadcast it back (its size is bounded by
-   the bucket count, not by the data).
+1. bucket bounds = approximate quantiles of the first order key (one pass
+   over that column; at most ``num_buckets`` numbers reach the driver), so a
+   dense key range cannot pile into one bucket;
+2. the bucket of a row is a pure function of its first key (``Bucketizer``,
+   a binary search in the JVM), so every plan branch that evaluates it — a
+   retried task included — puts the row in the same bucket;
+3. ``row_number`` inside each bucket (one shuffle on the bucket, buckets
+   spread over tasks), plus the bucket's offset: prefix sums of the
+   per-bucket counts, a table of at most ``num_buckets + 1`` rows that is
+   broadcast (its size is bounded by the bucket count, not by the data).
 
 The order key must be unique (add the full id, or a row hash, as the last
-key) so the numbering is the same on every task retry.
+key) so the numbering is the same on every run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelscope.functions.util import as_col
 from panelscope.session import shuffle_partitions
 
-_BKT, _LOCAL, _OFF, _N = "_rk_bucket", "_rk_local", "_rk_offset", "_rk_n"
-_LOCAL_BITS = 33
+_BKT, _FIRST, _LOCAL, _OFF, _N = "_rk_bucket", "_rk_first", "_rk_local", "_rk_offset", "_rk_n"
+QUANTILE_ERROR = 1e-3
+
+
+def bucket_bounds(df: DataFrame, first: Column, num_buckets: int) -> list[float]:
+    """Strictly increasing inner bucket bounds from approximate quantiles."""
+    if num_buckets <= 1:
+        return []
+    probs = [i / num_buckets for i in range(1, num_buckets)]
+    qs = df.select(first.cast("double").alias(_FIRST)).approxQuantile(_FIRST, probs, QUANTILE_ERROR)
+    return sorted({q for q in qs if q == q})
 
 
 def bucketed_rank(
@@ -38,28 +50,29 @@ def bucketed_rank(
 ) -> DataFrame:
     """Add ``rank_col`` = row_number() over (order by ``order``), 1-based.
 
-    With ``total_col`` the total row count is added as a column as well (it
-    comes from the same offset table, so no extra pass)."""
+    The first order key must be numeric, date or timestamp. With
+    ``total_col`` the total row count is added too (from the offset table,
+    no extra pass)."""
     nb = num_buckets or shuffle_partitions(df.sparkSession)
     keys = [as_col(c) for c in order]
-    numbered = (
-        df.repartitionByRange(nb, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn(_BKT, F.spark_partition_id())
-        .withColumn(
-            _LOCAL,
-            F.monotonically_increasing_id() - F.shiftleft(F.col(_BKT).cast("long"), _LOCAL_BITS),
-        )
-    )
-    counts = numbered.groupBy(_BKT).agg(F.count(F.lit(1)).alias(_N))
-    # at most `nb` rows: prefix sums in one small partition, then broadcast
+    first = keys[0]
+    if dict(df.select(first.alias("_k")).dtypes)["_k"] in ("timestamp", "timestamp_ntz", "date"):
+        first = F.unix_micros(first.cast("timestamp"))
+    bounds = bucket_bounds(df, first, nb)
+    with_first = df.withColumn(_FIRST, first.cast("double"))
+    b = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol=_FIRST, outputCol=_BKT, handleInvalid="keep")
+    bucketed = b.transform(with_first).withColumn(_BKT, F.col(_BKT).cast("int")).drop(_FIRST)
+
+    counts = bucketed.groupBy(_BKT).agg(F.count(F.lit(1)).alias(_N))
+    # at most nb + 1 rows: prefix sums in one small partition, then broadcast
     w = Window.orderBy(_BKT).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         _BKT,
         F.coalesce(F.sum(_N).over(w), F.lit(0)).alias(_OFF),
-        F.sum(_N).over(Window.partitionBy(F.lit(1))).alias(_N) if total_col else F.lit(None).alias(_N),
+        F.sum(_N).over(Window.partitionBy(F.lit(1))).alias(_N),
     )
-    out = numbered.join(F.broadcast(offsets), _BKT).withColumn(rank_col, F.col(_OFF) + F.col(_LOCAL) + 1)
+    local = bucketed.withColumn(_LOCAL, F.row_number().over(Window.partitionBy(_BKT).orderBy(*keys)))
+    out = local.join(F.broadcast(offsets), _BKT).withColumn(rank_col, F.col(_OFF) + F.col(_LOCAL))
     if total_col:
         out = out.withColumnRenamed(_N, total_col)
     return out.drop(_BKT, _LOCAL, _OFF, _N)

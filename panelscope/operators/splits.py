@@ -43,24 +43,22 @@ def split_exact(
     key: str = KEY,
     seed: int | str = 0,
     split_col: str = "split",
-    n_train: str = "round",
+    test_size: float | None = None,
 ) -> DataFrame:
     """Train = exactly ``round(frac * n)`` rows drawn by hash order; test =
     the other rows, but rows whose key is repeated in the data are dropped
     from the test part (the reference's ``drop_duplicates(keep=False)``).
 
-    ``n_train="test_ceil"`` sizes the test part as ``ceil((1-frac) * n)`` —
-    the 80/20 split of the regression demo."""
+    With ``test_size`` the test part is sized ``ceil(test_size * n)`` instead
+    (the 80/20 split of the regression demo)."""
     if not 0.0 <= train_frac <= 1.0:
         raise ValueError(f"train_frac must be within [0, 1], got {train_frac}.")
     ranked = hash_rank(df, key, seed)
     n = F.col(_N).cast("double")
-    if n_train == "round":
+    if test_size is None:
         k = _py_round(n * F.lit(train_frac))
-    elif n_train == "test_ceil":
-        k = F.col(_N) - F.ceil(n * F.lit(1.0 - train_frac)).cast("bigint")
     else:
-        raise ValueError(n_train)
+        k = F.col(_N) - F.ceil(n * F.lit(float(test_size))).cast("bigint")
     labelled = ranked.withColumn(split_col, F.when(F.col(_R) <= k, F.lit("train")).otherwise(F.lit("test")))
     train = labelled.where(F.col(split_col) == "train")
     test = labelled.where(F.col(split_col) == "test").join(duplicated_keys(df, key), key, "left_anti")
@@ -68,7 +66,7 @@ def split_exact(
 
 
 def split_80_20(df: DataFrame, key: str = KEY, seed: int | str = 42, split_col: str = "split") -> DataFrame:
-    return split_exact(df, 0.8, key, seed, split_col, n_train="test_ceil")
+    return split_exact(df, 0.8, key, seed, split_col, test_size=0.2)
 
 
 def split_counts(split_df: DataFrame, original: DataFrame, split_col: str = "split") -> DataFrame:

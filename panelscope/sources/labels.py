@@ -32,7 +32,7 @@ def parse_label_lines(
     bin of the probability."""
     body = F.trim(F.regexp_replace(F.col(value_col), "#.*$", ""))
     parts = F.split(body, r"\s+")
-    prob = F.get(parts, 1).try_cast("double")
+    prob = F.get(F.col("_p"), 1).try_cast("double")
     out = (
         lines.select(body.alias("_body"), parts.alias("_p"), as_col(filename).alias("LABEL_FILENAME"))
         .where(F.col("_body") != "")
