@@ -36,6 +36,21 @@ def _when_chain(key: Column, cases: dict, default):
     return out.otherwise(default)
 
 
+def check_image_column(df, col: str) -> str:
+    """``"array"`` for a numeric array column, ``"struct"`` for an image
+    struct; anything else is a ``TypeError`` (the reference refuses non-arrays)."""
+    from pyspark.sql import types as T
+
+    if col not in df.columns:
+        raise TypeError(f"No image column {col!r}.")
+    dt = df.schema[col].dataType
+    if isinstance(dt, T.ArrayType) and isinstance(dt.elementType, T.NumericType):
+        return "array"
+    if isinstance(dt, T.StructType) and {"height", "width", "nChannels", "data"} <= set(dt.fieldNames()):
+        return "struct"
+    raise TypeError(f"Image must be a numeric array or an image struct, got {dt.simpleString()}.")
+
+
 # ---- source maps: (r, q) of the output -> (r', q') of the input (h x w) ----
 
 def mirror_src(axis, r, q, h, w):
@@ -222,3 +237,92 @@ def to_gray(arr, c) -> Column:
         ),
     )
     return F.when((as_col(c) == 3) & (n > 0), gray).otherwise(a)
+
+
+# ---- composed maps as per-row affine coefficients ---------------------------
+# Every mirror and 90° rotation maps output (r, q) to input (r', q') by an
+# integer 2×2 matrix plus an offset; composing them is a matrix product that
+# is evaluated once per row (outside the per-pixel lambda). The per-pixel work
+# is then two dot products, the cyclic shift and one array read.
+
+def _mat(cases: dict, key: Column, default):
+    """when-chain over ``key`` picking one of several (a11,a12,a21,a22,t1,t2)."""
+    out = []
+    for j in range(6):
+        expr = None
+        for k, v in cases.items():
+            expr = F.when(key == F.lit(k), v[j]) if expr is None else expr.when(key == F.lit(k), v[j])
+        out.append(expr.otherwise(default[j]) if expr is not None else default[j])
+    return out
+
+
+def rotate_affine(deg, h, w):
+    """(a11, a12, a21, a22, t1, t2) of the rotation source map; (h, w) = input dims."""
+    one, zero = F.lit(1), F.lit(0)
+    cases = {
+        90: (zero, one, -one, zero, zero, w - 1),
+        180: (-one, zero, zero, -one, h - 1, w - 1),
+        270: (zero, -one, one, zero, h - 1, zero),
+    }
+    ident = (one, zero, zero, one, zero, zero)
+    return _mat(cases, F.pmod(as_col(deg), F.lit(360)), ident)
+
+
+def mirror_affine(axis, h, w):
+    one, zero = F.lit(1), F.lit(0)
+    cases = {
+        1: (-one, zero, zero, one, h - 1, zero),
+        2: (one, zero, zero, -one, zero, w - 1),
+        3: (zero, one, one, zero, zero, zero),
+        4: (zero, -one, -one, zero, h - 1, w - 1),
+    }
+    ident = (one, zero, zero, one, zero, zero)
+    return _mat(cases, as_col(axis), ident)
+
+
+def compose_affine(outer, inner):
+    """Source map of applying ``outer``'s source map first, then ``inner``'s:
+    p_in = inner(outer(p))."""
+    a11, a12, a21, a22, t1, t2 = outer
+    b11, b12, b21, b22, u1, u2 = inner
+    return (
+        b11 * a11 + b12 * a21,
+        b11 * a12 + b12 * a22,
+        b21 * a11 + b22 * a21,
+        b21 * a12 + b22 * a22,
+        b11 * t1 + b12 * t2 + u1,
+        b21 * t1 + b22 * t2 + u2,
+    )
+
+
+AFFINE_COLS = ("_px_a11", "_px_a12", "_px_a21", "_px_a22", "_px_t1", "_px_t2", "_px_dy", "_px_dx", "_px_ho", "_px_wo")
+
+
+def geometry_columns(h, w, axis=0, deg=0, dx=0, dy=0) -> dict:
+    """Per-row columns describing rotate(mirror(translate(img)))."""
+    h, w = as_col(h), as_col(w)
+    h2, w2 = mirror_shape(axis, h, w) if not isinstance(axis, int) or axis else (h, w)
+    ho, wo = rotate_shape(deg, h2, w2) if not isinstance(deg, int) or deg else (h2, w2)
+    rot = rotate_affine(deg, h2, w2)
+    mir = mirror_affine(axis, h, w)
+    m = compose_affine(rot, mir)
+    vals = (*m, as_col(dy), as_col(dx), ho, wo)
+    return {name: v.cast("int") for name, v in zip(AFFINE_COLS, vals)}
+
+
+def permute_affine(arr, h, w, c) -> Column:
+    """Apply the map held in the ``geometry_columns`` of the row."""
+    arr, h, w, c = as_col(arr), as_col(h), as_col(w), as_col(c)
+    a11, a12, a21, a22, t1, t2, dy, dx, ho, wo = (F.col(n) for n in AFFINE_COLS)
+    n = ho * wo * c
+
+    def pick(k):
+        ch = F.pmod(k, c)
+        p = ((k - ch) / c).cast("int")
+        q = F.pmod(p, wo)
+        r = ((p - q) / wo).cast("int")
+        sr = F.pmod(a11 * r + a12 * q + t1 - dy, h)
+        sq = F.pmod(a21 * r + a22 * q + t2 - dx, w)
+        return F.get(arr, (sr * w + sq) * c + ch)
+
+    return F.when(n <= 0, arr).otherwise(F.transform(F.sequence(F.lit(0), n - 1), pick))

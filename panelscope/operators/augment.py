@@ -98,37 +98,38 @@ def _is_int(v) -> bool:
 
 # ---- pixel kernel for rows carrying their transformation parameters -------
 
-def _apply_pixels(df: DataFrame, image, tx, ty, tx_int, ty_int, axis, deg, semantics: str) -> DataFrame:
+def _apply_pixels(df: DataFrame, image, tx, ty, tx_int, ty_int, axis, deg, semantics: str, dataset_stage: bool = True) -> DataFrame:
     """Replace the image by rotate(mirror(translate(img))) with per-row
-    parameters (Columns; 0 / NULL = operation not applied)."""
-    if isinstance(image, StructImage):
+    parameters (Columns; 0 / NULL = operation not applied).
+
+    ``semantics="observed"`` on a dataset stage reproduces the reference's
+    discarded translation/rotation results (pixels kept); on a single
+    translation (``dataset_stage=False``) it applies its axis rules."""
+    discard = semantics == "observed" and dataset_stage
+    if px.check_image_column(df, image.col) == "struct":
         from panelscope.operators.images import geometry_kernel
 
         h = F.col(f"{image.col}.height")
         w = F.col(f"{image.col}.width")
         dx, dy = px.translation_shifts(tx, ty, tx_int, ty_int, h, w, semantics)
-        if semantics == "observed":
+        if discard:
             dx, dy, deg = F.lit(0), F.lit(0), F.lit(0)
         return df.withColumn(image.col, geometry_kernel(F.col(image.col), dx, dy, axis, deg))
     h, w, c = image.shape()
     dx, dy = px.translation_shifts(tx, ty, tx_int, ty_int, h, w, semantics)
-    if semantics == "observed":  # translated / rotated pixels are discarded there
-        src = px.compose_src(translate=None, mirror_axis=axis, rot_deg=None)
-        out_shape = px.composed_shape(h, w, axis, None)
-    else:
-        src = px.compose_src(translate=(dx, dy), mirror_axis=axis, rot_deg=deg)
-        out_shape = px.composed_shape(h, w, axis, deg)
-    needs_square = (as_col(axis).isin(3, 4) | (as_col(deg) != 0)) if semantics == "documented" else as_col(axis).isin(3, 4)
-    moved = px.permute(F.col(image.col), h, w, c, src, out_shape)
+    if discard:  # translated / rotated pixels are discarded there
+        dx, dy, deg = F.lit(0), F.lit(0), F.lit(0)
+    needs_square = as_col(axis).isin(3, 4) | (as_col(deg) != 0)
+    geo = px.geometry_columns(h, w, axis, deg, dx, dy)
+    moved = px.permute_affine(F.col(image.col), h, w, c)
     checked = F.when(
         needs_square & (h != w) & (h * w > 1),
         F.raise_error(F.concat(F.lit("Operation is supported only for square images; got "), h.cast("string"), F.lit("x"), w.cast("string"))),
     ).otherwise(moved)
-    out = df.withColumn(image.col, checked)
+    out = df.withColumns(geo).withColumn(image.col, checked)
     if not isinstance(image.h, int) and not isinstance(image.w, int):
-        ho, wo = out_shape
-        out = out.withColumns({image.h: ho, image.w: wo})
-    return out
+        out = out.withColumns({image.h: F.col("_px_ho"), image.w: F.col("_px_wo")})
+    return out.drop(*px.AFFINE_COLS)
 
 
 # ---- stage-wise operators ---------------------------------------------------
@@ -148,6 +149,7 @@ def _variant_array(variants: Sequence[dict]) -> Column:
 
 
 def _add_stage(df, key, image, eligible: Column, variants: Sequence[dict], set_meta, semantics, num_buckets):
+    px.check_image_column(df, image.col)
     if not variants:
         return df
     cur_max, width = _stats_row(df, key)
@@ -220,6 +222,7 @@ def amplify(
     """translate -> mirror -> rotate; n rows become n(1+T)(1+M)(1+R)."""
     if semantics not in ("documented", "observed"):
         raise ValueError(semantics)
+    px.check_image_column(df, image.col)
     tr = check_translations(translations, semantics)
     axes = check_mirror_axes(mirror_axes)
     rots = check_rotations(rotations)

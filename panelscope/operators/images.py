@@ -296,3 +296,45 @@ def _array_to_image(arr: pd.Series, h: pd.Series, w: pd.Series, c: pd.Series) ->
 def array_to_image(arr, h, w, c) -> Column:
     """Flat 0..255 numeric array + shape -> image struct (8-bit)."""
     return _array_to_image(as_col(arr).cast("array<double>"), as_col(h).cast("int"), as_col(w).cast("int"), as_col(c).cast("int"))
+
+
+# ---- DataFrame-level geometric operators (array or struct images) -----------
+
+def _geometry(df: DataFrame, image, axis=0, deg=0, dx=0, dy=0) -> DataFrame:
+    from panelscope.operators.augment import _apply_pixels
+
+    return _apply_pixels(
+        df, image, F.lit(float(dx)), F.lit(float(dy)), F.lit(True), F.lit(True), F.lit(axis), F.lit(deg), "documented"
+    )
+
+
+def mirror_images(df: DataFrame, image, axis: int) -> DataFrame:
+    """Mirror every image: 1 rows reversed, 2 columns reversed, 3 main
+    diagonal, 4 anti-diagonal (3 and 4 need square images)."""
+    if axis not in (1, 2, 3, 4):
+        raise ValueError(f"Mirror axes values are restricted to domain [1, 4], got {axis}.")
+    return _geometry(df, image, axis=axis)
+
+
+def rotate_images(df: DataFrame, image, degrees: int) -> DataFrame:
+    """Counter-clockwise rotation by a multiple of 90 degrees (square images;
+    one-pixel and empty images pass unchanged)."""
+    if not isinstance(degrees, int) or isinstance(degrees, bool):
+        raise TypeError(f"Degrees must be an int, got {type(degrees)}.")
+    if degrees % 90:
+        raise ValueError("Rotation only allows multiples of 90 degrees.")
+    return _geometry(df, image, deg=degrees % 360)
+
+
+def translate_images(df: DataFrame, image, translation_x=0, translation_y=0, semantics: str = "documented") -> DataFrame:
+    """Cyclic shift: fraction of the size (float) or pixels (int)."""
+    from panelscope.functions import pixels as px
+    from panelscope.operators.augment import _apply_pixels, _is_int
+
+    px.check_translation(translation_x, semantics)
+    px.check_translation(translation_y, semantics)
+    px.check_image_column(df, image.col)
+    return _apply_pixels(
+        df, image, F.lit(float(translation_x)), F.lit(float(translation_y)), F.lit(_is_int(translation_x)),
+        F.lit(_is_int(translation_y)), F.lit(0), F.lit(0), semantics, dataset_stage=False,
+    )

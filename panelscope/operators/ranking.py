@@ -61,7 +61,8 @@ def bucketed_rank(
     bounds = bucket_bounds(df, first, nb)
     with_first = df.withColumn(_FIRST, first.cast("double"))
     b = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol=_FIRST, outputCol=_BKT, handleInvalid="keep")
-    bucketed = b.transform(with_first).withColumn(_BKT, F.col(_BKT).cast("int")).drop(_FIRST)
+    # NULL keys sort first (Spark's default for ascending order): bucket -1
+    bucketed = b.transform(with_first).withColumn(_BKT, F.coalesce(F.col(_BKT).cast("int"), F.lit(-1))).drop(_FIRST)
 
     counts = bucketed.groupBy(_BKT).agg(F.count(F.lit(1)).alias(_N))
     # at most nb + 1 rows: prefix sums in one small partition, then broadcast
@@ -71,7 +72,11 @@ def bucketed_rank(
         F.coalesce(F.sum(_N).over(w), F.lit(0)).alias(_OFF),
         F.sum(_N).over(Window.partitionBy(F.lit(1))).alias(_N),
     )
-    local = bucketed.withColumn(_LOCAL, F.row_number().over(Window.partitionBy(_BKT).orderBy(*keys)))
+    # one task per bucket: a user-sized partition count that AQE does not
+    # coalesce, so work added after the ranking (e.g. a 60× expansion) stays
+    # spread over the cluster even when the rows being ranked are small
+    spread = bucketed.repartitionByRange(len(bounds) + 3, _BKT)
+    local = spread.withColumn(_LOCAL, F.row_number().over(Window.partitionBy(_BKT).orderBy(*keys)))
     out = local.join(F.broadcast(offsets), _BKT).withColumn(rank_col, F.col(_OFF) + F.col(_LOCAL))
     if total_col:
         out = out.withColumnRenamed(_N, total_col)
