@@ -58,7 +58,7 @@ def bucketed_rank(
     first = keys[0]
     if dict(df.select(first.alias("_k")).dtypes)["_k"] in ("timestamp", "timestamp_ntz", "date"):
         first = F.unix_micros(first.cast("timestamp"))
-    bounds = bucket_bounds(df, first, nb)
+    bounds = bucket_bounds(df, first, nb) or [0.0]  # Bucketizer needs one inner bound
     with_first = df.withColumn(_FIRST, first.cast("double"))
     b = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol=_FIRST, outputCol=_BKT, handleInvalid="keep")
     # NULL keys sort first (Spark's default for ascending order): bucket -1
