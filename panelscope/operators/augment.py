@@ -132,6 +132,44 @@ def _apply_pixels(df: DataFrame, image, tx, ty, tx_int, ty_int, axis, deg, seman
     return out.drop(*px.AFFINE_COLS)
 
 
+# ---- new ids -----------------------------------------------------------------
+
+def assign_new_ids(
+    df: DataFrame,
+    cur_max: int,
+    width: int,
+    key: str = KEY,
+    variants: int = 1,
+    num_buckets: int | None = None,
+) -> DataFrame:
+    """New ids for the rows of ``df`` (the rows to be added), in row order
+    (numeric id, then id): ``prefix + zfill(cur_max + i, width) + suffix``,
+    i = 1..n; prefix and suffix of each row are kept. With ``variants`` > 1
+    the frame gets ``v`` = 1..variants copies, copy ``v`` numbered after the
+    ``v-1`` earlier ones, so ids stay distinct across the whole batch."""
+    base = df.withColumn(_NUM, id_number(F.col(key)))
+    ranked = bucketed_rank(base, [_NUM, key], rank_col=_RANK, total_col=_N, num_buckets=num_buckets)
+    if variants > 1:
+        ranked = ranked.withColumn("_v", F.explode(F.sequence(F.lit(1), F.lit(variants))))
+    else:
+        ranked = ranked.withColumn("_v", F.lit(1))
+    num = F.lit(cur_max) + (F.col("_v") - 1) * F.col(_N) + F.col(_RANK)
+    return ranked.withColumn(key, F.concat(id_prefix(F.col(key)), zfill(num, width), id_suffix(F.col(key)))).drop(
+        _NUM, _RANK, _N, "_v"
+    )
+
+
+def reference_id_stats(df: DataFrame, key: str = KEY, id_reference: DataFrame | None = None) -> tuple[int, int]:
+    """(max id number, padding width) over ``df`` — or over ``id_reference``
+    as well (e.g. the unfiltered dataset, so new ids cannot collide with
+    rows outside the current filter)."""
+    mx, w = _stats_row(df, key)
+    if id_reference is not None:
+        rm, rw = _stats_row(id_reference, key)
+        mx, w = max(mx, rm), max(w, rw)
+    return mx, w
+
+
 # ---- stage-wise operators ---------------------------------------------------
 
 def _stats_row(df: DataFrame, key: str):
@@ -148,11 +186,11 @@ def _variant_array(variants: Sequence[dict]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in var.items()]) for var in variants])
 
 
-def _add_stage(df, key, image, eligible: Column, variants: Sequence[dict], set_meta, semantics, num_buckets):
+def _add_stage(df, key, image, eligible: Column, variants: Sequence[dict], set_meta, semantics, num_buckets, id_reference=None):
     px.check_image_column(df, image.col)
     if not variants:
         return df
-    cur_max, width = _stats_row(df, key)
+    cur_max, width = reference_id_stats(df, key, id_reference)
     base = df.filter(eligible).withColumn(_NUM, id_number(F.col(key)))
     ranked = bucketed_rank(base, [_NUM, key], rank_col=_RANK, total_col=_N, num_buckets=num_buckets)
     vs = [dict(v=i + 1, **var) for i, var in enumerate(variants)]
@@ -163,7 +201,7 @@ def _add_stage(df, key, image, eligible: Column, variants: Sequence[dict], set_m
     return df.unionByName(copies.select(*df.columns))
 
 
-def add_translated(df, image, translations=DEFAULT_TRANSLATIONS, key: str = KEY, semantics="documented", num_buckets=None):
+def add_translated(df, image, translations=DEFAULT_TRANSLATIONS, key: str = KEY, semantics="documented", num_buckets=None, id_reference=None):
     tr = check_translations(translations, semantics)
     variants = [dict(tx=float(x), ty=float(y), txi=_is_int(x), tyi=_is_int(y)) for x, y in tr]
 
@@ -172,10 +210,10 @@ def add_translated(df, image, translations=DEFAULT_TRANSLATIONS, key: str = KEY,
         return _apply_pixels(c, image, F.col("_var.tx"), F.col("_var.ty"), F.col("_var.txi"), F.col("_var.tyi"), F.lit(0), F.lit(0), semantics)
 
     elig = (F.col("TRANSL_X") == 0) & (F.col("TRANSL_Y") == 0)
-    return _add_stage(df, key, image, elig, variants, set_meta, semantics, num_buckets)
+    return _add_stage(df, key, image, elig, variants, set_meta, semantics, num_buckets, id_reference)
 
 
-def add_mirrored(df, image, mirror_axes=DEFAULT_MIRROR_AXES, key: str = KEY, semantics="documented", num_buckets=None):
+def add_mirrored(df, image, mirror_axes=DEFAULT_MIRROR_AXES, key: str = KEY, semantics="documented", num_buckets=None, id_reference=None):
     axes = check_mirror_axes(mirror_axes)
 
     def set_meta(c):
@@ -183,17 +221,17 @@ def add_mirrored(df, image, mirror_axes=DEFAULT_MIRROR_AXES, key: str = KEY, sem
             c = c.withColumn("MIRROR_AXIS", F.col("_var.axis").cast("short"))
         return _apply_pixels(c, image, F.lit(0.0), F.lit(0.0), F.lit(False), F.lit(False), F.col("_var.axis"), F.lit(0), semantics)
 
-    return _add_stage(df, key, image, F.col("MIRROR_AXIS") == 0, [dict(axis=a) for a in axes], set_meta, semantics, num_buckets)
+    return _add_stage(df, key, image, F.col("MIRROR_AXIS") == 0, [dict(axis=a) for a in axes], set_meta, semantics, num_buckets, id_reference)
 
 
-def add_rotated(df, image, rotations=DEFAULT_ROTATIONS, key: str = KEY, semantics="documented", num_buckets=None):
+def add_rotated(df, image, rotations=DEFAULT_ROTATIONS, key: str = KEY, semantics="documented", num_buckets=None, id_reference=None):
     rots = check_rotations(rotations)
 
     def set_meta(c):
         c = c.withColumn("ROT_DEG", F.col("_var.deg").cast("short"))
         return _apply_pixels(c, image, F.lit(0.0), F.lit(0.0), F.lit(False), F.lit(False), F.lit(0), F.col("_var.deg"), semantics)
 
-    return _add_stage(df, key, image, F.col("ROT_DEG") == 0, [dict(deg=d) for d in rots], set_meta, semantics, num_buckets)
+    return _add_stage(df, key, image, F.col("ROT_DEG") == 0, [dict(deg=d) for d in rots], set_meta, semantics, num_buckets, id_reference)
 
 
 # ---- closed-form amplify ------------------------------------------------------
@@ -218,8 +256,12 @@ def amplify(
     key: str = KEY,
     semantics: str = "documented",
     num_buckets: int | None = None,
+    id_reference: DataFrame | None = None,
 ) -> DataFrame:
-    """translate -> mirror -> rotate; n rows become n(1+T)(1+M)(1+R)."""
+    """translate -> mirror -> rotate; n rows become n(1+T)(1+M)(1+R).
+
+    New ids start above the largest id of ``df`` (the reference's behaviour,
+    D15) or, with ``id_reference``, above the largest of both frames."""
     if semantics not in ("documented", "observed"):
         raise ValueError(semantics)
     px.check_image_column(df, image.col)
@@ -237,10 +279,13 @@ def amplify(
         )
     if srow["n_touched"]:
         # already amplified rows present: the per-stage path handles eligibility
-        out = add_translated(df, image, tr, key, semantics, num_buckets)
+        out = add_translated(df, image, tr, key, semantics, num_buckets, id_reference)
         out = add_mirrored(out, image, axes, key, semantics, num_buckets)
         return add_rotated(out, image, rots, key, semantics, num_buckets)
     n, m0, w0 = int(srow["n_rows"]), int(srow["max_id"]), int(srow["id_width"])
+    if id_reference is not None:
+        rm, rw = _stats_row(id_reference, key)
+        m0, w0 = max(m0, rm), max(w0, rw)
     (n1, m1, w1), (n2, m2, w2), (n3, m3, w3) = stage_constants(n, m0, w0, len(tr), len(axes), len(rots))
 
     combos = []

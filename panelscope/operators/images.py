@@ -338,3 +338,9 @@ def translate_images(df: DataFrame, image, translation_x=0, translation_y=0, sem
         df, image, F.lit(float(translation_x)), F.lit(float(translation_y)), F.lit(_is_int(translation_x)),
         F.lit(_is_int(translation_y)), F.lit(0), F.lit(0), semantics, dataset_stage=False,
     )
+
+
+def normalize_shape(df: DataFrame, channels_col: str = "SAMPLE_C") -> DataFrame:
+    """h×w and h×w×1 are one shape: missing channel counts become 1 (image
+    structs always carry ``nChannels``, so they need nothing)."""
+    return df.withColumn(channels_col, F.coalesce(F.col(channels_col), F.lit(1)))

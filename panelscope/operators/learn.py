@@ -91,3 +91,13 @@ def score_summary(df: DataFrame, probs: str, label: str, class_names: Sequence[s
 
 def probabilities(model_output: DataFrame, col: str = "probability", out: str = "probs") -> DataFrame:
     return model_output.withColumn(out, vector_to_array(F.col(col)))
+
+
+def train_test_arrays(split_df: DataFrame, features: str, label: str, split_col: str = "split"):
+    """(train, test) frames of (features, label). The test part really holds
+    the test rows (the reference returned the training rows there, D9)."""
+    cols = [F.col(features).alias("features"), F.col(label).alias("label")]
+    return (
+        split_df.where(F.col(split_col) == "train").select(*cols),
+        split_df.where(F.col(split_col) == "test").select(*cols),
+    )

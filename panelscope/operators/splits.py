@@ -50,19 +50,47 @@ def split_exact(
     from the test part (the reference's ``drop_duplicates(keep=False)``).
 
     With ``test_size`` the test part is sized ``ceil(test_size * n)`` instead
-    (the 80/20 split of the regression demo)."""
+    (the 80/20 split of the regression demo).
+
+    Only the narrow tuple (hash, key, row hash) is ranked and shuffled; the
+    k-th tuple is fetched (one row) and the rows themselves are split by a
+    tuple comparison against it where they lie — wide rows (images) never
+    move."""
     if not 0.0 <= train_frac <= 1.0:
         raise ValueError(f"train_frac must be within [0, 1], got {train_frac}.")
-    ranked = hash_rank(df, key, seed)
+    keyed = df.withColumn(_H, hash_order_key(seed, key)).withColumn(_T, _row_hash(df, seed))
+    tup = F.struct(F.col(_H), F.col(key), F.col(_T))
+    ranked = bucketed_rank(keyed.select(_H, key, _T), [_H, F.col(key), _T], rank_col=_R, total_col=_N)
     n = F.col(_N).cast("double")
     if test_size is None:
         k = _py_round(n * F.lit(train_frac))
     else:
         k = F.col(_N) - F.ceil(n * F.lit(float(test_size))).cast("bigint")
-    labelled = ranked.withColumn(split_col, F.when(F.col(_R) <= k, F.lit("train")).otherwise(F.lit("test")))
-    train = labelled.where(F.col(split_col) == "train")
-    test = labelled.where(F.col(split_col) == "test").join(duplicated_keys(df, key), key, "left_anti")
-    return train.unionByName(test).drop(_R, _N)
+    # the k-th and (k+1)-th tuples: at most two rows reach the driver
+    edge = ranked.where((F.col(_R) == k) | (F.col(_R) == k + 1)).select(_R, _H, key, _T, k.alias("_k")).collect()
+    kth = [r for r in edge if r[_R] == r["_k"]]
+    if not kth:  # k == 0 (or empty data): nothing is drawn for training
+        train = keyed.limit(0)
+        rest = keyed
+    else:
+        t = kth[0]
+        thr = F.struct(F.lit(t[_H]).cast("bigint"), F.lit(t[key]).cast(df.schema[key].dataType), F.lit(t[_T]).cast("bigint"))
+        after = [r for r in edge if r[_R] == r["_k"] + 1]
+        if after and (after[0][_H], after[0][key], after[0][_T]) == (t[_H], t[key], t[_T]):
+            # identical rows straddle the cut: keep exactly as many as needed
+            first = ranked.where(tup_eq(ranked, t, key)).agg(F.min(_R)).first()[0]
+            m = int(t[_R]) - int(first) + 1
+            train = keyed.where(tup < thr).unionByName(keyed.where(tup == thr).limit(m))
+        else:
+            train = keyed.where(tup <= thr)
+        rest = keyed.where(tup > thr)
+    test = rest.join(duplicated_keys(df, key), key, "left_anti")
+    out = train.withColumn(split_col, F.lit("train")).unionByName(test.withColumn(split_col, F.lit("test")))
+    return out.drop(_H, _T)
+
+
+def tup_eq(df: DataFrame, row, key: str) -> Column:
+    return (F.col(_H) == F.lit(row[_H])) & (F.col(key) == F.lit(row[key])) & (F.col(_T) == F.lit(row[_T]))
 
 
 def split_80_20(df: DataFrame, key: str = KEY, seed: int | str = 42, split_col: str = "split") -> DataFrame:

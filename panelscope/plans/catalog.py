@@ -13,7 +13,7 @@ from panelscope.functions import pixels as px
 from panelscope.functions.ids import id_digits, id_number, id_prefix, id_suffix, url_basename, zfill, concat_id
 from panelscope.functions.scalars import argmax, bin_label, max_conf, one_hot, rescale, softmax
 from panelscope.operators import aggregates as agg
-from panelscope.operators.augment import add_mirrored, add_rotated, add_translated, amplify
+from panelscope.operators.augment import add_mirrored, add_rotated, add_translated, amplify, assign_new_ids, reference_id_stats
 from panelscope.operators.filters import DEFAULT_FILTER, Dataset, data_by_label, filter_rows, label_eq, label_prefix, unaugmented_only
 from panelscope.operators.joins import anti_join_split, merge_key_report, merge_labels_samples
 from panelscope.operators.projections import project_labels, project_samples, rename, select_xy
@@ -430,7 +430,7 @@ def ols_frames(spark, sf):
     """split 80/20 -> fit on train -> predictions on test (fit is a 1-row
     aggregate; its two numbers go into the projection as literals)."""
     d = split_80_20(_lineitem_xy(spark, sf), key="k")
-    fit = agg.linear_fit(d.where("split = 'train'"), "X", "Y").first()
+    fit = agg.linear_fit(d.where("split = 'train'"), "X", "Y").first()  # slope, intercept, r2, n
     test = d.where("split = 'test'").withColumn("pred", F.lit(fit["slope"]) * F.col("X") + F.lit(fit["intercept"]))
     return d, fit, test.withColumn("residual", F.col("Y") - F.col("pred")).withColumn("pred_rounded", F.bround("pred", 0))
 
@@ -454,9 +454,8 @@ FROM tr""",
 )
 def ols_q(spark, sf):
     d, fit, test = ols_frames(spark, sf)
-    n_train = d.where("split = 'train'").count()
     return test.agg(
-        F.lit(n_train).cast("bigint").alias("n_train"),
+        F.lit(fit["n"]).cast("bigint").alias("n_train"),
         F.count(F.lit(1)).alias("n_test"),
         F.round(F.lit(fit["slope"]), 6).alias("slope"),
         F.round(F.lit(fit["intercept"]), 6).alias("intercept"),
@@ -882,3 +881,37 @@ def stream_labels_q(spark, sf):
 
     s = stream_labels(spark, sf, "labels.parquet")
     return run_available(s, scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-ckpt"))
+
+
+@query(
+    "assign_new_ids",
+    W + f""", st AS (SELECT max(CAST(regexp_extract(LABEL_SAMPLE_ID, {S.RE}, 2) AS BIGINT)) AS mx,
+                 max(length(regexp_extract(LABEL_SAMPLE_ID, {S.RE}, 2))) AS w FROM smp),
+fr AS (SELECT LABEL_SAMPLE_ID, row_number() OVER (ORDER BY CAST(regexp_extract(LABEL_SAMPLE_ID, {S.RE}, 2) AS BIGINT), LABEL_SAMPLE_ID) AS rk
+       FROM smp WHERE lang = 'fr')
+SELECT fr.LABEL_SAMPLE_ID AS old_id,
+       regexp_extract(fr.LABEL_SAMPLE_ID, {S.RE}, 1) || {S.zfill('st.mx + fr.rk', 'st.w')} || regexp_extract(fr.LABEL_SAMPLE_ID, {S.RE}, 3) AS new_id
+FROM fr, st""",
+)
+def assign_new_ids_q(spark, sf):
+    """French documents get fresh ids after the largest id of all documents."""
+    smp = document_samples(spark, sf)
+    cur_max, width = reference_id_stats(smp)
+    fr = smp.where("lang = 'fr'").select(F.col(KEY).alias("old_id"), KEY)
+    return assign_new_ids(fr, cur_max, width).withColumnRenamed(KEY, "new_id")
+
+
+@query(
+    "amplify_id_reference",
+    W + """, src AS (SELECT * FROM img WHERE CLASS < 5),
+ref AS (SELECT max(CAST(regexp_extract(LABEL_SAMPLE_ID, '^(.*?)([0-9]+)(.*)$', 2) AS BIGINT)) AS rm FROM img), """
+    + S.amplify_sql("src", _T2, (1, 2, 3, 4), (90, 180, 270)).replace(
+        "st AS (SELECT count(*) AS n1, max(CAST(dg AS BIGINT)) AS m1, max(length(dg)) AS w1 FROM p)",
+        "st AS (SELECT count(*) AS n1, greatest(max(CAST(dg AS BIGINT)), (SELECT rm FROM ref)) AS m1, max(length(dg)) AS w1 FROM p)",
+    )
+    + "\nSELECT * FROM amp",
+)
+def amplify_id_reference_q(spark, sf):
+    """Amplify a filtered part; new ids start above the unfiltered maximum (D15 option)."""
+    img = image_samples(spark, sf)
+    return image_out(amplify(img.where("CLASS < 5"), IMG, id_reference=img), ["CLASS"])

@@ -79,3 +79,12 @@ def test_shuffle_is_permutation_and_peek(spark):
     assert sorted(r[0] for r in s.select("shuffle_pos").collect()) == list(range(1, 201))
     first = s.orderBy("shuffle_pos").limit(10).select("LABEL_SAMPLE_ID").collect()
     assert [r[0] for r in peek(df, seed=3).collect()] == [r[0] for r in first]
+
+
+def test_split_exact_with_identical_rows_is_exact(spark):
+    rows = [(f"k{i:02d}", i) for i in range(10)] + [("zz", 1)] * 5
+    df = spark.createDataFrame(rows, "LABEL_SAMPLE_ID string, v int")
+    for seed in range(6):
+        s = split_exact(df, 0.5, seed=seed)
+        assert s.where("split = 'train'").count() == 8  # round(7.5) half-even
+        assert s.where("split = 'test' AND LABEL_SAMPLE_ID = 'zz'").count() == 0
