@@ -41,29 +41,45 @@ def bucket_bounds(df: DataFrame, first: Column, num_buckets: int) -> list[float]
     return sorted({q for q in qs if q == q})
 
 
+def uniform_bounds(lo: float, hi: float, num_buckets: int) -> list[float]:
+    """Equal-width inner bounds: for keys known to be uniform (hashes)."""
+    step = (hi - lo) / max(num_buckets, 1)
+    return [lo + i * step for i in range(1, max(num_buckets, 1))]
+
+
 def bucketed_rank(
     df: DataFrame,
     order: Sequence[Column | str],
     rank_col: str = "rank",
     num_buckets: int | None = None,
     total_col: str | None = None,
+    bounds: Sequence[float] | None = None,
 ) -> DataFrame:
     """Add ``rank_col`` = row_number() over (order by ``order``), 1-based.
 
-    The first order key must be numeric, date or timestamp. With
-    ``total_col`` the total row count is added too (from the offset table,
-    no extra pass)."""
+    The first order key must be numeric, date or timestamp. ``bounds`` skips
+    the quantile pass when the key distribution is known (e.g. a uniform
+    hash, see :func:`uniform_bounds`). With ``total_col`` the total row count
+    is added too (from the offset table, no extra pass)."""
     nb = num_buckets or shuffle_partitions(df.sparkSession)
     keys = [as_col(c) for c in order]
     first = keys[0]
     if dict(df.select(first.alias("_k")).dtypes)["_k"] in ("timestamp", "timestamp_ntz", "date"):
         first = F.unix_micros(first.cast("timestamp"))
-    bounds = bucket_bounds(df, first, nb) or [0.0]  # Bucketizer needs one inner bound
+    bounds = sorted(set(bounds)) if bounds is not None else bucket_bounds(df, first, nb)
+    bounds = bounds or [0.0]  # Bucketizer needs one inner bound
     with_first = df.withColumn(_FIRST, first.cast("double"))
     b = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol=_FIRST, outputCol=_BKT, handleInvalid="keep")
     # NULL keys sort first (Spark's default for ascending order): bucket -1
     bucketed = b.transform(with_first).withColumn(_BKT, F.coalesce(F.col(_BKT).cast("int"), F.lit(-1))).drop(_FIRST)
 
+    # one task per bucket: a user-sized partition count that AQE does not
+    # coalesce, so work added after the ranking (e.g. a 60× expansion) stays
+    # spread over the cluster even when the rows being ranked are small
+    spread = bucketed.repartitionByRange(len(bounds) + 3, _BKT)
+    local = spread.withColumn(_LOCAL, F.row_number().over(Window.partitionBy(_BKT).orderBy(*keys)))
+    # per-bucket counts: partial aggregation before a tiny shuffle; column
+    # pruning reads only the first key for this branch
     counts = bucketed.groupBy(_BKT).agg(F.count(F.lit(1)).alias(_N))
     # at most nb + 1 rows: prefix sums in one small partition, then broadcast
     w = Window.orderBy(_BKT).rowsBetween(Window.unboundedPreceding, -1)
@@ -72,11 +88,6 @@ def bucketed_rank(
         F.coalesce(F.sum(_N).over(w), F.lit(0)).alias(_OFF),
         F.sum(_N).over(Window.partitionBy(F.lit(1))).alias(_N),
     )
-    # one task per bucket: a user-sized partition count that AQE does not
-    # coalesce, so work added after the ranking (e.g. a 60× expansion) stays
-    # spread over the cluster even when the rows being ranked are small
-    spread = bucketed.repartitionByRange(len(bounds) + 3, _BKT)
-    local = spread.withColumn(_LOCAL, F.row_number().over(Window.partitionBy(_BKT).orderBy(*keys)))
     out = local.join(F.broadcast(offsets), _BKT).withColumn(rank_col, F.col(_OFF) + F.col(_LOCAL))
     if total_col:
         out = out.withColumnRenamed(_N, total_col)

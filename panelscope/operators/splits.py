@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelscope.functions.util import as_col
-from panelscope.operators.ranking import bucketed_rank, hash_order_key
+from panelscope.operators.ranking import bucketed_rank, hash_order_key, uniform_bounds
+from panelscope.session import shuffle_partitions
 from panelscope.operators.setops import duplicated_keys
 from panelscope.schema import KEY
 
@@ -29,7 +30,12 @@ def _row_hash(df: DataFrame, seed) -> Column:
 def hash_rank(df: DataFrame, key: str, seed, rank_col: str = _R, total_col: str | None = _N) -> DataFrame:
     """Rank rows by ``md5(seed || key)`` (then a row hash): a seeded shuffle."""
     keyed = df.withColumn(_H, hash_order_key(seed, key)).withColumn(_T, _row_hash(df, seed))
-    return bucketed_rank(keyed, [_H, F.col(key), _T], rank_col=rank_col, total_col=total_col).drop(_H, _T)
+    return bucketed_rank(keyed, [_H, F.col(key), _T], rank_col=rank_col, total_col=total_col, bounds=_hash_bounds(df)).drop(_H, _T)
+
+
+def _hash_bounds(df: DataFrame) -> list[float]:
+    """The 32-bit order hash is uniform: equal-width buckets, no quantile pass."""
+    return uniform_bounds(0.0, float(1 << 32), shuffle_partitions(df.sparkSession))
 
 
 def _py_round(x: Column) -> Column:
@@ -60,7 +66,7 @@ def split_exact(
         raise ValueError(f"train_frac must be within [0, 1], got {train_frac}.")
     keyed = df.withColumn(_H, hash_order_key(seed, key)).withColumn(_T, _row_hash(df, seed))
     tup = F.struct(F.col(_H), F.col(key), F.col(_T))
-    ranked = bucketed_rank(keyed.select(_H, key, _T), [_H, F.col(key), _T], rank_col=_R, total_col=_N)
+    ranked = bucketed_rank(keyed.select(_H, key, _T), [_H, F.col(key), _T], rank_col=_R, total_col=_N, bounds=_hash_bounds(df))
     n = F.col(_N).cast("double")
     if test_size is None:
         k = _py_round(n * F.lit(train_frac))
