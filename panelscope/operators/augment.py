@@ -106,6 +106,8 @@ def _apply_pixels(df: DataFrame, image, tx, ty, tx_int, ty_int, axis, deg, seman
     discarded translation/rotation results (pixels kept); on a single
     translation (``dataset_stage=False``) it applies its axis rules."""
     discard = semantics == "observed" and dataset_stage
+    if image is None:  # metadata only: ids and amplification columns
+        return df
     if px.check_image_column(df, image.col) == "struct":
         from panelscope.operators.images import geometry_kernel
 
@@ -187,16 +189,19 @@ def _variant_array(variants: Sequence[dict]) -> Column:
 
 
 def _add_stage(df, key, image, eligible: Column, variants: Sequence[dict], set_meta, semantics, num_buckets, id_reference=None):
-    px.check_image_column(df, image.col)
+    if image is not None:
+        px.check_image_column(df, image.col)
     if not variants:
         return df
     cur_max, width = reference_id_stats(df, key, id_reference)
     base = df.filter(eligible).withColumn(_NUM, id_number(F.col(key)))
     ranked = bucketed_rank(base, [_NUM, key], rank_col=_RANK, total_col=_N, num_buckets=num_buckets)
     vs = [dict(v=i + 1, **var) for i, var in enumerate(variants)]
-    copies = ranked.withColumn("_var", F.explode(_variant_array(vs)))
+    # id parts once per source row, before the expansion
+    copies = ranked.withColumns({"_pre": id_prefix(F.col(key)), "_suf": id_suffix(F.col(key))})
+    copies = copies.withColumn("_var", F.explode(_variant_array(vs)))
     num = F.lit(cur_max) + (F.col("_var.v") - 1) * F.col(_N) + F.col(_RANK)
-    copies = copies.withColumn(key, F.concat(id_prefix(F.col(key)), zfill(num, width), id_suffix(F.col(key))))
+    copies = copies.withColumn(key, F.concat(F.col("_pre"), zfill(num, width), F.col("_suf")))
     copies = set_meta(copies)
     return df.unionByName(copies.select(*df.columns))
 
@@ -264,7 +269,8 @@ def amplify(
     D15) or, with ``id_reference``, above the largest of both frames."""
     if semantics not in ("documented", "observed"):
         raise ValueError(semantics)
-    px.check_image_column(df, image.col)
+    if image is not None:
+        px.check_image_column(df, image.col)
     tr = check_translations(translations, semantics)
     axes = check_mirror_axes(mirror_axes)
     rots = check_rotations(rotations)
@@ -295,6 +301,8 @@ def amplify(
                 combos.append(dict(vt=vt, tx=float(x), ty=float(y), txi=_is_int(x), tyi=_is_int(y), vm=vm, axis=axis, vr=vr, deg=deg))
     base = df.withColumn(_NUM, id_number(F.col(key)))
     ranked = bucketed_rank(base, [_NUM, key], rank_col=_RANK, num_buckets=num_buckets)
+    # id parts once per base row, before the expansion
+    ranked = ranked.withColumns({"_pre": id_prefix(F.col(key)), "_suf": id_suffix(F.col(key))})
     e = ranked.withColumn("_var", F.explode(_variant_array(combos)))
     vt, vm, vr = F.col("_var.vt"), F.col("_var.vm"), F.col("_var.vr")
     r1 = F.col(_RANK)
@@ -303,7 +311,7 @@ def amplify(
     num1 = F.lit(m1) + (vt - 1) * F.lit(n1) + r1
     num2 = F.lit(m2) + (vm - 1) * F.lit(n2) + r2
     num3 = F.lit(m3) + (vr - 1) * F.lit(n3) + r3
-    pre, suf = id_prefix(F.col(key)), id_suffix(F.col(key))
+    pre, suf = F.col("_pre"), F.col("_suf")
     new_id = (
         F.when(vr > 0, F.concat(pre, zfill(num3, w3), suf))
         .when(vm > 0, F.concat(pre, zfill(num2, w2), suf))

@@ -4,14 +4,18 @@
 
 1. bucket bounds = approximate quantiles of the first order key (one pass
    over that column; at most ``num_buckets`` numbers reach the driver), so a
-   dense key range cannot pile into one bucket;
-2. the bucket of a row is a pure function of its first key (``Bucketizer``,
-   a binary search in the JVM), so every plan branch that evaluates it — a
-   retried task included — puts the row in the same bucket;
+   dense key range cannot pile into one bucket. A first-key value that fills
+   several quantile slots is *hot*: its rows are spread over that many
+   sub-buckets by a uniform row hash (``spread``, which must be the last
+   order key, so the order inside the hot value is kept);
+2. the bucket of a row is a pure function of its values (``Bucketizer``, a
+   binary search in the JVM, plus a small literal map of hot values), so
+   every plan branch that evaluates it — a retried task included — puts the
+   row in the same bucket;
 3. ``row_number`` inside each bucket (one shuffle on the bucket, buckets
    spread over tasks), plus the bucket's offset: prefix sums of the
-   per-bucket counts, a table of at most ``num_buckets + 1`` rows that is
-   broadcast (its size is bounded by the bucket count, not by the data).
+   per-bucket counts, a table with one row per bucket that is broadcast
+   (its size is bounded by the bucket count, not by the data).
 
 The order key must be unique (add the full id, or a row hash, as the last
 key) so the numbering is the same on every run.
@@ -19,7 +23,9 @@ key) so the numbering is the same on every run.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -30,15 +36,38 @@ from panelscope.session import shuffle_partitions
 
 _BKT, _FIRST, _LOCAL, _OFF, _N = "_rk_bucket", "_rk_first", "_rk_local", "_rk_offset", "_rk_n"
 QUANTILE_ERROR = 1e-3
-
-
-def bucket_bounds(df: DataFrame, first: Column, num_buckets: int) -> list[float]:
-    """Strictly increasing inner bucket bounds from approximate quantiles."""
-    if num_buckets <= 1:
-        return []
-    probs = [i / num_buckets for i in range(1, num_buckets)]
-    qs = df.select(first.cast("double").alias(_FIRST)).approxQuantile(_FIRST, probs, QUANTILE_ERROR)
-    return sorted({q for q in qs if q == q})
+SUB = 1 << 16  # sub-bucket slots per bucket (hot values use up to SUB - 1)
+
+
+@dataclass
+class RankBuckets:
+    """Bucket layout: inner bounds of the first key and hot values."""
+
+    bounds: list[float]
+    hot: dict[int, tuple[float, int]] = field(default_factory=dict)  # bucket -> (value, spans)
+
+    def apply(self, df: DataFrame, first: Column, spread: Column | None = None, out: str = _BKT) -> DataFrame:
+        """``df`` plus its deterministic bucket id (monotone in the order)."""
+        with_first = df.withColumn(_FIRST, first.cast("double"))
+        bz = Bucketizer(splits=[float("-inf"), *self.bounds, float("inf")], inputCol=_FIRST, outputCol="_rk_idx", handleInvalid="keep")
+        t = bz.transform(with_first)
+        idx = F.col("_rk_idx").cast("long")
+        base = idx * F.lit(SUB)
+        if self.hot and spread is not None:
+            entries = []
+            for bi, (v, span) in self.hot.items():
+                entries += [F.lit(bi).cast("long"), F.struct(F.lit(v).alias("v"), F.lit(span).alias("s"))]
+            hot = F.element_at(F.create_map(*entries), idx)
+            # monotone map of the signed 64-bit spread key into [0, 1)
+            frac = F.least((spread.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64), F.lit(1.0 - 2.0**-53))
+            sub = (
+                F.when(hot.isNull(), F.lit(0))
+                .when(F.col(_FIRST) == hot["v"], F.floor(frac * hot["s"]))
+                .otherwise(F.lit(SUB - 1))
+            )
+            base = base + sub.cast("long")
+        # NULL keys sort first (Spark's default for ascending order)
+        return t.withColumn(out, F.coalesce(base, F.lit(-1).cast("long"))).drop(_FIRST, "_rk_idx")
 
 
 def uniform_bounds(lo: float, hi: float, num_buckets: int) -> list[float]:
@@ -47,6 +76,33 @@ def uniform_bounds(lo: float, hi: float, num_buckets: int) -> list[float]:
     return [lo + i * step for i in range(1, max(num_buckets, 1))]
 
 
+def rank_buckets(df: DataFrame, first: Column, num_buckets: int, bounds: Sequence[float] | None = None) -> RankBuckets:
+    """Bucket layout from approximate quantiles of ``first`` (or given bounds)."""
+    if bounds is not None:
+        return RankBuckets(sorted(set(bounds)) or [0.0])
+    if num_buckets <= 1:
+        return RankBuckets([0.0])
+    probs = [i / num_buckets for i in range(1, num_buckets)]
+    qs = [q for q in df.select(first.cast("double").alias(_FIRST)).approxQuantile(_FIRST, probs, QUANTILE_ERROR) if q == q]
+    inner = sorted(set(qs)) or [0.0]
+    reps = Counter(qs)
+    hot = {}
+    for j, v in enumerate(inner):
+        if reps[v] > 1:  # the value fills several quantile slots
+            hot[j + 1] = (v, min(reps[v] + 1, SUB - 1))
+    return RankBuckets(inner, hot)
+
+
+def bucket_bounds(df: DataFrame, first: Column, num_buckets: int) -> list[float]:
+    return rank_buckets(df, first, num_buckets).bounds
+
+
+def first_key(df: DataFrame, c: Column) -> Column:
+    if dict(df.select(c.alias("_k")).dtypes)["_k"] in ("timestamp", "timestamp_ntz", "date"):
+        return F.unix_micros(c.cast("timestamp"))
+    return c
+
+
 def bucketed_rank(
     df: DataFrame,
     order: Sequence[Column | str],
@@ -54,34 +110,40 @@ def bucketed_rank(
     num_buckets: int | None = None,
     total_col: str | None = None,
     bounds: Sequence[float] | None = None,
+    prev: Sequence[str] = (),
+    spread: Column | str | None = None,
+    buckets: RankBuckets | None = None,
+    bucket_col: str | None = None,
 ) -> DataFrame:
     """Add ``rank_col`` = row_number() over (order by ``order``), 1-based.
 
     The first order key must be numeric, date or timestamp. ``bounds`` skips
     the quantile pass when the key distribution is known (e.g. a uniform
-    hash, see :func:`uniform_bounds`). With ``total_col`` the total row count
-    is added too (from the offset table, no extra pass)."""
+    hash, see :func:`uniform_bounds`). ``spread`` (a uniform hash that is the
+    last order key) splits hot first-key values over several tasks. With
+    ``total_col`` the total row count is added too (from the offset table,
+    no extra pass). ``prev`` columns get a ``_prev_<name>`` twin holding the
+    previous row's value in the order (NULL at the start of a bucket).
+    ``bucket_col`` keeps the bucket id (it orders before the keys)."""
     nb = num_buckets or shuffle_partitions(df.sparkSession)
     keys = [as_col(c) for c in order]
-    first = keys[0]
-    if dict(df.select(first.alias("_k")).dtypes)["_k"] in ("timestamp", "timestamp_ntz", "date"):
-        first = F.unix_micros(first.cast("timestamp"))
-    bounds = sorted(set(bounds)) if bounds is not None else bucket_bounds(df, first, nb)
-    bounds = bounds or [0.0]  # Bucketizer needs one inner bound
-    with_first = df.withColumn(_FIRST, first.cast("double"))
-    b = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol=_FIRST, outputCol=_BKT, handleInvalid="keep")
-    # NULL keys sort first (Spark's default for ascending order): bucket -1
-    bucketed = b.transform(with_first).withColumn(_BKT, F.coalesce(F.col(_BKT).cast("int"), F.lit(-1))).drop(_FIRST)
+    first = first_key(df, keys[0])
+    rb = buckets or rank_buckets(df, first, nb, bounds)
+    bucketed = rb.apply(df, first, as_col(spread) if spread is not None else None)
 
     # one task per bucket: a user-sized partition count that AQE does not
     # coalesce, so work added after the ranking (e.g. a 60× expansion) stays
     # spread over the cluster even when the rows being ranked are small
-    spread = bucketed.repartitionByRange(len(bounds) + 3, _BKT)
-    local = spread.withColumn(_LOCAL, F.row_number().over(Window.partitionBy(_BKT).orderBy(*keys)))
+    n_parts = len(rb.bounds) + 1 + sum(s for _, s in rb.hot.values())
+    spread_df = bucketed.repartitionByRange(n_parts, _BKT)
+    wb = Window.partitionBy(_BKT).orderBy(*keys)
+    local = spread_df.withColumn(_LOCAL, F.row_number().over(wb))
+    for c in prev:
+        local = local.withColumn(f"_prev_{c}", F.lag(F.col(c)).over(wb))
     # per-bucket counts: partial aggregation before a tiny shuffle; column
-    # pruning reads only the first key for this branch
+    # pruning reads only the columns the bucket needs for this branch
     counts = bucketed.groupBy(_BKT).agg(F.count(F.lit(1)).alias(_N))
-    # at most nb + 1 rows: prefix sums in one small partition, then broadcast
+    # one row per bucket: prefix sums in one small partition, then broadcast
     w = Window.orderBy(_BKT).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         _BKT,
@@ -91,6 +153,8 @@ def bucketed_rank(
     out = local.join(F.broadcast(offsets), _BKT).withColumn(rank_col, F.col(_OFF) + F.col(_LOCAL))
     if total_col:
         out = out.withColumnRenamed(_N, total_col)
+    if bucket_col:
+        out = out.withColumnRenamed(_BKT, bucket_col)
     return out.drop(_BKT, _LOCAL, _OFF, _N)
 
 

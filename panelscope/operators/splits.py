@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelscope.functions.util import as_col
-from panelscope.operators.ranking import bucketed_rank, hash_order_key, uniform_bounds
+from panelscope.operators.ranking import bucketed_rank, hash_order_key, rank_buckets, uniform_bounds
 from panelscope.session import shuffle_partitions
 from panelscope.operators.setops import duplicated_keys
 from panelscope.schema import KEY
 
-_H, _T, _R, _N = "_sp_h", "_sp_t", "_sp_rank", "_sp_n"
+_H, _T, _R, _N, _B = "_sp_h", "_sp_t", "_sp_rank", "_sp_n", "_sp_b"
 
 
 def _row_hash(df: DataFrame, seed) -> Column:
@@ -65,24 +65,38 @@ def split_exact(
     if not 0.0 <= train_frac <= 1.0:
         raise ValueError(f"train_frac must be within [0, 1], got {train_frac}.")
     keyed = df.withColumn(_H, hash_order_key(seed, key)).withColumn(_T, _row_hash(df, seed))
-    tup = F.struct(F.col(_H), F.col(key), F.col(_T))
-    ranked = bucketed_rank(keyed.select(_H, key, _T), [_H, F.col(key), _T], rank_col=_R, total_col=_N, bounds=_hash_bounds(df))
+    # bucket layout from the hash quantiles: a repeated id (hot hash value)
+    # is spread over several tasks by the row hash, the last order key
+    rb = rank_buckets(keyed.select(_H), F.col(_H), shuffle_partitions(df.sparkSession))
+    keyed = rb.apply(keyed, F.col(_H), F.col(_T), out=_B)
+    tup = F.struct(F.col(_B), F.col(_H), F.col(key), F.col(_T))
+    ranked = bucketed_rank(
+        keyed.select(_H, key, _T), [_H, F.col(key), _T], rank_col=_R, total_col=_N, buckets=rb, spread=F.col(_T),
+        bucket_col=_B, prev=[key],
+    )
+    # rows sharing a key share the hash, so they sit next to each other
+    ranked = ranked.withColumn("_dup", F.coalesce(F.col(f"_prev_{key}") == F.col(key), F.lit(False)))
     n = F.col(_N).cast("double")
     if test_size is None:
         k = _py_round(n * F.lit(train_frac))
     else:
         k = F.col(_N) - F.ceil(n * F.lit(float(test_size))).cast("bigint")
-    # the k-th and (k+1)-th tuples: at most two rows reach the driver
-    edge = ranked.where((F.col(_R) == k) | (F.col(_R) == k + 1)).select(_R, _H, key, _T, k.alias("_k")).collect()
-    kth = [r for r in edge if r[_R] == r["_k"]]
-    if not kth:  # k == 0 (or empty data): nothing is drawn for training
+    tcols = F.struct(F.col(_R), F.col(_B), F.col(_H), F.col(key), F.col(_T))
+    # one job, one row: the k-th and (k+1)-th tuples and whether keys repeat
+    edge = ranked.agg(
+        F.max(F.when(F.col(_R) == k, tcols)).alias("kth"),
+        F.max(F.when(F.col(_R) == k + 1, tcols)).alias("after"),
+        F.count_if("_dup").alias("n_dup"),
+    ).first()
+    t, after = edge["kth"], edge["after"]
+    if t is None:  # k == 0 (or empty data): nothing is drawn for training
         train = keyed.limit(0)
         rest = keyed
     else:
-        t = kth[0]
-        thr = F.struct(F.lit(t[_H]).cast("bigint"), F.lit(t[key]).cast(df.schema[key].dataType), F.lit(t[_T]).cast("bigint"))
-        after = [r for r in edge if r[_R] == r["_k"] + 1]
-        if after and (after[0][_H], after[0][key], after[0][_T]) == (t[_H], t[key], t[_T]):
+        thr = F.struct(
+            F.lit(t[_B]).cast("long"), F.lit(t[_H]).cast("bigint"), F.lit(t[key]).cast(df.schema[key].dataType), F.lit(t[_T]).cast("bigint")
+        )
+        if after is not None and (after[_B], after[_H], after[key], after[_T]) == (t[_B], t[_H], t[key], t[_T]):
             # identical rows straddle the cut: keep exactly as many as needed
             first = ranked.where(tup_eq(ranked, t, key)).agg(F.min(_R)).first()[0]
             m = int(t[_R]) - int(first) + 1
@@ -90,13 +104,15 @@ def split_exact(
         else:
             train = keyed.where(tup <= thr)
         rest = keyed.where(tup > thr)
-    test = rest.join(duplicated_keys(df, key), key, "left_anti")
+    # the window flags repeated ids; the exact repeated-key set (pre-aggregated)
+    # is only computed when there are any
+    test = rest.join(duplicated_keys(df, key), key, "left_anti") if edge["n_dup"] else rest
     out = train.withColumn(split_col, F.lit("train")).unionByName(test.withColumn(split_col, F.lit("test")))
-    return out.drop(_H, _T)
+    return out.drop(_H, _T, _B)
 
 
 def tup_eq(df: DataFrame, row, key: str) -> Column:
-    return (F.col(_H) == F.lit(row[_H])) & (F.col(key) == F.lit(row[key])) & (F.col(_T) == F.lit(row[_T]))
+    return (F.col(_B) == F.lit(row[_B])) & (F.col(_H) == F.lit(row[_H])) & (F.col(key) == F.lit(row[key])) & (F.col(_T) == F.lit(row[_T]))
 
 
 def split_80_20(df: DataFrame, key: str = KEY, seed: int | str = 42, split_col: str = "split") -> DataFrame:

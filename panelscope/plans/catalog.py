@@ -22,6 +22,7 @@ from panelscope.operators.splits import batches, peek, shuffle, split_80_20, spl
 from panelscope.plans import sqlfrag as S
 from panelscope.plans.common import IMG, document_samples, image_out, image_samples, label_frame, merged, px_digest, table
 from panelscope.schema import KEY, cast_failures, cast_to_schema, make_schema, field
+from pyspark import StorageLevel
 from pyspark.sql import types as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -429,7 +430,9 @@ def _lineitem_xy(spark, sf):
 def ols_frames(spark, sf):
     """split 80/20 -> fit on train -> predictions on test (fit is a 1-row
     aggregate; its two numbers go into the projection as literals)."""
-    d = split_80_20(_lineitem_xy(spark, sf), key="k")
+    # the narrow split is used twice (fit, then evaluation): keep it; a lost
+    # executor's blocks are recomputed from the lineage
+    d = split_80_20(_lineitem_xy(spark, sf), key="k").persist(StorageLevel.MEMORY_AND_DISK)
     fit = agg.linear_fit(d.where("split = 'train'"), "X", "Y").first()  # slope, intercept, r2, n
     test = d.where("split = 'test'").withColumn("pred", F.lit(fit["slope"]) * F.col("X") + F.lit(fit["intercept"]))
     return d, fit, test.withColumn("residual", F.col("Y") - F.col("pred")).withColumn("pred_rounded", F.bround("pred", 0))
@@ -754,7 +757,7 @@ def mlp_classifier_q(spark, sf):
     from panelscope.operators.learn import mlp_classifier, with_features
 
     i = image_samples(spark, sf).withColumn("X", rescale(F.transform("SAMPLE", lambda x: (x + 0.5) * 255.0)))
-    d = split_exact(i.select(KEY, "X", "CLASS"), 0.65, seed=0)
+    d = split_exact(i.select(KEY, "X", "CLASS"), 0.65, seed=0).persist(StorageLevel.MEMORY_AND_DISK)
     model = mlp_classifier(d.where("split = 'train'"), "X", "CLASS", 64, 10, hidden=128, max_iter=60)
     pred = model.transform(with_features(d.where("split = 'test'"), "X"))
     return pred.select(KEY, F.col("CLASS").alias("label"), F.col("prediction").cast("int").alias("prediction"))
@@ -767,7 +770,7 @@ def classify_defects_q(spark, sf):
 
     lbl, img = label_frame(spark, sf), image_samples(spark, sf)
     m = merge_labels_samples(lbl, img, check="none", how="inner")
-    d = split_exact(m.select(KEY, "SAMPLE", "LABEL_CATEGORY"), 0.65, seed=0)
+    d = split_exact(m.select(KEY, "SAMPLE", "LABEL_CATEGORY"), 0.65, seed=0).persist(StorageLevel.MEMORY_AND_DISK)
     model = classify_defects(d.where("split = 'train'"), "SAMPLE")
     out = model.transform(with_features(d.where("split = 'test'"), "SAMPLE"))
     return out.select(KEY, "LABEL_CATEGORY", F.col("prediction").cast("int").alias("prediction"))

@@ -88,3 +88,27 @@ def test_split_exact_with_identical_rows_is_exact(spark):
         s = split_exact(df, 0.5, seed=seed)
         assert s.where("split = 'train'").count() == 8  # round(7.5) half-even
         assert s.where("split = 'test' AND LABEL_SAMPLE_ID = 'zz'").count() == 0
+
+
+def test_split_exact_hot_id_is_spread_and_exact(spark):
+    from panelscope.operators.ranking import rank_buckets
+    from panelscope.operators.splits import _H, hash_order_key
+
+    # one id holds a third of the rows
+    rows = [("hot.png", i) for i in range(3000)] + [(f"c{i:05d}.png", i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "LABEL_SAMPLE_ID string, v int").repartition(8)
+    rb = rank_buckets(df.withColumn(_H, hash_order_key(0, "LABEL_SAMPLE_ID")), F.col(_H), 16)
+    assert rb.hot and max(s for _, s in rb.hot.values()) >= 4
+    s = split_exact(df, 0.65, seed=0)
+    assert s.where("split = 'train'").count() == round(0.65 * 9000)
+    assert s.where("split = 'test' AND LABEL_SAMPLE_ID = 'hot.png'").count() == 0
+
+
+def test_bucketed_rank_spreads_hot_value(spark):
+    rows = [(7, i) for i in range(3000)] + [(i, 10**6 + i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "x long, id long").withColumn("h", F.xxhash64("id"))
+    got = bucketed_rank(df, ["x", "h"], "r", num_buckets=16, spread="h", bucket_col="b")
+    per_bucket = [r[1] for r in got.groupBy("b").count().collect()]
+    assert max(per_bucket) < 3000  # the hot value is split over tasks
+    ref = df.withColumn("rn", F.row_number().over(Window.orderBy("x", "h")))
+    assert got.join(ref.select("id", "rn"), "id").where("r != rn").count() == 0
