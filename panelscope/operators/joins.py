@@ -30,6 +30,7 @@ def merge_key_report(labels: DataFrame, samples: DataFrame, key: str = KEY) -> D
         F.count_if(F.col("_nl").isNull()).alias("samples_without_label"),
         F.count_if(F.col("_nl") > 1).alias("repeated_label_keys"),
         F.count_if(F.col("_ns") > 1).alias("repeated_sample_keys"),
+        F.count_if((F.col("_nl") > 1) & (F.col("_ns") > 1)).alias("keys_repeated_on_both_sides"),
     )
 
 
@@ -44,9 +45,12 @@ def merge_labels_samples(
     """Full outer equi-join of labels and samples on the key, key first.
 
     check: ``"counts"`` (the reference's guard: equal row counts, else
-    ``ValueError``), ``"strict"`` (also no unmatched or repeated keys),
-    ``"none"``. The type of the key and every shared column must agree.
-    ``sort=True`` orders the result by key (a range-partitioned sort)."""
+    ``ValueError``; plus the ``"pairs"`` guard), ``"pairs"`` (refuse a key
+    repeated on both sides: the join would emit every pair of such rows),
+    ``"strict"`` (one-to-one: no unmatched or repeated keys), ``"none"``.
+    The guards are one aggregate over the pre-aggregated key columns. The
+    type of the key and every shared column must agree. ``sort=True`` orders
+    the result by key (a range-partitioned sort)."""
     if key not in labels.columns or key not in samples.columns:
         raise ValueError(f"Both sides need the key column {key!r}.")
     if labels.schema[key].dataType != samples.schema[key].dataType:
@@ -58,9 +62,14 @@ def merge_labels_samples(
     shared = (set(labels.columns) & set(samples.columns)) - {key}
     if shared:
         raise ValueError(f"Columns on both sides besides the key: {sorted(shared)}")
-    if check in ("counts", "strict"):
-        rep = (merge_key_report if check == "strict" else merge_counts)(labels, samples, key).first().asDict()
-        if rep["n_labels"] != rep["n_samples"]:
+    if check in ("counts", "strict", "pairs"):
+        rep = merge_key_report(labels, samples, key).first().asDict()
+        if rep["keys_repeated_on_both_sides"]:
+            raise ValueError(
+                f"{rep['keys_repeated_on_both_sides']} key(s) repeat in both labels and samples; "
+                "the merge would emit every pair of their rows."
+            )
+        if check != "pairs" and rep["n_labels"] != rep["n_samples"]:
             raise ValueError(
                 "Number of samples must equal number of passed labels. "
                 f"(got {rep['n_labels']} labels and {rep['n_samples']} samples...)."

@@ -6,8 +6,8 @@
    over that column; at most ``num_buckets`` numbers reach the driver), so a
    dense key range cannot pile into one bucket. A first-key value that fills
    several quantile slots is *hot*: its rows are spread over that many
-   sub-buckets by a uniform row hash (``spread``, which must be the last
-   order key, so the order inside the hot value is kept);
+   sub-buckets by quantiles of the next order key (``spread``) among them,
+   so the order inside the hot value is kept;
 2. the bucket of a row is a pure function of its values (``Bucketizer``, a
    binary search in the JVM, plus a small literal map of hot values), so
    every plan branch that evaluates it — a retried task included — puts the
@@ -44,7 +44,7 @@ class RankBuckets:
     """Bucket layout: inner bounds of the first key and hot values."""
 
     bounds: list[float]
-    hot: dict[int, tuple[float, int]] = field(default_factory=dict)  # bucket -> (value, spans)
+    hot: dict[int, tuple[float, list[float]]] = field(default_factory=dict)  # bucket -> (value, sub-bounds)
 
     def apply(self, df: DataFrame, first: Column, spread: Column | None = None, out: str = _BKT) -> DataFrame:
         """``df`` plus its deterministic bucket id (monotone in the order)."""
@@ -55,14 +55,17 @@ class RankBuckets:
         base = idx * F.lit(SUB)
         if self.hot and spread is not None:
             entries = []
-            for bi, (v, span) in self.hot.items():
-                entries += [F.lit(bi).cast("long"), F.struct(F.lit(v).alias("v"), F.lit(span).alias("s"))]
+            for bi, (v, sub_bounds) in self.hot.items():
+                entries += [
+                    F.lit(bi).cast("long"),
+                    F.struct(F.lit(v).alias("v"), F.array(*[F.lit(float(x)) for x in sub_bounds]).cast("array<double>").alias("b")),
+                ]
             hot = F.element_at(F.create_map(*entries), idx)
-            # monotone map of the signed 64-bit spread key into [0, 1)
-            frac = F.least((spread.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64), F.lit(1.0 - 2.0**-53))
+            sv = spread.cast("double")
+            # sub-bucket = number of sub-bounds <= the spread key (monotone)
             sub = (
                 F.when(hot.isNull(), F.lit(0))
-                .when(F.col(_FIRST) == hot["v"], F.floor(frac * hot["s"]))
+                .when(F.col(_FIRST) == hot["v"], F.coalesce(F.size(F.filter(hot["b"], lambda x: x <= sv)), F.lit(0)))
                 .otherwise(F.lit(SUB - 1))
             )
             base = base + sub.cast("long")
@@ -76,8 +79,18 @@ def uniform_bounds(lo: float, hi: float, num_buckets: int) -> list[float]:
     return [lo + i * step for i in range(1, max(num_buckets, 1))]
 
 
-def rank_buckets(df: DataFrame, first: Column, num_buckets: int, bounds: Sequence[float] | None = None) -> RankBuckets:
-    """Bucket layout from approximate quantiles of ``first`` (or given bounds)."""
+def rank_buckets(
+    df: DataFrame,
+    first: Column,
+    num_buckets: int,
+    bounds: Sequence[float] | None = None,
+    spread: Column | None = None,
+) -> RankBuckets:
+    """Bucket layout from approximate quantiles of ``first`` (or given bounds).
+
+    With ``spread`` (the next order key), a first-key value filling several
+    quantile slots gets its own sub-bounds: quantiles of ``spread`` among its
+    rows (one narrow pass per hot value; usually there is none)."""
     if bounds is not None:
         return RankBuckets(sorted(set(bounds)) or [0.0])
     if num_buckets <= 1:
@@ -85,11 +98,17 @@ def rank_buckets(df: DataFrame, first: Column, num_buckets: int, bounds: Sequenc
     probs = [i / num_buckets for i in range(1, num_buckets)]
     qs = [q for q in df.select(first.cast("double").alias(_FIRST)).approxQuantile(_FIRST, probs, QUANTILE_ERROR) if q == q]
     inner = sorted(set(qs)) or [0.0]
-    reps = Counter(qs)
     hot = {}
-    for j, v in enumerate(inner):
-        if reps[v] > 1:  # the value fills several quantile slots
-            hot[j + 1] = (v, min(reps[v] + 1, SUB - 1))
+    if spread is not None:
+        reps = Counter(qs)
+        for j, v in enumerate(inner):
+            if reps[v] > 1:  # the value fills several quantile slots
+                span = min(reps[v] + 1, SUB - 1)
+                sub_probs = [i / span for i in range(1, span)]
+                rows = df.where(first.cast("double") == F.lit(v)).select(spread.cast("double").alias("_rk_s"))
+                sb = sorted({q for q in rows.approxQuantile("_rk_s", sub_probs, QUANTILE_ERROR) if q == q})
+                if sb:
+                    hot[j + 1] = (v, sb)
     return RankBuckets(inner, hot)
 
 
@@ -119,8 +138,9 @@ def bucketed_rank(
 
     The first order key must be numeric, date or timestamp. ``bounds`` skips
     the quantile pass when the key distribution is known (e.g. a uniform
-    hash, see :func:`uniform_bounds`). ``spread`` (a uniform hash that is the
-    last order key) splits hot first-key values over several tasks. With
+    hash, see :func:`uniform_bounds`). ``spread`` (the second order key, or a
+    later one when the keys between are constant within a first-key value)
+    splits hot first-key values over several tasks. With
     ``total_col`` the total row count is added too (from the offset table,
     no extra pass). ``prev`` columns get a ``_prev_<name>`` twin holding the
     previous row's value in the order (NULL at the start of a bucket).
@@ -128,13 +148,14 @@ def bucketed_rank(
     nb = num_buckets or shuffle_partitions(df.sparkSession)
     keys = [as_col(c) for c in order]
     first = first_key(df, keys[0])
-    rb = buckets or rank_buckets(df, first, nb, bounds)
-    bucketed = rb.apply(df, first, as_col(spread) if spread is not None else None)
+    spread_c = as_col(spread) if spread is not None else None
+    rb = buckets or rank_buckets(df, first, nb, bounds, spread_c)
+    bucketed = rb.apply(df, first, spread_c)
 
     # one task per bucket: a user-sized partition count that AQE does not
     # coalesce, so work added after the ranking (e.g. a 60× expansion) stays
     # spread over the cluster even when the rows being ranked are small
-    n_parts = len(rb.bounds) + 1 + sum(s for _, s in rb.hot.values())
+    n_parts = len(rb.bounds) + 1 + sum(len(b) for _, b in rb.hot.values())
     spread_df = bucketed.repartitionByRange(n_parts, _BKT)
     wb = Window.partitionBy(_BKT).orderBy(*keys)
     local = spread_df.withColumn(_LOCAL, F.row_number().over(wb))

@@ -67,7 +67,7 @@ def split_exact(
     keyed = df.withColumn(_H, hash_order_key(seed, key)).withColumn(_T, _row_hash(df, seed))
     # bucket layout from the hash quantiles: a repeated id (hot hash value)
     # is spread over several tasks by the row hash, the last order key
-    rb = rank_buckets(keyed.select(_H), F.col(_H), shuffle_partitions(df.sparkSession))
+    rb = rank_buckets(keyed.select(_H, _T), F.col(_H), shuffle_partitions(df.sparkSession), spread=F.col(_T))
     keyed = rb.apply(keyed, F.col(_H), F.col(_T), out=_B)
     tup = F.struct(F.col(_B), F.col(_H), F.col(key), F.col(_T))
     ranked = bucketed_rank(
@@ -137,7 +137,15 @@ def split_conserves_rows(split_df: DataFrame, original: DataFrame, split_col: st
 
 
 def ordered_rank(df: DataFrame, order, rank_col: str = "rank", total_col: str | None = None) -> DataFrame:
-    return bucketed_rank(df, [as_col(c) for c in order], rank_col=rank_col, total_col=total_col)
+    """Rank by an explicit order; a hot value of the first key is spread by
+    the second key when that key is numeric."""
+    keys = [as_col(c) for c in order]
+    spread = None
+    if len(keys) > 1:
+        t = dict(df.select(keys[1].alias("_s")).dtypes)["_s"]
+        if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal"):
+            spread = keys[1]
+    return bucketed_rank(df, keys, rank_col=rank_col, total_col=total_col, spread=spread)
 
 
 def split_tail(df: DataFrame, order, validation_split: float = 0.3, split_col: str = "split") -> DataFrame:

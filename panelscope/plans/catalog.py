@@ -127,6 +127,7 @@ def merge_q(spark, sf):
 sk AS (SELECT LABEL_SAMPLE_ID, count(*) AS ns FROM smp GROUP BY 1),
 j AS (SELECT * FROM lk FULL OUTER JOIN sk USING (LABEL_SAMPLE_ID))
 SELECT CAST(coalesce(sum(nl), 0) AS BIGINT) AS n_labels, CAST(coalesce(sum(ns), 0) AS BIGINT) AS n_samples,
+       CAST(sum(CASE WHEN nl > 1 AND ns > 1 THEN 1 ELSE 0 END) AS BIGINT) AS keys_repeated_on_both_sides,
        CAST(sum(CASE WHEN ns IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS labels_without_sample,
        CAST(sum(CASE WHEN nl IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS samples_without_label,
        CAST(sum(CASE WHEN nl > 1 THEN 1 ELSE 0 END) AS BIGINT) AS repeated_label_keys,
@@ -151,7 +152,7 @@ def merge_one_to_one_q(spark, sf):
 
 @query("sort_by_key", W + "SELECT LABEL_SAMPLE_ID, LABEL_CATEGORY, lang FROM mrg")
 def sort_by_key_q(spark, sf):
-    m = merge_labels_samples(label_frame(spark, sf), document_samples(spark, sf), check="none", sort=True)
+    m = merge_labels_samples(label_frame(spark, sf), document_samples(spark, sf), check="pairs", sort=True)
     return m.select(KEY, "LABEL_CATEGORY", "lang")
 
 
@@ -294,7 +295,7 @@ def max_id_unpadded_q(spark, sf):
 )
 def stage_counts_q(spark, sf):
     lbl, smp = label_frame(spark, sf), document_samples(spark, sf)
-    m = merge_labels_samples(lbl, smp, check="none")
+    m = merge_labels_samples(lbl, smp, check="pairs")
     tagged = concat_rows(
         lbl.select(F.lit("labels").alias("_s")),
         smp.select(F.lit("samples").alias("_s")),
@@ -769,7 +770,7 @@ def classify_defects_q(spark, sf):
     from panelscope.operators.learn import classify_defects, with_features
 
     lbl, img = label_frame(spark, sf), image_samples(spark, sf)
-    m = merge_labels_samples(lbl, img, check="none", how="inner")
+    m = merge_labels_samples(lbl, img, check="pairs", how="inner")
     d = split_exact(m.select(KEY, "SAMPLE", "LABEL_CATEGORY"), 0.65, seed=0).persist(StorageLevel.MEMORY_AND_DISK)
     model = classify_defects(d.where("split = 'train'"), "SAMPLE")
     out = model.transform(with_features(d.where("split = 'test'"), "SAMPLE"))

@@ -21,7 +21,7 @@ def px_digest(arr) -> Column:
 
 
 def merged(spark: SparkSession, sf: str) -> DataFrame:
-    return merge_labels_samples(label_frame(spark, sf), document_samples(spark, sf), check="none")
+    return merge_labels_samples(label_frame(spark, sf), document_samples(spark, sf), check="pairs")
 
 
 def image_out(df: DataFrame, extra=()) -> DataFrame:

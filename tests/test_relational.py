@@ -114,3 +114,13 @@ def test_key_uniqueness_hot_key(spark):
 def test_project_labels_order(spark):
     m = merge_labels_samples(_labels(spark, ["a"]), _samples(spark, ["a"]))
     assert project_labels(m).columns == ["LABEL_SAMPLE_ID", "PROBABILITY"]
+
+
+def test_merge_refuses_many_to_many(spark):
+    with pytest.raises(ValueError, match="every pair"):
+        merge_labels_samples(_labels(spark, ["a", "a", "b"]), _samples(spark, ["a", "a", "c"]))
+    with pytest.raises(ValueError, match="every pair"):
+        merge_labels_samples(_labels(spark, ["a", "a"]), _samples(spark, ["a", "a", "c"]), check="pairs")
+    # repeated on one side only: allowed (rows are not multiplied)
+    m = merge_labels_samples(_labels(spark, ["a", "a", "b"]), _samples(spark, ["a", "c"]), check="pairs")
+    assert m.count() == 4

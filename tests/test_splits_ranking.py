@@ -97,8 +97,9 @@ def test_split_exact_hot_id_is_spread_and_exact(spark):
     # one id holds a third of the rows
     rows = [("hot.png", i) for i in range(3000)] + [(f"c{i:05d}.png", i) for i in range(6000)]
     df = spark.createDataFrame(rows, "LABEL_SAMPLE_ID string, v int").repartition(8)
-    rb = rank_buckets(df.withColumn(_H, hash_order_key(0, "LABEL_SAMPLE_ID")), F.col(_H), 16)
-    assert rb.hot and max(s for _, s in rb.hot.values()) >= 4
+    keyed = df.withColumn(_H, hash_order_key(0, "LABEL_SAMPLE_ID")).withColumn("t", F.xxhash64("v"))
+    rb = rank_buckets(keyed, F.col(_H), 16, spread=F.col("t"))
+    assert rb.hot and max(len(b) for _, b in rb.hot.values()) >= 3
     s = split_exact(df, 0.65, seed=0)
     assert s.where("split = 'train'").count() == round(0.65 * 9000)
     assert s.where("split = 'test' AND LABEL_SAMPLE_ID = 'hot.png'").count() == 0
@@ -112,3 +113,12 @@ def test_bucketed_rank_spreads_hot_value(spark):
     assert max(per_bucket) < 3000  # the hot value is split over tasks
     ref = df.withColumn("rn", F.row_number().over(Window.orderBy("x", "h")))
     assert got.join(ref.select("id", "rn"), "id").where("r != rn").count() == 0
+
+
+def test_split_tail_hot_date(spark):
+    rows = [(1, i) for i in range(3000)] + [(2 + i % 50, 10**6 + i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "d long, k long")
+    t = split_tail(df, ["d", "k"], 0.3)
+    val = {r["k"] for r in t.where("split = 'validation'").collect()}
+    ordered = sorted(rows)
+    assert val == {k for _, k in ordered[int(9000 * 0.7):]}
