@@ -919,3 +919,69 @@ def amplify_id_reference_q(spark, sf):
     """Amplify a filtered part; new ids start above the unfiltered maximum (D15 option)."""
     img = image_samples(spark, sf)
     return image_out(amplify(img.where("CLASS < 5"), IMG, id_reference=img), ["CLASS"])
+
+
+# ---------------------------------------------------------------- image-struct kernels
+
+def _quantized(i):
+    return F.transform("SAMPLE", lambda x: F.least(F.greatest(F.floor((x.cast("double") + 0.5) * 255.0), F.lit(0)), F.lit(255)))
+
+
+def _bgr_structs(spark, sf):
+    """8×8×3 BGR image structs derived from the embeddings: (q, q div 2, 255 - q)."""
+    from panelscope.operators.images import array_to_image
+
+    i = image_samples(spark, sf)
+    bgr = F.flatten(F.transform(_quantized(i), lambda x: F.array(x, F.floor(x / 2), F.lit(255) - x)))
+    return i.select(KEY, array_to_image(bgr, "SAMPLE_H", "SAMPLE_W", F.lit(3)).alias("SAMPLE"))
+
+
+_Q = "list_transform(embedding, lambda x: least(greatest(floor((x::DOUBLE + 0.5) * 255.0), 0), 255))"
+
+
+@query(
+    "to_gray",
+    f"""WITH q AS (SELECT {S.sid('vec_id')} AS LABEL_SAMPLE_ID, {_Q} AS q FROM embeddings)
+SELECT LABEL_SAMPLE_ID, 1 AS channels,
+       {S.digest("list_transform(q, lambda x: least(greatest(round_even(0.114::DOUBLE * x + 0.587::DOUBLE * floor(x / 2) + 0.299::DOUBLE * (255 - x), 0), 0), 255))")} AS px_digest
+FROM q""",
+)
+def to_gray_q(spark, sf):
+    from panelscope.operators.images import to_feature_vector, to_gray
+
+    g = to_gray(_bgr_structs(spark, sf))
+    return g.select(KEY, F.col("SAMPLE.nChannels").alias("channels"), px_digest(to_feature_vector("SAMPLE")).alias("px_digest"))
+
+
+def _resize_sql() -> str:
+    def px(r, c):
+        return f"q[({r}) * 8 + ({c}) + 1]"
+
+    cell = (
+        f"round_even(({px('2 * (k // 4)', '2 * (k % 4)')} * 0.5 + {px('2 * (k // 4)', '2 * (k % 4) + 1')} * 0.5) * 0.5"
+        f" + ({px('2 * (k // 4) + 1', '2 * (k % 4)')} * 0.5 + {px('2 * (k // 4) + 1', '2 * (k % 4) + 1')} * 0.5) * 0.5, 0)"
+    )
+    return f"""WITH q AS (SELECT {S.sid('vec_id')} AS LABEL_SAMPLE_ID, {_Q} AS q FROM embeddings)
+SELECT LABEL_SAMPLE_ID, 4 AS height, 4 AS width, {S.digest(f"list_transform(range(0, 16), lambda k: {cell})")} AS px_digest FROM q"""
+
+
+@query("resize", _resize_sql())
+def resize_q(spark, sf):
+    """8×8 gray structs -> 4×4, bilinear with half-pixel centres."""
+    from panelscope.operators.images import array_to_image, resize, to_feature_vector
+
+    i = image_samples(spark, sf)
+    s = i.select(KEY, array_to_image(_quantized(i), "SAMPLE_H", "SAMPLE_W", "SAMPLE_C").alias("SAMPLE"))
+    r = resize(s, 4, 4)
+    return r.select(KEY, F.col("SAMPLE.height").alias("height"), F.col("SAMPLE.width").alias("width"),
+                    px_digest(to_feature_vector("SAMPLE")).alias("px_digest"))
+
+
+@query("random_augment")
+def random_augment_q(spark, sf):
+    """Per-epoch random affine copies of every image (3 epochs), repeatable."""
+    from panelscope.operators.images import random_augment, to_feature_vector
+
+    s = _bgr_structs(spark, sf).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    a = random_augment(s, KEY, F.col("epoch"), seed=11)
+    return a.select(KEY, "epoch", px_digest(to_feature_vector("SAMPLE")).alias("px_digest"))
