@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,12 +68,15 @@ def split_exact(
     keyed = df.withColumn(_H, hash_order_key(seed, key)).withColumn(_T, _row_hash(df, seed))
     # bucket layout from the hash quantiles: a repeated id (hot hash value)
     # is spread over several tasks by the row hash, the last order key
-    rb = rank_buckets(keyed.select(_H, _T), F.col(_H), shuffle_partitions(df.sparkSession), spread=F.col(_T))
+    # the narrow tuples feed three passes (quantiles, ranking, bucket counts):
+    # keep them (about 36 bytes a row; recomputed from lineage if an executor
+    # is lost) and release them once the cut is known
+    narrow = keyed.select(_H, key, _T).persist(StorageLevel.MEMORY_AND_DISK)
+    rb = rank_buckets(narrow, F.col(_H), shuffle_partitions(df.sparkSession), spread=F.col(_T))
     keyed = rb.apply(keyed, F.col(_H), F.col(_T), out=_B)
     tup = F.struct(F.col(_B), F.col(_H), F.col(key), F.col(_T))
     ranked = bucketed_rank(
-        keyed.select(_H, key, _T), [_H, F.col(key), _T], rank_col=_R, total_col=_N, buckets=rb, spread=F.col(_T),
-        bucket_col=_B, prev=[key],
+        narrow, [_H, F.col(key), _T], rank_col=_R, total_col=_N, buckets=rb, spread=F.col(_T), bucket_col=_B, prev=[key],
     )
     # rows sharing a key share the hash, so they sit next to each other
     ranked = ranked.withColumn("_dup", F.coalesce(F.col(f"_prev_{key}") == F.col(key), F.lit(False)))
@@ -104,6 +108,7 @@ def split_exact(
         else:
             train = keyed.where(tup <= thr)
         rest = keyed.where(tup > thr)
+    narrow.unpersist()
     # the window flags repeated ids; the exact repeated-key set (pre-aggregated)
     # is only computed when there are any
     test = rest.join(duplicated_keys(df, key), key, "left_anti") if edge["n_dup"] else rest
