@@ -150,7 +150,7 @@ def assign_new_ids(
     the frame gets ``v`` = 1..variants copies, copy ``v`` numbered after the
     ``v-1`` earlier ones, so ids stay distinct across the whole batch."""
     base = df.withColumn(_NUM, id_number(F.col(key)))
-    ranked = bucketed_rank(base, [_NUM, key], rank_col=_RANK, total_col=_N, num_buckets=num_buckets)
+    ranked = bucketed_rank(base, [_NUM, key], rank_col=_RANK, total_col=_N, num_buckets=num_buckets, spread="auto")
     if variants > 1:
         ranked = ranked.withColumn("_v", F.explode(F.sequence(F.lit(1), F.lit(variants))))
     else:
@@ -195,7 +195,7 @@ def _add_stage(df, key, image, eligible: Column, variants: Sequence[dict], set_m
         return df
     cur_max, width = reference_id_stats(df, key, id_reference)
     base = df.filter(eligible).withColumn(_NUM, id_number(F.col(key)))
-    ranked = bucketed_rank(base, [_NUM, key], rank_col=_RANK, total_col=_N, num_buckets=num_buckets)
+    ranked = bucketed_rank(base, [_NUM, key], rank_col=_RANK, total_col=_N, num_buckets=num_buckets, spread="auto")
     vs = [dict(v=i + 1, **var) for i, var in enumerate(variants)]
     # id parts once per source row, before the expansion
     copies = ranked.withColumns({"_pre": id_prefix(F.col(key)), "_suf": id_suffix(F.col(key))})
@@ -300,7 +300,7 @@ def amplify(
             for vr, deg in enumerate([0, *rots]):
                 combos.append(dict(vt=vt, tx=float(x), ty=float(y), txi=_is_int(x), tyi=_is_int(y), vm=vm, axis=axis, vr=vr, deg=deg))
     base = df.withColumn(_NUM, id_number(F.col(key)))
-    ranked = bucketed_rank(base, [_NUM, key], rank_col=_RANK, num_buckets=num_buckets)
+    ranked = bucketed_rank(base, [_NUM, key], rank_col=_RANK, num_buckets=num_buckets, spread="auto")
     # id parts once per base row, before the expansion
     ranked = ranked.withColumns({"_pre": id_prefix(F.col(key)), "_suf": id_suffix(F.col(key))})
     e = ranked.withColumn("_var", F.explode(_variant_array(combos)))

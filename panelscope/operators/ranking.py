@@ -73,6 +73,21 @@ class RankBuckets:
         return t.withColumn(out, F.coalesce(base, F.lit(-1).cast("long"))).drop(_FIRST, "_rk_idx")
 
 
+def order_proxy(df: DataFrame, c: Column) -> Column | None:
+    """A number monotone (non-decreasing) in the column's sort order, for
+    spreading hot values: numbers as they are, strings by their first 7 UTF-8
+    bytes (Spark compares strings bytewise), dates/timestamps as microseconds.
+    ``None`` for types without one."""
+    t = dict(df.select(c.alias("_s")).dtypes)["_s"]
+    if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal"):
+        return c
+    if t in ("timestamp", "timestamp_ntz", "date"):
+        return F.unix_micros(c.cast("timestamp"))
+    if t == "string":
+        return F.conv(F.rpad(F.substring(F.hex(c), 1, 14), 14, "0"), 16, 10).cast("bigint")
+    return None
+
+
 def uniform_bounds(lo: float, hi: float, num_buckets: int) -> list[float]:
     """Equal-width inner bounds: for keys known to be uniform (hashes)."""
     step = (hi - lo) / max(num_buckets, 1)
@@ -139,8 +154,9 @@ def bucketed_rank(
     The first order key must be numeric, date or timestamp. ``bounds`` skips
     the quantile pass when the key distribution is known (e.g. a uniform
     hash, see :func:`uniform_bounds`). ``spread`` (the second order key, or a
-    later one when the keys between are constant within a first-key value)
-    splits hot first-key values over several tasks. With
+    later one when the keys between are constant within a first-key value;
+    ``"auto"`` = a monotone numeric proxy of the second key) splits hot
+    first-key values over several tasks. With
     ``total_col`` the total row count is added too (from the offset table,
     no extra pass). ``prev`` columns get a ``_prev_<name>`` twin holding the
     previous row's value in the order (NULL at the start of a bucket).
@@ -148,7 +164,10 @@ def bucketed_rank(
     nb = num_buckets or shuffle_partitions(df.sparkSession)
     keys = [as_col(c) for c in order]
     first = first_key(df, keys[0])
-    spread_c = as_col(spread) if spread is not None else None
+    if isinstance(spread, str) and spread == "auto":
+        spread_c = order_proxy(df, keys[1]) if len(keys) > 1 else None
+    else:
+        spread_c = as_col(spread) if spread is not None else None
     rb = buckets or rank_buckets(df, first, nb, bounds, spread_c)
     bucketed = rb.apply(df, first, spread_c)
 

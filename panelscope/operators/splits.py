@@ -143,14 +143,8 @@ def split_conserves_rows(split_df: DataFrame, original: DataFrame, split_col: st
 
 def ordered_rank(df: DataFrame, order, rank_col: str = "rank", total_col: str | None = None) -> DataFrame:
     """Rank by an explicit order; a hot value of the first key is spread by
-    the second key when that key is numeric."""
-    keys = [as_col(c) for c in order]
-    spread = None
-    if len(keys) > 1:
-        t = dict(df.select(keys[1].alias("_s")).dtypes)["_s"]
-        if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal"):
-            spread = keys[1]
-    return bucketed_rank(df, keys, rank_col=rank_col, total_col=total_col, spread=spread)
+    the second key."""
+    return bucketed_rank(df, [as_col(c) for c in order], rank_col=rank_col, total_col=total_col, spread="auto")
 
 
 def split_tail(df: DataFrame, order, validation_split: float = 0.3, split_col: str = "split") -> DataFrame:

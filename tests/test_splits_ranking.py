@@ -122,3 +122,13 @@ def test_split_tail_hot_date(spark):
     val = {r["k"] for r in t.where("split = 'validation'").collect()}
     ordered = sorted(rows)
     assert val == {k for _, k in ordered[int(9000 * 0.7):]}
+
+
+def test_rank_spreads_hot_number_with_string_ids(spark):
+    # a third of the ids share the number 1 (different prefixes)
+    rows = [(1, f"{chr(97 + i % 26)}{i:05d}_1.png") for i in range(3000)] + [(i + 2, f"c{i:05d}.png") for i in range(6000)]
+    df = spark.createDataFrame(rows, "num long, id string")
+    got = bucketed_rank(df, ["num", "id"], "r", num_buckets=16, spread="auto", bucket_col="b")
+    assert max(r[1] for r in got.groupBy("b").count().collect()) < 3000
+    ref = df.withColumn("rn", F.row_number().over(Window.orderBy("num", "id")))
+    assert got.join(ref.select("id", "rn"), "id").where("r != rn").count() == 0
