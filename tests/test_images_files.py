@@ -156,3 +156,25 @@ def test_scan_csv(spark, tmpdir_path):
         fh.write("fixed acidity,free sulfur dioxide,alcohol,quality\n7.4,11,9.4,5\n7.8,25,9.8,6\n")
     df = scan_csv(spark, p)
     assert dict(df.dtypes)["quality"] == "int" and dict(df.dtypes)["alcohol"] == "double"
+
+
+def test_dataset_conversions_and_helpers(spark, image_dir):
+    from panelscope.operators.learn import train_test_arrays
+    from panelscope.operators.projections import const_columns, project_images
+
+    root, _ = image_dir
+    df = scan_images(spark, root)
+    state = {}
+    b = I.dataset_to_binary(df, state=state)
+    assert state == {"gray": True, "binary": True}
+    assert {r["SAMPLE"]["nChannels"] for r in b.collect()} == {1}
+    with pytest.raises(ValueError):
+        I.dataset_to_gray(b, state=state)
+    arr = spark.createDataFrame([([1.0, 2.0], None), ([3.0], 1)], "a array<double>, SAMPLE_C int")
+    assert [r[0] for r in I.normalize_shape(arr).select("SAMPLE_C").collect()] == [1, 1]
+    assert project_images(df).columns == ["SAMPLE"]
+    assert const_columns(df, {"x": 0}).select("x").distinct().first()[0] == 0
+    split = df.select("LABEL_SAMPLE_ID", "SAMPLE").withColumn("label", F.lit(1)).withColumn(
+        "split", F.when(F.col("LABEL_SAMPLE_ID") < "cell0003", "train").otherwise("test"))
+    tr, te = train_test_arrays(split, "SAMPLE", "label")
+    assert tr.count() + te.count() == 6 and tr.columns == ["features", "label"]
