@@ -57,28 +57,43 @@ def _geometry_stack(stack: np.ndarray, dx: int, dy: int, axis: int, deg: int) ->
     return stack
 
 
+def _struct_frame(origin, height, width, channels, data) -> pd.DataFrame:
+    return pd.DataFrame(
+        {
+            "origin": origin,
+            "height": height,
+            "width": width,
+            "nChannels": channels,
+            "mode": [None if c is None else MODE_BY_CHANNELS.get(int(c), 0) for c in channels],
+            "data": data,
+        }
+    )
+
+
 @F.pandas_udf(IMAGE_STRUCT)
 def _geometry_udf(img: pd.DataFrame, dx: pd.Series, dy: pd.Series, axis: pd.Series, deg: pd.Series) -> pd.DataFrame:
     n = len(img)
-    out = _empty_out(n)
+    heights, widths = [None] * n, [None] * n
+    chans, datas = [None] * n, [None] * n
     valid = img["data"].notna() & img["height"].notna()
     keys = pd.DataFrame(
         {"h": img["height"], "w": img["width"], "c": img["nChannels"], "dx": dx.fillna(0), "dy": dy.fillna(0),
          "a": axis.fillna(0), "d": deg.fillna(0)}
     )[valid]
-    rows = []
+    raw = img["data"].to_numpy()
     for (h, w, c, gx, gy, ga, gd), idx in keys.groupby(list(keys.columns)).groups.items():
-        idx = list(idx)
-        stack = np.stack([_decode(img.loc[i]) for i in idx])
+        idx = np.asarray(idx)
+        h, w, c = int(h), int(w), int(c)
         if (int(ga) in (3, 4) or int(gd) % 360) and h != w and h * w > 1:
             raise ValueError(f"Operation is supported only for square images. Got image of dimensions {h}x{w}.")
-        moved = _geometry_stack(stack, int(gx), int(gy), int(ga), int(gd))
+        # one buffer, one reshape, one numpy move for the whole group
+        stack = np.frombuffer(b"".join(raw[idx]), dtype=np.uint8).reshape(len(idx), h, w, c)
+        moved = np.ascontiguousarray(_geometry_stack(stack, int(gx), int(gy), int(ga), int(gd)))
+        _, ho, wo, _ = moved.shape
+        flat = moved.reshape(len(idx), -1)
         for j, i in enumerate(idx):
-            rows.append((i, _encode(img.at[i, "origin"], moved[j])))
-    for i, rec in rows:
-        for k, v in rec.items():
-            out.at[i, k] = v
-    return out
+            heights[i], widths[i], chans[i], datas[i] = ho, wo, c, flat[j].tobytes()
+    return _struct_frame(img["origin"].tolist(), heights, widths, chans, datas)
 
 
 def geometry_kernel(img, dx, dy, axis, deg) -> Column:
@@ -89,14 +104,17 @@ def geometry_kernel(img, dx, dy, axis, deg) -> Column:
 def _map_struct(fn: Callable[[np.ndarray], np.ndarray]):
     @F.pandas_udf(IMAGE_STRUCT)
     def udf(img: pd.DataFrame) -> pd.DataFrame:
-        out = _empty_out(len(img))
-        for i in range(len(img)):
-            if not isinstance(img.at[i, "data"], (bytes, bytearray)):
+        n = len(img)
+        heights, widths, chans, datas = [None] * n, [None] * n, [None] * n, [None] * n
+        cols = [img[c].tolist() for c in ("height", "width", "nChannels", "data")]
+        for i, (h, w, c, d) in enumerate(zip(*cols)):
+            if not isinstance(d, (bytes, bytearray)):
                 continue
-            rec = _encode(img.at[i, "origin"], fn(_decode(img.loc[i])))
-            for k, v in rec.items():
-                out.at[i, k] = v
-        return out
+            a = np.ascontiguousarray(fn(np.frombuffer(d, dtype=np.uint8).reshape(int(h), int(w), int(c))).astype(np.uint8, copy=False))
+            if a.ndim == 2:
+                a = a[..., None]
+            heights[i], widths[i], chans[i], datas[i] = a.shape[0], a.shape[1], a.shape[2], a.tobytes()
+        return _struct_frame(img["origin"].tolist(), heights, widths, chans, datas)
 
     return udf
 
@@ -169,12 +187,12 @@ def dataset_to_binary(df: DataFrame, col: str = "SAMPLE", state: dict | None = N
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _features(img: pd.DataFrame, scale: pd.Series) -> pd.Series:
     out = []
-    for i in range(len(img)):
-        d = img.at[i, "data"]
-        if d is None or (not isinstance(d, (bytes, bytearray)) and pd.isna(d)):
+    cols = [img[c].tolist() for c in ("data",)] + [scale.tolist()]
+    for d, k in zip(*cols):
+        if not isinstance(d, (bytes, bytearray)):
             out.append(None)
             continue
-        out.append((_decode(img.loc[i]).astype(np.float64).ravel() * float(scale.iat[i])).tolist())
+        out.append(np.frombuffer(d, dtype=np.uint8).astype(np.float64) * float(k))
     return pd.Series(out)
 
 
@@ -263,15 +281,17 @@ def affine_nearest(a: np.ndarray, theta: float, shear: float, zx: float, zy: flo
 
 @F.pandas_udf(IMAGE_STRUCT)
 def _augment_udf(img: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-    out = _empty_out(len(img))
-    for i in range(len(img)):
-        d = img.at[i, "data"]
+    n = len(img)
+    heights, widths, chans, datas = [None] * n, [None] * n, [None] * n, [None] * n
+    params = p[["theta", "shear", "zx", "zy", "hflip", "vflip"]].to_numpy()
+    cols = [img[c].tolist() for c in ("height", "width", "nChannels", "data")]
+    for i, (h, w, c, d) in enumerate(zip(*cols)):
         if not isinstance(d, (bytes, bytearray)):
             continue
-        a = affine_nearest(_decode(img.loc[i]), *(p.at[i, k] for k in ("theta", "shear", "zx", "zy", "hflip", "vflip")))
-        for k, v in _encode(img.at[i, "origin"], a).items():
-            out.at[i, k] = v
-    return out
+        a = affine_nearest(np.frombuffer(d, dtype=np.uint8).reshape(int(h), int(w), int(c)), *params[i])
+        a = np.ascontiguousarray(a)
+        heights[i], widths[i], chans[i], datas[i] = a.shape[0], a.shape[1], a.shape[2], a.tobytes()
+    return _struct_frame(img["origin"].tolist(), heights, widths, chans, datas)
 
 
 def random_augment(df: DataFrame, key: str, epoch, seed: int = 0, col: str = "SAMPLE") -> DataFrame:
@@ -282,15 +302,14 @@ def random_augment(df: DataFrame, key: str, epoch, seed: int = 0, col: str = "SA
 
 @F.pandas_udf(IMAGE_STRUCT)
 def _array_to_image(arr: pd.Series, h: pd.Series, w: pd.Series, c: pd.Series) -> pd.DataFrame:
-    out = _empty_out(len(arr))
-    for i in range(len(arr)):
-        a = arr.iat[i]
+    n = len(arr)
+    heights, widths, chans, datas = [None] * n, [None] * n, [None] * n, [None] * n
+    for i, (a, hh, ww, cc) in enumerate(zip(arr.tolist(), h.tolist(), w.tolist(), c.tolist())):
         if a is None:
             continue
-        img = np.clip(np.asarray(a, dtype=np.float64), 0, 255).astype(np.uint8).reshape(int(h.iat[i]), int(w.iat[i]), int(c.iat[i]))
-        for k, v in _encode(None, img).items():
-            out.at[i, k] = v
-    return out
+        img = np.clip(np.asarray(a, dtype=np.float64), 0, 255).astype(np.uint8)
+        heights[i], widths[i], chans[i], datas[i] = int(hh), int(ww), int(cc), img.tobytes()
+    return _struct_frame([None] * n, heights, widths, chans, datas)
 
 
 def array_to_image(arr, h, w, c) -> Column:
