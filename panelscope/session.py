@@ -70,3 +70,46 @@ def shuffle_partitions(spark: SparkSession) -> int:
         return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     except (TypeError, ValueError):
         return 200
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``panelscope`` importable in the Python workers (pandas UDFs
+    reference its functions): zip the package into the shared checkpoint
+    folder once per SparkContext and ``addPyFile`` it. On a cluster the usual
+    alternative is ``--py-files``."""
+    import hashlib
+    import io
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    data = buf.getvalue()
+    name = f"panelscope-{hashlib.sha1(data).hexdigest()[:12]}.zip"
+    target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    local = target[len("file:"):] if target.startswith("file:") else target
+    if "://" not in target or target.startswith("file:"):
+        local = local.lstrip("/") and ("/" + local.lstrip("/"))
+        with open(local, "wb") as fh:
+            fh.write(data)
+    else:  # remote shared folder: copy through the Hadoop file system
+        tmp = tempfile.NamedTemporaryFile(suffix=".zip", delete=False)
+        tmp.write(data)
+        tmp.close()
+        jvm = spark._jvm
+        dst = jvm.org.apache.hadoop.fs.Path(target)
+        dst.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(jvm.org.apache.hadoop.fs.Path(tmp.name), dst)
+    sc.addPyFile(target)
+    _SHIPPED.add(app)
