@@ -18,16 +18,18 @@ def merge_counts(labels: DataFrame, samples: DataFrame, key: str = KEY) -> DataF
 
 
 def merge_key_report(labels: DataFrame, samples: DataFrame, key: str = KEY) -> DataFrame:
-    """One-row check frame for the strict 1:1 test: counts, keys only on one
-    side, keys repeated on a side. Shuffles only the key column, pre-aggregated."""
-    lk = labels.groupBy(key).agg(F.count(F.lit(1)).alias("_nl"))
-    sk = samples.groupBy(key).agg(F.count(F.lit(1)).alias("_ns"))
-    j = lk.join(sk, key, "full_outer")
-    return j.agg(
-        F.coalesce(F.sum("_nl"), F.lit(0)).alias("n_labels"),
-        F.coalesce(F.sum("_ns"), F.lit(0)).alias("n_samples"),
-        F.count_if(F.col("_ns").isNull()).alias("labels_without_sample"),
-        F.count_if(F.col("_nl").isNull()).alias("samples_without_label"),
+    """One-row check frame for the merge guards: row counts, keys only on one
+    side, keys repeated on a side, keys repeated on both sides. One shuffle of
+    the key column (tagged by side, partially aggregated before it)."""
+    tagged = labels.select(key, F.lit(1).alias("_l"), F.lit(0).alias("_s")).unionByName(
+        samples.select(key, F.lit(0).alias("_l"), F.lit(1).alias("_s"))
+    )
+    per_key = tagged.groupBy(key).agg(F.sum("_l").alias("_nl"), F.sum("_s").alias("_ns"))
+    return per_key.agg(
+        F.coalesce(F.sum("_nl"), F.lit(0)).cast("bigint").alias("n_labels"),
+        F.coalesce(F.sum("_ns"), F.lit(0)).cast("bigint").alias("n_samples"),
+        F.count_if(F.col("_ns") == 0).alias("labels_without_sample"),
+        F.count_if(F.col("_nl") == 0).alias("samples_without_label"),
         F.count_if(F.col("_nl") > 1).alias("repeated_label_keys"),
         F.count_if(F.col("_ns") > 1).alias("repeated_sample_keys"),
         F.count_if((F.col("_nl") > 1) & (F.col("_ns") > 1)).alias("keys_repeated_on_both_sides"),
