@@ -25,21 +25,6 @@ MODE_BY_CHANNELS = {1: 0, 3: 16, 4: 24}
 GRAY_WEIGHTS_BGR = (0.114, 0.587, 0.299)
 
 
-def _decode(row) -> np.ndarray:
-    h, w, c = int(row["height"]), int(row["width"]), int(row["nChannels"])
-    return np.frombuffer(row["data"], dtype=np.uint8).reshape(h, w, c)
-
-
-def _encode(origin, arr: np.ndarray) -> dict:
-    arr = np.ascontiguousarray(arr.astype(np.uint8, copy=False))
-    h, w, c = arr.shape
-    return {"origin": origin, "height": h, "width": w, "nChannels": c, "mode": MODE_BY_CHANNELS.get(c, 0), "data": arr.tobytes()}
-
-
-def _empty_out(n):
-    return pd.DataFrame({f.name: [None] * n for f in IMAGE_STRUCT.fields})
-
-
 def _geometry_stack(stack: np.ndarray, dx: int, dy: int, axis: int, deg: int) -> np.ndarray:
     """stack: (N, h, w, c). rotate(mirror(translate(img)))."""
     if dx or dy:

@@ -8,15 +8,6 @@ from pyspark.sql import functions as F
 from panelscope.schema import KEY, merge_schemas
 
 
-def merge_counts(labels: DataFrame, samples: DataFrame, key: str = KEY) -> DataFrame:
-    """One-row check frame: row counts of both sides (one pass over the keys)."""
-    tagged = labels.select(F.lit(0).alias("_s")).unionByName(samples.select(F.lit(1).alias("_s")))
-    return tagged.agg(
-        F.count_if(F.col("_s") == 0).alias("n_labels"),
-        F.count_if(F.col("_s") == 1).alias("n_samples"),
-    )
-
-
 def merge_key_report(labels: DataFrame, samples: DataFrame, key: str = KEY) -> DataFrame:
     """One-row check frame for the merge guards: row counts, keys only on one
     side, keys repeated on a side, keys repeated on both sides. One shuffle of

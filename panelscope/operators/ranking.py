@@ -127,10 +127,6 @@ def rank_buckets(
     return RankBuckets(inner, hot)
 
 
-def bucket_bounds(df: DataFrame, first: Column, num_buckets: int) -> list[float]:
-    return rank_buckets(df, first, num_buckets).bounds
-
-
 def first_key(df: DataFrame, c: Column) -> Column:
     if dict(df.select(c.alias("_k")).dtypes)["_k"] in ("timestamp", "timestamp_ntz", "date"):
         return F.unix_micros(c.cast("timestamp"))

@@ -7,12 +7,10 @@ no step sorts the data in one partition.
 
 from __future__ import annotations
 
-import math
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelscope.functions.util import as_col
 from panelscope.operators.ranking import bucketed_rank, hash_order_key, rank_buckets, uniform_bounds

@@ -106,10 +106,6 @@ SCHEMA_FULL_IMAGE = merge_schemas(SCHEMA_LABELS, SCHEMA_SAMPLES_IMAGE)
 SCHEMA_FULL_ELPV = merge_schemas(SCHEMA_LABELS_ELPV, SCHEMA_SAMPLES_IMAGE)
 
 
-def labels_part(schema: T.StructType) -> list[str]:
-    return [f.name for f in schema.fields]
-
-
 def empty_from_schema(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 

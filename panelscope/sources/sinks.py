@@ -9,7 +9,6 @@ import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from panelscope.schema import KEY
 from panelscope.session import ensure_checkpoint_dir

@@ -7,7 +7,6 @@ panel type), ``embeddings`` -> 8×8×1 images with class ``label``.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
