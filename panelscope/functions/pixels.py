@@ -277,12 +277,20 @@ def geometry_columns(h, w, axis=0, deg=0, dx=0, dy=0) -> dict:
 
 
 def permute_affine(arr, h, w, c) -> Column:
-    """Apply the map held in the ``geometry_columns`` of the row."""
+    """Apply the map held in the ``geometry_columns`` of the row. With
+    ``c == 1`` known at plan time the channel arithmetic is left out."""
+    single = isinstance(c, int) and c == 1
     arr, h, w, c = as_col(arr), as_col(h), as_col(w), as_col(c)
     a11, a12, a21, a22, t1, t2, dy, dx, ho, wo = (F.col(n) for n in AFFINE_COLS)
     n = ho * wo * c
 
     def pick(k):
+        if single:
+            q = F.pmod(k, wo)
+            r = ((k - q) / wo).cast("int")
+            sr = F.pmod(a11 * r + a12 * q + t1 - dy, h)
+            sq = F.pmod(a21 * r + a22 * q + t2 - dx, w)
+            return F.get(arr, sr * w + sq)
         ch = F.pmod(k, c)
         p = ((k - ch) / c).cast("int")
         q = F.pmod(p, wo)

@@ -118,12 +118,13 @@ def _apply_pixels(df: DataFrame, image, tx, ty, tx_int, ty_int, axis, deg, seman
             dx, dy, deg = F.lit(0), F.lit(0), F.lit(0)
         return df.withColumn(image.col, geometry_kernel(F.col(image.col), dx, dy, axis, deg))
     h, w, c = image.shape()
+    c_static = image.c if isinstance(image.c, int) else None
     dx, dy = px.translation_shifts(tx, ty, tx_int, ty_int, h, w, semantics)
     if discard:  # translated / rotated pixels are discarded there
         dx, dy, deg = F.lit(0), F.lit(0), F.lit(0)
     needs_square = as_col(axis).isin(3, 4) | (as_col(deg) != 0)
     geo = px.geometry_columns(h, w, axis, deg, dx, dy)
-    moved = px.permute_affine(F.col(image.col), h, w, c)
+    moved = px.permute_affine(F.col(image.col), h, w, c_static if c_static is not None else c)
     checked = F.when(
         needs_square & (h != w) & (h * w > 1),
         F.raise_error(F.concat(F.lit("Operation is supported only for square images; got "), h.cast("string"), F.lit("x"), w.cast("string"))),

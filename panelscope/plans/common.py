@@ -10,7 +10,8 @@ from panelscope.operators.augment import ArrayImage
 from panelscope.operators.joins import merge_labels_samples
 from panelscope.sources.tables import document_samples, image_samples, label_frame, table
 
-IMG = ArrayImage("SAMPLE", "SAMPLE_H", "SAMPLE_W", "SAMPLE_C")
+# the embedding images have one channel: known at plan time
+IMG = ArrayImage("SAMPLE", "SAMPLE_H", "SAMPLE_W", 1)
 
 
 def px_digest(arr) -> Column:
