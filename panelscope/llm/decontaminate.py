@@ -59,7 +59,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "te
             continue
         at = F.expr(f"if(size(w) = 0, array(), filter(sequence(0, size(w) - 1), i -> xxhash64(get(w, i)) in ({', '.join(f'{a}L' if a > -(2**63) else '(-9223372036854775807L - 1L)' for a in anchors)})))")
         near = F.concat(*(F.expr(f"if(size(w) < {m}, array(), transform(array_distinct(flatten(transform(at, i -> sequence(greatest(0, i - {m - 1}), least(i, size(w) - {m}))))), s -> struct(s, {m} as len)))") for m in sorted(lens)))
-        seen = docs.withColumn("at", at).where("size(at) > 0").select("key", F.explode(F.transform(near, lambda x: F.struct(x["s"].alias("s"), x["len"].alias("len"), F.array_join(F.slice("w", x["s"] + 1, x["len"]), " ").alias("window")))).alias("x"))
+        # no filter on ``at``: pushed down, it would take the words anew for each word
+        seen = docs.withColumn("at", at).select("key", F.explode(F.transform(near, lambda x: F.struct(x["s"].alias("s"), x["len"].alias("len"), F.array_join(F.slice("w", x["s"] + 1, x["len"]), " ").alias("window")))).alias("x"))
         got = seen.select("key", "x.s", "x.window").join(F.broadcast(mine.select("window", "len", "items")), "window").select("key", "s", "len", "items")
         out = got if out is None else out.unionByName(got)
     if out is None:
