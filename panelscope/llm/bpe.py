@@ -26,7 +26,7 @@ from panelscope.llm.common import prepare, read
 
 #: Fixed value: the pattern by which byte-level vocabularies of this kind split text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE, LONG = 400_000, 64
+CACHE, LONG = 120_000, 64
 
 
 def byte_letters() -> dict[int, str]:

@@ -44,7 +44,7 @@ class Features:
         if (got := self.known.get(w)) is None:
             core = w.strip(b".,;:!?#*$%&|<>()[]\"'")
             got = (zlib.crc32(b"w" + core) % self.buckets, zlib.crc32(b"p" + core[:6]) % self.buckets)
-            if len(self.known) < 400_000:
+            if len(self.known) < 80_000:
                 self.known[w] = got
         return got
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from panelscope.llm.common import crc_mod, prepare, read, table, text_key, text_of
 
 #: Bounds of the fit: labelled rows of each kind, and stems kept.
-FIT_TOXIC, FIT_CLEAN, STEMS = 4000, 8000, 2000
+FIT_TOXIC, FIT_CLEAN, STEMS = 3000, 4000, 2000
 #: Prefix lengths tried; least root of the likelihood ratio, least log odds, least number of texts.
 SHORTEST, LONGEST, LEAST_G, LEAST_ODDS, LEAST_DOCS = 3, 9, 4.5, math.log(6), 2
 CUT = 0.7
@@ -120,7 +120,7 @@ class Lexicon(dict):
             for k in range(min(LONGEST, len(word) - 1), SHORTEST - 1, -1):
                 if found := self.stems.get(word[:k] + "*", 0.0):
                     break
-        if len(self) > 500_000:
+        if len(self) > 60_000:
             self.clear()
         self[word] = found
         return found
