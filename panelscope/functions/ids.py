@@ -31,9 +31,11 @@ def id_suffix(c) -> Column:
 
 
 def id_number(c) -> Column:
-    """Numeric value of the first digit run (bigint); NULL when there is none."""
+    """Numeric value of the first digit run (bigint); NULL when there is none.
+    A run too long for a bigint fails instead of counting as none."""
     d = id_digits(c)
-    return F.when(d != "", d.try_cast("bigint"))
+    long_ = F.raise_error(F.concat(F.lit("id number beyond 64 bits: "), d)).cast("bigint")
+    return F.when(d != "", F.coalesce(d.try_cast("bigint"), long_))
 
 
 def split_id(c) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from panelscope.functions.ids import id_digits
+from panelscope.functions.ids import id_digits, id_number
 from panelscope.schema import KEY
 
 
@@ -22,7 +22,7 @@ def id_stats_with(df: DataFrame, key: str = KEY, *extra) -> DataFrame:
     """:func:`id_stats` plus extra aggregate columns, in the same single pass."""
     d = id_digits(F.col(key))
     return df.withColumn("_d", d).agg(
-        F.coalesce(F.max(F.when(F.col("_d") != "", F.col("_d").try_cast("bigint"))), F.lit(0)).cast("bigint").alias("max_id"),
+        F.coalesce(F.max(id_number(F.col(key))), F.lit(0)).cast("bigint").alias("max_id"),
         F.coalesce(F.max(F.length("_d")), F.lit(0)).cast("int").alias("id_width"),
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col("_d") == "").alias("n_without_digits"),
@@ -33,8 +33,7 @@ def id_stats_with(df: DataFrame, key: str = KEY, *extra) -> DataFrame:
 def _require_digits(row) -> None:
     if row["n_without_digits"]:
         raise ValueError(
-            f"A numeric identifier could not be found for {row['n_without_digits']} sample ID(s). "
-            "Currently every sample must have a (partially) numeric ID."
+            f"{row['n_without_digits']} sample id(s) contain no digits, so no new id can be numbered after them."
         )
 
 

@@ -275,9 +275,9 @@ def amplify(
     tr = check_translations(translations, semantics)
     axes = check_mirror_axes(mirror_axes)
     rots = check_rotations(rotations)
-    touched = F.count_if(
-        (F.col("TRANSL_X") != 0) | (F.col("TRANSL_Y") != 0) | (F.col("MIRROR_AXIS") != 0) | (F.col("ROT_DEG") != 0)
-    )
+    # rows without metadata (unmatched in an outer merge) are no base rows either
+    plain = (F.col("TRANSL_X") == 0) & (F.col("TRANSL_Y") == 0) & (F.col("MIRROR_AXIS") == 0) & (F.col("ROT_DEG") == 0)
+    touched = F.count_if(~F.coalesce(plain, F.lit(False)))
     srow = id_stats_with(df, key, touched.alias("n_touched")).first()
     if srow["n_without_digits"]:
         raise ValueError(
@@ -285,7 +285,7 @@ def amplify(
             "Currently every sample must have a (partially) numeric ID."
         )
     if srow["n_touched"]:
-        # already amplified rows present: the per-stage path handles eligibility
+        # rows that are amplified already, or have no metadata: the per-stage path handles eligibility
         out = add_translated(df, image, tr, key, semantics, num_buckets, id_reference)
         out = add_mirrored(out, image, axes, key, semantics, num_buckets)
         return add_rotated(out, image, rots, key, semantics, num_buckets)

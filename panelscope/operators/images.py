@@ -110,7 +110,7 @@ def map_images(df: DataFrame, fn: Callable[[np.ndarray], np.ndarray], col: str =
 
 
 def _gray(a: np.ndarray) -> np.ndarray:
-    if a.shape[-1] != 3:
+    if a.shape[-1] not in (3, 4):  # a fourth channel is transparency
         return a
     b, g, r = (a[..., i].astype(np.float64) for i in range(3))
     wb, wg, wr = GRAY_WEIGHTS_BGR
@@ -122,7 +122,7 @@ def _binary(a: np.ndarray, thresh: int = 128, maxval: int = 255) -> np.ndarray:
 
 
 def to_gray(df: DataFrame, col: str = "SAMPLE") -> DataFrame:
-    """3-channel BGR images -> 1 channel; other images unchanged."""
+    """BGR and BGRA images -> 1 channel; other images unchanged."""
     return map_images(df, _gray, col)
 
 
@@ -247,7 +247,7 @@ def affine_nearest(a: np.ndarray, theta: float, shear: float, zx: float, zy: flo
     """Rotate/shear/zoom about the centre, nearest-neighbour sampling, edges
     repeated; then flips."""
     h, w, c = a.shape
-    t, s = np.deg2rad(theta), shear
+    t, s = np.deg2rad(theta), np.deg2rad(shear)
     rot = np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]])
     sh = np.array([[1.0, -np.sin(s)], [0.0, np.cos(s)]])
     zm = np.array([[zx, 0.0], [0.0, zy]])

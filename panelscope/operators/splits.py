@@ -49,10 +49,12 @@ def split_exact(
     seed: int | str = 0,
     split_col: str = "split",
     test_size: float | None = None,
+    drop_repeated: bool = True,
 ) -> DataFrame:
     """Train = exactly ``round(frac * n)`` rows drawn by hash order; test =
     the other rows, but rows whose key is repeated in the data are dropped
-    from the test part (the reference's ``drop_duplicates(keep=False)``).
+    from the test part (the reference's ``drop_duplicates(keep=False)``);
+    ``drop_repeated=False`` keeps them.
 
     With ``test_size`` the test part is sized ``ceil(test_size * n)`` instead
     (the 80/20 split of the regression demo).
@@ -109,7 +111,7 @@ def split_exact(
     narrow.unpersist()
     # the window flags repeated ids; the exact repeated-key set (pre-aggregated)
     # is only computed when there are any
-    test = rest.join(duplicated_keys(df, key), key, "left_anti") if edge["n_dup"] else rest
+    test = rest.join(duplicated_keys(df, key), key, "left_anti") if drop_repeated and edge["n_dup"] else rest
     out = train.withColumn(split_col, F.lit("train")).unionByName(test.withColumn(split_col, F.lit("test")))
     return out.drop(_H, _T, _B)
 
@@ -119,7 +121,8 @@ def tup_eq(df: DataFrame, row, key: str) -> Column:
 
 
 def split_80_20(df: DataFrame, key: str = KEY, seed: int | str = 42, split_col: str = "split") -> DataFrame:
-    return split_exact(df, 0.8, key, seed, split_col, test_size=0.2)
+    """Four fifths train, the other rows test; every row is in one part, repeated keys too."""
+    return split_exact(df, 0.8, key, seed, split_col, test_size=0.2, drop_repeated=False)
 
 
 def split_counts(split_df: DataFrame, original: DataFrame, split_col: str = "split") -> DataFrame:
@@ -136,7 +139,7 @@ def split_counts(split_df: DataFrame, original: DataFrame, split_col: str = "spl
 def split_conserves_rows(split_df: DataFrame, original: DataFrame, split_col: str = "split") -> None:
     row = split_counts(split_df, original, split_col).first()
     if not row["conserved"]:
-        raise RuntimeError("Splitting of data into test/training sets resulted in information loss.")
+        raise RuntimeError("train and test rows do not add up to the rows that were split")
 
 
 def ordered_rank(df: DataFrame, order, rank_col: str = "rank", total_col: str | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ def pmod(a: str, b: str) -> str:
 
 
 LBL = f"""lbl0 AS (
-  SELECT substr('images/' || {sid('doc_id')}, 1, 19) AS LABEL_PATH,
+  SELECT 'images/' || {sid('doc_id')} AS LABEL_PATH,
          'labels.csv' AS LABEL_FILENAME,
          (2.0::DOUBLE * (1 - quality) + toxic) / 3.0::DOUBLE AS PROBABILITY,
          CASE WHEN toxic = 1 THEN 'mono' ELSE 'poly' END AS TYPE

@@ -57,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not fallback and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     path = fallback or tempfile.mkdtemp(prefix="panelscope-ckpt-")
     os.makedirs(path, exist_ok=True)
     spark.sparkContext.setCheckpointDir(path)

@@ -47,17 +47,19 @@ def list_samples(
     return df.where(pred)
 
 
-def scan_images(spark: SparkSession, dirs, recursive: bool = True, extensions=IMAGE_EXTENSIONS) -> DataFrame:
+def scan_images(spark: SparkSession, dirs, recursive: bool = True, extensions=IMAGE_EXTENSIONS, invalid: str = "drop") -> DataFrame:
     """Images under the folders as samples: ``SAMPLE`` (image struct, BGR),
     paths, ``LABEL_SAMPLE_ID`` = file name, amplification metadata 0.
-    Files that do not decode are dropped."""
-    reader = spark.read.format("image").option("dropInvalid", "true").option("pathGlobFilter", case_insensitive_glob(extensions))
+    Files that do not decode are dropped; with ``invalid="keep"`` their rows
+    stay, with a NULL ``SAMPLE``, so they can be counted."""
+    reader = spark.read.format("image").option("dropInvalid", str(invalid != "keep").lower()).option("pathGlobFilter", case_insensitive_glob(extensions))
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     img = reader.load(_paths(dirs))
-    path = _strip_scheme(F.col("image.origin"))
+    # the origin is a URI: percent signs are decoded, plus signs are not
+    path = F.try_url_decode(F.replace(_strip_scheme(F.col("image.origin")), F.lit("+"), F.lit("%2B")))
     out = img.select(
-        F.col("image").alias("SAMPLE"),
+        F.when(F.col("image.nChannels") > 0, F.col("image")).alias("SAMPLE"),
         path.alias("SAMPLE_PATH"),
         path.alias("SAMPLE_PATH_CATEGORY"),
         basename(path).alias(KEY),
@@ -97,7 +99,7 @@ def scan_images_gray_by_dir(spark: SparkSession, root: str, categories: Sequence
     gray, resize to ``size``×``size``; unreadable files are skipped."""
     from panelscope.operators.images import resize, to_gray
 
-    df = scan_dir_as_label(spark, root, classes=list(categories))
+    df = scan_dir_as_label(spark, root, classes=list(categories)).where("SAMPLE is not null")
     return resize(to_gray(df), size, size).select("SAMPLE", "SAMPLE_PATH", "label")
 
 

@@ -12,7 +12,8 @@ from panelscope.functions.util import as_col
 from panelscope.schema import KEY, SCHEMA_LABELS_ELPV, cast_to_schema
 
 # Fixed values that must equal the reference's for the same results:
-# label-file field widths (characters kept) for the path and the panel type.
+# label-file field widths (characters kept) for the path and the panel type,
+# under the observed semantics only: a cut path no longer names its sample.
 LABEL_PATH_CHARS = 19
 LABEL_TYPE_CHARS = 4
 
@@ -23,13 +24,17 @@ def parse_label_lines(
     value_col: str = "value",
     edges=LABEL_EDGES,
     names=LABEL_NAMES,
+    semantics: str = "documented",
 ) -> DataFrame:
     """Lines ``<path> <probability> <type>`` -> label frame (ELPV label schema).
 
-    ``#`` starts a comment, blank lines are skipped, the path is cut to 19 and
-    the type to 4 characters, a probability that is not a number is NULL. The
-    key is the base name of the (cut) path; the category is the right-closed
-    bin of the probability."""
+    ``#`` starts a comment, blank lines are skipped, a probability that is not
+    a number is NULL. The key is the base name of the path; the category is
+    the right-closed bin of the probability. ``semantics="observed"`` cuts the
+    path to 19 and the type to 4 characters, before the key is taken."""
+    if semantics not in ("documented", "observed"):
+        raise ValueError(semantics)
+    cut = (lambda c, n: F.substring(c, 1, n)) if semantics == "observed" else (lambda c, n: c)
     body = F.trim(F.regexp_replace(F.col(value_col), "#.*$", ""))
     parts = F.split(body, r"\s+")
     prob = F.get(F.col("_p"), 1).try_cast("double")
@@ -37,9 +42,9 @@ def parse_label_lines(
         lines.select(body.alias("_body"), parts.alias("_p"), as_col(filename).alias("LABEL_FILENAME"))
         .where(F.col("_body") != "")
         .select(
-            F.substring(F.get("_p", 0), 1, LABEL_PATH_CHARS).alias("LABEL_PATH"),
+            cut(F.get("_p", 0), LABEL_PATH_CHARS).alias("LABEL_PATH"),
             F.when(~F.isnan(prob), prob).alias("PROBABILITY"),
-            F.substring(F.get("_p", 2), 1, LABEL_TYPE_CHARS).alias("TYPE"),
+            cut(F.get("_p", 2), LABEL_TYPE_CHARS).alias("TYPE"),
             "LABEL_FILENAME",
         )
         .withColumn(KEY, basename("LABEL_PATH"))

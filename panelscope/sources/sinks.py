@@ -97,11 +97,9 @@ def write_by_category(
     parts = [c for c in (split_col, category_col) if c]
     out = df
     if keep_existing:
-        try:
-            old = spark.read.parquet(target).select(key)
-            out = df.join(old, key, "left_anti")
-        except Exception:  # nothing written yet
-            pass
+        folder = spark._jvm.org.apache.hadoop.fs.Path(target)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            out = df.join(spark.read.parquet(target).select(key), key, "left_anti")
     out.write.mode("append" if keep_existing else "overwrite").partitionBy(*parts).parquet(target)
     splits = [r[0] for r in df.select(split_col).distinct().collect()] if split_col else [None]
     for s in splits:

@@ -192,10 +192,7 @@ def test_load_image_dataset_end_to_end(spark, image_dir, tmpdir_path):
             fh.write(f"images/{n}  {p}  {'poly' if p < 0.9 else 'mono'}\n")
     ds = load_image_dataset(spark, lbl, root)
     assert ds.current.count() == 4  # the 'mono' rows are filtered out
-    # 'images/upper0099.PNG' is 20 characters: the label path is cut to 19, so
-    # its key no longer matches the file (both appear unmatched, as in the
-    # reference; equal counts pass the guard)
-    assert ds.reset().current.count() == 7
+    assert ds.reset().current.count() == 6  # every label finds its image, long paths too
     ds.filter("LABEL_CATEGORY = 'pass'")
     prepared = prepare_for_training(ds, 0.5, seed=1)
     assert prepared.count() == 2 * 60

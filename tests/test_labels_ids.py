@@ -24,13 +24,14 @@ def test_scan_labels_file(spark, tmpdir_path):
     with open(p, "w") as fh:
         fh.write(LABEL_FILE)
     rows = {r["LABEL_SAMPLE_ID"]: r for r in scan_labels(spark, p).collect()}
-    assert set(rows) == {"cell0001.png", "cell0002.png", "cell0003.png", "cell0004.png", "a_very_long_"}
+    observed = {r["LABEL_SAMPLE_ID"]: r for r in scan_labels(spark, p, semantics="observed").collect()}
+    assert set(observed) == {"cell0001.png", "cell0002.png", "cell0003.png", "cell0004.png", "a_very_long_"}
+    assert len(observed["a_very_long_"]["LABEL_PATH"]) == 19 and observed["cell0004.png"]["TYPE"] == "poly"
+    assert len(rows) == 5 and all(len(k) > len("a_very_long_") for k in set(rows) - set(observed))
     assert rows["cell0001.png"]["LABEL_CATEGORY"] == "fail"
     assert rows["cell0002.png"]["LABEL_CATEGORY"] == "pass"
     assert rows["cell0003.png"]["LABEL_CATEGORY"] == "minor_damage"
     assert rows["cell0004.png"]["LABEL_CATEGORY"] == "major_damage"
-    assert rows["cell0004.png"]["TYPE"] == "poly"  # 4 characters kept
-    assert len(rows["a_very_long_"]["LABEL_PATH"]) == 19
     assert rows["cell0003.png"]["LABEL_FILENAME"].endswith("labels.csv")
     assert [f.name for f in scan_labels(spark, p).schema.fields] == sorted(f.name for f in scan_labels(spark, p).schema.fields)
 
@@ -75,3 +76,20 @@ def test_paths(spark):
     ]
     u = spark.createDataFrame([("https://x.example.org/en/25?page=2#top",)], "u string")
     assert u.select(url_basename("u")).first()[0] == "25"
+
+
+def test_label_keys_stay_whole_for_long_ids(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "labels.csv")
+    ids = [9_999, 10_000, 99_999, 100_000_000, 100_000_001, 100_000_010]
+    with open(p, "w") as fh:
+        fh.writelines(f"images/cell{i}.png 0.5 monocrystal\n" for i in ids)
+    got = scan_labels(spark, p).collect()
+    assert sorted(r["LABEL_SAMPLE_ID"] for r in got) == sorted(f"cell{i}.png" for i in ids)
+    assert {r["TYPE"] for r in got} == {"monocrystal"}
+
+
+def test_id_beyond_64_bits_is_refused(spark):
+    from panelscope.operators.aggregates import max_sample_id
+
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        max_sample_id(spark.createDataFrame([("c1.png",), ("c98765432109876543210.png",)], "LABEL_SAMPLE_ID string"))

@@ -132,3 +132,11 @@ def test_rank_spreads_hot_number_with_string_ids(spark):
     assert max(r[1] for r in got.groupBy("b").count().collect()) < 3000
     ref = df.withColumn("rn", F.row_number().over(Window.orderBy("num", "id")))
     assert got.join(ref.select("id", "rn"), "id").where("r != rn").count() == 0
+
+
+def test_split_80_20_keeps_repeated_keys(spark):
+    from panelscope.operators.splits import split_80_20
+
+    df = spark.range(1000).selectExpr("cast(id % 100 as string) as LABEL_SAMPLE_ID", "id as v")
+    got = {r["split"]: r["count"] for r in split_80_20(df).groupBy("split").count().collect()}
+    assert got == {"train": 800, "test": 200}
