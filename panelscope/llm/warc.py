@@ -11,7 +11,8 @@ candidate record with the offset of its successor, by its own header. A magic
 string inside a payload makes false candidates. Those on the chain from the
 start of the file are found by pointer jumping (log2 of the records in joins of
 narrow rows), and only they are kept. An archive is read by one task, so the
-writer deals pages to archives of about ``ARCHIVE_BYTES``."""
+writer begins a new one after as many records as make about ``ARCHIVE_BYTES``
+at the mean size."""
 
 from __future__ import annotations
 
@@ -46,10 +47,10 @@ def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null html: empty payload. Of rows that repeat the largest id, all are responses; a null id counts as the smallest."""
     p = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), text_of(html_col).alias("html"))
     p = p.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html").cast("long"))
-    last = p.select("id", "sha", "bytes").where(F.col("bytes") >= least).groupBy("sha", "bytes").agg(F.max("id").alias("last"))
+    last = p.select("id", "sha", "bytes").where(F.col("bytes") >= least).groupBy("sha", "bytes").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
     last = last.select(F.col("sha").alias("s"), F.col("bytes").alias("b"), "last")
     got = p.join(last, (F.col("sha") == F.col("s")) & (F.col("bytes") == F.col("b")), "left")
-    return got.select("id", "url", "html", "bytes", base32_of(F.col("sha")).alias("digest"), F.when(~F.col("id").eqNullSafe(F.col("last")), F.col("last")).alias("refers"))
+    return got.select("id", "url", "html", "bytes", base32_of(F.col("sha")).alias("digest"), F.when(F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last")), F.col("last")).alias("refers"))
 
 
 def record(date: str) -> Column:
@@ -75,10 +76,9 @@ def record(date: str) -> Column:
 def write(pages: DataFrame, path: str, least: int = 0, archive_bytes: int = ARCHIVE_BYTES, date: str = "2000-01-01T00:00:00Z", **columns) -> None:
     """Write a record per row of ``pages`` into archives under ``path``. An empty table writes no record."""
     p = planned(pages, least=least, **columns)
-    size = pages.agg(F.sum(F.octet_length(columns.get("html_col", "html")))).first()[0] or 0
-    parts = max(1, math.ceil(size / archive_bytes))
-    dealt = p.repartition(parts, F.xxhash64("id", "url"), F.xxhash64("html"))
-    dealt.select(record(date).alias("value")).write.option("lineSep", END.decode()).text(path)
+    size, n = pages.agg(F.sum(F.octet_length(columns.get("html_col", "html"))), F.count(F.lit(1))).first()
+    most = max(1, math.ceil(archive_bytes * (n or 1) / ((size or 0) + 500 * n + 1)))  # records of the mean size
+    p.select(record(date).alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", most).text(path)
 
 
 HEADER = re.compile(rb"([A-Za-z-]+): ([^\r\n]*)\r\n")
