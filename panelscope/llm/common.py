@@ -62,3 +62,19 @@ def text_key(name: str = "text") -> Column:
 def crc_mod(name: str, n: int) -> Column:
     """crc32 of the id as text, modulo n (a null id: of the empty text)."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % n
+
+
+#: Bits of a bitmap that is broadcast: 8 MB, whatever the data.
+SLOTS = 1 << 26
+
+
+def marked(rows: DataFrame, ids: DataFrame, col: str, out: str) -> DataFrame:
+    """``rows`` with a boolean ``out``: true for each row whose 64-bit ``col`` is
+    among those of ``ids``, and for few others; null counts as not among them. By a bitmap of SLOTS bits, so ``rows`` aren't shuffled."""
+    s, bucket, bits = fresh(rows, "slot", "slot_bucket", "slot_bits")
+    slot = F.pmod(col, F.lit(SLOTS)).cast("long")
+    made = ids.select(slot.alias(s)).where(F.col(s).isNotNull()).groupBy(F.bitmap_bucket_number(s).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(s)).alias(bits))
+    got = rows.withColumn(s, slot).withColumn(bucket, F.bitmap_bucket_number(s)).join(F.broadcast(made), bucket, "left")
+    byte = F.conv(F.hex(F.expr(f"substring(`{bits}`, cast(bitmap_bit_position(`{s}`) div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    bit = F.pow(F.lit(2), F.pmod(F.bitmap_bit_position(s), F.lit(8))).cast("int")
+    return got.withColumn(out, F.coalesce(byte.bitwiseAND(bit) > 0, F.lit(False))).select(*rows.columns, out)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import prepare, read, scratch, table, text_of
+from panelscope.llm.common import marked, prepare, read, scratch, table, text_of
 
 ARCHIVE_BYTES = 16 << 20
 MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
@@ -47,10 +47,16 @@ def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null html: empty payload. Of rows that repeat the largest id, all are responses; a null id counts as the smallest."""
     p = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), text_of(html_col).alias("html"))
     p = p.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html").cast("long"))
-    last = p.select("id", "sha", "bytes").where(F.col("bytes") >= least).groupBy("sha", "bytes").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    last = last.select(F.col("sha").alias("s"), F.col("bytes").alias("b"), "last")
-    got = p.join(last, (F.col("sha") == F.col("s")) & (F.col("bytes") == F.col("b")), "left")
-    return got.select("id", "url", "html", "bytes", base32_of(F.col("sha")).alias("digest"), F.when(F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last")), F.col("last")).alias("refers"))
+    p = p.withColumn("key", F.xxhash64("sha"))
+    # of repeated payloads only do texts move, at most one a task and payload; all others are written where they are read
+    many = table(p.where(F.col("bytes") >= least).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated")
+    p = marked(p, many, "key", "again").withColumn("again", F.col("again") & (F.col("bytes") >= least))
+    once = p.where(~F.col("again")).select("id", "url", "html", "bytes", "sha", F.lit(None).cast("long").alias("refers"))
+    again = p.where("again")
+    last = again.groupBy("sha", "bytes").agg(F.max("id").alias("last"), F.first("html").alias("html"))
+    more = again.select("id", "url", "bytes", "sha").join(last, ["sha", "bytes"]).withColumn("refers", F.when(~F.col("id").eqNullSafe(F.col("last")), F.col("last")))
+    more = more.select("id", "url", F.when(F.col("refers").isNull(), F.col("html")).alias("html"), "bytes", "sha", "refers")
+    return once.unionByName(more).select("id", "url", "html", "bytes", base32_of(F.col("sha")).alias("digest"), "refers")
 
 
 def record(date: str) -> Column:
