@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import prepare, read, table
+from panelscope.llm.common import prepare, read, table, text_key
 
 CONTROL = re.compile(r"\\|<(?=/?s>|</?SYS>>|</?ROLE)|\[(?=/?INST\])|(?<=<)<(?=/?SYS>>|/?ROLE)")
 ESCAPED = re.compile(r"\\([\\lb])")
@@ -83,49 +83,66 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     m = table(messages.select("node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "messages")
     there = m.select(F.col("node").alias("up"))
     first = m.join(there, F.col("parent") == F.col("up"), "left").select("node", F.col("up").alias("parent"), "score")
-    # jump: the message 2^k back (null: beyond the root); top: the farthest seen so far; score and depth of the way there
+    # jump: the message 2^k back (null: beyond the root); top: the farthest seen so far; score and depth of the way there.
+    # What has reached its root is done and only looked up from then on, so rounds get smaller.
     state = table(first.select("node", F.col("parent").alias("jump"), F.coalesce("parent", "node").alias("top"), "score", F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth")), "jumps")
-    jumps = [state.where("jump is not null").select("node", "jump")]
-    most, k = m.count(), 0
-    while 2**k <= most and not state.where("jump is not null").isEmpty():
-        far = state.select(F.col("node").alias("at"), F.col("jump").alias("jump2"), F.col("top").alias("top2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
-        state = table(state.join(far, F.col("jump") == F.col("at"), "left").select("node", F.col("jump2").alias("jump"), F.coalesce("top2", "top").alias("top"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")), "jumps")
-        jumps.append(state.where("jump is not null").select("node", "jump"))
+    done, active = state.where("jump is null"), state.where("jump is not null")
+    jumps, most, k = [active.select("node", "jump")], m.count(), 0
+    while 2**k <= most and not active.isEmpty():
+        far = done.unionByName(active).select(F.col("node").alias("at"), F.col("jump").alias("jump2"), F.col("top").alias("top2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
+        made = active.join(far, F.col("jump") == F.col("at")).select("node", F.col("jump2").alias("jump"), F.col("top2").alias("top"), (F.col("score") + F.col("score2")).alias("score"), (F.col("depth") + F.col("depth2")).alias("depth"))
+        made = table(made, "jumps")
+        done, active = done.unionByName(made.where("jump is null")), made.where("jump is not null")
+        jumps.append(active.select("node", "jump"))
         k += 1
-    # what still has a jump now is led into a cycle
-    leaves = state.where("jump is null").join(first.select(F.col("parent").alias("node")).where("node is not null").distinct(), "node", "left_anti")
-    ranked = leaves.select(F.col("top").alias("root"), F.col("node").alias("leaf"), (F.col("score") / (F.col("depth") + 1)).alias("mean"))
+    # what is still active is led into a cycle
+    leaves = done.join(first.select(F.col("parent").alias("node")).where("node is not null").distinct(), "node", "left_anti")
+    ranked = leaves.select(F.col("top").alias("root"), F.col("node").alias("leaf"), "depth", (F.col("score") / (F.col("depth") + 1)).alias("mean"))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("mean"), "leaf"))).where(F.col("rank") <= best)
-    on = table(ranked.select("root", "rank", "leaf", F.col("leaf").alias("node")), "branches")
-    for step in jumps:  # before step k the rows reach 2^k - 1 messages back from the leaf
-        back = on.join(step, "node").select("root", "rank", "leaf", F.col("jump").alias("node"))
-        on = table(on.unionByName(back), "branches")
-    return on.join(state.select("node", "depth"), "node").select("root", "rank", "leaf", "node", "depth")
+    on = table(ranked.select("root", "rank", "leaf", F.col("leaf").alias("node"), "depth"), "branches")
+    for k, step in enumerate(jumps):  # before step k the rows reach 2^k - 1 messages back from the leaf
+        back = on.join(step, "node").select("root", "rank", "leaf", F.col("jump").alias("node"), (F.col("depth") - 2**k).alias("depth"))
+        on = on.unionByName(table(back, "branches"))
+    return on.select("root", "rank", "leaf", "node", "depth")
 
 
 def format_paths(chosen: DataFrame, messages: DataFrame) -> DataFrame:
     """(root, rank, leaf, formatted, loss_spans) of the paths; ``messages`` has
-    node, role and text (null: empty). One conversation is one row, made in one task; its spans count code points."""
+    root (of its tree), node, role and text (null: empty). Texts move once, to
+    their root. One conversation is one row, made in one task; its spans count code points."""
     prepare(chosen.sparkSession)
-    said = messages.select("node", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    turns = chosen.join(said, "node").groupBy("root", "rank", "leaf").agg(F.array_sort(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    said = messages.groupBy("root").agg(F.collect_list(F.struct("node", text("role"), text("text"))).alias("said"))
+    path = chosen.groupBy("root", "rank", "leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "node"))), lambda x: x["node"]).alias("path"))
+    both = path.join(said, "root")
 
     @F.pandas_udf("formatted string, loss_spans array<struct<start:int,end:int>>")
-    def make(turns_: pd.Series) -> pd.DataFrame:
-        got = [write([(t["role"], t["text"]) for t in ts]) for ts in turns_]
+    def make(paths_: pd.Series, said_: pd.Series) -> pd.DataFrame:
+        got = []
+        for nodes, rows in zip(paths_, said_, strict=True):
+            of = {named(x["node"]): (x["role"], x["text"]) for x in rows}
+            got.append(write([of[named(n)] for n in nodes]))
         return pd.DataFrame({"formatted": [x for x, _ in got], "loss_spans": [[{"start": a, "end": b} for a, b in s] for _, s in got]})
 
-    return turns.select("root", "rank", "leaf", make("turns").alias("f")).select("root", "rank", "leaf", "f.*")
+    return both.select("root", "rank", "leaf", make("path", "said").alias("f")).select("root", "rank", "leaf", "f.*")
+
+
+def named(node):
+    """A node as a key: structs arrive as dictionaries."""
+    return tuple(node.values()) if isinstance(node, dict) else node
 
 
 def threads(rows: DataFrame) -> DataFrame:
-    """Messages of conversation rows (conv_id, turn, role, text): each replies
-    to the row before it by turn; rows of the same turn follow each other by role and text. A node is
-    (conversation, place); a null conversation is one like others. Each message scores the length of its text."""
-    order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    placed = rows.select(F.col("conv_id").alias("conv"), "turn", "role", "text").withColumn("place", F.row_number().over(order).cast("long"))
-    node = lambda x: F.struct(F.col("conv").isNull().alias("none"), F.coalesce("conv", F.lit(0)).cast("long").alias("conv"), x.alias("place"))
-    return placed.select("conv", node(F.col("place")).alias("node"), F.when(F.col("place") > 1, node(F.col("place") - 1)).alias("parent"), F.length("text").cast("double").alias("score"), "role", "text")
+    """Messages (root, node, parent, score, role, text) of conversation rows
+    (conv_id, turn, role, text): each replies to the row before it by turn; rows of the same turn follow each
+    other by role and by a hash of the text, so that texts needn't be there to number them. A node is (conversation, place),
+    the root has place 1; a null conversation is one like others. Each message scores the length of its text."""
+    node = lambda x: F.struct(F.col("conv").isNull().alias("none"), F.coalesce("conv", F.lit(0)).cast("long").alias("conv"), x.cast("long").alias("place"))
+    keyed = rows.select(F.col("conv_id").alias("conv"), "turn", "role", "text", text_key().alias("key"), F.coalesce(F.length("text"), F.lit(0)).cast("double").alias("score")).withColumn("root", node(F.lit(1)))
+    order = Window.partitionBy("root").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "key")
+    placed = keyed.withColumn("place", F.row_number().over(order).cast("long"))
+    at = lambda x: F.struct(F.col("root.none").alias("none"), F.col("root.conv").alias("conv"), x.alias("place"))
+    return placed.select("root", at(F.col("place")).alias("node"), F.when(F.col("place") > 1, at(F.col("place") - 1)).alias("parent"), "score", "role", "text")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -150,7 +167,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "</s>[INST] ok [/INST]"
     # two fixed rows of the contract, beside the table's own
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
-    messages = table(threads(rows.unionByName(extra)), "threads")
+    messages = threads(rows.unionByName(extra))
     made = format_paths(paths(messages), messages)
     got = read_back(made)
     return got.select(F.when(~F.col("root.none"), F.col("root.conv")).alias("conv_id"), "d.*", F.length("formatted").cast("long").alias("formatted_chars"))
