@@ -81,6 +81,7 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     and score (null: 0). A branch scores the mean of its messages; ties go to
     the smaller leaf. A message in a cycle has no root and no path."""
     m = table(messages.select("node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "messages")
+    ends = table(m.select("node").join(m.select(F.col("parent").alias("node")).where("node is not null").distinct(), "node", "left_anti"), "leaves")
     there = m.select(F.col("node").alias("up"))
     first = m.join(there, F.col("parent") == F.col("up"), "left").select("node", F.col("up").alias("parent"), "score")
     # jump: the message 2^k back (null: beyond the root); top: the farthest seen so far; score and depth of the way there.
@@ -96,7 +97,7 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
         jumps.append(active.select("node", "jump"))
         k += 1
     # what is still active is led into a cycle
-    leaves = done.join(first.select(F.col("parent").alias("node")).where("node is not null").distinct(), "node", "left_anti")
+    leaves = done.join(ends, "node")
     ranked = leaves.select(F.col("top").alias("root"), F.col("node").alias("leaf"), "depth", (F.col("score") / (F.col("depth") + 1)).alias("mean"))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("mean"), "leaf"))).where(F.col("rank") <= best)
     on = table(ranked.select("root", "rank", "leaf", F.col("leaf").alias("node"), "depth"), "branches")
