@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import prepare, read
+from panelscope.llm.common import fresh, prepare, read
 
 #: Fixed value: the pattern by which byte-level vocabularies of this kind split text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -175,6 +175,26 @@ def decode(docs: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str
     return docs.withColumn(text_col, decode_column(docs.sparkSession, tokenizer, F.col(ids_col)))
 
 
+def round_trip(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``docs`` with what ``encode`` and then ``decode`` add, in one pass: a task
+    has one Python worker, and one vocabulary in memory, instead of two.
+
+    Null and empty texts: no ids, and the empty text. Input columns called
+    ``ids_col`` or ``decoded_col`` are replaced; all other columns and rows stay."""
+    prepare(docs.sparkSession)
+    shared = _share(docs.sparkSession, tokenizer)
+
+    @F.pandas_udf("ids binary, decoded string")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        codec = _codec(shared)
+        ids = [codec.encode(t or "") for t in texts]
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([codec.decode(i) for i in ids], dtype=object)})
+
+    (made,) = fresh(docs, "bpe_made")
+    got = docs.withColumn(made, both(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return got.withColumns({ids_col: F.col(f"{made}.ids"), decoded_col: F.col(f"{made}.decoded")}).drop(made)
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -184,7 +204,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs, tokenizer_path()).select("doc_id", "ids"), tokenizer_path())
+    both = round_trip(docs, tokenizer_path()).select("doc_id", "ids", "decoded")
     return both.select(
         "doc_id",
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
@@ -195,5 +215,5 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' columns with ``ids``, ``n_tokens`` and ``decoded`` of each text."""
-    out = decode(encode(docs, tokenizer_path()), tokenizer_path())
+    out = round_trip(docs, tokenizer_path())
     return out.withColumn("n_tokens", F.expr("octet_length(ids) div 4").cast("long"))

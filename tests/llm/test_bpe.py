@@ -30,6 +30,10 @@ def test_ids_and_round_trip_on_odd_texts(spark, docs_of, reference):
     out = bpe.decode(bpe.encode(docs, bpe.tokenizer_path()), bpe.tokenizer_path()).select("text", "ids", "decoded").collect()
     assert len(out) == len(texts) + 2
     check(out, reference)
+    once = bpe.round_trip(docs, bpe.tokenizer_path())
+    assert once.columns == bpe.decode(bpe.encode(docs, bpe.tokenizer_path()), bpe.tokenizer_path()).columns
+    assert sorted(map(repr, once.select("text", "ids", "decoded").collect())) == sorted(map(repr, out))
+    assert once._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
 
 
 def test_merge_takes_lowest_rank_then_leftmost():
@@ -53,3 +57,4 @@ def test_query_over_given_documents(spark, reference):
 
 def test_empty_table(spark, docs_of):
     assert bpe.decode(bpe.encode(docs_of([]), bpe.tokenizer_path()), bpe.tokenizer_path()).count() == 0
+    assert bpe.round_trip(docs_of([]), bpe.tokenizer_path()).count() == 0
