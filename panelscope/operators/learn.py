@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml import Pipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
@@ -36,10 +36,16 @@ def mlp_classifier(train: DataFrame, features: str, label: str, n_inputs: int, n
 
 
 def classify_defects(train: DataFrame, features: str, category_col: str = "LABEL_CATEGORY", max_iter: int = 50):
-    """Category (string) from pixels: index the labels, multinomial logistic regression."""
-    idx = StringIndexer(inputCol=category_col, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="skip")
+    """Category (string) from pixels: index the labels, multinomial logistic regression.
+
+    Training rows without a category are left out. The model scores every row,
+    whatever its category: a missing one, or one unseen in training, gets the
+    index after the last."""
+    data = with_features(train.where(F.col(category_col).isNotNull()), features)
+    idx = StringIndexer(inputCol=category_col, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(data)
     lr = LogisticRegression(featuresCol="features", labelCol="_label", family="multinomial", maxIter=max_iter)
-    return Pipeline(stages=[idx, lr]).fit(with_features(train, features))
+    # fitted without the indexer's metadata: the extra index is no class of the model
+    return PipelineModel(stages=[idx, lr.fit(idx.transform(data).withMetadata("_label", {}))])
 
 
 def class_centroids(train: DataFrame, features: str, label: str) -> tuple[list[int], np.ndarray]:

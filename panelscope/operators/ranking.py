@@ -7,7 +7,9 @@
    dense key range cannot pile into one bucket. A first-key value that fills
    several quantile slots is *hot*: its rows are spread over that many
    sub-buckets by quantiles of the next order key (``spread``) among them,
-   so the order inside the hot value is kept;
+   so the order inside the hot value is kept. The quantiles are finer than a
+   bucket at any bucket count, so a value that is not frequent is never hot;
+   one pass serves all hot values, and NULL is a value like any other;
 2. the bucket of a row is a pure function of its values (``Bucketizer``, a
    binary search in the JVM, plus a small literal map of hot values), so
    every plan branch that evaluates it — a retried task included — puts the
@@ -23,8 +25,9 @@ key) so the numbering is the same on every run.
 
 from __future__ import annotations
 
+import os.path
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import Bucketizer
@@ -45,6 +48,8 @@ class RankBuckets:
 
     bounds: list[float]
     hot: dict[int, tuple[float, list[float]]] = field(default_factory=dict)  # bucket -> (value, sub-bounds)
+    nulls: list[float] = field(default_factory=list)  # sub-bounds of the rows without a first key
+    spread: Column | None = None  # used by ``apply`` if it is given none
 
     def apply(self, df: DataFrame, first: Column, spread: Column | None = None, out: str = _BKT) -> DataFrame:
         """``df`` plus its deterministic bucket id (monotone in the order)."""
@@ -53,6 +58,7 @@ class RankBuckets:
         t = bz.transform(with_first)
         idx = F.col("_rk_idx").cast("long")
         base = idx * F.lit(SUB)
+        spread = self.spread if spread is None else spread
         if self.hot and spread is not None:
             entries = []
             for bi, (v, sub_bounds) in self.hot.items():
@@ -70,21 +76,28 @@ class RankBuckets:
             )
             base = base + sub.cast("long")
         # NULL keys sort first (Spark's default for ascending order)
-        return t.withColumn(out, F.coalesce(base, F.lit(-1).cast("long"))).drop(_FIRST, "_rk_idx")
+        null = F.lit(-SUB).cast("long")
+        if self.nulls and spread is not None:
+            bounds, nv = F.array(*[F.lit(float(x)) for x in self.nulls]), spread.cast("double")
+            null = null + F.coalesce(F.size(F.filter(bounds, lambda x: x <= nv)), F.lit(0)).cast("long")
+        return t.withColumn(out, F.coalesce(base, null)).drop(_FIRST, "_rk_idx")
 
 
 def order_proxy(df: DataFrame, c: Column) -> Column | None:
     """A number monotone (non-decreasing) in the column's sort order, for
-    spreading hot values: numbers as they are, strings by their first 7 UTF-8
-    bytes (Spark compares strings bytewise), dates/timestamps as microseconds.
-    ``None`` for types without one."""
+    spreading hot values: numbers as they are, strings by the 7 UTF-8 bytes
+    after the start that all of them share (Spark compares strings bytewise;
+    the start is that of the least and the greatest, found in one pass),
+    dates/timestamps as microseconds. ``None`` for types without one."""
     t = dict(df.select(c.alias("_s")).dtypes)["_s"]
     if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal"):
         return c
     if t in ("timestamp", "timestamp_ntz", "date"):
         return F.unix_micros(c.cast("timestamp"))
     if t == "string":
-        return F.conv(F.rpad(F.substring(F.hex(c), 1, 14), 14, "0"), 16, 10).cast("bigint")
+        ends = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi")).first()
+        shared = len(os.path.commonprefix([(ends["lo"] or "").encode(), (ends["hi"] or "").encode()]))
+        return F.conv(F.rpad(F.substring(F.hex(c), 2 * shared + 1, 14), 14, "0"), 16, 10).cast("bigint")
     return None
 
 
@@ -99,32 +112,45 @@ def rank_buckets(
     first: Column,
     num_buckets: int,
     bounds: Sequence[float] | None = None,
-    spread: Column | None = None,
+    spread: Column | Callable[[], Column | None] | None = None,
 ) -> RankBuckets:
     """Bucket layout from approximate quantiles of ``first`` (or given bounds).
 
-    With ``spread`` (the next order key), a first-key value filling several
-    quantile slots gets its own sub-bounds: quantiles of ``spread`` among its
-    rows (one narrow pass per hot value; usually there is none)."""
+    With ``spread`` (the next order key, or a function that gives it and is
+    called only if needed), a first-key value that fills several quantile
+    slots gets its own sub-bounds: quantiles of ``spread`` among its rows, in
+    one narrow pass for all such values (usually there is none)."""
     if bounds is not None:
         return RankBuckets(sorted(set(bounds)) or [0.0])
     if num_buckets <= 1:
         return RankBuckets([0.0])
     probs = [i / num_buckets for i in range(1, num_buckets)]
-    qs = [q for q in df.select(first.cast("double").alias(_FIRST)).approxQuantile(_FIRST, probs, QUANTILE_ERROR) if q == q]
-    inner = sorted(set(qs)) or [0.0]
-    hot = {}
-    if spread is not None:
-        reps = Counter(qs)
-        for j, v in enumerate(inner):
-            if reps[v] > 1:  # the value fills several quantile slots
-                span = min(reps[v] + 1, SUB - 1)
-                sub_probs = [i / span for i in range(1, span)]
-                rows = df.where(first.cast("double") == F.lit(v)).select(spread.cast("double").alias("_rk_s"))
-                sb = sorted({q for q in rows.approxQuantile("_rk_s", sub_probs, QUANTILE_ERROR) if q == q})
-                if sb:
-                    hot[j + 1] = (v, sb)
-    return RankBuckets(inner, hot)
+    none = float("-inf")  # stands for NULL, which sorts first as well
+    value = first.cast("double")
+    qs = [q for q in df.select(F.coalesce(value, F.lit(none)).alias(_FIRST)).approxQuantile(_FIRST, probs, min(QUANTILE_ERROR, 1 / (8 * num_buckets))) if q == q]
+    out = RankBuckets(sorted(set(qs) - {none, float("inf")}) or [0.0])
+    # beyond 2^53 a double stands for several whole numbers, whose order ``spread`` doesn't keep
+    spans = {q: min(n + 1, SUB - 1) for q, n in Counter(qs).items() if n > 1 and (q == none or abs(q) < 2**53)}
+    if not spans or spread is None:
+        return out
+    out.spread = spread if isinstance(spread, Column) else spread()
+    if out.spread is None:
+        return out
+    fine = max(spans.values())
+    rows = df.select(value.alias(_FIRST), out.spread.cast("double").alias("_rk_s"))
+    hot = F.col(_FIRST).isin([q for q in spans if q != none])
+    rows = rows.where((F.col(_FIRST).isNull() & F.lit(none in spans)) | hot)
+    sub = F.percentile_approx("_rk_s", [i / fine for i in range(1, fine)], max(10_000, 8 * fine))
+    for r in rows.groupBy(_FIRST).agg(F.count(F.lit(1)).alias(_N), sub.alias("q")).collect():  # one row a hot value: fewer than buckets
+        v = none if r[_FIRST] is None else r[_FIRST]
+        sb = sorted({q for i in range(1, spans[v]) if (q := r["q"][i * fine // spans[v] - 1]) == q}) if r["q"] else []
+        if r[_N] < 2 or not sb:
+            continue
+        if v == none:
+            out.nulls = sb
+        else:
+            out.hot[out.bounds.index(v) + 1] = (v, sb)
+    return out
 
 
 def first_key(df: DataFrame, c: Column) -> Column:
@@ -161,16 +187,16 @@ def bucketed_rank(
     keys = [as_col(c) for c in order]
     first = first_key(df, keys[0])
     if isinstance(spread, str) and spread == "auto":
-        spread_c = order_proxy(df, keys[1]) if len(keys) > 1 else None
-    else:
-        spread_c = as_col(spread) if spread is not None else None
-    rb = buckets or rank_buckets(df, first, nb, bounds, spread_c)
-    bucketed = rb.apply(df, first, spread_c)
+        spread = (lambda: order_proxy(df, keys[1])) if len(keys) > 1 else None
+    elif spread is not None:
+        spread = as_col(spread)
+    rb = buckets or rank_buckets(df, first, nb, bounds, spread)
+    bucketed = rb.apply(df, first, spread if isinstance(spread, Column) else None)
 
     # one task per bucket: a user-sized partition count that AQE does not
     # coalesce, so work added after the ranking (e.g. a 60× expansion) stays
     # spread over the cluster even when the rows being ranked are small
-    n_parts = len(rb.bounds) + 1 + sum(len(b) for _, b in rb.hot.values())
+    n_parts = len(rb.bounds) + 1 + sum(len(b) for _, b in rb.hot.values()) + len(rb.nulls)
     spread_df = bucketed.repartitionByRange(n_parts, _BKT)
     wb = Window.partitionBy(_BKT).orderBy(*keys)
     local = spread_df.withColumn(_LOCAL, F.row_number().over(wb))

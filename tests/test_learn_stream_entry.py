@@ -84,3 +84,15 @@ def test_oracle_parity(spark, name):
     df = E.queries()[name](spark, SF01)
     res = con.execute(E.oracle_sql()[name])
     assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon([d[0] for d in res.description], res.fetchall())
+
+
+def test_classify_defects_scores_rows_without_a_known_category(spark):
+    from panelscope.operators.learn import classify_defects, with_features
+
+    rows = [([float(i % 2), 1.0], "ab"[i % 2]) for i in range(20)]
+    train = spark.createDataFrame(rows + [([0.5, 0.5], None)], "x array<double>, LABEL_CATEGORY string")
+    model = classify_defects(train, "x")
+    asked = spark.createDataFrame([([0.0, 1.0], "a"), ([1.0, 1.0], None), ([1.0, 1.0], "new")], "x array<double>, LABEL_CATEGORY string")
+    got = model.transform(with_features(asked, "x")).collect()
+    assert [r["prediction"] for r in got] == [0.0, 1.0, 1.0]
+    assert all(len(r["probability"]) == 2 for r in got)

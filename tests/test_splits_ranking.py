@@ -140,3 +140,39 @@ def test_split_80_20_keeps_repeated_keys(spark):
     df = spark.range(1000).selectExpr("cast(id % 100 as string) as LABEL_SAMPLE_ID", "id as v")
     got = {r["split"]: r["count"] for r in split_80_20(df).groupBy("split").count().collect()}
     assert got == {"train": 800, "test": 200}
+
+
+def _ranks_like_window(got, df, *keys):
+    ref = df.withColumn("rn", F.row_number().over(Window.orderBy(*keys)))
+    return got.count() == df.count() and got.join(ref.select("id", "rn"), "id").where("r != rn").count() == 0
+
+
+@pytest.mark.parametrize("nb", [500, 2000])
+def test_unique_values_are_never_hot(spark, nb):
+    from panelscope.operators.ranking import rank_buckets
+
+    df = spark.range(100_000).withColumn("h", F.xxhash64("id"))
+    assert not rank_buckets(df, F.col("id"), nb, spread=F.col("h")).hot
+
+
+def test_bucketed_rank_spreads_ids_with_a_long_common_start(spark):
+    df = spark.range(20_000).select(F.lit(7).cast("long").alias("num"), F.format_string("img2023_%09d.png", "id").alias("id"))
+    got = bucketed_rank(df, ["num", "id"], "r", num_buckets=16, spread="auto", bucket_col="b")
+    assert max(r[1] for r in got.groupBy("b").count().collect()) < 4000
+    assert _ranks_like_window(got, df, "num", "id")
+
+
+def test_bucketed_rank_spreads_null_first_keys(spark):
+    df = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("num"), F.format_string("n%05d", F.col("id") * 7919 % 6007).alias("id"))
+    got = bucketed_rank(df, ["num", "id"], "r", num_buckets=16, spread="auto", bucket_col="b")
+    assert max(r[1] for r in got.where("num is null").groupBy("b").count().collect()) < 1000
+    assert _ranks_like_window(got, df, "num", "id")
+
+
+def test_bucketed_rank_of_few_rows_and_of_numbers_beyond_doubles(spark):
+    rows = [((1 << 53) + i % 4, f"k{7 * i % 400:03d}") for i in range(400)]
+    df = spark.createDataFrame(rows, "num long, id string")
+    assert _ranks_like_window(bucketed_rank(df, ["num", "id"], "r", num_buckets=64, spread="auto"), df, "num", "id")
+    few = spark.createDataFrame([(None, "a"), (None, "b"), (1, "c"), (1, "d"), (2, "e")], "num long, id string")
+    assert _ranks_like_window(bucketed_rank(few, ["num", "id"], "r", num_buckets=40, spread="auto"), few, "num", "id")
+    assert bucketed_rank(few.limit(0), ["num", "id"], "r", num_buckets=8, spread="auto").count() == 0
