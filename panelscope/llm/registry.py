@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from panelscope.llm import decontaminate, hardneg, urlfilter, warc
+from panelscope.llm.align import op13_alignment
 from panelscope.llm.anomaly import op6_quality_rules
 from panelscope.llm.bpe import op1_bpe
 from panelscope.llm.brown import op7_brown
@@ -16,5 +17,5 @@ from panelscope.llm.toxicity import op2_toxicity
 from panelscope.llm.urlfilter import op12_url_filter
 from panelscope.llm.warc import op8_warc
 
-QUERIES = {q.__name__: q for q in (op1_bpe, op2_toxicity, op3_decontaminate, op4_chat, op5_linededup, op6_quality_rules, op7_brown, op8_warc, op9_simhash, op10_ordinal, op11_hard_negatives, op12_url_filter)}
+QUERIES = {q.__name__: q for q in (op1_bpe, op2_toxicity, op3_decontaminate, op4_chat, op5_linededup, op6_quality_rules, op7_brown, op8_warc, op9_simhash, op10_ordinal, op11_hard_negatives, op12_url_filter, op13_alignment)}
 ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.SQL.strip(), "op8_warc": warc.SQL.strip(), "op11_hard_negatives": hardneg.SQL.strip(), "op12_url_filter": urlfilter.sql().strip()}
