@@ -38,6 +38,27 @@ def id_number(c) -> Column:
     return F.when(d != "", F.coalesce(d.try_cast("bigint"), long_))
 
 
+def digits_order(digits) -> tuple[Column, Column]:
+    """Two sort keys that put digit strings of any length in the order of their
+    numbers: the length without leading zeros, then the digits without them."""
+    bare = F.ltrim(as_col(digits), F.lit("0"))
+    return F.length(bare), bare
+
+
+def add_to(number: int, offset) -> Column:
+    """``number`` + ``offset`` (0 or more, below 2^63 - 10^18) as a digit string,
+    for ``number`` of any size: the last 18 digits are added as a long, and their
+    carry (0 to 9) chooses the digits before them."""
+    high, low = divmod(number, 10**18)
+    total = F.lit(low) + as_col(offset)
+    if not high:
+        return total.cast("string")
+    heads = F.array(*[F.lit(str(high + c)) for c in range(10)])
+    rest = total % F.lit(10**18)
+    carry = ((total - rest) / F.lit(10**18)).cast("int")
+    return F.concat(F.get(heads, carry), F.lpad(rest.cast("string"), 18, "0"))
+
+
 def split_id(c) -> Column:
     """struct<prefix, digits, suffix>."""
     return F.struct(id_prefix(c).alias("prefix"), id_digits(c).alias("digits"), id_suffix(c).alias("suffix"))

@@ -8,21 +8,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from panelscope.functions.ids import id_digits, id_number
+from panelscope.functions.ids import digits_order, id_digits
 from panelscope.schema import KEY
 
 
 def id_stats(df: DataFrame, key: str = KEY) -> DataFrame:
-    """One row: ``max_id`` (largest first digit run, 0 when empty), ``id_width``
-    (longest digit run), ``n_rows`` and ``n_without_digits``."""
+    """One row: ``max_id`` (largest first digit run as digits without leading
+    zeros, of any length; '0' when empty), ``id_width`` (longest digit run),
+    ``n_rows`` and ``n_without_digits``."""
     return id_stats_with(df, key)
 
 
 def id_stats_with(df: DataFrame, key: str = KEY, *extra) -> DataFrame:
     """:func:`id_stats` plus extra aggregate columns, in the same single pass."""
-    d = id_digits(F.col(key))
-    return df.withColumn("_d", d).agg(
-        F.coalesce(F.max(id_number(F.col(key))), F.lit(0)).cast("bigint").alias("max_id"),
+    size, bare = digits_order("_d")
+    largest = F.max(F.when(F.col("_d") != "", F.struct(size.alias("size"), bare.alias("digits"))))["digits"]
+    return df.withColumn("_d", id_digits(F.col(key))).agg(
+        F.coalesce(F.nullif(largest, F.lit("")), F.lit("0")).alias("max_id"),
         F.coalesce(F.max(F.length("_d")), F.lit(0)).cast("int").alias("id_width"),
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col("_d") == "").alias("n_without_digits"),
@@ -38,6 +40,7 @@ def _require_digits(row) -> None:
 
 
 def max_sample_id(df: DataFrame, key: str = KEY) -> int:
+    """The largest id number, however many digits it has; 0 for no rows."""
     row = id_stats(df, key).first()
     _require_digits(row)
     return int(row["max_id"])

@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelscope.functions import pixels as px
-from panelscope.functions.ids import id_number, id_prefix, id_suffix, zfill
+from panelscope.functions.ids import add_to, digits_order, id_digits, id_prefix, id_suffix, zfill
 from panelscope.functions.util import as_col
 from panelscope.operators.aggregates import id_stats, id_stats_with
-from panelscope.operators.ranking import bucketed_rank
+from panelscope.operators.ranking import range_rank
 from panelscope.schema import KEY
 
 # Fixed values that must equal the reference's for the same results.
@@ -37,7 +37,7 @@ DEFAULT_TRANSLATIONS = ((0.25, 0.25), (-0.25, -0.25))
 DEFAULT_MIRROR_AXES = (1, 2, 3, 4)
 DEFAULT_ROTATIONS = (90, 180, 270)
 
-_RANK, _N, _NUM = "_am_rank", "_am_n", "_am_num"
+_RANK, _N = "_am_rank", "_am_n"
 META = ("MIRROR_AXIS", "ROT_DEG", "TRANSL_X", "TRANSL_Y")
 
 
@@ -150,16 +150,18 @@ def assign_new_ids(
     i = 1..n; prefix and suffix of each row are kept. With ``variants`` > 1
     the frame gets ``v`` = 1..variants copies, copy ``v`` numbered after the
     ``v-1`` earlier ones, so ids stay distinct across the whole batch."""
-    base = df.withColumn(_NUM, id_number(F.col(key)))
-    ranked = bucketed_rank(base, [_NUM, key], rank_col=_RANK, total_col=_N, num_buckets=num_buckets, spread="auto")
+    ranked = id_ranked(df, key, num_buckets)
     if variants > 1:
         ranked = ranked.withColumn("_v", F.explode(F.sequence(F.lit(1), F.lit(variants))))
     else:
         ranked = ranked.withColumn("_v", F.lit(1))
-    num = F.lit(cur_max) + (F.col("_v") - 1) * F.col(_N) + F.col(_RANK)
-    return ranked.withColumn(key, F.concat(id_prefix(F.col(key)), zfill(num, width), id_suffix(F.col(key)))).drop(
-        _NUM, _RANK, _N, "_v"
-    )
+    num = add_to(cur_max, (F.col("_v") - 1) * F.col(_N) + F.col(_RANK))
+    return ranked.withColumn(key, F.concat(id_prefix(F.col(key)), zfill(num, width), id_suffix(F.col(key)))).drop(_RANK, _N, "_v")
+
+
+def id_ranked(df: DataFrame, key: str, num_buckets: int | None) -> DataFrame:
+    """``df`` with each row's position in the order of the ids' numbers (of any length), then of the ids, and the row count."""
+    return range_rank(df, [*digits_order(id_digits(F.col(key))), key], _RANK, num_buckets, _N)
 
 
 def reference_id_stats(df: DataFrame, key: str = KEY, id_reference: DataFrame | None = None) -> tuple[int, int]:
@@ -195,13 +197,12 @@ def _add_stage(df, key, image, eligible: Column, variants: Sequence[dict], set_m
     if not variants:
         return df
     cur_max, width = reference_id_stats(df, key, id_reference)
-    base = df.filter(eligible).withColumn(_NUM, id_number(F.col(key)))
-    ranked = bucketed_rank(base, [_NUM, key], rank_col=_RANK, total_col=_N, num_buckets=num_buckets, spread="auto")
+    ranked = id_ranked(df.filter(eligible), key, num_buckets)
     vs = [dict(v=i + 1, **var) for i, var in enumerate(variants)]
     # id parts once per source row, before the expansion
     copies = ranked.withColumns({"_pre": id_prefix(F.col(key)), "_suf": id_suffix(F.col(key))})
     copies = copies.withColumn("_var", F.explode(_variant_array(vs)))
-    num = F.lit(cur_max) + (F.col("_var.v") - 1) * F.col(_N) + F.col(_RANK)
+    num = add_to(cur_max, (F.col("_var.v") - 1) * F.col(_N) + F.col(_RANK))
     copies = copies.withColumn(key, F.concat(F.col("_pre"), zfill(num, width), F.col("_suf")))
     copies = set_meta(copies)
     return df.unionByName(copies.select(*df.columns))
@@ -300,8 +301,7 @@ def amplify(
         for vm, axis in enumerate([0, *axes]):
             for vr, deg in enumerate([0, *rots]):
                 combos.append(dict(vt=vt, tx=float(x), ty=float(y), txi=_is_int(x), tyi=_is_int(y), vm=vm, axis=axis, vr=vr, deg=deg))
-    base = df.withColumn(_NUM, id_number(F.col(key)))
-    ranked = bucketed_rank(base, [_NUM, key], rank_col=_RANK, num_buckets=num_buckets, spread="auto")
+    ranked = id_ranked(df, key, num_buckets)
     # id parts once per base row, before the expansion
     ranked = ranked.withColumns({"_pre": id_prefix(F.col(key)), "_suf": id_suffix(F.col(key))})
     e = ranked.withColumn("_var", F.explode(_variant_array(combos)))
@@ -309,9 +309,9 @@ def amplify(
     r1 = F.col(_RANK)
     r2 = vt * F.lit(n1) + r1
     r3 = vm * F.lit(n2) + r2
-    num1 = F.lit(m1) + (vt - 1) * F.lit(n1) + r1
-    num2 = F.lit(m2) + (vm - 1) * F.lit(n2) + r2
-    num3 = F.lit(m3) + (vr - 1) * F.lit(n3) + r3
+    num1 = add_to(m1, (vt - 1) * F.lit(n1) + r1)
+    num2 = add_to(m2, (vm - 1) * F.lit(n2) + r2)
+    num3 = add_to(m3, (vr - 1) * F.lit(n3) + r3)
     pre, suf = F.col("_pre"), F.col("_suf")
     new_id = (
         F.when(vr > 0, F.concat(pre, zfill(num3, w3), suf))

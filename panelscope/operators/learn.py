@@ -20,6 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelscope.functions.scalars import argmax, max_conf
+from panelscope.session import scratch_dir
+
+
+def stored(model, path: str):
+    """``model`` as it reads back from ``path``, where it is saved. A fitted
+    model holds its training summary, and with it the session, which tasks can't
+    be sent once the session has counted rows by ``observe``; the saved one doesn't."""
+    model.write().overwrite().save(path)
+    return type(model).load(path)
 
 
 def with_features(df: DataFrame, array_col: str, out: str = "features") -> DataFrame:
@@ -45,7 +54,8 @@ def classify_defects(train: DataFrame, features: str, category_col: str = "LABEL
     idx = StringIndexer(inputCol=category_col, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(data)
     lr = LogisticRegression(featuresCol="features", labelCol="_label", family="multinomial", maxIter=max_iter)
     # fitted without the indexer's metadata: the extra index is no class of the model
-    return PipelineModel(stages=[idx, lr.fit(idx.transform(data).withMetadata("_label", {}))])
+    model = PipelineModel(stages=[idx, lr.fit(idx.transform(data).withMetadata("_label", {}))])
+    return stored(model, scratch_dir(train.sparkSession, "model"))
 
 
 def class_centroids(train: DataFrame, features: str, label: str) -> tuple[list[int], np.ndarray]:

@@ -1,223 +1,79 @@
 """Global row numbering without a single-partition sort.
 
-``bucketed_rank`` gives every row its 1-based position in a total order:
-
-1. bucket bounds = approximate quantiles of the first order key (one pass
-   over that column; at most ``num_buckets`` numbers reach the driver), so a
-   dense key range cannot pile into one bucket. A first-key value that fills
-   several quantile slots is *hot*: its rows are spread over that many
-   sub-buckets by quantiles of the next order key (``spread``) among them,
-   so the order inside the hot value is kept. The quantiles are finer than a
-   bucket at any bucket count, so a value that is not frequent is never hot;
-   one pass serves all hot values, and NULL is a value like any other;
-2. the bucket of a row is a pure function of its values (``Bucketizer``, a
-   binary search in the JVM, plus a small literal map of hot values), so
-   every plan branch that evaluates it — a retried task included — puts the
-   row in the same bucket;
-3. ``row_number`` inside each bucket (one shuffle on the bucket, buckets
-   spread over tasks), plus the bucket's offset: prefix sums of the
-   per-bucket counts, a table with one row per bucket that is broadcast
-   (its size is bounded by the bucket count, not by the data).
-
-The order key must be unique (add the full id, or a row hash, as the last
-key) so the numbering is the same on every run.
+``range_rank`` gives every row its 1-based position in a total order:
+
+1. ``repartitionByRange`` on the whole order tuple, sorted within partitions,
+   written once to the shared folder with each row's place in its partition.
+   Because all keys take part in the bounds, a value of the first key that
+   holds many rows (NULL, a busy date, a shared prefix) is cut by the next keys;
+2. one row per partition with its row count; prefix sums of these (as many rows
+   as partitions, whatever the data) are broadcast, and a row's position is its
+   partition's offset plus its place.
+
+Rows with the same tuple stay in one partition. If one tuple has more rows than
+a partition's share (a sketch of the heaviest tuple tells), the rows are
+written first with a number each, and that stored number is the last key. So
+it is the same whenever a task is run again.
 """
 
 from __future__ import annotations
 
-import os.path
-from collections import Counter
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelscope.functions.util import as_col
-from panelscope.session import shuffle_partitions
-
-_BKT, _FIRST, _LOCAL, _OFF, _N = "_rk_bucket", "_rk_first", "_rk_local", "_rk_offset", "_rk_n"
-QUANTILE_ERROR = 1e-3
-SUB = 1 << 16  # sub-bucket slots per bucket (hot values use up to SUB - 1)
-
-
-@dataclass
-class RankBuckets:
-    """Bucket layout: inner bounds of the first key and hot values."""
-
-    bounds: list[float]
-    hot: dict[int, tuple[float, list[float]]] = field(default_factory=dict)  # bucket -> (value, sub-bounds)
-    nulls: list[float] = field(default_factory=list)  # sub-bounds of the rows without a first key
-    spread: Column | None = None  # used by ``apply`` if it is given none
-
-    def apply(self, df: DataFrame, first: Column, spread: Column | None = None, out: str = _BKT) -> DataFrame:
-        """``df`` plus its deterministic bucket id (monotone in the order)."""
-        with_first = df.withColumn(_FIRST, first.cast("double"))
-        bz = Bucketizer(splits=[float("-inf"), *self.bounds, float("inf")], inputCol=_FIRST, outputCol="_rk_idx", handleInvalid="keep")
-        t = bz.transform(with_first)
-        idx = F.col("_rk_idx").cast("long")
-        base = idx * F.lit(SUB)
-        spread = self.spread if spread is None else spread
-        if self.hot and spread is not None:
-            entries = []
-            for bi, (v, sub_bounds) in self.hot.items():
-                entries += [
-                    F.lit(bi).cast("long"),
-                    F.struct(F.lit(v).alias("v"), F.array(*[F.lit(float(x)) for x in sub_bounds]).cast("array<double>").alias("b")),
-                ]
-            hot = F.element_at(F.create_map(*entries), idx)
-            sv = spread.cast("double")
-            # sub-bucket = number of sub-bounds <= the spread key (monotone)
-            sub = (
-                F.when(hot.isNull(), F.lit(0))
-                .when(F.col(_FIRST) == hot["v"], F.coalesce(F.size(F.filter(hot["b"], lambda x: x <= sv)), F.lit(0)))
-                .otherwise(F.lit(SUB - 1))
-            )
-            base = base + sub.cast("long")
-        # NULL keys sort first (Spark's default for ascending order)
-        null = F.lit(-SUB).cast("long")
-        if self.nulls and spread is not None:
-            bounds, nv = F.array(*[F.lit(float(x)) for x in self.nulls]), spread.cast("double")
-            null = null + F.coalesce(F.size(F.filter(bounds, lambda x: x <= nv)), F.lit(0)).cast("long")
-        return t.withColumn(out, F.coalesce(base, null)).drop(_FIRST, "_rk_idx")
-
-
-def order_proxy(df: DataFrame, c: Column) -> Column | None:
-    """A number monotone (non-decreasing) in the column's sort order, for
-    spreading hot values: numbers as they are, strings by the 7 UTF-8 bytes
-    after the start that all of them share (Spark compares strings bytewise;
-    the start is that of the least and the greatest, found in one pass),
-    dates/timestamps as microseconds. ``None`` for types without one."""
-    t = dict(df.select(c.alias("_s")).dtypes)["_s"]
-    if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal"):
-        return c
-    if t in ("timestamp", "timestamp_ntz", "date"):
-        return F.unix_micros(c.cast("timestamp"))
-    if t == "string":
-        ends = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi")).first()
-        shared = len(os.path.commonprefix([(ends["lo"] or "").encode(), (ends["hi"] or "").encode()]))
-        return F.conv(F.rpad(F.substring(F.hex(c), 2 * shared + 1, 14), 14, "0"), 16, 10).cast("bigint")
-    return None
-
-
-def uniform_bounds(lo: float, hi: float, num_buckets: int) -> list[float]:
-    """Equal-width inner bounds: for keys known to be uniform (hashes)."""
-    step = (hi - lo) / max(num_buckets, 1)
-    return [lo + i * step for i in range(1, max(num_buckets, 1))]
-
-
-def rank_buckets(
-    df: DataFrame,
-    first: Column,
-    num_buckets: int,
-    bounds: Sequence[float] | None = None,
-    spread: Column | Callable[[], Column | None] | None = None,
-) -> RankBuckets:
-    """Bucket layout from approximate quantiles of ``first`` (or given bounds).
-
-    With ``spread`` (the next order key, or a function that gives it and is
-    called only if needed), a first-key value that fills several quantile
-    slots gets its own sub-bounds: quantiles of ``spread`` among its rows, in
-    one narrow pass for all such values (usually there is none)."""
-    if bounds is not None:
-        return RankBuckets(sorted(set(bounds)) or [0.0])
-    if num_buckets <= 1:
-        return RankBuckets([0.0])
-    probs = [i / num_buckets for i in range(1, num_buckets)]
-    none = float("-inf")  # stands for NULL, which sorts first as well
-    value = first.cast("double")
-    qs = [q for q in df.select(F.coalesce(value, F.lit(none)).alias(_FIRST)).approxQuantile(_FIRST, probs, min(QUANTILE_ERROR, 1 / (8 * num_buckets))) if q == q]
-    out = RankBuckets(sorted(set(qs) - {none, float("inf")}) or [0.0])
-    # beyond 2^53 a double stands for several whole numbers, whose order ``spread`` doesn't keep
-    spans = {q: min(n + 1, SUB - 1) for q, n in Counter(qs).items() if n > 1 and (q == none or abs(q) < 2**53)}
-    if not spans or spread is None:
-        return out
-    out.spread = spread if isinstance(spread, Column) else spread()
-    if out.spread is None:
-        return out
-    fine = max(spans.values())
-    rows = df.select(value.alias(_FIRST), out.spread.cast("double").alias("_rk_s"))
-    hot = F.col(_FIRST).isin([q for q in spans if q != none])
-    rows = rows.where((F.col(_FIRST).isNull() & F.lit(none in spans)) | hot)
-    sub = F.percentile_approx("_rk_s", [i / fine for i in range(1, fine)], max(10_000, 8 * fine))
-    for r in rows.groupBy(_FIRST).agg(F.count(F.lit(1)).alias(_N), sub.alias("q")).collect():  # one row a hot value: fewer than buckets
-        v = none if r[_FIRST] is None else r[_FIRST]
-        sb = sorted({q for i in range(1, spans[v]) if (q := r["q"][i * fine // spans[v] - 1]) == q}) if r["q"] else []
-        if r[_N] < 2 or not sb:
-            continue
-        if v == none:
-            out.nulls = sb
-        else:
-            out.hot[out.bounds.index(v) + 1] = (v, sb)
-    return out
-
-
-def first_key(df: DataFrame, c: Column) -> Column:
-    if dict(df.select(c.alias("_k")).dtypes)["_k"] in ("timestamp", "timestamp_ntz", "date"):
-        return F.unix_micros(c.cast("timestamp"))
-    return c
-
-
-def bucketed_rank(
+from panelscope.session import shuffle_partitions, written
+
+_ROW, _POS, _PART, _OFF, _N = "_rk_row", "_rk_pos", "_rk_part", "_rk_off", "_rk_n"
+PLACE_BITS = 33  # of monotonically_increasing_id: the place within the partition
+#: A tuple of fewer rows is never worth a pass of its own.
+LEAST_HEAVY = 10_000
+
+
+def has_heavy_tuple(df: DataFrame, names: Sequence[str], partitions: int, least: int = LEAST_HEAVY) -> bool:
+    """Whether rows with one and the same tuple would overfill a partition; one aggregate over the keys alone."""
+    cols = ", ".join(f"`{c}`" for c in names)
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(xxhash64({cols}), 1)").alias("top")).first()
+    most = max((t["count"] for t in r["top"] or ()), default=0)
+    return most > max(r["n"] / partitions, least)
+
+
+def numbered(parts: DataFrame, rank_col: str, total_col: str | None = None, pos: str = _POS) -> DataFrame:
+    """``parts`` (written, with ``pos`` = monotonically_increasing_id) with each
+    row's 1-based number in the order of partitions and places."""
+    part, place = F.shiftright(pos, PLACE_BITS), F.col(pos).bitwiseAND((1 << PLACE_BITS) - 1)
+    counts = parts.groupBy(part.alias(_PART)).agg(F.count(F.lit(1)).alias(_N))
+    # one row per partition: its number bounds this window and the broadcast
+    w = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(_PART, F.coalesce(F.sum(_N).over(w), F.lit(0)).alias(_OFF), F.sum(_N).over(Window.partitionBy(F.lit(1))).alias(_N))
+    out = parts.withColumn(_PART, part).join(F.broadcast(offsets), _PART).withColumn(rank_col, F.col(_OFF) + place + 1)
+    if total_col:
+        out = out.withColumn(total_col, F.col(_N))
+    return out.drop(_PART, _OFF, _N, pos)
+
+
+def range_rank(
     df: DataFrame,
     order: Sequence[Column | str],
     rank_col: str = "rank",
-    num_buckets: int | None = None,
+    partitions: int | None = None,
     total_col: str | None = None,
-    bounds: Sequence[float] | None = None,
-    prev: Sequence[str] = (),
-    spread: Column | str | None = None,
-    buckets: RankBuckets | None = None,
-    bucket_col: str | None = None,
+    least_heavy: int = LEAST_HEAVY,
 ) -> DataFrame:
-    """Add ``rank_col`` = row_number() over (order by ``order``), 1-based.
-
-    The first order key must be numeric, date or timestamp. ``bounds`` skips
-    the quantile pass when the key distribution is known (e.g. a uniform
-    hash, see :func:`uniform_bounds`). ``spread`` (the second order key, or a
-    later one when the keys between are constant within a first-key value;
-    ``"auto"`` = a monotone numeric proxy of the second key) splits hot
-    first-key values over several tasks. With
-    ``total_col`` the total row count is added too (from the offset table,
-    no extra pass). ``prev`` columns get a ``_prev_<name>`` twin holding the
-    previous row's value in the order (NULL at the start of a bucket).
-    ``bucket_col`` keeps the bucket id (it orders before the keys)."""
-    nb = num_buckets or shuffle_partitions(df.sparkSession)
-    keys = [as_col(c) for c in order]
-    first = first_key(df, keys[0])
-    if isinstance(spread, str) and spread == "auto":
-        spread = (lambda: order_proxy(df, keys[1])) if len(keys) > 1 else None
-    elif spread is not None:
-        spread = as_col(spread)
-    rb = buckets or rank_buckets(df, first, nb, bounds, spread)
-    bucketed = rb.apply(df, first, spread if isinstance(spread, Column) else None)
-
-    # one task per bucket: a user-sized partition count that AQE does not
-    # coalesce, so work added after the ranking (e.g. a 60× expansion) stays
-    # spread over the cluster even when the rows being ranked are small
-    n_parts = len(rb.bounds) + 1 + sum(len(b) for _, b in rb.hot.values()) + len(rb.nulls)
-    spread_df = bucketed.repartitionByRange(n_parts, _BKT)
-    wb = Window.partitionBy(_BKT).orderBy(*keys)
-    local = spread_df.withColumn(_LOCAL, F.row_number().over(wb))
-    for c in prev:
-        local = local.withColumn(f"_prev_{c}", F.lag(F.col(c)).over(wb))
-    # per-bucket counts: partial aggregation before a tiny shuffle; column
-    # pruning reads only the columns the bucket needs for this branch
-    counts = bucketed.groupBy(_BKT).agg(F.count(F.lit(1)).alias(_N))
-    # one row per bucket: prefix sums in one small partition, then broadcast
-    w = Window.orderBy(_BKT).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        _BKT,
-        F.coalesce(F.sum(_N).over(w), F.lit(0)).alias(_OFF),
-        F.sum(_N).over(Window.partitionBy(F.lit(1))).alias(_N),
-    )
-    out = local.join(F.broadcast(offsets), _BKT).withColumn(rank_col, F.col(_OFF) + F.col(_LOCAL))
-    if total_col:
-        out = out.withColumnRenamed(_N, total_col)
-    if bucket_col:
-        out = out.withColumnRenamed(_BKT, bucket_col)
-    return out.drop(_BKT, _LOCAL, _OFF, _N)
+    """Add ``rank_col`` = row_number() over (order by ``order``), 1-based, and
+    with ``total_col`` the number of rows. NULL keys come first; rows with equal
+    tuples follow each other in any order. No rows: none."""
+    n = partitions or shuffle_partitions(df.sparkSession)
+    own = {f"_rk_k{i}": as_col(c) for i, c in enumerate(order) if not isinstance(c, str)}
+    names = [c if isinstance(c, str) else f"_rk_k{i}" for i, c in enumerate(order)]
+    keyed = df.withColumns(own) if own else df
+    if has_heavy_tuple(keyed, names, n, least_heavy):
+        keyed = written(keyed.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+        names.append(_ROW)
+    ordered = keyed.repartitionByRange(n, *names).sortWithinPartitions(*names).drop(_ROW, *own)
+    return numbered(written(ordered.withColumn(_POS, F.monotonically_increasing_id()), "ranked"), rank_col, total_col)
 
 
 def hash_order_key(seed: int | str, *cols) -> Column:

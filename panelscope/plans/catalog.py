@@ -280,12 +280,14 @@ FROM (SELECT regexp_extract({col}, {S.RE}, 2) AS d FROM {tbl})"""
 
 @query("max_sample_id_padded", _id_stats_sql("c_name", "customer"))
 def max_id_padded_q(spark, sf):
-    return agg.id_stats(table(spark, sf, "customer").select(F.col("c_name").alias(KEY)))
+    s = agg.id_stats(table(spark, sf, "customer").select(F.col("c_name").alias(KEY)))
+    return s.withColumn("max_id", F.col("max_id").cast("bigint"))
 
 
 @query("max_sample_id_unpadded", _id_stats_sql("p_brand", "part"))
 def max_id_unpadded_q(spark, sf):
-    return agg.id_stats(table(spark, sf, "part").select(F.col("p_brand").alias(KEY)))
+    s = agg.id_stats(table(spark, sf, "part").select(F.col("p_brand").alias(KEY)))
+    return s.withColumn("max_id", F.col("max_id").cast("bigint"))
 
 
 @query(
@@ -368,6 +370,17 @@ def split_80_20_q(spark, sf):
     return split_80_20(o, key="k").select("o_orderkey", "split")
 
 
+@query(
+    "split_80_20_equal_rows",
+    f"""WITH l AS (SELECT concat(quality, '-', toxic) AS k FROM labels), r AS ({_rank_sql('l', 'k', 42)})
+SELECT k, CASE WHEN rk <= n - CAST(ceil(n::DOUBLE * 0.2::DOUBLE) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM r""",
+)
+def split_80_20_equal_rows_q(spark, sf):
+    """A few different rows, each of them many times: the cut lies among equal rows."""
+    k = F.concat(F.col("quality").cast("string"), F.lit("-"), F.col("toxic").cast("string"))
+    return split_80_20(table(spark, sf, "labels").select(k.alias("k")), key="k")
+
+
 @query(
     "split_conserves_rows",
     W + f""", r AS ({_rank_sql('lbl', 'LABEL_SAMPLE_ID', 0)}),
@@ -802,7 +815,8 @@ def write_by_category_q(spark, sf):
     """Split -> Parquet partitioned by split and category -> read one
     partition back (partition pruning)."""
     from panelscope.functions.scalars import LABEL_NAMES
-    from panelscope.sources.sinks import scratch_dir, write_by_category
+    from panelscope.session import scratch_dir
+    from panelscope.sources.sinks import write_by_category
 
     d = split_exact(label_frame(spark, sf).select(KEY, "LABEL_CATEGORY"), 0.65, seed=0)
     out = scratch_dir(spark, "categories")
@@ -814,7 +828,8 @@ def write_by_category_q(spark, sf):
 @query("array_dataset_roundtrip", W + f"SELECT LABEL_SAMPLE_ID, CLASS, {S.digest('SAMPLE')} AS px_digest FROM img")
 def array_roundtrip_q(spark, sf):
     from panelscope.sources.files import read_array_dataset
-    from panelscope.sources.sinks import scratch_dir, write_array_dataset
+    from panelscope.session import scratch_dir
+    from panelscope.sources.sinks import write_array_dataset
 
     out = scratch_dir(spark, "arrays")
     write_array_dataset(image_samples(spark, sf).select(KEY, "SAMPLE", "CLASS"), out)
@@ -830,7 +845,7 @@ def scan_csv_q(spark, sf):
     """A CSV with spaced header names is written from lineitem, read back with
     inferred types and renamed (the wine table's load step)."""
     from panelscope.sources.files import scan_csv
-    from panelscope.sources.sinks import scratch_dir
+    from panelscope.session import scratch_dir
 
     out = scratch_dir(spark, "csv")
     li = table(spark, sf, "lineitem")
@@ -847,7 +862,8 @@ _QUANT_SQL = "list_transform(embedding, lambda x: least(greatest(floor((x::DOUBL
 def export_embeddings_as_png(spark, sf) -> str:
     """8-bit gray PNG files made from the embeddings (one per vector)."""
     from panelscope.operators.images import array_to_image
-    from panelscope.sources.sinks import export_png, scratch_dir
+    from panelscope.session import scratch_dir
+    from panelscope.sources.sinks import export_png
 
     i = image_samples(spark, sf)
     q = F.transform("SAMPLE", lambda x: F.least(F.greatest(F.floor((x.cast("double") + 0.5) * 255.0), F.lit(0)), F.lit(255)))
@@ -880,7 +896,7 @@ def list_samples_q(spark, sf):
 
 @query("stream_labels", W + "SELECT * FROM lbl")
 def stream_labels_q(spark, sf):
-    from panelscope.sources.sinks import scratch_dir
+    from panelscope.session import scratch_dir
     from panelscope.streaming import run_available, stream_labels
 
     s = stream_labels(spark, sf, "labels.parquet")
@@ -905,6 +921,24 @@ def assign_new_ids_q(spark, sf):
     return assign_new_ids(fr, cur_max, width).withColumnRenamed(KEY, "new_id")
 
 
+_LONG_ID = "concat('s', CASE WHEN p_partkey % 3 = 0 THEN '00' ELSE '' END, CASE WHEN p_partkey % 2 = 0 THEN '99999999999999999999999999' ELSE '' END, p_partkey, '.png')"
+
+
+@query(
+    "assign_new_ids_long",
+    f"""WITH p AS (SELECT {_LONG_ID} AS id, p_partkey FROM part),
+d AS (SELECT *, regexp_extract(id, {S.RE}, 2) AS dg FROM p),
+st AS (SELECT max(CAST(dg AS HUGEINT)) AS mx, max(length(dg)) AS w FROM d),
+r AS (SELECT *, row_number() OVER (ORDER BY CAST(dg AS HUGEINT), id) AS rk FROM d)
+SELECT id AS old_id, 's' || {S.zfill('st.mx + r.rk', 'st.w')} || '.png' AS new_id FROM r, st""",
+)
+def assign_new_ids_long_q(spark, sf):
+    """Id numbers of up to 30 digits: ordered, added to and padded as digits."""
+    ids = table(spark, sf, "part").select(F.expr(_LONG_ID).alias("old_id")).withColumn(KEY, F.col("old_id"))
+    cur_max, width = reference_id_stats(ids)
+    return assign_new_ids(ids, cur_max, width).withColumnRenamed(KEY, "new_id")
+
+
 @query(
     "amplify_id_reference",
     W + """, src AS (SELECT * FROM img WHERE CLASS < 5),

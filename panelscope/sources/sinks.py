@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import struct
-import uuid
 import warnings
 import zlib
 from collections.abc import Sequence
@@ -11,13 +10,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from panelscope.schema import KEY
-from panelscope.session import ensure_checkpoint_dir
-
-
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/panelscope-{name}-{uuid.uuid4().hex[:12]}"
 
 
 def _mkdirs(spark: SparkSession, path: str) -> None:

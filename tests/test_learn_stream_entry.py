@@ -96,3 +96,15 @@ def test_classify_defects_scores_rows_without_a_known_category(spark):
     got = model.transform(with_features(asked, "x")).collect()
     assert [r["prediction"] for r in got] == [0.0, 1.0, 1.0]
     assert all(len(r["probability"]) == 2 for r in got)
+
+
+def test_a_fitted_model_scores_after_rows_were_counted(spark):
+    from panelscope.operators.aggregates import observe_count
+    from panelscope.operators.learn import classify_defects, with_features
+
+    train = spark.createDataFrame([([float(i % 2), 1.0], "ab"[i % 2]) for i in range(20)], "x array<double>, LABEL_CATEGORY string")
+    counted, seen = observe_count(train, "before")
+    counted.collect()
+    assert seen.get["rows"] == 20
+    got = classify_defects(train, "x").transform(with_features(train, "x")).collect()
+    assert all((r["prediction"] == 0.0) == (r["LABEL_CATEGORY"] == "a") for r in got)

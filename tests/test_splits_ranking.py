@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelscope.operators.ranking import bucketed_rank
+from panelscope.operators.ranking import range_rank
 from panelscope.operators.splits import batches, peek, shuffle, split_80_20, split_conserves_rows, split_counts, split_exact, split_tail
 
 
@@ -14,24 +14,63 @@ def _ids(spark, n, dup=()):
     return spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "LABEL_SAMPLE_ID string, v int")
 
 
+def _ranks_like_window(got, df, *keys):
+    ref = df.withColumn("rn", F.row_number().over(Window.orderBy(*keys)))
+    return got.count() == df.count() and got.join(ref.select("id", "rn"), "id").where("r != rn").count() == 0
+
+
 @pytest.mark.parametrize("nb", [1, 4, 64])
-def test_bucketed_rank_equals_row_number(spark, nb):
+def test_range_rank_equals_row_number(spark, nb):
     random.seed(nb)
     rows = [(random.choice([None, 1, 2, 3, 5, 8]) if i % 3 == 0 else random.randint(0, 10**6), i) for i in range(3000)]
     df = spark.createDataFrame(rows, "x long, id long").repartition(7)
-    got = bucketed_rank(df, ["x", "id"], "r", num_buckets=nb, total_col="n")
-    ref = df.withColumn("rn", F.row_number().over(Window.orderBy("x", "id")))
-    j = got.join(ref.select("id", "rn"), ["id"], "full_outer")
-    assert j.where(F.col("r").isNull() | F.col("rn").isNull() | (F.col("r") != F.col("rn"))).count() == 0
-    assert got.agg(F.max("n")).first()[0] == 3000
+    got = range_rank(df, ["x", "id"], "r", nb, "n")
+    assert _ranks_like_window(got, df, "x", "id")
+    assert got.agg(F.max("n")).first()[0] == 3000 and got.columns == ["x", "id", "r", "n"]
+
+
+def _parts(monkeypatch):
+    """Rows of each partition that the next rankings write."""
+    from panelscope.operators import ranking
+
+    seen, numbered = [], ranking.numbered
+
+    def spy(parts, *a, **k):
+        seen.append([r["count"] for r in parts.groupBy(F.shiftright(ranking._POS, ranking.PLACE_BITS)).count().collect()])
+        return numbered(parts, *a, **k)
+
+    monkeypatch.setattr(ranking, "numbered", spy)
+    return seen
 
 
-def test_bucketed_rank_hot_value(spark):
-    # a third of the rows share one first-key value
-    rows = [(7, i) for i in range(2000)] + [(i, 10**6 + i) for i in range(4000)]
-    df = spark.createDataFrame(rows, "x long, id long")
-    got = bucketed_rank(df, ["x", "id"], "r", num_buckets=16)
-    assert got.agg(F.min("r"), F.max("r"), F.count_distinct("r")).first() == (1, 6000, 6000)
+@pytest.mark.parametrize("kind", ["one number", "long start", "null keys", "beyond doubles", "equal rows"])
+def test_no_partition_over_twice_the_mean(spark, monkeypatch, kind):
+    seen, n = _parts(monkeypatch), 24_000
+    ids = F.format_string("img2023_%09d.png", "id")
+    num = {
+        "one number": F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")), "long start": F.lit(7), "null keys": F.when(F.col("id") % 3 > 0, F.col("id")),
+        "beyond doubles": F.lit(1 << 53) + F.col("id") % 4, "equal rows": F.lit(1),
+    }[kind]
+    df = spark.range(n).select(num.cast("long").alias("num"), (F.lit("same") if kind == "equal rows" else ids).alias("id"))
+    got = range_rank(df.repartition(8), ["num", "id"], "r", 16, least_heavy=500)
+    if kind == "equal rows":
+        assert got.agg(F.min("r"), F.max("r"), F.count_distinct("r")).first() == (1, n, n)
+    else:
+        assert _ranks_like_window(got, df, "num", "id")
+    assert len(seen[0]) == 16 and max(seen[0]) < 2 * n / 16
+
+
+def test_range_rank_of_few_rows_in_many_partitions(spark, monkeypatch):
+    from panelscope.operators import ranking
+
+    jobs = []
+    run = ranking.written
+    monkeypatch.setattr(ranking, "written", lambda df, what: jobs.append(what) or run(df, what))
+    few = spark.createDataFrame([(None, "a"), (None, "b"), (1, "c"), (1, "d"), (2, "e")], "num long, id string")
+    for nb in (2, 2000):
+        assert _ranks_like_window(range_rank(few, ["num", "id"], "r", nb), few, "num", "id")
+    assert jobs == ["ranked"] * 2  # one table each, whatever the number of partitions
+    assert range_rank(few.limit(0), [F.col("num") + 1, "id"], "r", 8).count() == 0
 
 
 def test_split_exact_sizes_and_determinism(spark):
@@ -90,29 +129,47 @@ def test_split_exact_with_identical_rows_is_exact(spark):
         assert s.where("split = 'test' AND LABEL_SAMPLE_ID = 'zz'").count() == 0
 
 
-def test_split_exact_hot_id_is_spread_and_exact(spark):
-    from panelscope.operators.ranking import rank_buckets
-    from panelscope.operators.splits import _H, hash_order_key
-
+def test_split_exact_hot_id_is_exact(spark):
     # one id holds a third of the rows
     rows = [("hot.png", i) for i in range(3000)] + [(f"c{i:05d}.png", i) for i in range(6000)]
     df = spark.createDataFrame(rows, "LABEL_SAMPLE_ID string, v int").repartition(8)
-    keyed = df.withColumn(_H, hash_order_key(0, "LABEL_SAMPLE_ID")).withColumn("t", F.xxhash64("v"))
-    rb = rank_buckets(keyed, F.col(_H), 16, spread=F.col("t"))
-    assert rb.hot and max(len(b) for _, b in rb.hot.values()) >= 3
-    s = split_exact(df, 0.65, seed=0)
-    assert s.where("split = 'train'").count() == round(0.65 * 9000)
-    assert s.where("split = 'test' AND LABEL_SAMPLE_ID = 'hot.png'").count() == 0
+    for frac in (0.1, 0.5, 0.65, 0.9):
+        s = split_exact(df, frac, seed=0)
+        assert s.where("split = 'train'").count() == round(frac * 9000)
+        assert s.where("split = 'test' AND LABEL_SAMPLE_ID = 'hot.png'").count() == 0
+        kept = split_exact(df, frac, seed=0, drop_repeated=False)
+        assert {r["split"]: r["count"] for r in kept.groupBy("split").count().collect()} == {"train": round(frac * 9000), "test": 9000 - round(frac * 9000)}
+
+
+@pytest.mark.parametrize("n", [1, 100, 7001])
+def test_split_keeps_equal_rows(spark, n):
+    df = spark.createDataFrame([("same.png", 1)] * n, "LABEL_SAMPLE_ID string, v int").repartition(5)
+    s = split_80_20(df)
+    c = split_counts(s, df).first()
+    assert (c["n_test"], c["conserved"]) == (math.ceil(n * 0.2), True) and s.columns == ["LABEL_SAMPLE_ID", "v", "split"]
+
+
+def test_split_with_null_keys_and_no_rows(spark):
+    df = spark.createDataFrame([(None, i) for i in range(40)] + [(f"k{i}", i) for i in range(60)], "LABEL_SAMPLE_ID string, v int")
+    c = split_counts(split_80_20(df), df).first()
+    assert (c["n_train"], c["n_test"]) == (80, 20)
+    s = split_exact(df, 0.2, seed=1)
+    assert s.where("split = 'train'").count() == 20 and s.where("split = 'test' AND LABEL_SAMPLE_ID IS NULL").count() == 0
+    for frac in (0.0, 1.0):
+        assert split_exact(df.limit(0), frac).count() == 0
+        assert split_exact(df, frac, drop_repeated=False).where("split = 'train'").count() == 100 * frac
 
 
-def test_bucketed_rank_spreads_hot_value(spark):
-    rows = [(7, i) for i in range(3000)] + [(i, 10**6 + i) for i in range(6000)]
-    df = spark.createDataFrame(rows, "x long, id long").withColumn("h", F.xxhash64("id"))
-    got = bucketed_rank(df, ["x", "h"], "r", num_buckets=16, spread="h", bucket_col="b")
-    per_bucket = [r[1] for r in got.groupBy("b").count().collect()]
-    assert max(per_bucket) < 3000  # the hot value is split over tasks
-    ref = df.withColumn("rn", F.row_number().over(Window.orderBy("x", "h")))
-    assert got.join(ref.select("id", "rn"), "id").where("r != rn").count() == 0
+def test_split_draws_the_first_by_hash_key_and_row(spark):
+    """A few hash values only, so that every cut lies within one of them."""
+    from panelscope.operators import splits
+
+    rows = [(f"k{i % 3}", i % 11) for i in range(200)]
+    df = spark.createDataFrame(rows, "LABEL_SAMPLE_ID string, v long")
+    ranked = df.withColumn("h", splits.hash_order_key(5, "LABEL_SAMPLE_ID")).withColumn("t", splits._row_hash(df, 5)).orderBy("h", "LABEL_SAMPLE_ID", "t").collect()
+    for frac in (0.03, 0.33, 0.5, 0.77):
+        got = split_exact(df, frac, seed=5, drop_repeated=False).where("split = 'train'")
+        assert sorted(tuple(r)[:2] for r in got.collect()) == sorted(tuple(r)[:2] for r in ranked[: round(200 * frac)])
 
 
 def test_split_tail_hot_date(spark):
@@ -124,55 +181,9 @@ def test_split_tail_hot_date(spark):
     assert val == {k for _, k in ordered[int(9000 * 0.7):]}
 
 
-def test_rank_spreads_hot_number_with_string_ids(spark):
-    # a third of the ids share the number 1 (different prefixes)
-    rows = [(1, f"{chr(97 + i % 26)}{i:05d}_1.png") for i in range(3000)] + [(i + 2, f"c{i:05d}.png") for i in range(6000)]
-    df = spark.createDataFrame(rows, "num long, id string")
-    got = bucketed_rank(df, ["num", "id"], "r", num_buckets=16, spread="auto", bucket_col="b")
-    assert max(r[1] for r in got.groupBy("b").count().collect()) < 3000
-    ref = df.withColumn("rn", F.row_number().over(Window.orderBy("num", "id")))
-    assert got.join(ref.select("id", "rn"), "id").where("r != rn").count() == 0
-
-
 def test_split_80_20_keeps_repeated_keys(spark):
     from panelscope.operators.splits import split_80_20
 
     df = spark.range(1000).selectExpr("cast(id % 100 as string) as LABEL_SAMPLE_ID", "id as v")
     got = {r["split"]: r["count"] for r in split_80_20(df).groupBy("split").count().collect()}
     assert got == {"train": 800, "test": 200}
-
-
-def _ranks_like_window(got, df, *keys):
-    ref = df.withColumn("rn", F.row_number().over(Window.orderBy(*keys)))
-    return got.count() == df.count() and got.join(ref.select("id", "rn"), "id").where("r != rn").count() == 0
-
-
-@pytest.mark.parametrize("nb", [500, 2000])
-def test_unique_values_are_never_hot(spark, nb):
-    from panelscope.operators.ranking import rank_buckets
-
-    df = spark.range(100_000).withColumn("h", F.xxhash64("id"))
-    assert not rank_buckets(df, F.col("id"), nb, spread=F.col("h")).hot
-
-
-def test_bucketed_rank_spreads_ids_with_a_long_common_start(spark):
-    df = spark.range(20_000).select(F.lit(7).cast("long").alias("num"), F.format_string("img2023_%09d.png", "id").alias("id"))
-    got = bucketed_rank(df, ["num", "id"], "r", num_buckets=16, spread="auto", bucket_col="b")
-    assert max(r[1] for r in got.groupBy("b").count().collect()) < 4000
-    assert _ranks_like_window(got, df, "num", "id")
-
-
-def test_bucketed_rank_spreads_null_first_keys(spark):
-    df = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("num"), F.format_string("n%05d", F.col("id") * 7919 % 6007).alias("id"))
-    got = bucketed_rank(df, ["num", "id"], "r", num_buckets=16, spread="auto", bucket_col="b")
-    assert max(r[1] for r in got.where("num is null").groupBy("b").count().collect()) < 1000
-    assert _ranks_like_window(got, df, "num", "id")
-
-
-def test_bucketed_rank_of_few_rows_and_of_numbers_beyond_doubles(spark):
-    rows = [((1 << 53) + i % 4, f"k{7 * i % 400:03d}") for i in range(400)]
-    df = spark.createDataFrame(rows, "num long, id string")
-    assert _ranks_like_window(bucketed_rank(df, ["num", "id"], "r", num_buckets=64, spread="auto"), df, "num", "id")
-    few = spark.createDataFrame([(None, "a"), (None, "b"), (1, "c"), (1, "d"), (2, "e")], "num long, id string")
-    assert _ranks_like_window(bucketed_rank(few, ["num", "id"], "r", num_buckets=40, spread="auto"), few, "num", "id")
-    assert bucketed_rank(few.limit(0), ["num", "id"], "r", num_buckets=8, spread="auto").count() == 0
