@@ -177,13 +177,14 @@ def reference_id_stats(df: DataFrame, key: str = KEY, id_reference: DataFrame |
 
 # ---- stage-wise operators ---------------------------------------------------
 
+def _need_digits(row) -> None:
+    if row["n_without_digits"]:
+        raise ValueError(f"New ids are numbered after the ids in the data, but {row['n_without_digits']} of these have no digits.")
+
+
 def _stats_row(df: DataFrame, key: str):
     row = id_stats(df, key).first()
-    if row["n_without_digits"]:
-        raise ValueError(
-            "A numeric identifier could not be found for a sample ID. "
-            "Currently every sample must have a (partially) numeric ID."
-        )
+    _need_digits(row)
     return int(row["max_id"]), int(row["id_width"])
 
 
@@ -254,6 +255,119 @@ def stage_constants(n: int, max_id: int, width: int, n_t: int, n_m: int, n_r: in
     return out
 
 
+@dataclass(frozen=True)
+class Amplification:
+    """The base rows with their rank, and what follows from it for each variant.
+
+    Made from narrow rows, it can be applied to the same rows with pixels
+    (``expand(image, rows)``), so that images take no part in the ranking."""
+
+    rows: DataFrame
+    columns: tuple[str, ...]
+    stages: tuple
+    combos: tuple[dict, ...]
+    key: str
+    semantics: str
+
+    def expand(self, image, rows: DataFrame | None = None) -> DataFrame:
+        """All variants of ``rows`` (default: the ranked rows): ids, metadata and, unless ``image`` is None, pixels."""
+        rows = self.rows if rows is None else rows
+        columns = [c for c in rows.columns if c != _RANK]
+        key, discard = self.key, self.semantics == "observed"
+        (n1, m1, _), (n2, m2, _), (_, m3, _) = self.stages
+        # id parts once per base row, before the expansion
+        base = rows.withColumns({"_pre": id_prefix(F.col(key)), "_suf": id_suffix(F.col(key))})
+        struct = image is not None and px.check_image_column(rows, image.col) == "struct"
+        if struct:
+            from panelscope.operators.images import expand_variants
+
+            h, w = F.col(f"{image.col}.height"), F.col(f"{image.col}.width")
+            moves = {c["vt"]: c for c in self.combos}
+            still = (F.lit(0), F.lit(0))
+            pairs = [still if discard or not vt else px.translation_shifts(F.lit(c["tx"]), F.lit(c["ty"]), F.lit(c["txi"]), F.lit(c["tyi"]), h, w, self.semantics) for vt, c in sorted(moves.items())]
+            shifts = F.array(*[F.struct(x.cast("int").alias("dx"), y.cast("int").alias("dy")) for x, y in pairs])
+            e = expand_variants(base, image.col, shifts, [(c["vt"], c["axis"], 0 if discard else c["deg"]) for c in self.combos], "_v")
+            e = e.withColumn("_var", F.element_at(_variant_array(self.combos), F.col("_v") + 1))
+        else:
+            e = base.withColumn("_var", F.explode(_variant_array(self.combos)))
+        vt, vm, vr, r1 = F.col("_var.vt"), F.col("_var.vm"), F.col("_var.vr"), F.col(_RANK)
+        r2 = vt * F.lit(n1) + r1
+        r3 = vm * F.lit(n2) + r2
+        num1 = add_to(m1, (vt - 1) * F.lit(n1) + r1)
+        num2 = add_to(m2, (vm - 1) * F.lit(n2) + r2)
+        num3 = add_to(m3, (vr - 1) * F.lit(self.stages[2][0]) + r3)
+        pre, suf = F.col("_pre"), F.col("_suf")
+        w1, w2, w3 = (s[2] for s in self.stages)
+        new_id = (
+            F.when(vr > 0, F.concat(pre, zfill(num3, w3), suf))
+            .when(vm > 0, F.concat(pre, zfill(num2, w2), suf))
+            .when(vt > 0, F.concat(pre, zfill(num1, w1), suf))
+            .otherwise(F.col(key))
+        )
+        meta = {
+            key: new_id,
+            "TRANSL_X": F.when(vt > 0, F.col("_var.tx")).otherwise(F.col("TRANSL_X")).cast("double"),
+            "TRANSL_Y": F.when(vt > 0, F.col("_var.ty")).otherwise(F.col("TRANSL_Y")).cast("double"),
+            "ROT_DEG": F.when(vr > 0, F.col("_var.deg")).otherwise(F.col("ROT_DEG")).cast("short"),
+        }
+        if self.semantics == "documented":
+            meta["MIRROR_AXIS"] = F.when(vm > 0, F.col("_var.axis")).otherwise(F.col("MIRROR_AXIS")).cast("short")
+        e = e.withColumns(meta)
+        if image is not None and not struct:
+            zero = F.lit(0)
+            e = _apply_pixels(
+                e,
+                image,
+                F.when(vt > 0, F.col("_var.tx")).otherwise(F.lit(0.0)),
+                F.when(vt > 0, F.col("_var.ty")).otherwise(F.lit(0.0)),
+                F.col("_var.txi"),
+                F.col("_var.tyi"),
+                F.when(vm > 0, F.col("_var.axis")).otherwise(zero),
+                F.when(vr > 0, F.col("_var.deg")).otherwise(zero),
+                self.semantics,
+            )
+        return e.select(*columns)
+
+
+def untouched() -> Column:
+    """Rows that are base rows: metadata all 0; rows without metadata (unmatched in an outer merge) are none."""
+    plain = (F.col("TRANSL_X") == 0) & (F.col("TRANSL_Y") == 0) & (F.col("MIRROR_AXIS") == 0) & (F.col("ROT_DEG") == 0)
+    return F.coalesce(plain, F.lit(False))
+
+
+def amplification(
+    df: DataFrame,
+    translations=DEFAULT_TRANSLATIONS,
+    mirror_axes=DEFAULT_MIRROR_AXES,
+    rotations=DEFAULT_ROTATIONS,
+    key: str = KEY,
+    semantics: str = "documented",
+    num_buckets: int | None = None,
+    id_reference: DataFrame | None = None,
+    stats=None,
+) -> Amplification:
+    """The amplification of ``df``, whose rows must all be base rows. One
+    aggregate and one ranking; ``stats`` is the row of ``id_stats`` if known."""
+    tr, axes, rots = check_translations(translations, semantics), check_mirror_axes(mirror_axes), check_rotations(rotations)
+    if stats is None:
+        stats = id_stats_with(df, key, F.count_if(~untouched()).alias("n_touched")).first()
+        if stats["n_touched"]:
+            raise ValueError(f"{stats['n_touched']} row(s) are amplified already or have no amplification metadata.")
+    _need_digits(stats)
+    n, m0, w0 = int(stats["n_rows"]), int(stats["max_id"]), int(stats["id_width"])
+    if id_reference is not None:
+        rm, rw = _stats_row(id_reference, key)
+        m0, w0 = max(m0, rm), max(w0, rw)
+    combos = []
+    for vt, (x, y) in enumerate([(0, 0), *tr]):
+        for vm, axis in enumerate([0, *axes]):
+            for vr, deg in enumerate([0, *rots]):
+                combos.append(dict(vt=vt, tx=float(x), ty=float(y), txi=_is_int(x), tyi=_is_int(y), vm=vm, axis=axis, vr=vr, deg=deg))
+    stages = stage_constants(n, m0, w0, len(tr), len(axes), len(rots))
+    ranked = id_ranked(df, key, num_buckets).drop(_N)
+    return Amplification(ranked, tuple(df.columns), tuple(stages), tuple(combos), key, semantics)
+
+
 def amplify(
     df: DataFrame,
     image,
@@ -276,68 +390,11 @@ def amplify(
     tr = check_translations(translations, semantics)
     axes = check_mirror_axes(mirror_axes)
     rots = check_rotations(rotations)
-    # rows without metadata (unmatched in an outer merge) are no base rows either
-    plain = (F.col("TRANSL_X") == 0) & (F.col("TRANSL_Y") == 0) & (F.col("MIRROR_AXIS") == 0) & (F.col("ROT_DEG") == 0)
-    touched = F.count_if(~F.coalesce(plain, F.lit(False)))
-    srow = id_stats_with(df, key, touched.alias("n_touched")).first()
-    if srow["n_without_digits"]:
-        raise ValueError(
-            "A numeric identifier could not be found for a sample ID. "
-            "Currently every sample must have a (partially) numeric ID."
-        )
+    srow = id_stats_with(df, key, F.count_if(~untouched()).alias("n_touched")).first()
+    _need_digits(srow)
     if srow["n_touched"]:
         # rows that are amplified already, or have no metadata: the per-stage path handles eligibility
         out = add_translated(df, image, tr, key, semantics, num_buckets, id_reference)
         out = add_mirrored(out, image, axes, key, semantics, num_buckets)
         return add_rotated(out, image, rots, key, semantics, num_buckets)
-    n, m0, w0 = int(srow["n_rows"]), int(srow["max_id"]), int(srow["id_width"])
-    if id_reference is not None:
-        rm, rw = _stats_row(id_reference, key)
-        m0, w0 = max(m0, rm), max(w0, rw)
-    (n1, m1, w1), (n2, m2, w2), (n3, m3, w3) = stage_constants(n, m0, w0, len(tr), len(axes), len(rots))
-
-    combos = []
-    for vt, (x, y) in enumerate([(0, 0), *tr]):
-        for vm, axis in enumerate([0, *axes]):
-            for vr, deg in enumerate([0, *rots]):
-                combos.append(dict(vt=vt, tx=float(x), ty=float(y), txi=_is_int(x), tyi=_is_int(y), vm=vm, axis=axis, vr=vr, deg=deg))
-    ranked = id_ranked(df, key, num_buckets)
-    # id parts once per base row, before the expansion
-    ranked = ranked.withColumns({"_pre": id_prefix(F.col(key)), "_suf": id_suffix(F.col(key))})
-    e = ranked.withColumn("_var", F.explode(_variant_array(combos)))
-    vt, vm, vr = F.col("_var.vt"), F.col("_var.vm"), F.col("_var.vr")
-    r1 = F.col(_RANK)
-    r2 = vt * F.lit(n1) + r1
-    r3 = vm * F.lit(n2) + r2
-    num1 = add_to(m1, (vt - 1) * F.lit(n1) + r1)
-    num2 = add_to(m2, (vm - 1) * F.lit(n2) + r2)
-    num3 = add_to(m3, (vr - 1) * F.lit(n3) + r3)
-    pre, suf = F.col("_pre"), F.col("_suf")
-    new_id = (
-        F.when(vr > 0, F.concat(pre, zfill(num3, w3), suf))
-        .when(vm > 0, F.concat(pre, zfill(num2, w2), suf))
-        .when(vt > 0, F.concat(pre, zfill(num1, w1), suf))
-        .otherwise(F.col(key))
-    )
-    meta = {
-        key: new_id,
-        "TRANSL_X": F.when(vt > 0, F.col("_var.tx")).otherwise(F.col("TRANSL_X")).cast("double"),
-        "TRANSL_Y": F.when(vt > 0, F.col("_var.ty")).otherwise(F.col("TRANSL_Y")).cast("double"),
-        "ROT_DEG": F.when(vr > 0, F.col("_var.deg")).otherwise(F.col("ROT_DEG")).cast("short"),
-    }
-    if semantics == "documented":
-        meta["MIRROR_AXIS"] = F.when(vm > 0, F.col("_var.axis")).otherwise(F.col("MIRROR_AXIS")).cast("short")
-    e = e.withColumns(meta)
-    zero = F.lit(0)
-    e = _apply_pixels(
-        e,
-        image,
-        F.when(vt > 0, F.col("_var.tx")).otherwise(F.lit(0.0)),
-        F.when(vt > 0, F.col("_var.ty")).otherwise(F.lit(0.0)),
-        F.col("_var.txi"),
-        F.col("_var.tyi"),
-        F.when(vm > 0, F.col("_var.axis")).otherwise(zero),
-        F.when(vr > 0, F.col("_var.deg")).otherwise(zero),
-        semantics,
-    )
-    return e.select(*df.columns)
+    return amplification(df, tr, axes, rots, key, semantics, num_buckets, id_reference, srow).expand(image)

@@ -8,10 +8,11 @@ numpy call, so the Python cost is per batch and group, not per pixel.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,27 +87,51 @@ def geometry_kernel(img, dx, dy, axis, deg) -> Column:
     return _geometry_udf(as_col(img), as_col(dx).cast("int"), as_col(dy).cast("int"), as_col(axis).cast("int"), as_col(deg).cast("int"))
 
 
-def _map_struct(fn: Callable[[np.ndarray], np.ndarray]):
+def shape_groups(height, width, channels, data) -> dict[tuple[int, int, int], list[int]]:
+    """(h, w, c) -> the places of the images of that shape; those without pixels are left out."""
+    groups: dict[tuple[int, int, int], list[int]] = {}
+    for i, (h, w, c, d) in enumerate(zip(height, width, channels, data)):
+        if isinstance(d, (bytes, bytearray)):
+            groups.setdefault((int(h), int(w), int(c)), []).append(i)
+    return groups
+
+
+def stacked(data, shape: tuple[int, int, int], at: list[int]) -> np.ndarray:
+    """The images at the given places as one (N, h, w, c) array."""
+    return np.frombuffer(b"".join([data[i] for i in at]), dtype=np.uint8).reshape(len(at), *shape)
+
+
+def _map_stacks(fn: Callable[[np.ndarray], np.ndarray]):
+    """``fn`` takes and gives (N, h, w, c): one call for all images of a batch that have one shape."""
+
     @F.pandas_udf(IMAGE_STRUCT)
     def udf(img: pd.DataFrame) -> pd.DataFrame:
         n = len(img)
         heights, widths, chans, datas = [None] * n, [None] * n, [None] * n, [None] * n
         cols = [img[c].tolist() for c in ("height", "width", "nChannels", "data")]
-        for i, (h, w, c, d) in enumerate(zip(*cols)):
-            if not isinstance(d, (bytes, bytearray)):
-                continue
-            a = np.ascontiguousarray(fn(np.frombuffer(d, dtype=np.uint8).reshape(int(h), int(w), int(c))).astype(np.uint8, copy=False))
-            if a.ndim == 2:
-                a = a[..., None]
-            heights[i], widths[i], chans[i], datas[i] = a.shape[0], a.shape[1], a.shape[2], a.tobytes()
+        for shape, at in shape_groups(*cols).items():
+            moved = np.ascontiguousarray(fn(stacked(cols[3], shape, at)).astype(np.uint8, copy=False))
+            flat = moved.reshape(len(at), -1)
+            for j, i in enumerate(at):
+                heights[i], widths[i], chans[i], datas[i] = *moved.shape[1:], flat[j].tobytes()
         return _struct_frame(img["origin"].tolist(), heights, widths, chans, datas)
 
     return udf
 
 
+def map_stacks(df: DataFrame, fn: Callable[[np.ndarray], np.ndarray], col: str = "SAMPLE", out_col: str | None = None) -> DataFrame:
+    """Apply ``fn(ndarray (N, h, w, c) uint8) -> ndarray (N, h', w', c')`` to stacks of images of one shape."""
+    return df.withColumn(out_col or col, _map_stacks(fn)(F.col(col)))
+
+
 def map_images(df: DataFrame, fn: Callable[[np.ndarray], np.ndarray], col: str = "SAMPLE", out_col: str | None = None) -> DataFrame:
-    """Apply any ``fn(ndarray (h,w,c) uint8) -> ndarray`` to every image."""
-    return df.withColumn(out_col or col, _map_struct(fn)(F.col(col)))
+    """Apply any ``fn(ndarray (h,w,c) uint8) -> ndarray`` to every image; all images of one shape must give one shape."""
+
+    def each(stack: np.ndarray) -> np.ndarray:
+        out = np.stack([fn(a) for a in stack])
+        return out[..., None] if out.ndim == 3 else out
+
+    return map_stacks(df, each, col, out_col)
 
 
 def _gray(a: np.ndarray) -> np.ndarray:
@@ -121,19 +146,29 @@ def _binary(a: np.ndarray, thresh: int = 128, maxval: int = 255) -> np.ndarray:
     return np.where(a > thresh, maxval, 0).astype(np.uint8)
 
 
+def _bgr(a: np.ndarray) -> np.ndarray:
+    return np.repeat(a, 3, axis=-1) if a.shape[-1] == 1 else a[..., :3]
+
+
 def to_gray(df: DataFrame, col: str = "SAMPLE") -> DataFrame:
     """BGR and BGRA images -> 1 channel; other images unchanged."""
-    return map_images(df, _gray, col)
+    return map_stacks(df, _gray, col)
 
 
 def to_binary(df: DataFrame, col: str = "SAMPLE", thresh: int = 128, maxval: int = 255) -> DataFrame:
     """Gray first (binary implies gray), then pixel > thresh -> maxval else 0."""
-    return map_images(df, lambda a: _binary(_gray(a), thresh, maxval), col)
+    return map_stacks(df, lambda a: _binary(_gray(a), thresh, maxval), col)
+
+
+def to_bgr(df: DataFrame, col: str = "SAMPLE") -> DataFrame:
+    """Three channels whatever the file held: gray is repeated, transparency dropped."""
+    return map_stacks(df, _bgr, col)
 
 
 def resize_bilinear(a: np.ndarray, out_h: int, out_w: int) -> np.ndarray:
-    """Bilinear resize with half-pixel centres (the common library default)."""
-    h, w, c = a.shape
+    """Bilinear resize with half-pixel centres (the common library default) of
+    one image (h, w, c) or a stack of them (N, h, w, c)."""
+    h, w = a.shape[-3:-1]
     if (h, w) == (out_h, out_w):
         return a
     ys = np.clip((np.arange(out_h) + 0.5) * (h / out_h) - 0.5, 0, h - 1)
@@ -142,13 +177,48 @@ def resize_bilinear(a: np.ndarray, out_h: int, out_w: int) -> np.ndarray:
     y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
     fy, fx = (ys - y0)[:, None, None], (xs - x0)[None, :, None]
     f = a.astype(np.float64)
-    top = f[y0][:, x0] * (1 - fx) + f[y0][:, x1] * fx
-    bot = f[y1][:, x0] * (1 - fx) + f[y1][:, x1] * fx
+    upper, lower = f[..., y0, :, :], f[..., y1, :, :]
+    top = upper[..., x0, :] * (1 - fx) + upper[..., x1, :] * fx
+    bot = lower[..., x0, :] * (1 - fx) + lower[..., x1, :] * fx
     return np.clip(np.rint(top * (1 - fy) + bot * fy), 0, 255).astype(np.uint8)
 
 
 def resize(df: DataFrame, out_h: int, out_w: int, col: str = "SAMPLE") -> DataFrame:
-    return map_images(df, lambda a: resize_bilinear(a, out_h, out_w), col)
+    return map_stacks(df, lambda a: resize_bilinear(a, out_h, out_w), col)
+
+
+def expand_variants(df: DataFrame, col: str, shifts: Column, variants: Sequence[tuple[int, int, int]], out: str) -> DataFrame:
+    """Each row once for every (translation, mirror axis, degrees) of ``variants``,
+    with the image rotate(mirror(translate(img))) and the variant's index in ``out``.
+
+    ``shifts`` is a list of structs (dx, dy) by translation. An image crosses to Python once;
+    a batch's other columns are passed on as they are, once per variant."""
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.IntegerType())])
+    at = df.columns.index(col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            img = batch.column(at)
+            cols = [img.field(c).to_pylist() for c in ("height", "width", "nChannels", "data")]
+            groups = {s: (i, stacked(cols[3], s, i)) for s, i in shape_groups(*cols).items()}
+            moves = batch.column(batch.num_columns - 1)
+            n = batch.num_rows
+            for v, (vt, axis, deg) in enumerate(variants):
+                heights, widths, datas = [None] * n, [None] * n, [None] * n
+                for (h, w, _), (places, stack) in groups.items():
+                    if (axis in (3, 4) or deg % 360) and h != w and h * w > 1:
+                        raise ValueError(f"Operation is supported only for square images. Got image of dimensions {h}x{w}.")
+                    move = moves[places[0]].as_py()[vt]  # depends on the shape alone
+                    moved = np.ascontiguousarray(_geometry_stack(stack, move["dx"], move["dy"], axis, deg))
+                    flat = moved.reshape(len(places), -1)
+                    for j, i in enumerate(places):
+                        heights[i], widths[i], datas[i] = moved.shape[1], moved.shape[2], flat[j].tobytes()
+                made = {"height": pa.array(heights, pa.int32()), "width": pa.array(widths, pa.int32()), "data": pa.array(datas, pa.binary())}
+                image = pa.StructArray.from_arrays([made.get(f.name, img.field(f.name)) for f in img.type], fields=list(img.type), mask=img.is_null())
+                rest = [image if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array([v] * n, pa.int32())], names=schema.names)
+
+    return df.withColumn("_shifts", shifts).mapInArrow(run, schema)
 
 
 def dataset_to_gray(df: DataFrame, col: str = "SAMPLE", state: dict | None = None) -> DataFrame:

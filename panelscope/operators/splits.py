@@ -77,6 +77,7 @@ def split_exact(
     split_col: str = "split",
     test_size: float | None = None,
     drop_repeated: bool = True,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Train = exactly ``round(frac * n)`` rows drawn by hash order; test =
     the other rows, but rows whose key is repeated in the data are dropped
@@ -90,11 +91,14 @@ def split_exact(
     counted, and once to compare each row with the cut. Rows that share the hash at
     the cut are ordered by key, then by a hash of the whole row, for which the
     rows of that hash alone are read once more. Rows equal in all of that are dealt
-    by number, so that none is lost and the sizes stay exact."""
+    by number, so that none is lost and the sizes stay exact.
+
+    ``keys`` is a cheaper frame of the same keys (say, without pixels): it is
+    hashed and counted instead, and ``df`` is only compared."""
     if not 0.0 <= train_frac <= 1.0:
         raise ValueError(f"train_frac must be within [0, 1], got {train_frac}.")
     h = F.coalesce(hash_order_key(seed, key), F.lit(0))
-    keys = written(df.select(F.col(key), h.alias(_H)), "split-keys")
+    keys = written((df if keys is None else keys).select(F.col(key), h.alias(_H)), "split-keys")
     n = keys.count()
     out = _first(df, key, keys, h, n, train_size(n, train_frac, test_size), seed, split_col)
     if drop_repeated:

@@ -883,6 +883,55 @@ def scan_images_q(spark, sf):
     return imgs.select(KEY, px_digest(to_feature_vector("SAMPLE")).alias("px_digest"))
 
 
+def export_labels(spark, sf, rows=None) -> str:
+    """A label file (a folder of text parts) with a line for each row of ``labels`` that has an image."""
+    from panelscope.session import scratch_dir
+    from panelscope.sources.labels import label_lines_from_table
+
+    out = scratch_dir(spark, "labels")
+    lines = table(spark, sf, "labels").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    label_lines_from_table(lines).write.text(out)
+    return out
+
+
+_LOADED = """, got AS (SELECT img.*, lbl.LABEL_CATEGORY, lbl.TYPE FROM img JOIN lbl USING (LABEL_SAMPLE_ID))"""
+
+
+@query(
+    "load_image_dataset",
+    W + _LOADED + f"""
+SELECT LABEL_SAMPLE_ID, LABEL_CATEGORY, {S.digest(_QUANT_SQL)} AS px_digest,
+       (SELECT count(*) FROM got WHERE TYPE = 'poly') AS n_decoded, 0::BIGINT AS n_failed
+FROM got JOIN embeddings ON LABEL_SAMPLE_ID = {S.sid('vec_id')} WHERE TYPE = 'poly'""",
+)
+def load_image_dataset_q(spark, sf):
+    """Label file and image files written from the tables, loaded by the user's
+    entry point: joined and filtered as narrow rows, then only the images left are decoded."""
+    from panelscope.operators.images import to_feature_vector
+    from panelscope.plans.datasets import load_image_dataset
+
+    ds = load_image_dataset(spark, export_labels(spark, sf), export_embeddings_as_png(spark, sf), check="pairs").filter("LABEL_PATH IS NOT NULL AND SAMPLE_PATH IS NOT NULL")
+    got = ds.pixels()
+    n = [F.lit(ds.counts[k]).cast("bigint").alias(f"n_{k}") for k in ("decoded", "failed")]
+    return got.select(KEY, "LABEL_CATEGORY", px_digest(to_feature_vector("SAMPLE")).alias("px_digest"), *n)
+
+
+@query(
+    "prepare_for_training",
+    W + _LOADED + f""", src AS (SELECT got.* EXCLUDE (SAMPLE), {_QUANT_SQL} AS SAMPLE FROM got JOIN embeddings ON LABEL_SAMPLE_ID = {S.sid('vec_id')} WHERE TYPE = 'poly'), """
+    + S.amplify_sql("src", _T2, (1, 2, 3, 4), (90, 180, 270), carry=("LABEL_CATEGORY",))
+    + f""", r AS ({_rank_sql('amp', 'LABEL_SAMPLE_ID', 0, ', LABEL_CATEGORY, px_digest')})
+SELECT LABEL_SAMPLE_ID, LABEL_CATEGORY, px_digest, CASE WHEN rk <= CAST(round_even(n::DOUBLE * 0.65::DOUBLE, 0) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM r""",
+)
+def prepare_for_training_q(spark, sf):
+    """The same files -> filter -> 60-fold amplification -> exact split; ranks and cut without pixels."""
+    from panelscope.operators.images import to_feature_vector
+    from panelscope.plans.datasets import load_image_dataset, prepare_for_training
+
+    ds = load_image_dataset(spark, export_labels(spark, sf), export_embeddings_as_png(spark, sf), check="pairs").filter("LABEL_PATH IS NOT NULL AND SAMPLE_PATH IS NOT NULL")
+    return prepare_for_training(ds).select(KEY, "LABEL_CATEGORY", px_digest(to_feature_vector("SAMPLE")).alias("px_digest"), "split")
+
+
 @query("list_samples", W + "SELECT LABEL_SAMPLE_ID, '.png' AS suffix FROM img")
 def list_samples_q(spark, sf):
     from panelscope.functions.ids import basename, suffix_lower

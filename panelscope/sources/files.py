@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelscope.functions.ids import IMAGE_EXTENSIONS, basename, is_image_file
 from panelscope.functions.scalars import one_hot
 from panelscope.operators.projections import base_amplify_meta
-from panelscope.schema import KEY, SCHEMA_SAMPLES_IMAGE, cast_to_schema
+from panelscope.schema import IMAGE_STRUCT, KEY, SCHEMA_SAMPLES_IMAGE, cast_to_schema
+from panelscope.session import scratch_dir, written
 
 
 def _paths(dirs) -> list[str]:
@@ -47,23 +50,92 @@ def list_samples(
     return df.where(pred)
 
 
-def scan_images(spark: SparkSession, dirs, recursive: bool = True, extensions=IMAGE_EXTENSIONS, invalid: str = "drop") -> DataFrame:
-    """Images under the folders as samples: ``SAMPLE`` (image struct, BGR),
+def list_images(spark: SparkSession, dirs, recursive: bool = True, extensions=IMAGE_EXTENSIONS) -> DataFrame:
+    """The image files under the folders as samples without pixels: paths,
+    ``LABEL_SAMPLE_ID`` = file name, amplification metadata 0. Only the listing
+    is read; ``read_pixels`` gives the pixels of the rows that are left in the end."""
+    files = list_samples(spark, dirs, case_insensitive_glob(extensions), recursive, is_image_file(F.col("path"), extensions))
+    path = F.col("path")
+    out = base_amplify_meta(files.select(path.alias("SAMPLE_PATH"), path.alias("SAMPLE_PATH_CATEGORY"), basename(path).alias(KEY)))
+    return cast_to_schema(out, T.StructType([f for f in SCHEMA_SAMPLES_IMAGE if f.name != "SAMPLE"]))
+
+
+#: Files opened by one block of ``read_pixels``: so many paths are with the driver at a time.
+BLOCK_FILES = 50_000
+
+
+def _origin_path(origin) -> Column:
+    """The path of an image's origin, a URI in which percent signs are decoded and plus signs are not."""
+    return F.try_url_decode(F.replace(_strip_scheme(origin), F.lit("+"), F.lit("%2B")))
+
+
+def read_pixels(rows: DataFrame, path_col: str = "SAMPLE_PATH", col: str = "SAMPLE", channels: int | None = None, counts: dict | None = None, block: int = BLOCK_FILES) -> DataFrame:
+    """``rows`` with the image of the file at ``path_col``, decoded once each.
+
+    The rows are written first, so what selected them is not done again. Then,
+    in blocks of about ``block`` files, the image source opens just the files
+    of the block, and their pixels meet the block's rows, which are sent to the
+    tasks (beyond twice the block, where paths repeat, they are joined by
+    shuffle). The blocks are appended to one table: pixels are neither shuffled nor decoded again later.
+
+    A file that doesn't decode, and a null path, give a null image; ``channels=3``
+    makes every image BGR. ``counts`` receives ``decoded`` and ``failed`` files.
+    A file that has gone since it was listed is an error."""
+    spark = rows.sparkSession
+    schema = T.StructType([*[f for f in rows.schema if f.name != col], T.StructField(col, IMAGE_STRUCT)])
+    narrow = written(rows.drop(col), "listed")
+    n = narrow.agg(F.count_distinct(path_col)).first()[0]
+    target = scratch_dir(spark, "pixels")
+    seen = {"decoded": 0, "failed": 0}
+    blocks = -(-n // block)
+    for b in range(blocks):
+        part = narrow.where(F.col(path_col).isNotNull() & (F.pmod(F.xxhash64(path_col), F.lit(blocks)) == b))
+        paths = [r[0] for r in part.select(path_col).distinct().collect()]  # about ``block`` of them
+        if not paths:
+            continue
+        images = spark.read.format("image").option("dropInvalid", "false").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths])
+        found = images.select(_origin_path(F.col("image.origin")).alias("_path"), F.when(F.col("image.nChannels") > 0, F.col("image")).alias(col))
+        watch = Observation()
+        found = found.observe(watch, F.count(col).alias("decoded"), F.count_if(F.col(col).isNull()).alias("failed"))
+        if channels == 3:
+            from panelscope.operators.images import to_bgr
+
+            found = to_bgr(found, col)
+        side = F.broadcast(part) if part.count() <= 2 * block else part
+        joined = found.join(side, F.col("_path") == F.col(path_col)).select(*schema.names)
+        joined.write.mode("append").parquet(target)
+        seen = {k: v + watch.get[k] for k, v in seen.items()}
+    without = narrow.where(F.col(path_col).isNull()).withColumn(col, F.lit(None).cast(IMAGE_STRUCT)).select(*schema.names)
+    without.write.mode("append").parquet(target)
+    if counts is not None:
+        counts.update(seen)
+    return spark.read.schema(schema).parquet(target)
+
+
+def scan_images(spark: SparkSession, dirs, recursive: bool = True, extensions=IMAGE_EXTENSIONS, invalid: str = "keep", channels: int | None = None) -> DataFrame:
+    """All images under the folders as samples: ``SAMPLE`` (image struct, BGR),
     paths, ``LABEL_SAMPLE_ID`` = file name, amplification metadata 0.
-    Files that do not decode are dropped; with ``invalid="keep"`` their rows
-    stay, with a NULL ``SAMPLE``, so they can be counted."""
-    reader = spark.read.format("image").option("dropInvalid", str(invalid != "keep").lower()).option("pathGlobFilter", case_insensitive_glob(extensions))
+    Rows of files that do not decode stay, with a NULL ``SAMPLE``;
+    ``invalid="drop"`` leaves them out. ``channels=3`` makes every image BGR.
+
+    It decodes whatever it reads: to filter by labels first, use ``list_images`` and ``read_pixels``."""
+    if invalid not in ("keep", "drop"):
+        raise ValueError(f"invalid is keep or drop, got {invalid!r}.")
+    reader = spark.read.format("image").option("dropInvalid", str(invalid == "drop").lower()).option("pathGlobFilter", case_insensitive_glob(extensions))
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     img = reader.load(_paths(dirs))
-    # the origin is a URI: percent signs are decoded, plus signs are not
-    path = F.try_url_decode(F.replace(_strip_scheme(F.col("image.origin")), F.lit("+"), F.lit("%2B")))
+    path = _origin_path(F.col("image.origin"))
     out = img.select(
         F.when(F.col("image.nChannels") > 0, F.col("image")).alias("SAMPLE"),
         path.alias("SAMPLE_PATH"),
         path.alias("SAMPLE_PATH_CATEGORY"),
         basename(path).alias(KEY),
     )
+    if channels == 3:
+        from panelscope.operators.images import to_bgr
+
+        out = to_bgr(out)
     return cast_to_schema(base_amplify_meta(out), SCHEMA_SAMPLES_IMAGE)
 
 

@@ -47,11 +47,12 @@ def test_list_samples(spark, image_dir):
     assert txt == 1
 
 
-def test_scan_images_decodes_bgr_and_drops_invalid(spark, image_dir):
+def test_scan_images_decodes_bgr_and_keeps_invalid(spark, image_dir):
     root, imgs = image_dir
     df = scan_images(spark, root)
     rows = {r["LABEL_SAMPLE_ID"]: r for r in df.collect()}
-    assert set(rows) == set(imgs)
+    assert set(rows) == {*imgs, "broken0007.png"} and rows["broken0007.png"]["SAMPLE"] is None
+    assert {r["LABEL_SAMPLE_ID"] for r in scan_images(spark, root, invalid="drop").collect()} == set(imgs)
     r = rows["cell0002.png"]
     got = np.frombuffer(r["SAMPLE"]["data"], np.uint8).reshape(6, 6, 3)
     assert (got == imgs["cell0002.png"]).all()  # png_bytes stores BGR input as RGB; the source gives BGR back
@@ -102,7 +103,8 @@ def test_amplify_struct_images(spark, image_dir):
 
 def test_validate_images(spark, image_dir):
     root, _ = image_dir
-    df = scan_images(spark, root)
+    assert {r["reason"]: r["n"] for r in I.validate_images(scan_images(spark, root)).collect()} == {"ok": 6, "not_an_image": 1}
+    df = scan_images(spark, root, invalid="drop")
     rep = {r["reason"]: r["n"] for r in I.validate_images(df).collect()}
     assert rep == {"ok": 6}
     bad = df.withColumn("SAMPLE", F.struct(F.lit("x").alias("origin"), F.lit(2).alias("height"), F.lit(3).alias("width"),
@@ -135,7 +137,7 @@ def test_dir_as_label_and_gray_by_dir(spark, image_dir):
 
 def test_sinks(spark, image_dir, tmpdir_path):
     root, imgs = image_dir
-    df = scan_images(spark, root).withColumn("LABEL_CATEGORY", F.lit("pass")).withColumn("split", F.lit("train"))
+    df = scan_images(spark, root, invalid="drop").withColumn("LABEL_CATEGORY", F.lit("pass")).withColumn("split", F.lit("train"))
     out = os.path.join(tmpdir_path, "export")
     export_png(df, out)
     back = scan_images(spark, out)
@@ -163,7 +165,7 @@ def test_dataset_conversions_and_helpers(spark, image_dir):
     from panelscope.operators.projections import const_columns, project_images
 
     root, _ = image_dir
-    df = scan_images(spark, root)
+    df = scan_images(spark, root, invalid="drop")
     state = {}
     b = I.dataset_to_binary(df, state=state)
     assert state == {"gray": True, "binary": True}
@@ -180,23 +182,95 @@ def test_dataset_conversions_and_helpers(spark, image_dir):
     assert tr.count() + te.count() == 6 and tr.columns == ["features", "label"]
 
 
+def _labelled(tmpdir_path, names):
+    lbl = os.path.join(tmpdir_path, "labels.csv")
+    with open(lbl, "w") as fh:
+        for i, n in enumerate(names):
+            p = (0.0, 1.0, 1 / 3, 2 / 3)[i % 4]
+            fh.write(f"images/{n.replace(' ', '_')}  {p}  {'poly' if p < 0.9 else 'mono'}\n")
+    return lbl
+
+
 def test_load_image_dataset_end_to_end(spark, image_dir, tmpdir_path):
     from panelscope.plans.datasets import load_image_dataset, prepare_for_training, write_training_layout
 
     root, imgs = image_dir
-    lbl = os.path.join(tmpdir_path, "labels.csv")
-    names = sorted(imgs)
-    probs = [0.0, 1.0, 0.3333333333333333, 0.6666666666666666, 0.0, 1.0]
-    with open(lbl, "w") as fh:
-        for n, p in zip(names, probs):
-            fh.write(f"images/{n}  {p}  {'poly' if p < 0.9 else 'mono'}\n")
-    ds = load_image_dataset(spark, lbl, root)
-    assert ds.current.count() == 4  # the 'mono' rows are filtered out
-    assert ds.reset().current.count() == 6  # every label finds its image, long paths too
+    ds = load_image_dataset(spark, _labelled(tmpdir_path, [*sorted(imgs), "broken0007.png"]), root)
+    assert ds.current.count() == 5  # the 'mono' rows are filtered out
+    assert ds.reset().current.count() == 7  # every label finds its file, long paths too
+    got = {r["LABEL_SAMPLE_ID"]: r["SAMPLE"] for r in ds.pixels().collect()}
+    assert ds.counts == {"decoded": 6, "failed": 1} and got["broken0007.png"] is None
+    assert all((np.frombuffer(got[n]["data"], np.uint8).reshape(6, 6, 3) == a).all() for n, a in imgs.items())
     ds.filter("LABEL_CATEGORY = 'pass'")
     prepared = prepare_for_training(ds, 0.5, seed=1)
+    assert ds.counts == {"decoded": 2, "failed": 0}
     assert prepared.count() == 2 * 60
     assert prepared.where("split = 'train'").count() == 60
     out = os.path.join(tmpdir_path, "layout")
     write_training_layout(prepared.select("LABEL_SAMPLE_ID", "LABEL_CATEGORY", "split"), out)
     assert os.path.isdir(os.path.join(out, "split=test", "LABEL_CATEGORY=fail"))
+
+
+def test_nothing_is_decoded_before_the_filter(spark, image_dir, tmpdir_path):
+    from panelscope.plans.datasets import load_image_dataset
+
+    root, imgs = image_dir
+    ds = load_image_dataset(spark, _labelled(tmpdir_path, [*sorted(imgs), "broken0007.png"]), root)
+    plan = ds.current._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "data" not in plan.lower().replace("datafilters", "") and "binaryfile" in plan.lower()
+    ds.filter("PROBABILITY > 0.5")
+    assert ds.pixels().count() == 1 and ds.counts == {"decoded": 1, "failed": 0}
+
+
+def test_read_pixels_in_blocks_odd_names_and_repeats(spark, tmpdir_path):
+    from panelscope.sources.files import list_images, read_pixels
+
+    rng, want = np.random.default_rng(3), {}
+    for i, name in enumerate(["a b.png", "a+b.png", "a%20b.png", "[x]{y}.png", "q?*.png", "é 漢.png", "back\\slash.png", "plain.png"]):
+        want[name] = rng.integers(0, 255, (2 + i % 3, 4, (1, 3, 4)[i % 3]), dtype=np.uint8)
+        _write(os.path.join(tmpdir_path, "deep er", name), want[name])
+    listed = list_images(spark, tmpdir_path)
+    assert "SAMPLE" not in listed.columns and {r["LABEL_SAMPLE_ID"] for r in listed.collect()} == set(want)
+    rows = listed.select("LABEL_SAMPLE_ID", "SAMPLE_PATH").withColumn("SAMPLE", F.lit("replaced"))
+    rows = rows.unionByName(rows.limit(1)).unionByName(rows.limit(1).withColumn("SAMPLE_PATH", F.lit(None).cast("string")))
+    for block in (1, 3, 100):
+        counts = {}
+        got = read_pixels(rows, counts=counts, block=block).collect()
+        assert counts == {"decoded": len(want), "failed": 0} and len(got) == len(want) + 2
+        for r in got:
+            s, a = r["SAMPLE"], want[r["LABEL_SAMPLE_ID"]]
+            if r["SAMPLE_PATH"] is None:
+                assert s is None
+            else:
+                assert (np.frombuffer(s["data"], np.uint8).reshape(a.shape) == a).all()
+    bgr = {r["LABEL_SAMPLE_ID"]: r["SAMPLE"] for r in read_pixels(listed, channels=3).collect()}
+    for n, a in want.items():
+        full = np.repeat(a, 3, axis=2) if a.shape[2] == 1 else a[..., :3]
+        assert (np.frombuffer(bgr[n]["data"], np.uint8).reshape(full.shape) == full).all() and bgr[n]["nChannels"] == 3
+    assert read_pixels(listed.limit(0)).count() == 0
+    os.remove(os.path.join(tmpdir_path, "deep er", "plain.png"))
+    with pytest.raises(Exception, match="plain.png"):
+        read_pixels(listed.withColumn("x", F.lit(1))).count()
+
+
+def test_images_of_several_shapes_in_one_batch(spark):
+    rng = np.random.default_rng(4)
+    imgs = [rng.integers(0, 255, (h, w, c), dtype=np.uint8) for h, w, c in [(3, 3, 1), (4, 4, 3), (3, 3, 1), (4, 4, 3), (5, 5, 4)]]
+    rows = [(f"i{k}.png", ("o", *a.shape[:2], a.shape[2], 0, a.tobytes())) for k, a in enumerate(imgs)] + [("i9.png", None)]
+    meta = {"MIRROR_AXIS": F.lit(0).cast("short"), "ROT_DEG": F.lit(0).cast("short"), "TRANSL_X": F.lit(0.0), "TRANSL_Y": F.lit(0.0)}
+    df = spark.createDataFrame(rows, "LABEL_SAMPLE_ID string, SAMPLE struct<origin string, height int, width int, nChannels int, mode int, data binary>").coalesce(1).withColumns(meta)
+
+    def arrays(out, *extra):
+        dec = lambda s: None if s["data"] is None else np.frombuffer(s["data"], np.uint8).reshape(s["height"], s["width"], s["nChannels"])
+        return {tuple(r[c] for c in ("LABEL_SAMPLE_ID", *extra)): None if r["SAMPLE"] is None else dec(r["SAMPLE"]) for r in out.collect()}
+
+    got = arrays(I.resize(df, 2, 2))
+    assert all((got[(f"i{k}.png",)] == I.resize_bilinear(a, 2, 2)).all() for k, a in enumerate(imgs))
+    got = arrays(I.map_images(df, lambda a: a[:1, :2, 0]))
+    assert all((got[(f"i{k}.png",)][..., 0] == a[:1, :2, 0]).all() for k, a in enumerate(imgs))
+    out = amplify(df, StructImage("SAMPLE"), translations=[(1, 0.5)], mirror_axes=(3,), rotations=(90,))
+    got = arrays(out.withColumn("base", F.col("SAMPLE.origin")), "TRANSL_X", "MIRROR_AXIS", "ROT_DEG")
+    assert len(got) == 6 * 8 and sum(a is None for a in got.values()) == 8
+    moved = [v for k, v in got.items() if k[1:] == (1.0, 3, 90) and v is not None]
+    want = [np.rot90(np.swapaxes(np.roll(a, (round(a.shape[0] / 2), 1), (0, 1)), 0, 1)) for a in imgs]
+    assert sorted(a.tobytes() for a in moved) == sorted(np.ascontiguousarray(a).tobytes() for a in want)
