@@ -54,7 +54,7 @@ class Sides:
 
         spec = bpe.parse(a_file)
         ranks = {v: i for i, v in spec["strings"].items() if i not in spec["added"].values()}
-        if spec["prefix_space"] or any(new != 256 + rank for rank, new in spec["pairs"].values()):
+        if spec["prefix_space"] or any(new != 256 + rank for rank, new in enumerate(spec["made"])):
             raise ValueError("tokenizer A must have ids in the order of its merges and no prefix space")
         self.fast = tiktoken.Encoding("a", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.slow = tokenizers.Tokenizer.from_str(a_file)

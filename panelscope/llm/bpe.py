@@ -7,14 +7,14 @@ symbols have meanwhile gone are skipped when they come up. Decoding
 concatenates the vocabulary's strings.
 
 A piece's ids depend on nothing around it, so each Python worker keeps the ids
-of the pieces it has met (at most ``CACHE`` of them, then it starts anew).
+of the pieces it has met lately (at most ``CACHE`` in each of two generations).
 No shuffle; a lost task is simply run again."""
 
 from __future__ import annotations
 
-import heapq
 import json
 import struct
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,7 @@ from panelscope.llm.common import fresh, prepare, read
 
 #: Fixed value: the pattern by which byte-level vocabularies of this kind split text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE, LONG = 120_000, 64
+CACHE, LONG = 300_000, 64
 
 
 def byte_letters() -> dict[int, str]:
@@ -50,46 +50,69 @@ def parse(text: str) -> dict:
     strings = {i: bytes(byte_of[c] for c in s) for s, i in vocab.items() if all(c in byte_of for c in s)}
     added = {t["content"]: t["id"] for t in spec["added_tokens"]}
     strings |= {i: s.encode() for s, i in added.items()}
-    pairs = {}
+    ranks, made = {}, []
     for rank, m in enumerate(model["merges"]):
         x, y = m if isinstance(m, list) else m.split(" ")
-        pairs[vocab[x], vocab[y]] = (rank, vocab[x + y])
-    return {"bytes": [vocab[letters[b]] for b in range(256)], "pairs": pairs, "strings": strings, "added": added, "prefix_space": bool(pre.get("add_prefix_space"))}
+        ranks[vocab[x], vocab[y]] = rank
+        made.append(vocab[x + y])
+    return {"bytes": [vocab[letters[b]] for b in range(256)], "ranks": ranks, "made": made, "strings": strings, "added": added, "prefix_space": bool(pre.get("add_prefix_space"))}
 
 
-def merge(symbols: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """The ids left after all merges, lowest rank first, leftmost first among equals."""
-    n = len(symbols)
-    after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-    heap = [(*found, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (found := pairs.get((symbols[i], symbols[i + 1])))]
-    heapq.heapify(heap)
+PLACE = (1 << 40) - 1
+
+
+def merge(symbols: list[int], ranks: dict[tuple[int, int], int], made: list[int]) -> list[int]:
+    """The ids left after all merges, lowest rank first, leftmost first among
+    equals. ``ranks`` has the rank of each pair of ids that merges, ``made`` the
+    id that each rank makes. A heap entry is a rank and, in its lower 40 bits, the place of the pair's left symbol."""
+    n, rank_of = len(symbols), ranks.get
+    heap = [(rank << 40) + i for i, rank in enumerate(map(rank_of, zip(symbols, symbols[1:]))) if rank is not None]
+    if not heap:
+        return symbols
+    heapify(heap)
+    after, before = list(range(1, n + 1)), list(range(-1, n))
+    symbols.append(-1)  # after the last: pairs with no symbol
     while heap:
-        _, new, i, x, y = heapq.heappop(heap)
+        entry = heappop(heap)
+        i, rank = entry & PLACE, entry >> 40
+        left = symbols[i]
+        if left < 0:
+            continue  # stale: merged into the symbol before it
         j = after[i]
-        if symbols[i] != x or j < 0 or symbols[j] != y:
+        if rank_of((left, symbols[j])) != rank:
             continue  # stale: one of the two has been merged meanwhile
-        symbols[i], symbols[j] = new, -1
+        new = symbols[i] = made[rank]
+        symbols[j] = -1
         after[i] = k = after[j]
-        if k >= 0:
-            before[k] = i
-            if found := pairs.get((new, symbols[k])):
-                heapq.heappush(heap, (*found, i, new, symbols[k]))
-        if (h := before[i]) >= 0 and (found := pairs.get((symbols[h], new))):
-            heapq.heappush(heap, (*found, h, symbols[h], new))
+        before[k] = i
+        rank = rank_of((new, symbols[k]))
+        if rank is not None:
+            heappush(heap, (rank << 40) + i)
+        h = before[i]
+        if h >= 0:
+            rank = rank_of((symbols[h], new))
+            if rank is not None:
+                heappush(heap, (rank << 40) + h)
     return [s for s in symbols if s >= 0]
 
 
 class Pieces(dict):
-    """piece -> its ids, packed as little-endian unsigned 32-bit integers."""
+    """piece -> its ids, packed as little-endian unsigned 32-bit integers.
+
+    Two generations: this dict is the younger one. When it is full it becomes the older one, whose pieces come back when
+    they are met again; those that are not go with it."""
 
     def __init__(self, spec: dict):
-        self.first, self.pairs = spec["bytes"], spec["pairs"]
+        self.first, self.ranks, self.made, self.older = spec["bytes"], spec["ranks"], spec["made"], {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = merge([self.first[b] for b in piece.encode("utf-8", "surrogatepass")], self.pairs)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.older.get(piece)
+        if packed is None:
+            ids = merge([self.first[b] for b in piece.encode("utf-8", "surrogatepass")], self.ranks, self.made)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= LONG:
             if len(self) >= CACHE:
+                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed

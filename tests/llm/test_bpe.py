@@ -37,9 +37,22 @@ def test_ids_and_round_trip_on_odd_texts(spark, docs_of, reference):
 
 
 def test_merge_takes_lowest_rank_then_leftmost():
-    pairs = {(1, 2): (1, 10), (2, 1): (0, 11), (11, 11): (2, 12)}
-    assert bpe.merge([1, 2, 1, 2, 1], pairs) == [1, 12]
-    assert bpe.merge([1, 2], pairs) == [10] and bpe.merge([], pairs) == [] and bpe.merge([5], pairs) == [5]
+    ranks, made = {(2, 1): 0, (1, 2): 1, (11, 11): 2}, [11, 10, 12]
+    assert bpe.merge([1, 2, 1, 2, 1], ranks, made) == [1, 12]
+    assert bpe.merge([1, 2], ranks, made) == [10] and bpe.merge([], ranks, made) == [] and bpe.merge([5], ranks, made) == [5]
+
+
+def test_pieces_keep_two_generations(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 3)
+    with open(bpe.tokenizer_path(), encoding="utf-8") as f:
+        pieces = bpe.Pieces(bpe.parse(f.read()))
+    want = {p: pieces[p] for p in ("a", " the", " cat", "xyzzy")}
+    assert set(pieces) == {"xyzzy"} and set(pieces.older) == {"a", " the", " cat"}
+    merges = []
+    monkeypatch.setattr(bpe, "merge", lambda *x: merges.append(x) or [0])
+    assert pieces[" the"] == want[" the"] and not merges and " the" in pieces
+    pieces["new"], pieces["newer"]
+    assert pieces["xyzzy"] == want["xyzzy"] and len(merges) == 2 and pieces["a"] != want["a"]  # gone with its generation
 
 
 def test_query_over_given_documents(spark, reference):
