@@ -808,12 +808,10 @@ def batch_infer_q(spark, sf):
 @query(
     "write_by_category",
     W + f""", r AS ({_rank_sql('lbl', 'LABEL_SAMPLE_ID', 0, ', LABEL_CATEGORY')})
-SELECT LABEL_SAMPLE_ID, 'train' AS split, LABEL_CATEGORY FROM r
-WHERE rk <= CAST(round_even(n::DOUBLE * 0.65::DOUBLE, 0) AS BIGINT) AND LABEL_CATEGORY = 'pass'""",
+SELECT LABEL_SAMPLE_ID, CASE WHEN rk <= CAST(round_even(n::DOUBLE * 0.65::DOUBLE, 0) AS BIGINT) THEN 'train' ELSE 'test' END AS split, LABEL_CATEGORY FROM r""",
 )
 def write_by_category_q(spark, sf):
-    """Split -> Parquet partitioned by split and category -> read one
-    partition back (partition pruning)."""
+    """Split -> Parquet partitioned by split and category -> read back."""
     from panelscope.functions.scalars import LABEL_NAMES
     from panelscope.session import scratch_dir
     from panelscope.sources.sinks import write_by_category
@@ -821,8 +819,7 @@ def write_by_category_q(spark, sf):
     d = split_exact(label_frame(spark, sf).select(KEY, "LABEL_CATEGORY"), 0.65, seed=0)
     out = scratch_dir(spark, "categories")
     write_by_category(d, out, LABEL_NAMES)
-    back = spark.read.parquet(out).where("split = 'train' AND LABEL_CATEGORY = 'pass'")
-    return back.select(KEY, "split", "LABEL_CATEGORY")
+    return spark.read.parquet(out).select(KEY, "split", "LABEL_CATEGORY")
 
 
 @query("array_dataset_roundtrip", W + f"SELECT LABEL_SAMPLE_ID, CLASS, {S.digest('SAMPLE')} AS px_digest FROM img")
@@ -932,6 +929,27 @@ def prepare_for_training_q(spark, sf):
     return prepare_for_training(ds).select(KEY, "LABEL_CATEGORY", px_digest(to_feature_vector("SAMPLE")).alias("px_digest"), "split")
 
 
+@query(
+    "category_folders",
+    W + _LOADED + f""", r AS ({_rank_sql('got', 'LABEL_SAMPLE_ID', 0, ', LABEL_CATEGORY')})
+SELECT r.LABEL_SAMPLE_ID, LABEL_CATEGORY AS class_name, {S.digest(_QUANT_SQL)} AS px_digest,
+       CASE WHEN rk <= CAST(round_even(n::DOUBLE * 0.65::DOUBLE, 0) AS BIGINT) THEN 'train' ELSE 'validate' END AS part
+FROM r JOIN embeddings ON LABEL_SAMPLE_ID = {S.sid('vec_id')}""",
+)
+def category_folders_q(spark, sf):
+    """Labelled images -> exact split -> ``train|validate/<category>/<id>`` files by the committed sink -> read back by folder."""
+    from panelscope.operators.images import to_feature_vector
+    from panelscope.plans.datasets import load_image_dataset, prepare_for_training, write_training_layout
+    from panelscope.session import scratch_dir
+    from panelscope.sources.files import scan_dir_as_label
+
+    ds = load_image_dataset(spark, export_labels(spark, sf), export_embeddings_as_png(spark, sf), default_filter=None, check="pairs").filter("LABEL_PATH IS NOT NULL AND SAMPLE_PATH IS NOT NULL")
+    out = scratch_dir(spark, "folders")
+    write_training_layout(prepare_for_training(ds, amplify_data=False), out)
+    parts = [scan_dir_as_label(spark, f"{out}/{part}").withColumn("part", F.lit(part)) for part in ("train", "validate")]
+    return concat_rows(*parts).select(KEY, "class_name", px_digest(to_feature_vector("SAMPLE")).alias("px_digest"), "part")
+
+
 @query("list_samples", W + "SELECT LABEL_SAMPLE_ID, '.png' AS suffix FROM img")
 def list_samples_q(spark, sf):
     from panelscope.functions.ids import basename, suffix_lower

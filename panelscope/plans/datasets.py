@@ -83,7 +83,8 @@ def prepare_for_training(
     return split_exact(images, train_frac, seed=seed, keys=grown.expand(None))
 
 
-def write_training_layout(split_df: DataFrame, target: str, label_names: Sequence[str] = LABEL_NAMES) -> None:
-    from panelscope.sources.sinks import write_by_category
+def write_training_layout(split_df: DataFrame, target: str, label_names: Sequence[str] = LABEL_NAMES, **kw) -> None:
+    """``target/train|validate/<category>/<id>``: image files that a trainer (or ``scan_dir_as_label``) reads by folder."""
+    from panelscope.sources.sinks import write_category_folders
 
-    write_by_category(split_df, target, label_names)
+    write_category_folders(split_df, target, label_names, **kw)

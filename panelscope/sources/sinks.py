@@ -7,7 +7,11 @@ import warnings
 import zlib
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelscope.schema import KEY
 
@@ -22,16 +26,8 @@ def write_array_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> No
     df.write.mode(mode).parquet(path)
 
 
-def save_images(df: DataFrame, target_dir: str, col: str = "SAMPLE", key: str = KEY, mode: str = "overwrite") -> None:
-    """Persist (id, image) rows as Parquet under ``target_dir`` (created)."""
-    warnings.warn("Saving an amplified dataset can take a while and use a lot of space.", UserWarning)
-    df.select(key, col).write.mode(mode).parquet(target_dir)
-
-
 def png_bytes(arr) -> bytes:
     """Encode an (h, w, c) uint8 BGR/gray array as PNG with zlib only."""
-    import numpy as np
-
     a = np.asarray(arr, dtype=np.uint8)
     if a.ndim == 2:
         a = a[..., None]
@@ -49,28 +45,65 @@ def png_bytes(arr) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, color, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-def export_png(df: DataFrame, target_dir: str, col: str = "SAMPLE", key: str = KEY) -> None:
-    """Write each image as ``target_dir/<id>`` PNG from the executors (the
-    folder must be shared by the cluster). Re-running a task rewrites the same
-    files, so lost executors are harmless."""
-    _mkdirs(df.sparkSession, target_dir)
+@F.pandas_udf(T.BinaryType())
+def _png(img: pd.DataFrame) -> pd.Series:
+    def encoded(h, w, c, d):
+        return png_bytes(np.frombuffer(d, dtype=np.uint8).reshape(int(h), int(w), int(c))) if isinstance(d, (bytes, bytearray)) else None
+
+    return pd.Series([encoded(*r) for r in zip(img["height"], img["width"], img["nChannels"], img["data"])], dtype=object)
+
+
+#: Bytes that must stay free on the target's file system.
+MIN_FREE_BYTES = 500_000_000
+
+
+def write_files(files: DataFrame, target: str, mode: str = "append", existing: str = "error", min_free_bytes: int = 0) -> None:
+    """Write rows (name, content) or (name, source) as files below ``target``
+    (created), all or none of them: see ``sources.image_folder``. Names that repeat are refused;
+    names that exist already are refused, or kept with ``existing="keep"``."""
+    from panelscope.sources.image_folder import ImageFolder
+
+    _mkdirs(files.sparkSession, target)
+    files.sparkSession.dataSource.register(ImageFolder)
+    files.write.format(ImageFolder.name()).mode(mode).option("existing", existing).option("minFreeBytes", str(min_free_bytes)).save(target)
 
-    def write_part(rows):
-        import os
 
-        import numpy as np
+def export_png(df: DataFrame, target_dir: str, col: str = "SAMPLE", key: str = KEY, **kw) -> None:
+    """Write each image as the PNG file ``target_dir/<id>`` from the executors.
+    Rows without an image or an id are left out; repeated ids are refused."""
+    write_files(df.select(F.col(key).alias("name"), _png(F.col(col)).alias("content")), target_dir, **kw)
 
-        for r in rows:
-            img = r[col]
-            if img is None or img["data"] is None:
-                continue
-            a = np.frombuffer(img["data"], dtype=np.uint8).reshape(img["height"], img["width"], img["nChannels"])
-            tmp = os.path.join(target_dir, f".{r[key]}.tmp")
-            with open(tmp, "wb") as fh:
-                fh.write(png_bytes(a))
-            os.replace(tmp, os.path.join(target_dir, r[key]))
 
-    df.select(key, col).foreachPartition(write_part)
+def save_images(df: DataFrame, target_dir: str, col: str = "SAMPLE", key: str = KEY, min_free_bytes: int = MIN_FREE_BYTES, **kw) -> None:
+    """``export_png`` with a floor of free space, below which nothing is written, and a warning."""
+    warnings.warn("Saving an amplified dataset can take a while and use a lot of space.", UserWarning)
+    export_png(df, target_dir, col, key, min_free_bytes=min_free_bytes, **kw)
+
+
+def write_category_folders(
+    df: DataFrame,
+    target: str,
+    label_names: Sequence[str],
+    category_col: str = "LABEL_CATEGORY",
+    split_col: str | None = "split",
+    key: str = KEY,
+    col: str | None = "SAMPLE",
+    path_col: str = "SAMPLE_PATH",
+    **kw,
+) -> None:
+    """Lay image files out for a trainer: ``train|validate/<category>/<id>``, or
+    ``<category>/<id>`` without ``split_col``; a folder per label, even when empty.
+
+    The rows that are not in the train part are the validation part. With ``col`` the
+    images are written as PNG, without it the files at ``path_col`` are copied. Rows without a category fail the write."""
+    part = F.when(F.col(split_col) == "train", "train").otherwise("validate") if split_col else None
+    category = F.coalesce(F.col(category_col).cast("string"), F.raise_error(F.lit("a row without a category has no folder")).cast("string"))
+    name = F.concat_ws("/", *([part] if split_col else []), category, F.col(key))
+    what = _png(F.col(col)).alias("content") if col else F.col(path_col).alias("source")
+    write_files(df.where(F.col(key).isNotNull()).select(name.alias("name"), what), target, **kw)
+    for folder in ("train/", "validate/") if split_col else ("",):
+        for label in label_names:
+            _mkdirs(df.sparkSession, f"{target.rstrip('/')}/{folder}{label}")
 
 
 def write_by_category(

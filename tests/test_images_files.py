@@ -150,6 +150,7 @@ def test_sinks(spark, image_dir, tmpdir_path):
     assert spark.read.parquet(cat).count() == 6
     with pytest.warns(UserWarning):
         save_images(df, os.path.join(tmpdir_path, "saved"))
+    assert sorted(os.listdir(os.path.join(tmpdir_path, "saved"))) == sorted([*imgs, "_SUCCESS"])
 
 
 def test_scan_csv(spark, tmpdir_path):
@@ -207,8 +208,11 @@ def test_load_image_dataset_end_to_end(spark, image_dir, tmpdir_path):
     assert prepared.count() == 2 * 60
     assert prepared.where("split = 'train'").count() == 60
     out = os.path.join(tmpdir_path, "layout")
-    write_training_layout(prepared.select("LABEL_SAMPLE_ID", "LABEL_CATEGORY", "split"), out)
-    assert os.path.isdir(os.path.join(out, "split=test", "LABEL_CATEGORY=fail"))
+    write_training_layout(prepared, out)
+    assert os.listdir(os.path.join(out, "validate", "fail")) == []
+    back = scan_dir_as_label(spark, os.path.join(out, "train"), ["pass", "fail"])
+    want = {r["LABEL_SAMPLE_ID"]: bytes(r["SAMPLE"]["data"]) for r in prepared.where("split = 'train'").collect()}
+    assert {r["LABEL_SAMPLE_ID"]: bytes(r["SAMPLE"]["data"]) for r in back.collect()} == want and len(want) == 60
 
 
 def test_nothing_is_decoded_before_the_filter(spark, image_dir, tmpdir_path):
@@ -274,3 +278,76 @@ def test_images_of_several_shapes_in_one_batch(spark):
     moved = [v for k, v in got.items() if k[1:] == (1.0, 3, 90) and v is not None]
     want = [np.rot90(np.swapaxes(np.roll(a, (round(a.shape[0] / 2), 1), (0, 1)), 0, 1)) for a in imgs]
     assert sorted(a.tobytes() for a in moved) == sorted(np.ascontiguousarray(a).tobytes() for a in want)
+
+
+def _files(root):
+    return sorted(os.path.relpath(os.path.join(d, f), root) for d, _, names in os.walk(root) for f in names)
+
+
+def test_image_folder_is_all_or_nothing(spark, tmpdir_path):
+    from panelscope.sources.sinks import write_files
+
+    out = os.path.join(tmpdir_path, "out")
+    rows = [(f"c{i % 3}/f{i}.bin", bytes([i]) * i) for i in range(40)] + [(None, b"x"), ("gone.bin", None)]
+    df = spark.createDataFrame(rows, "name string, content binary").repartition(4)
+    write_files(df, out)
+    assert _files(out) == sorted([n for n, c in rows if n and c is not None] + ["_SUCCESS"])
+    assert open(os.path.join(out, "c1/f7.bin"), "rb").read() == bytes([7]) * 7
+    before = _files(out)
+    # a task that fails, a repeated name (in one task and over two), a name that exists, too little space: nothing changes
+    bad = df.withColumn("content", F.when(F.col("name") == "c0/f9.bin", F.raise_error(F.lit("lost")).cast("binary")).otherwise(F.col("content"))).withColumn("name", F.concat(F.lit("new/"), "name"))
+    twice = spark.createDataFrame([("t.bin", b"1"), ("t.bin", b"2")], "name string, content binary")
+    fresh = spark.createDataFrame([("u.bin", b"1")], "name string, content binary")
+    outside = spark.createDataFrame([("../u.bin", b"1")], "name string, content binary")
+    for what, kw in ((bad, {}), (twice.coalesce(1), {}), (twice.repartition(2), {}), (df, {}), (fresh, {"min_free_bytes": 1 << 60}), (outside, {})):
+        with pytest.raises(Exception):
+            write_files(what, out, **kw)
+        assert _files(out) == before and not os.path.exists(os.path.join(tmpdir_path, "u.bin"))
+        assert not os.path.exists(os.path.join(out, "_temporary"))
+    write_files(df.unionByName(fresh).withColumn("content", F.lit(b"other")), out, existing="keep")
+    assert open(os.path.join(out, "c1/f7.bin"), "rb").read() == bytes([7]) * 7 and open(os.path.join(out, "u.bin"), "rb").read() == b"other"
+    write_files(fresh, out, mode="overwrite")
+    assert _files(out) == ["_SUCCESS", "u.bin"]
+
+
+def test_an_attempt_that_is_killed_leaves_nothing(spark, tmpdir_path):
+    from panelscope.sources.image_folder import ImageFolderWriter
+
+    import pyarrow as pa
+    from types import SimpleNamespace
+    from unittest import mock
+
+    out = os.path.join(tmpdir_path, "kill")
+    os.makedirs(out)
+    w = ImageFolderWriter({"path": out}, False)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a/x.bin", "y.bin"]), pa.array([b"1", b"22"])], names=["name", "content"])
+    attempt = lambda n: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: n)
+
+    def dies():
+        yield batch
+        raise KeyboardInterrupt
+
+    with mock.patch("panelscope.sources.image_folder.TaskContext.get", lambda: attempt(1)), pytest.raises(KeyboardInterrupt):
+        w.write(dies())
+    with mock.patch("panelscope.sources.image_folder.TaskContext.get", lambda: attempt(2)):
+        message = w.write(iter([batch]))
+    assert all("_temporary" in f for f in _files(out))
+    w.commit([message, None])
+    assert _files(out) == ["_SUCCESS", "a/x.bin", "y.bin"] and not os.path.exists(os.path.join(out, "_temporary"))
+
+
+def test_category_folders_copy_files_and_read_back(spark, image_dir, tmpdir_path):
+    from panelscope.sources.files import list_images
+    from panelscope.sources.sinks import write_category_folders
+
+    root, imgs = image_dir
+    df = list_images(spark, root).where("LABEL_SAMPLE_ID != 'broken0007.png'")
+    df = df.withColumn("LABEL_CATEGORY", F.when(F.col("LABEL_SAMPLE_ID") < "cell0003", "pass").otherwise("fail"))
+    out = os.path.join(tmpdir_path, "flat")
+    write_category_folders(df, out, ["pass", "fail", "minor"], split_col=None, col=None)
+    assert os.listdir(os.path.join(out, "minor")) == []
+    back = {r["LABEL_SAMPLE_ID"]: (r["class_name"], bytes(r["SAMPLE"]["data"])) for r in scan_dir_as_label(spark, out).collect()}
+    assert back == {n: ("pass" if n < "cell0003" else "fail", a.tobytes()) for n, a in imgs.items()}
+    write_category_folders(df, out, ["pass"], split_col=None, col=None, existing="keep")
+    with pytest.raises(Exception, match="category"):
+        write_category_folders(df.withColumn("LABEL_CATEGORY", F.lit(None).cast("string")), out + "2", ["pass"], split_col=None, col=None)
