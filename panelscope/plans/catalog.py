@@ -22,6 +22,8 @@ from panelscope.operators.splits import batches, peek, shuffle, split_80_20, spl
 from panelscope.plans import sqlfrag as S
 from panelscope.plans.common import IMG, document_samples, image_out, image_samples, label_frame, merged, px_digest, table
 from panelscope.schema import KEY, cast_failures, cast_to_schema, make_schema, field
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import types as T
 
@@ -950,6 +952,37 @@ def category_folders_q(spark, sf):
     return concat_rows(*parts).select(KEY, "class_name", px_digest(to_feature_vector("SAMPLE")).alias("px_digest"), "part")
 
 
+@query(
+    "folder_batches",
+    W + _LOADED + f""", f AS (SELECT LABEL_CATEGORY || '/' || got.LABEL_SAMPLE_ID AS name, LABEL_CATEGORY AS c, 3 * list_sum({_QUANT_SQL})::BIGINT AS px
+       FROM got JOIN embeddings ON LABEL_SAMPLE_ID = {S.sid('vec_id')}),
+e AS (SELECT 0 AS epoch, *, row_number() OVER (ORDER BY {S.hash32('3:0:', 'name')}, name) AS rk FROM f
+      UNION ALL SELECT 1 AS epoch, *, row_number() OVER (ORDER BY {S.hash32('3:1:', 'name')}, name) AS rk FROM f)
+SELECT epoch, (rk - 1) // 32 AS batch_id, count(*)::INTEGER AS n, string_agg(name, ',' ORDER BY rk) AS names,
+       string_agg(c, ',' ORDER BY rk) AS labels, sum(px)::BIGINT AS px_sum FROM e GROUP BY epoch, (rk - 1) // 32""",
+)
+def folder_batches_q(spark, sf):
+    """Two epochs of batches of 32 from category folders; labels and pixels read from the blocks."""
+    from panelscope.plans.datasets import load_image_dataset
+    from panelscope.session import scratch_dir
+    from panelscope.sources.batches import folder_batches
+    from panelscope.sources.sinks import write_category_folders
+
+    ds = load_image_dataset(spark, export_labels(spark, sf), export_embeddings_as_png(spark, sf), default_filter=None, check="pairs").filter("LABEL_PATH IS NOT NULL AND SAMPLE_PATH IS NOT NULL")
+    out = scratch_dir(spark, "classes")
+    write_category_folders(ds.current, out, [], split_col=None, col=None)  # the files are copied, not decoded
+    train = folder_batches(spark, out, size=(8, 8))
+    names = F.array(*[F.lit(c) for c in train.classes])
+    label = lambda hot: F.element_at(names, F.array_position(hot, 1).cast("int"))
+
+    @F.pandas_udf(T.LongType())
+    def px_sum(x: pd.Series) -> pd.Series:
+        return x.map(lambda b: int(np.rint(np.frombuffer(b, np.float32) * 255).sum(dtype=np.int64)))
+
+    both = concat_rows(train.epoch(0, seed=3), train.epoch(1, seed=3))
+    return both.select("epoch", "batch_id", "n", F.array_join("names", ",").alias("names"), F.array_join(F.transform("y", label), ",").alias("labels"), px_sum("x").alias("px_sum"))
+
+
 @query("list_samples", W + "SELECT LABEL_SAMPLE_ID, '.png' AS suffix FROM img")
 def list_samples_q(spark, sf):
     from panelscope.functions.ids import basename, suffix_lower
