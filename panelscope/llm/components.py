@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import table
+from panelscope.llm.common import discard, table
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -36,13 +36,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         left = hook.select(F.col("node").alias("a"), F.col("to").alias("x"))
         right = hook.select(F.col("node").alias("b"), F.col("to").alias("y"))
         moved = edges.join(left, "a").join(right, "b").where("x != y")
-        edges = table(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        done, edges = edges, table(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        discard(done)
     if not hooks:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("component"))
     label = hooks[0].select("node", F.col("to").alias("root"))
     for hook in hooks[1:]:
         # a root that lost its links in an earlier round stays as it is
         label = label.join(hook.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    label = table(label, "roots") if len(hooks) > 1 else label
+    if len(hooks) > 1:
+        label = table(label, "roots")
+        discard(*hooks)
     first = label.groupBy("root").agg(F.min("node").alias("component"))
     return label.join(first, "root").select("node", "component")
