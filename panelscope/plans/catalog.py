@@ -66,7 +66,38 @@ def category_summary(spark, sf):
 
 @query("scan_labels", W + "SELECT * FROM lbl")
 def scan_labels_q(spark, sf):
-    return label_frame(spark, sf)
+    """Label files written from the table and read back."""
+    from panelscope.session import scratch_dir
+    from panelscope.sources.labels import label_lines_from_table, scan_labels
+
+    out = scratch_dir(spark, "label-files")
+    label_lines_from_table(table(spark, sf, "labels")).write.text(out)
+    return scan_labels(spark, out).withColumn("LABEL_FILENAME", F.lit("labels.csv"))  # the path is another one each time
+
+
+_BAD_LINE = """CASE doc_id % 6 WHEN 0 THEN concat('p/', doc_id, '.png') WHEN 1 THEN concat('p/', doc_id, '.png high poly') WHEN 2 THEN concat('p/', doc_id, '.png 1.', doc_id % 9 + 11, ' poly')
+  WHEN 3 THEN concat('p/', doc_id, '.png 0.5') WHEN 4 THEN concat('p/', doc_id, '.png 0.5 poly new') ELSE concat('p/', doc_id, '.png nan poly # not measured') END"""
+
+
+@query(
+    "scan_labels_rejects",
+    f"""WITH t AS (SELECT doc_id, {_BAD_LINE} AS line FROM labels)
+SELECT line, CASE doc_id % 6 WHEN 0 THEN 'no probability' WHEN 1 THEN 'not a number' WHEN 2 THEN 'outside the bins' WHEN 3 THEN 'no type' ELSE 'too many fields' END AS reason,
+       (SELECT 3 * count(*) FROM t) AS n_lines, (SELECT count(*) + count_if(doc_id % 6 = 5) FROM t) AS n_labels,
+       (SELECT count(DISTINCT (2 * (1 - quality) + toxic)) FROM labels) AS n_values
+FROM t WHERE doc_id % 6 < 5""",
+)
+def scan_labels_rejects_q(spark, sf):
+    """For each row a good line, a bad one (of every kind, or a missing value) and a comment: the bad ones come out as rejects."""
+    from panelscope.session import scratch_dir
+    from panelscope.sources.labels import label_lines_from_table, load_labels
+
+    t, out = table(spark, sf, "labels"), scratch_dir(spark, "label-files")
+    bad = t.select(F.expr(_BAD_LINE).alias("value"))
+    label_lines_from_table(t).unionByName(bad).unionByName(t.select(F.lit("# a comment").alias("value"))).write.text(out)
+    load = load_labels(spark, out)
+    n = {"n_lines": load.lines, "n_labels": load.n_labels, "n_values": len(load.probabilities)}
+    return load.rejects.select("line", "reason", *[F.lit(v).cast("bigint").alias(k) for k, v in n.items()])
 
 
 EVENT_EDGES = (0.0, 10.0, 50.0, 100.0, 250.0, 500.0)
@@ -506,6 +537,32 @@ def residual_hist_q(spark, sf):
     return test.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_DIST = _XY_SQL + """, v AS (SELECT residual AS v FROM tr),
+s0 AS (SELECT count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) AS s, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM v),
+s1 AS (SELECT *, 2 * (q3 - q1) / pow(n, 1.0::DOUBLE / 3) AS width, s * pow(n, -1.0::DOUBLE / 5) AS band FROM s0),
+st AS (SELECT *, least(50, greatest(1, ceil((hi - lo) / width)))::INTEGER AS bins, lo - 3 * band AS start0, (hi + 3 * band - (lo - 3 * band)) / 511 AS step FROM s1)"""
+
+
+@query(
+    "residual_distribution",
+    _DIST + """,
+b AS (SELECT least(floor((v - lo) / ((hi - lo) / bins))::INTEGER, bins - 1) AS bin, count(*) AS n FROM v, st GROUP BY 1),
+c AS (SELECT floor((v - start0) / step)::INTEGER AS cell, (v - start0) / step - floor((v - start0) / step) AS f FROM v, st),
+m AS (SELECT cell, sum(w) AS w FROM (SELECT cell, 1 - f AS w FROM c UNION ALL SELECT cell + 1, f FROM c) GROUP BY cell),
+d AS (SELECT g.i, sum(m.w * exp(-0.5 * pow(step * (g.i - m.cell) / band, 2))) / any_value(n * band * sqrt(2 * pi())) AS density FROM range(0, 512) g(i), m, st WHERE m.cell < 512 GROUP BY g.i)
+SELECT 'bin' AS kind, i AS place, coalesce(b.n, 0)::DOUBLE AS value FROM (SELECT unnest(range(0, bins)) AS i FROM st) LEFT JOIN b ON b.bin = i
+UNION ALL SELECT 'density', i, round(density * 1e6, 4) FROM d""",
+)
+def residual_distribution_q(spark, sf):
+    """Histogram with automatic bins and kernel density of the residuals."""
+    _, _, test = ols_frames(spark, sf)
+    d = agg.distribution(test, "residual")
+    start, step = (d.density.agg(F.min("x")).first()[0], (d.density.agg(F.max("x") - F.min("x")).first()[0]) / (agg.CELLS - 1))
+    hist = d.histogram.select(F.lit("bin").alias("kind"), F.col("bin").cast("bigint").alias("place"), F.col("n").cast("double").alias("value"))
+    place = F.round((F.col("x") - start) / step).cast("bigint")
+    return hist.unionByName(d.density.select(F.lit("density").alias("kind"), place.alias("place"), F.round(F.col("density") * 1e6, 4).alias("value")))
+
+
 # ---------------------------------------------------------------- scalar functions
 
 @query(

@@ -3,13 +3,16 @@ stand-in built from the ``labels`` table."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelscope.functions.ids import basename, zfill
 from panelscope.functions.scalars import LABEL_EDGES, LABEL_NAMES, bin_label
 from panelscope.functions.util import as_col
 from panelscope.schema import KEY, SCHEMA_LABELS_ELPV, cast_to_schema
+from panelscope.session import written
 
 # Fixed values that must equal the reference's for the same results:
 # label-file field widths (characters kept) for the path and the panel type,
@@ -53,16 +56,97 @@ def parse_label_lines(
     return cast_to_schema(out, SCHEMA_LABELS_ELPV)
 
 
-def scan_labels(spark: SparkSession, path: str, **kw) -> DataFrame:
-    """Read a label text file (or a folder / glob of them)."""
+def _require_files(spark: SparkSession, path: str) -> None:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.globStatus(jvm_path):
+    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm_path):
         raise FileNotFoundError(f"Couldn't find label file: {path!r}.")
+
+
+def scan_labels(spark: SparkSession, path: str, **kw) -> DataFrame:
+    """Read a label text file (or a folder / glob of them). Lines that are no
+    labels are not told apart: see ``load_labels``."""
+    _require_files(spark, path)
     lines = spark.read.text(path).withColumn("_file", F.input_file_name())
     return parse_label_lines(lines, F.col("_file"), **kw)
 
 
+def reject_reason(value_col: str = "value", edges=LABEL_EDGES) -> Column:
+    """Why a line that isn't blank or a comment is no label: NULL, or ``no
+    probability``, ``not a number``, ``outside the bins``, ``no type``, ``too many fields``
+    (the first that holds). ``nan`` is a missing probability and allowed."""
+    parts = F.split(F.trim(F.regexp_replace(F.col(value_col), "#.*$", "")), r"\s+")
+    prob = F.get(parts, 1).try_cast("double")
+    return (
+        F.when(F.size(parts) < 2, "no probability")
+        .when(prob.isNull(), "not a number")
+        .when(~F.isnan(prob) & ((prob <= edges[0]) | (prob > edges[-1])), "outside the bins")
+        .when(F.size(parts) < 3, "no type")
+        .when(F.size(parts) > 3, "too many fields")
+    )
+
+
+@dataclass
+class LabelLoad:
+    """Labels that parse, lines that don't (``LABEL_FILENAME``, ``line_no`` from 1,
+    ``line``, ``reason``), and what was counted in the pass that read the files:
+    ``lines`` (all), ``labels``, ``rejects``, and ``probabilities``, each value with
+    its number of labels (None beyond ``DISTINCT`` values)."""
+
+    labels: DataFrame
+    rejects: DataFrame
+    lines: int
+    n_labels: int
+    n_rejects: int
+    probabilities: dict[float, int] | None
+
+    def require_values(self, n: int) -> "LabelLoad":
+        """Refuse labels that have not exactly ``n`` different probabilities."""
+        found = "more than " + str(DISTINCT) if self.probabilities is None else len(self.probabilities)
+        if found != n:
+            raise ValueError(f"The labels must have {n} different probabilities, but have {found}.")
+        return self
+
+
+#: Different probabilities that a load lists.
+DISTINCT = 64
+
+
+def load_labels(spark: SparkSession, path: str, edges=LABEL_EDGES, names=LABEL_NAMES, strict: bool = False, semantics: str = "documented") -> LabelLoad:
+    """Read label files once: what parses becomes labels, malformed lines go to a
+    table of rejects, and counts come from an ``Observation`` of the same pass.
+
+    Blank lines and comments are neither. ``strict`` raises ``ValueError``, with
+    the first rejects, if there are any. Line numbers follow from each line's place
+    in its block of the file and the number of lines in the blocks before it."""
+    _require_files(spark, path)
+    body = F.trim(F.regexp_replace("value", "#.*$", ""))
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = lines.withColumn("reason", F.when(body != "", reject_reason("value", edges))).withColumn("blank", body == "")
+    good = ~F.col("blank") & F.col("reason").isNull()
+    watch = Observation()
+    prob = F.get(F.split(body, r"\s+"), 1).try_cast("double")
+    seen = lines.withColumn("p", F.when(good & ~F.isnan(prob), prob)).observe(
+        watch, F.count(F.lit(1)).alias("lines"), F.count_if(good).alias("labels"), F.count("reason").alias("rejects"),
+        F.expr(f"approx_top_k(p, {DISTINCT + 1})").alias("values"),
+    )
+    read = written(seen.drop("p"), "label-lines")
+    got = watch.get
+    # exact as long as all values fit into the sketch; the missing ones are listed too
+    values = {v["item"]: v["count"] for v in got["values"] if v["item"] is not None}
+    blocks = read.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("file", "block", "first", before.alias("before"))
+    bad = read.where(F.col("reason").isNotNull()).join(starts, ["file", "block"])
+    number = F.col("before") + F.col("at") - F.col("first") + 1
+    rejects = bad.select(F.col("file").alias("LABEL_FILENAME"), number.alias("line_no"), F.col("value").alias("line"), "reason")
+    if strict and got["rejects"]:
+        some = "; ".join(f"{r['LABEL_FILENAME']}:{r['line_no']} {r['reason']}" for r in rejects.orderBy("LABEL_FILENAME", "line_no").limit(3).collect())
+        raise ValueError(f"{got['rejects']} malformed label line(s): {some}")
+    labels = parse_label_lines(read.where(~F.col("blank") & F.col("reason").isNull()), F.col("file"), edges=edges, names=names, semantics=semantics)
+    return LabelLoad(labels, rejects, got["lines"], got["labels"], got["rejects"], values if len(values) <= DISTINCT else None)
+
+
 # ---- stand-ins from the driver tables -------------------------------------
 
 def sample_id_from_int(c, prefix: str = "cell", width: int = 4, suffix: str = ".png") -> Column:
