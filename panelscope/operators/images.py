@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelscope.functions.util import as_col
+from panelscope.operators.ranking import hash_order_key
 from panelscope.schema import IMAGE_STRUCT
 
 # OpenCV type codes used by Spark's image source, by channel count (8-bit).
@@ -295,13 +296,12 @@ AUGMENT_RANGES = dict(rotation=30.0, shear=0.4, zoom=0.5)
 
 
 def _unit(seed, key, epoch, salt: int) -> Column:
-    """Uniform [0, 1) from a 64-bit hash — identical on every retry."""
-    hsh = F.xxhash64(F.lit(int(seed)), as_col(key), as_col(epoch), F.lit(salt))
-    return (F.pmod(hsh, F.lit(1 << 31)).cast("double")) / F.lit(float(1 << 31))
+    """Uniform [0, 1) from 32 bits of an md5 — identical on every retry, and easily computed elsewhere."""
+    return hash_order_key("", F.concat_ws(":", F.lit(str(seed)), as_col(epoch).cast("string"), F.lit(str(salt)), as_col(key).cast("string"))).cast("double") / F.lit(float(1 << 32))
 
 
 def augment_params(key, epoch, seed: int = 0) -> Column:
-    """Per (row, epoch) random parameters: rotation degrees, shear, zoom, flips."""
+    """Per (row, epoch) random parameters: rotation and shear in degrees, zoom, flips."""
     r = AUGMENT_RANGES
     return F.struct(
         ((_unit(seed, key, epoch, 1) * 2 - 1) * r["rotation"]).alias("theta"),
@@ -313,48 +313,70 @@ def augment_params(key, epoch, seed: int = 0) -> Column:
     )
 
 
-def affine_nearest(a: np.ndarray, theta: float, shear: float, zx: float, zy: float, hflip: bool, vflip: bool) -> np.ndarray:
-    """Rotate/shear/zoom about the centre, nearest-neighbour sampling, edges
-    repeated; then flips."""
-    h, w, c = a.shape
-    t, s = np.deg2rad(theta), np.deg2rad(shear)
-    rot = np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]])
-    sh = np.array([[1.0, -np.sin(s)], [0.0, np.cos(s)]])
-    zm = np.array([[zx, 0.0], [0.0, zy]])
-    m = rot @ sh @ zm  # output -> input map (rows, cols)
-    yy, xx = np.meshgrid(np.arange(h) - (h - 1) / 2, np.arange(w) - (w - 1) / 2, indexing="ij")
-    src = np.tensordot(m, np.stack([yy, xx]), axes=1)
-    sy = np.clip(np.rint(src[0] + (h - 1) / 2), 0, h - 1).astype(int)
-    sx = np.clip(np.rint(src[1] + (w - 1) / 2), 0, w - 1).astype(int)
-    out = a[sy, sx]
-    if hflip:
-        out = out[:, ::-1]
-    if vflip:
-        out = out[::-1]
-    return out
+def warp_bilinear(stack: np.ndarray, params: np.ndarray) -> np.ndarray:
+    """Rotate, shear and zoom each image of a stack (N, h, w, c) about its
+    centre, then flip it; a row of ``params`` is theta and shear in degrees, zoom of rows and
+    columns, flip of columns, flip of rows. Gives floats.
+
+    The three maps are composed to one from places of the result to places of
+    the image; there the four neighbours are mixed by nearness. Places outside take the edge."""
+    n, h, w, _ = stack.shape
+    theta, shear = np.deg2rad(params[:, 0].astype(float)), np.deg2rad(params[:, 1].astype(float))
+    zy, zx, hflip, vflip = params[:, 2].astype(float), params[:, 3].astype(float), params[:, 4].astype(bool), params[:, 5].astype(bool)
+    m = np.stack([np.cos(theta) * zy, -np.sin(theta + shear) * zx, np.sin(theta) * zy, np.cos(theta + shear) * zx], axis=1)[:, :, None, None]
+    rows, cols = np.arange(h, dtype=float), np.arange(w, dtype=float)
+    y = np.where(vflip[:, None], rows[::-1], rows)[:, :, None] - (h - 1) / 2
+    x = np.where(hflip[:, None], cols[::-1], cols)[:, None, :] - (w - 1) / 2
+    sy = np.clip(m[:, 0] * y + m[:, 1] * x + (h - 1) / 2, 0, h - 1)
+    sx = np.clip(m[:, 2] * y + m[:, 3] * x + (w - 1) / 2, 0, w - 1)
+    y0, x0 = np.floor(sy).astype(int), np.floor(sx).astype(int)
+    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
+    fy, fx = (sy - y0)[..., None], (sx - x0)[..., None]
+    i = np.arange(n)[:, None, None]
+    top = stack[i, y0, x0] * (1 - fx) + stack[i, y0, x1] * fx
+    low = stack[i, y1, x0] * (1 - fx) + stack[i, y1, x1] * fx
+    return top * (1 - fy) + low * fy
+
+
+_PARAMS = ["theta", "shear", "zx", "zy", "hflip", "vflip"]
 
 
 @F.pandas_udf(IMAGE_STRUCT)
 def _augment_udf(img: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-    n = len(img)
-    heights, widths, chans, datas = [None] * n, [None] * n, [None] * n, [None] * n
-    params = p[["theta", "shear", "zx", "zy", "hflip", "vflip"]].to_numpy()
+    made = [[None] * len(img) for _ in range(4)]
     cols = [img[c].tolist() for c in ("height", "width", "nChannels", "data")]
-    for i, (h, w, c, d) in enumerate(zip(*cols)):
-        if not isinstance(d, (bytes, bytearray)):
-            continue
-        a = affine_nearest(np.frombuffer(d, dtype=np.uint8).reshape(int(h), int(w), int(c)), *params[i])
-        a = np.ascontiguousarray(a)
-        heights[i], widths[i], chans[i], datas[i] = a.shape[0], a.shape[1], a.shape[2], a.tobytes()
-    return _struct_frame(img["origin"].tolist(), heights, widths, chans, datas)
+    params = p[_PARAMS].to_numpy()
+    for shape, at in shape_groups(*cols).items():
+        moved = np.clip(np.rint(warp_bilinear(stacked(cols[3], shape, at), params[at])), 0, 255).astype(np.uint8)
+        for j, i in enumerate(at):
+            for out, value in zip(made, (*shape, moved[j].tobytes())):
+                out[i] = value
+    return _struct_frame(img["origin"].tolist(), *made)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _augment_features_udf(img: pd.DataFrame, p: pd.DataFrame, scale: pd.Series) -> pd.Series:
+    out = [None] * len(img)
+    cols = [img[c].tolist() for c in ("height", "width", "nChannels", "data")]
+    params = p[_PARAMS].to_numpy()
+    for shape, at in shape_groups(*cols).items():
+        moved = warp_bilinear(stacked(cols[3], shape, at), params[at]) * scale.iloc[0]
+        for j, i in enumerate(at):
+            out[i] = moved[j].ravel()
+    return pd.Series(out, dtype=object)
 
 
 def random_augment(df: DataFrame, key: str, epoch, seed: int = 0, col: str = "SAMPLE") -> DataFrame:
     """Per-epoch random affine augmentation; parameters come from hashes of
-    (seed, key, epoch), so a retried task produces the same images."""
+    (seed, epoch, key), so a retried task produces the same images."""
     return df.withColumn(col, _augment_udf(F.col(col), augment_params(F.col(key), as_col(epoch), seed)))
 
 
+def random_augment_features(df: DataFrame, key: str, epoch, seed: int = 0, col: str = "SAMPLE", out: str = "X", rescale: float = 1.0 / 255) -> DataFrame:
+    """The same augmentation, given as flat numbers times ``rescale`` and not rounded to bytes."""
+    return df.withColumn(out, _augment_features_udf(F.col(col), augment_params(F.col(key), as_col(epoch), seed), F.lit(float(rescale))))
+
+
 @F.pandas_udf(IMAGE_STRUCT)
 def _array_to_image(arr: pd.Series, h: pd.Series, w: pd.Series, c: pd.Series) -> pd.DataFrame:
     n = len(arr)

@@ -1168,11 +1168,33 @@ def resize_q(spark, sf):
                     px_digest(to_feature_vector("SAMPLE")).alias("px_digest"))
 
 
-@query("random_augment")
+def _unit_sql(salt: int) -> str:
+    return f"({S.hash32('', f"concat('11:', epoch, ':{salt}:', LABEL_SAMPLE_ID)")}::DOUBLE / 4294967296.0::DOUBLE)"
+
+
+@query(
+    "random_augment",
+    W + f""", e AS (SELECT LABEL_SAMPLE_ID, epoch, {_QUANT_SQL} AS px FROM img JOIN embeddings ON LABEL_SAMPLE_ID = {S.sid('vec_id')} CROSS JOIN range(0, 3) t(epoch)),
+p AS (SELECT *, ({_unit_sql(1)} * 2 - 1) * 30.0::DOUBLE AS theta, ({_unit_sql(2)} * 2 - 1) * 0.4::DOUBLE AS shear, 0.5::DOUBLE + {_unit_sql(3)} AS zx,
+  0.5::DOUBLE + {_unit_sql(4)} AS zy, {_unit_sql(5)} < 0.5 AS hflip, {_unit_sql(6)} < 0.5 AS vflip FROM e),
+g AS (SELECT *, unnest(range(0, 64)) AS k FROM p),
+y AS (SELECT *, CASE WHEN vflip THEN 7 - k // 8 ELSE k // 8 END - 3.5::DOUBLE AS yy, CASE WHEN hflip THEN 7 - k % 8 ELSE k % 8 END - 3.5::DOUBLE AS xx FROM g),
+s AS (SELECT *, greatest(0, least(7, cos(radians(theta)) * zx * yy - sin(radians(theta) + radians(shear)) * zy * xx + 3.5::DOUBLE)) AS sy,
+  greatest(0, least(7, sin(radians(theta)) * zx * yy + cos(radians(theta) + radians(shear)) * zy * xx + 3.5::DOUBLE)) AS sx FROM y),
+t AS (SELECT *, floor(sy)::INTEGER AS y0, floor(sx)::INTEGER AS x0, least(floor(sy)::INTEGER + 1, 7) AS y1, least(floor(sx)::INTEGER + 1, 7) AS x1 FROM s),
+v AS (SELECT *, ((px[y0 * 8 + x0 + 1] * (1 - (sx - x0)) + px[y0 * 8 + x1 + 1] * (sx - x0)) * (1 - (sy - y0))
+  + (px[y1 * 8 + x0 + 1] * (1 - (sx - x0)) + px[y1 * 8 + x1 + 1] * (sx - x0)) * (sy - y0)) / 255.0::DOUBLE AS value FROM t)
+SELECT LABEL_SAMPLE_ID, epoch::INTEGER AS epoch, round(theta, 6) AS theta, round(shear, 6) AS shear, round(zx, 6) AS zx, round(zy, 6) AS zy, hflip, vflip,
+  round(sum(value * (k + 1)), 4) AS px_digest FROM v GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY LABEL_SAMPLE_ID, epoch, theta, shear, zx, zy, hflip, vflip"),
+)
 def random_augment_q(spark, sf):
-    """Per-epoch random affine copies of every image (3 epochs), repeatable."""
-    from panelscope.operators.images import random_augment, to_feature_vector
+    """Three epochs of random affine copies of every image: the parameters, and a digest of the rescaled pixels."""
+    from panelscope.operators.images import array_to_image, augment_params, random_augment_features
 
-    s = _bgr_structs(spark, sf).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    a = random_augment(s, KEY, F.col("epoch"), seed=11)
-    return a.select(KEY, "epoch", px_digest(to_feature_vector("SAMPLE")).alias("px_digest"))
+    i = image_samples(spark, sf)
+    q = F.transform("SAMPLE", lambda x: F.least(F.greatest(F.floor((x.cast("double") + 0.5) * 255.0), F.lit(0)), F.lit(255)))
+    s = i.select(KEY, array_to_image(q, "SAMPLE_H", "SAMPLE_W", "SAMPLE_C").alias("SAMPLE")).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    a = random_augment_features(s, KEY, F.col("epoch"), seed=11).withColumn("p", augment_params(F.col(KEY), F.col("epoch"), 11))
+    digest = F.round(F.aggregate(F.transform("X", lambda x, k: x * (k + 1)), F.lit(0.0), lambda acc, x: acc + x), 4)
+    params = [F.round(f"p.{c}", 6).alias(c) for c in ("theta", "shear", "zx", "zy")]
+    return a.select(KEY, "epoch", *params, "p.hflip", "p.vflip", digest.alias("px_digest"))

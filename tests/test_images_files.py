@@ -124,6 +124,27 @@ def test_random_augment_is_repeatable(spark, image_dir):
     assert a == b and a != c
 
 
+def test_bilinear_warp_of_exact_cases(spark):
+    rng = np.random.default_rng(6)
+    stack = rng.integers(0, 255, (4, 5, 5, 3), dtype=np.uint8)
+    p = lambda *x: np.array([x] * 4, dtype=object)
+    assert (I.warp_bilinear(stack, p(0.0, 0.0, 1.0, 1.0, False, False)) == stack).all()
+    for deg in (90, 180, 270):
+        turned = I._geometry_stack(stack, 0, 0, 0, deg)
+        assert np.allclose(I.warp_bilinear(stack, p(float(-deg), 0.0, 1.0, 1.0, False, False)), turned, atol=1e-9)
+    assert (I.warp_bilinear(stack, p(0.0, 0.0, 1.0, 1.0, True, False)) == stack[:, :, ::-1]).all()
+    assert (I.warp_bilinear(stack, p(0.0, 0.0, 1.0, 1.0, False, True)) == stack[:, ::-1]).all()
+    # half a zoom: between two pixels, their mean
+    ramp = np.arange(5, dtype=float)[None, :, None, None] * np.ones((1, 5, 5, 1))
+    half = I.warp_bilinear(ramp, np.array([[0.0, 0.0, 0.5, 1.0, False, False]], dtype=object))
+    assert np.allclose(half[0, :, 0, 0], [1, 1.5, 2, 2.5, 3])
+    # each image by its own parameters, none at a wrong place
+    mixed = np.array([[-90.0, 0, 1, 1, False, False], [0.0, 0, 1, 1, False, False], [12.0, 0.3, 0.8, 1.2, True, False], [0.0, 0, 1, 1, False, True]], dtype=object)
+    got = I.warp_bilinear(stack, mixed)
+    assert np.allclose(got[0], np.rot90(stack[0])) and (got[1] == stack[1]).all() and (got[3] == stack[3][::-1]).all()
+    assert np.allclose(got[2], I.warp_bilinear(stack[2:3], mixed[2:3])[0])
+
+
 def test_dir_as_label_and_gray_by_dir(spark, image_dir):
     root, _ = image_dir
     d = scan_dir_as_label(spark, root)
