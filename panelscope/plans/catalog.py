@@ -42,6 +42,7 @@ def query(name: str, sql: str | None = None):
 
 
 W = "WITH " + S.LBL + ",\n" + S.SMP + ",\n" + S.MERGED + ",\n" + S.IMG + "\n"
+_LOADED = """, got AS (SELECT img.*, lbl.LABEL_CATEGORY, lbl.TYPE FROM img JOIN lbl USING (LABEL_SAMPLE_ID))"""
 
 # ---------------------------------------------------------------- flagship
 
@@ -862,6 +863,45 @@ def batch_infer_q(spark, sf):
     return s.select(KEY, "pred", "class_name", F.round("confidence", 4).alias("confidence"), F.col("CLASS").alias("true_class"), "correct")
 
 
+_SMALL_NET = (("conv", 8, 3), ("pool", 2), ("dense", 32), ("dense", 4))
+
+
+@query("convnet_floor", "SELECT count(*) AS n_images, true AS learns, true AS beats_half FROM embeddings")
+def convnet_floor_q(spark, sf):
+    """The convolutional net learns which quarter of an image is the brightest: the loss falls, and it is right on over half of the held-out images (chance: a quarter)."""
+    from panelscope.operators.convnet import ConvNet
+
+    i = image_samples(spark, sf)
+    quarter = lambda r, c: F.aggregate(F.filter("SAMPLE", lambda x, k: (F.floor(k / 32) == r) & (F.floor(k % 8 / 4) == c)), F.lit(0.0), lambda a, x: a + x)
+    sums = F.array(*[quarter(r, c) for r in (0, 1) for c in (0, 1)])
+    d = i.select(KEY, F.transform("SAMPLE", lambda x: x.cast("double") * 8).alias("X"), argmax(sums).alias("y"))
+    d = split_exact(d, 0.65, seed=0)
+    net = ConvNet((8, 8, 1), _SMALL_NET, seed=1)
+    losses = net.fit(d.where("split = 'train'"), "X", "y", rounds=12, workers=2, batch=16)
+    test = d.where("split = 'test'").withColumn("probs", net.probabilities("X"))
+    right = agg.accuracy_and_loss(test, "probs", "y").first()["accuracy"]
+    return table(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("n_images")).select("n_images", F.lit(losses[-1] < losses[0]).alias("learns"), F.lit(right > 0.5).alias("beats_half"))
+
+
+@query(
+    "train_or_load",
+    W + _LOADED + """, s AS (SELECT 60 * count(*) AS n FROM got WHERE TYPE = 'poly')
+SELECT n - CAST(round_even(n::DOUBLE * 0.65::DOUBLE, 0) AS BIGINT) AS n_test, true AS first_fitted, false AS second_fitted, true AS equal_predictions FROM s""",
+)
+def train_or_load_q(spark, sf):
+    """A whole run from files, twice: the second one fits nothing and predicts the same."""
+    from panelscope.plans.datasets import load_image_dataset
+    from panelscope.plans.training import train_or_load
+    from panelscope.session import scratch_dir
+
+    ds = load_image_dataset(spark, export_labels(spark, sf), export_embeddings_as_png(spark, sf), check="pairs").filter("LABEL_PATH IS NOT NULL AND SAMPLE_PATH IS NOT NULL")
+    path = scratch_dir(spark, "model")
+    first, second = (train_or_load(ds, path, color="gray", layers=_SMALL_NET, rounds=2, workers=4) for _ in range(2))
+    both = first.predictions.select(KEY, F.col("probs").alias("p")).join(second.predictions.select(KEY, "probs"), KEY, "full")
+    same = F.coalesce(F.bool_and(F.col("p").eqNullSafe(F.col("probs"))), F.lit(True))
+    return both.agg(F.count(F.lit(1)).alias("n_test"), F.lit(first.fitted).alias("first_fitted"), F.lit(second.fitted).alias("second_fitted"), same.alias("equal_predictions"))
+
+
 # ---------------------------------------------------------------- sinks and file sources
 
 @query(
@@ -950,9 +990,6 @@ def export_labels(spark, sf, rows=None) -> str:
     return out
 
 
-_LOADED = """, got AS (SELECT img.*, lbl.LABEL_CATEGORY, lbl.TYPE FROM img JOIN lbl USING (LABEL_SAMPLE_ID))"""
-
-
 @query(
     "load_image_dataset",
     W + _LOADED + f"""
