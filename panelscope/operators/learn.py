@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelscope.functions.scalars import argmax, max_conf
+from panelscope.functions.scalars import argmax, is_correct, max_conf
 from panelscope.session import scratch_dir
 
 
@@ -101,7 +101,7 @@ def score_summary(df: DataFrame, probs: str, label: str, class_names: Sequence[s
         pred.alias("pred"),
         name.alias("class_name"),
         max_conf(probs).alias("confidence"),
-        (pred == F.col(label)).alias("correct"),
+        is_correct(pred, F.col(label)).alias("correct"),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelscope.functions import pixels as px
 from panelscope.functions.ids import id_digits, id_number, id_prefix, id_suffix, url_basename, zfill, concat_id
-from panelscope.functions.scalars import argmax, bin_label, max_conf, one_hot, rescale, softmax
+from panelscope.functions.scalars import argmax, bin_label, floor_mod, one_hot, predict_line, rescale, round_half_even, softmax
 from panelscope.operators import aggregates as agg
 from panelscope.operators.augment import add_mirrored, add_rotated, add_translated, amplify, assign_new_ids, reference_id_stats
 from panelscope.operators.filters import DEFAULT_FILTER, Dataset, data_by_label, filter_rows, label_eq, label_prefix, unaugmented_only
@@ -184,10 +184,18 @@ def merge_one_to_one_q(spark, sf):
     return m.select(KEY, "LABEL_CATEGORY", "lang", "n_chars")
 
 
-@query("sort_by_key", W + "SELECT LABEL_SAMPLE_ID, LABEL_CATEGORY, lang FROM mrg")
+def _with_place(ordered: DataFrame) -> DataFrame:
+    """A sorted frame as it comes, each row with its place."""
+    from panelscope.operators.ranking import numbered
+    from panelscope.session import written
+
+    return numbered(written(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered"), "place", pos="_at")
+
+
+@query("sort_by_key", W + "SELECT LABEL_SAMPLE_ID, LABEL_CATEGORY, lang, row_number() OVER (ORDER BY LABEL_SAMPLE_ID) AS place FROM mrg")
 def sort_by_key_q(spark, sf):
     m = merge_labels_samples(label_frame(spark, sf), document_samples(spark, sf), check="pairs", sort=True)
-    return m.select(KEY, "LABEL_CATEGORY", "lang")
+    return _with_place(m.select(KEY, "LABEL_CATEGORY", "lang"))
 
 
 # ---------------------------------------------------------------- projections
@@ -294,13 +302,24 @@ def key_uniqueness_q(spark, sf):
     return key_uniqueness(table(spark, sf, "conversations").select("conv_id", "turn", "role"), "conv_id")
 
 
+@query(
+    "key_uniqueness_lines",
+    "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem) WHERE c = 1",
+)
+def key_uniqueness_lines_q(spark, sf):
+    """Lines that are alone in their order."""
+    return key_uniqueness(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey")
+
+
 @query(
     "concat_rows",
-    W + "SELECT LABEL_SAMPLE_ID, lang FROM smp WHERE lang = 'en' UNION ALL SELECT LABEL_SAMPLE_ID, lang FROM smp WHERE lang = 'de'",
+    W + """SELECT LABEL_SAMPLE_ID, lang, NULL::DOUBLE AS PROBABILITY FROM smp
+UNION ALL SELECT LABEL_SAMPLE_ID, NULL, PROBABILITY FROM lbl UNION ALL SELECT LABEL_SAMPLE_ID, lang, NULL FROM smp""",
 )
 def concat_rows_q(spark, sf):
+    """All samples, all labels, and the samples again; a column that one side lacks is NULL there."""
     s = document_samples(spark, sf).select(KEY, "lang")
-    return concat_rows(s.where("lang = 'en'"), s.where("lang = 'de'"))
+    return concat_rows(s, label_frame(spark, sf).select(KEY, "PROBABILITY"), s)
 
 
 # ---------------------------------------------------------------- aggregates
@@ -341,9 +360,9 @@ def stage_counts_q(spark, sf):
     return tagged.agg(*[F.count_if(F.col("_s") == s).alias(f"n_{s}") for s in ("labels", "samples", "merged", "filtered")])
 
 
-@query("sorted_distinct", W + "SELECT DISTINCT PROBABILITY FROM lbl")
+@query("sorted_distinct", "SELECT n_chars, row_number() OVER (ORDER BY n_chars) AS place FROM (SELECT DISTINCT n_chars FROM documents)")
 def sorted_distinct_q(spark, sf):
-    return agg.distinct_values(label_frame(spark, sf), "PROBABILITY")
+    return _with_place(agg.distinct_values(table(spark, sf, "documents"), "n_chars"))
 
 
 @query(
@@ -351,15 +370,15 @@ def sorted_distinct_q(spark, sf):
     W + "SELECT count(DISTINCT PROBABILITY) AS n_distinct, 4 AS n_names, count(DISTINCT PROBABILITY) = 4 AS ok FROM lbl",
 )
 def distinct_guard_q(spark, sf):
-    return label_frame(spark, sf).agg(F.count_distinct("PROBABILITY").alias("n_distinct")).select(
-        "n_distinct", F.lit(4).alias("n_names"), (F.col("n_distinct") == 4).alias("ok")
-    )
+    from panelscope.functions.scalars import LABEL_NAMES
+
+    return agg.distinct_count_report(label_frame(spark, sf), "PROBABILITY", LABEL_NAMES)
 
 
 @query("single_value_guard", W + "SELECT count(DISTINCT TYPE) AS n_types, min(TYPE) AS type_value FROM lbl WHERE TYPE = 'poly'")
 def single_value_q(spark, sf):
     d = filter_rows(label_frame(spark, sf), DEFAULT_FILTER)
-    return d.agg(F.count_distinct("TYPE").alias("n_types"), F.min("TYPE").alias("type_value"))
+    return agg.single_value_report(d, "TYPE").select(F.col("n_values").alias("n_types"), F.lit(agg.single_value_guard(d, "TYPE")).alias("type_value"))
 
 
 @query("distinct_shapes", W + "SELECT DISTINCT SAMPLE_H AS rows, SAMPLE_W AS cols, SAMPLE_C AS channels FROM img")
@@ -482,8 +501,8 @@ def ols_frames(spark, sf):
     # executor's blocks are recomputed from the lineage
     d = split_80_20(_lineitem_xy(spark, sf), key="k").persist(StorageLevel.MEMORY_AND_DISK)
     fit = agg.linear_fit(d.where("split = 'train'"), "X", "Y").first()  # slope, intercept, r2, n
-    test = d.where("split = 'test'").withColumn("pred", F.lit(fit["slope"]) * F.col("X") + F.lit(fit["intercept"]))
-    return d, fit, test.withColumn("residual", F.col("Y") - F.col("pred")).withColumn("pred_rounded", F.bround("pred", 0))
+    test = d.where("split = 'test'").withColumn("pred", predict_line("X", fit["slope"], fit["intercept"]))
+    return d, fit, test.withColumn("residual", F.col("Y") - F.col("pred")).withColumn("pred_rounded", round_half_even("pred"))
 
 
 _XY_SQL = f"""WITH xy AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k, l_quantity AS X, l_extendedprice AS Y FROM lineitem),
@@ -510,7 +529,7 @@ def ols_q(spark, sf):
         F.count(F.lit(1)).alias("n_test"),
         F.round(F.lit(fit["slope"]), 6).alias("slope"),
         F.round(F.lit(fit["intercept"]), 6).alias("intercept"),
-        F.round(F.sqrt(F.avg(F.col("residual") * F.col("residual"))), 4).alias("rmse"),
+        F.round(agg.rmse_of("Y", "pred"), 4).alias("rmse"),
         F.round(F.regr_slope("Y", "pred_rounded"), 4).alias("refit_slope"),
         F.round(F.regr_intercept("Y", "pred_rounded"), 2).alias("refit_intercept"),
     )
@@ -528,14 +547,7 @@ SELECT CAST(CASE WHEN residual < {HIST_LO} THEN 0 WHEN residual >= {HIST_HI} THE
 )
 def residual_hist_q(spark, sf):
     _, _, test = ols_frames(spark, sf)
-    r = F.col("residual")
-    b = (
-        F.when(r < HIST_LO, F.lit(0))
-        .when(r >= HIST_HI, F.lit(HIST_BINS + 1))
-        .otherwise(F.floor((r - F.lit(HIST_LO)) / F.lit(HIST_HI - HIST_LO) * F.lit(HIST_BINS)) + 1)
-        .cast("bigint")
-    )
-    return test.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return agg.residual_hist(test, "residual", HIST_LO, HIST_HI, HIST_BINS)
 
 
 _DIST = _XY_SQL + """, v AS (SELECT residual AS v FROM tr),
@@ -598,7 +610,7 @@ def zfill_q(spark, sf):
 )
 def round_half_even_q(spark, sf):
     e = table(spark, sf, "events")
-    return e.select("event_id", F.bround(F.col("value") * 2, 0).alias("half_even"), F.round(F.col("value") * 2, 0).alias("half_up"))
+    return e.select("event_id", round_half_even(F.col("value") * 2).alias("half_even"), F.round(F.col("value") * 2, 0).alias("half_up"))
 
 
 @query(
@@ -607,7 +619,7 @@ def round_half_even_q(spark, sf):
 )
 def floor_mod_q(spark, sf):
     e = table(spark, sf, "events")
-    return e.select("event_id", F.pmod(F.col("user_id") - 50, F.lit(7)).alias("m7"), F.pmod(F.col("event_id") - 5000, F.lit(9)).alias("m9"))
+    return e.select("event_id", floor_mod(F.col("user_id") - 50, 7).alias("m7"), floor_mod(F.col("event_id") - 5000, 9).alias("m9"))
 
 
 @query(
@@ -624,14 +636,16 @@ def shift_pixels_q(spark, sf):
     )
 
 
-_PROBS_SQL = """WITH zz AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: x::DOUBLE * 10.0::DOUBLE) AS z FROM embeddings),
+_PROBS_SQL = """WITH zz AS (SELECT vec_id, label, list_transform(range(0, 10), lambda k: 10.0::DOUBLE * list_reduce(list_transform(list_filter(embedding, lambda x, i: (i - 1) % 10 = k), lambda x: x::DOUBLE), lambda a, b: a + b)) AS z FROM embeddings),
 ex AS (SELECT vec_id, label, list_transform(z, lambda x: exp(x - list_max(z))) AS ez FROM zz),
 pr AS (SELECT vec_id, label, list_transform(ez, lambda x: x / list_reduce(ez, lambda a, b: a + b)) AS p FROM ex)"""
 
 
 def _probs(spark, sf):
     e = table(spark, sf, "embeddings")
-    z = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * F.lit(10.0))
+    # a score for each class from all values: those whose place has the class as last digit
+    score = lambda k: F.aggregate(F.filter("embedding", lambda x, i: i % 10 == k), F.lit(0.0), lambda a, x: a + x.cast("double")) * 10.0
+    z = F.transform(F.sequence(F.lit(0), F.lit(9)), score)
     return e.select("vec_id", "label", softmax(z).alias("p"))
 
 
@@ -642,16 +656,10 @@ SELECT vec_id, list_position(p, list_max(p)) - 1 AS pred, 'class_' || CAST(list_
        round(list_max(p) * 100.0, 4) AS confidence, label AS true_class, list_position(p, list_max(p)) - 1 = label AS correct FROM pr""",
 )
 def score_summary_q(spark, sf):
-    p = _probs(spark, sf)
-    pred = argmax("p")
-    return p.select(
-        "vec_id",
-        pred.alias("pred"),
-        F.concat(F.lit("class_"), pred.cast("string")).alias("class_name"),
-        F.round(max_conf("p"), 4).alias("confidence"),
-        F.col("label").alias("true_class"),
-        (pred == F.col("label")).alias("correct"),
-    )
+    from panelscope.operators.learn import score_summary
+
+    p = score_summary(_probs(spark, sf), "p", "label", [f"class_{k}" for k in range(10)])
+    return p.select("vec_id", "pred", "class_name", F.round("confidence", 4).alias("confidence"), F.col("label").alias("true_class"), "correct")
 
 
 @query(
@@ -751,15 +759,23 @@ def to_binary_q(spark, sf):
 
 @query(
     "validate_images",
-    W + """SELECT CASE WHEN SAMPLE IS NULL THEN 'not_an_image' WHEN SAMPLE_H * SAMPLE_W * SAMPLE_C <> len(SAMPLE) THEN 'wrong_dimension'
+    W + """, bad AS (SELECT CASE CLASS WHEN 1 THEN NULL WHEN 2 THEN SAMPLE[:10] WHEN 3 THEN [] ELSE SAMPLE END AS SAMPLE,
+  CASE CLASS WHEN 3 THEN 0 WHEN 4 THEN 1 WHEN 5 THEN 4 ELSE SAMPLE_H END AS SAMPLE_H, CASE CLASS WHEN 4 THEN 64 WHEN 5 THEN 16 ELSE SAMPLE_W END AS SAMPLE_W, SAMPLE_C FROM img)
+SELECT CASE WHEN SAMPLE IS NULL THEN 'not_an_image' WHEN SAMPLE_H * SAMPLE_W * SAMPLE_C <> len(SAMPLE) THEN 'wrong_dimension'
     WHEN len(SAMPLE) = 0 THEN 'empty' WHEN (SAMPLE_H = 1 OR SAMPLE_W = 1) AND SAMPLE_H * SAMPLE_W > 1 THEN 'one_dimensional'
-    WHEN SAMPLE_H <> SAMPLE_W THEN 'not_square' ELSE 'ok' END AS reason, count(*) AS n FROM img GROUP BY 1""",
+    WHEN SAMPLE_H <> SAMPLE_W THEN 'not_square' ELSE 'ok' END AS reason, count(*) AS n FROM bad GROUP BY 1""",
 )
 def validate_images_q(spark, sf):
     from panelscope.operators.images import validation_reason
 
     i = image_samples(spark, sf)
-    r = validation_reason("SAMPLE_H", "SAMPLE_W", "SAMPLE_C", F.size("SAMPLE"))
+    # images of some classes get a fault each: no pixels, too few, none, one row, not square
+    i = i.withColumns({
+        "SAMPLE": F.expr("CASE CLASS WHEN 1 THEN NULL WHEN 2 THEN slice(SAMPLE, 1, 10) WHEN 3 THEN filter(SAMPLE, x -> false) ELSE SAMPLE END"),
+        "SAMPLE_H": F.expr("CASE CLASS WHEN 3 THEN 0 WHEN 4 THEN 1 WHEN 5 THEN 4 ELSE SAMPLE_H END"),
+        "SAMPLE_W": F.expr("CASE CLASS WHEN 4 THEN 64 WHEN 5 THEN 16 ELSE SAMPLE_W END"),
+    })
+    r = validation_reason("SAMPLE_H", "SAMPLE_W", "SAMPLE_C", F.when(F.col("SAMPLE").isNotNull(), F.size("SAMPLE")))
     return i.groupBy(r.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
