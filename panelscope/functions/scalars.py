@@ -20,7 +20,7 @@ REVIEW_THRESHOLD = 0.01
 
 def _check_bins(edges: Sequence[float], names: Sequence[str]) -> None:
     if len(edges) != len(names) + 1:
-        raise ValueError("Number of bins must be number of label names + 1.")
+        raise ValueError(f"{len(names)} names need {len(names) + 1} edges, not {len(edges)}.")
     if any(b <= a for a, b in zip(edges, edges[1:])):
         raise ValueError("Bin edges must increase monotonically.")
 

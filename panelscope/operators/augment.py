@@ -61,17 +61,15 @@ class StructImage:
     col: str = "SAMPLE"
 
 
-# ---- parameter validation (plan time, like the reference) -----------------
+# ---- parameter checks, when the plan is made --------------------------------
 
 def check_translations(translations, semantics: str = "documented") -> tuple[tuple, ...]:
     if not isinstance(translations, Collection) or isinstance(translations, (str, bytes)):
-        raise TypeError(f"Translations must be a 'Collection', got type {type(translations)}.")
+        raise TypeError(f"translations is a list of (x, y) pairs, not {type(translations).__name__}.")
     out = []
     for t in translations:
-        if not isinstance(t, Collection):
-            raise ValueError(f"Translations must be 2-tuples, got {t!r}.")
-        if len(t) != 2:
-            raise ValueError(f"Translations must be 2-tuples, got tuple of length ({str(t)!r}.")
+        if not isinstance(t, Collection) or len(t) != 2:
+            raise ValueError(f"A translation is a pair (x, y); {t!r} is none.")
         px.check_translation(t[0], semantics)
         px.check_translation(t[1], semantics)
         out.append((t[0], t[1]))
@@ -81,14 +79,14 @@ def check_translations(translations, semantics: str = "documented") -> tuple[tup
 def check_mirror_axes(axes) -> tuple[int, ...]:
     for a in axes:
         if a not in px.MIRROR_AXES:
-            raise ValueError(f"Mirror axes values are restricted to domain [1, 4], got {a}.")
+            raise ValueError(f"There is no mirror axis {a}: 1 reverses rows, 2 columns, 3 and 4 swap along the diagonals.")
     return tuple(axes)
 
 
 def check_rotations(rotations) -> tuple[int, ...]:
     for r in rotations:
         if r % 90 != 0:
-            raise ValueError(f"Rotations are restricted to 90 degree multiples, got {r}.")
+            raise ValueError(f"Images turn by quarter turns (90 degrees); {r} degrees are not a number of them.")
     return tuple(sorted({r % 360 for r in rotations}))
 
 
@@ -98,13 +96,14 @@ def _is_int(v) -> bool:
 
 # ---- pixel kernel for rows carrying their transformation parameters -------
 
-def _apply_pixels(df: DataFrame, image, tx, ty, tx_int, ty_int, axis, deg, semantics: str, dataset_stage: bool = True) -> DataFrame:
+def _apply_pixels(df: DataFrame, image, tx, ty, tx_int, ty_int, axis, deg, semantics: str, dataset_stage: bool = True, turn_square: bool = True) -> DataFrame:
     """Replace the image by rotate(mirror(translate(img))) with per-row
     parameters (Columns; 0 / NULL = operation not applied).
 
     ``semantics="observed"`` on a dataset stage reproduces the reference's
     discarded translation/rotation results (pixels kept); on a single
-    translation (``dataset_stage=False``) it applies its axis rules."""
+    translation (``dataset_stage=False``) it applies its axis rules. With ``turn_square``
+    only square images may be turned; the diagonal mirrors always need one."""
     discard = semantics == "observed" and dataset_stage
     if image is None:  # metadata only: ids and amplification columns
         return df
@@ -116,18 +115,18 @@ def _apply_pixels(df: DataFrame, image, tx, ty, tx_int, ty_int, axis, deg, seman
         dx, dy = px.translation_shifts(tx, ty, tx_int, ty_int, h, w, semantics)
         if discard:
             dx, dy, deg = F.lit(0), F.lit(0), F.lit(0)
-        return df.withColumn(image.col, geometry_kernel(F.col(image.col), dx, dy, axis, deg))
+        return df.withColumn(image.col, geometry_kernel(F.col(image.col), dx, dy, axis, deg, turn_square))
     h, w, c = image.shape()
     c_static = image.c if isinstance(image.c, int) else None
     dx, dy = px.translation_shifts(tx, ty, tx_int, ty_int, h, w, semantics)
     if discard:  # translated / rotated pixels are discarded there
         dx, dy, deg = F.lit(0), F.lit(0), F.lit(0)
-    needs_square = as_col(axis).isin(3, 4) | (as_col(deg) != 0)
+    needs_square = as_col(axis).isin(3, 4) | (as_col(deg) != 0) if turn_square else as_col(axis).isin(3, 4)
     geo = px.geometry_columns(h, w, axis, deg, dx, dy)
     moved = px.permute_affine(F.col(image.col), h, w, c_static if c_static is not None else c)
     checked = F.when(
         needs_square & (h != w) & (h * w > 1),
-        F.raise_error(F.concat(F.lit("Operation is supported only for square images; got "), h.cast("string"), F.lit("x"), w.cast("string"))),
+        F.raise_error(F.concat(F.lit("only a square image can be mirrored or turned like this, not one of "), h.cast("string"), F.lit("x"), w.cast("string"))),
     ).otherwise(moved)
     out = df.withColumns(geo).withColumn(image.col, checked)
     if not isinstance(image.h, int) and not isinstance(image.w, int):

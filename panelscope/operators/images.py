@@ -57,8 +57,10 @@ def _struct_frame(origin, height, width, channels, data) -> pd.DataFrame:
     )
 
 
-@F.pandas_udf(IMAGE_STRUCT)
-def _geometry_udf(img: pd.DataFrame, dx: pd.Series, dy: pd.Series, axis: pd.Series, deg: pd.Series) -> pd.DataFrame:
+NOT_SQUARE = "Only a square image can be mirrored or turned like this, not one of {}x{}."
+
+
+def _moved(img: pd.DataFrame, dx: pd.Series, dy: pd.Series, axis: pd.Series, deg: pd.Series, turn_square: bool) -> pd.DataFrame:
     n = len(img)
     heights, widths = [None] * n, [None] * n
     chans, datas = [None] * n, [None] * n
@@ -71,8 +73,8 @@ def _geometry_udf(img: pd.DataFrame, dx: pd.Series, dy: pd.Series, axis: pd.Seri
     for (h, w, c, gx, gy, ga, gd), idx in keys.groupby(list(keys.columns)).groups.items():
         idx = np.asarray(idx)
         h, w, c = int(h), int(w), int(c)
-        if (int(ga) in (3, 4) or int(gd) % 360) and h != w and h * w > 1:
-            raise ValueError(f"Operation is supported only for square images. Got image of dimensions {h}x{w}.")
+        if (int(ga) in (3, 4) or (turn_square and int(gd) % 360)) and h != w and h * w > 1:
+            raise ValueError(NOT_SQUARE.format(h, w))
         # one buffer, one reshape, one numpy move for the whole group
         stack = np.frombuffer(b"".join(raw[idx]), dtype=np.uint8).reshape(len(idx), h, w, c)
         moved = np.ascontiguousarray(_geometry_stack(stack, int(gx), int(gy), int(ga), int(gd)))
@@ -83,9 +85,20 @@ def _geometry_udf(img: pd.DataFrame, dx: pd.Series, dy: pd.Series, axis: pd.Seri
     return _struct_frame(img["origin"].tolist(), heights, widths, chans, datas)
 
 
-def geometry_kernel(img, dx, dy, axis, deg) -> Column:
-    """Image struct -> rotate(mirror(roll(img, dy rows, dx cols))) per row."""
-    return _geometry_udf(as_col(img), as_col(dx).cast("int"), as_col(dy).cast("int"), as_col(axis).cast("int"), as_col(deg).cast("int"))
+@F.pandas_udf(IMAGE_STRUCT)
+def _geometry_udf(img: pd.DataFrame, dx: pd.Series, dy: pd.Series, axis: pd.Series, deg: pd.Series) -> pd.DataFrame:
+    return _moved(img, dx, dy, axis, deg, turn_square=True)
+
+
+@F.pandas_udf(IMAGE_STRUCT)
+def _geometry_udf_any(img: pd.DataFrame, dx: pd.Series, dy: pd.Series, axis: pd.Series, deg: pd.Series) -> pd.DataFrame:
+    return _moved(img, dx, dy, axis, deg, turn_square=False)
+
+
+def geometry_kernel(img, dx, dy, axis, deg, turn_square: bool = True) -> Column:
+    """Image struct -> rotate(mirror(roll(img, dy rows, dx cols))) per row; with
+    ``turn_square`` only square images may be turned."""
+    return (_geometry_udf if turn_square else _geometry_udf_any)(as_col(img), as_col(dx).cast("int"), as_col(dy).cast("int"), as_col(axis).cast("int"), as_col(deg).cast("int"))
 
 
 def shape_groups(height, width, channels, data) -> dict[tuple[int, int, int], list[int]]:
@@ -208,7 +221,7 @@ def expand_variants(df: DataFrame, col: str, shifts: Column, variants: Sequence[
                 heights, widths, datas = [None] * n, [None] * n, [None] * n
                 for (h, w, _), (places, stack) in groups.items():
                     if (axis in (3, 4) or deg % 360) and h != w and h * w > 1:
-                        raise ValueError(f"Operation is supported only for square images. Got image of dimensions {h}x{w}.")
+                        raise ValueError(NOT_SQUARE.format(h, w))
                     move = moves[places[0]].as_py()[vt]  # depends on the shape alone
                     moved = np.ascontiguousarray(_geometry_stack(stack, move["dx"], move["dy"], axis, deg))
                     flat = moved.reshape(len(places), -1)
@@ -227,7 +240,7 @@ def dataset_to_gray(df: DataFrame, col: str = "SAMPLE", state: dict | None = Non
     refused after a binary conversion (``ValueError``)."""
     if state is not None:
         if state.get("binary"):
-            raise ValueError("Cannot convert to grayscale: already converted to binary colors.")
+            raise ValueError("The images are binary by now; their grays are lost.")
         state["gray"] = True
     return to_gray(df, col)
 
@@ -396,11 +409,11 @@ def array_to_image(arr, h, w, c) -> Column:
 
 # ---- DataFrame-level geometric operators (array or struct images) -----------
 
-def _geometry(df: DataFrame, image, axis=0, deg=0, dx=0, dy=0) -> DataFrame:
+def _geometry(df: DataFrame, image, axis=0, deg=0, dx=0, dy=0, turn_square: bool = True) -> DataFrame:
     from panelscope.operators.augment import _apply_pixels
 
     return _apply_pixels(
-        df, image, F.lit(float(dx)), F.lit(float(dy)), F.lit(True), F.lit(True), F.lit(axis), F.lit(deg), "documented"
+        df, image, F.lit(float(dx)), F.lit(float(dy)), F.lit(True), F.lit(True), F.lit(axis), F.lit(deg), "documented", turn_square=turn_square
     )
 
 
@@ -408,18 +421,23 @@ def mirror_images(df: DataFrame, image, axis: int) -> DataFrame:
     """Mirror every image: 1 rows reversed, 2 columns reversed, 3 main
     diagonal, 4 anti-diagonal (3 and 4 need square images)."""
     if axis not in (1, 2, 3, 4):
-        raise ValueError(f"Mirror axes values are restricted to domain [1, 4], got {axis}.")
+        raise ValueError(f"There is no mirror axis {axis}, only 1 to 4.")
     return _geometry(df, image, axis=axis)
 
 
-def rotate_images(df: DataFrame, image, degrees: int) -> DataFrame:
-    """Counter-clockwise rotation by a multiple of 90 degrees (square images;
-    one-pixel and empty images pass unchanged)."""
+def rotate_images(df: DataFrame, image, degrees: int, square: bool = False) -> DataFrame:
+    """Counter-clockwise rotation by a multiple of 90 degrees; rows and columns
+    of an image that isn't square change places. One-pixel and empty images pass unchanged."""
     if not isinstance(degrees, int) or isinstance(degrees, bool):
-        raise TypeError(f"Degrees must be an int, got {type(degrees)}.")
+        raise TypeError(f"degrees is a whole number, not {type(degrees).__name__}.")
     if degrees % 90:
-        raise ValueError("Rotation only allows multiples of 90 degrees.")
-    return _geometry(df, image, deg=degrees % 360)
+        raise ValueError(f"{degrees} degrees are no number of quarter turns.")
+    return _geometry(df, image, deg=degrees % 360, turn_square=square)
+
+
+def rotate_square_images(df: DataFrame, image, degrees: int) -> DataFrame:
+    """``rotate_images`` that fails on an image that isn't square."""
+    return rotate_images(df, image, degrees, square=True)
 
 
 def translate_images(df: DataFrame, image, translation_x=0, translation_y=0, semantics: str = "documented") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Golden single-operator cases (2×2, 3×3, 1-pixel, empty, non-square, types)."""
+"""Single operators against their definition, on drawn images (square, not square, of three channels, of one pixel, empty)."""
 
 import numpy as np
 import pytest
@@ -6,23 +6,44 @@ from pyspark.sql import functions as F
 
 from panelscope.functions import pixels as px
 from panelscope.operators.augment import ArrayImage
-from panelscope.operators.images import mirror_images, rotate_images, translate_images
+from panelscope.operators.images import mirror_images, rotate_images, rotate_square_images, translate_images
 
-IMG22 = [[1, 2], [3, 4]]
-IMG33 = [[1, 2, 3], [4, 5, 6], [7, 8, 9]]
+RNG = np.random.default_rng(17)
+#: 4x4 and 5x5, one channel; 3x3 and 4x4 with three.
+GRIDS = [RNG.integers(0, 90, (n, n)) for n in (4, 5)]
+COLORED = [RNG.integers(0, 255, (n, n, 3)) for n in (3, 4)]
+SMALL = GRIDS[0].tolist()
 IMG = ArrayImage("a", "h", "w", "c")
 
-MIRRORS = {
-    1: ([[3, 4], [1, 2]], [[7, 8, 9], [4, 5, 6], [1, 2, 3]]),
-    2: ([[2, 1], [4, 3]], [[3, 2, 1], [6, 5, 4], [9, 8, 7]]),
-    3: ([[1, 3], [2, 4]], [[1, 4, 7], [2, 5, 8], [3, 6, 9]]),
-    4: ([[4, 2], [3, 1]], [[9, 6, 3], [8, 5, 2], [7, 4, 1]]),
-}
-ROTATIONS = {
-    90: ([[2, 4], [1, 3]], [[3, 6, 9], [2, 5, 8], [1, 4, 7]]),
-    180: ([[4, 3], [2, 1]], [[9, 8, 7], [6, 5, 4], [3, 2, 1]]),
-    270: ([[3, 1], [4, 2]], [[7, 4, 1], [8, 5, 2], [9, 6, 3]]),
-}
+
+def by_definition(a, source):
+    """The image whose pixel (r, q) is the pixel ``source(r, q, h, w)`` of ``a``, where the result has the shape that ``source`` gives for None."""
+    h, w = a.shape[:2]
+    out = np.empty((*source(None, None, h, w), *a.shape[2:]), a.dtype)
+    for r in range(out.shape[0]):
+        for q in range(out.shape[1]):
+            out[r, q] = a[source(r, q, h, w)]
+    return out
+
+
+def mirrored(axis):
+    def source(r, q, h, w):
+        if r is None:
+            return (w, h) if axis > 2 else (h, w)
+        return {1: lambda: (h - 1 - r, q), 2: lambda: (r, w - 1 - q), 3: lambda: (q, r), 4: lambda: (h - 1 - q, w - 1 - r)}[axis]()
+
+    return source
+
+
+def turned(degrees):
+    def source(r, q, h, w):
+        quarter = degrees % 360 // 90
+        if r is None:
+            return (w, h) if quarter % 2 else (h, w)
+        # a quarter turn counter-clockwise brings the last column to the top
+        return [(r, q), (q, w - 1 - r), (h - 1 - r, w - 1 - q), (h - 1 - q, r)][quarter]
+
+    return source
 
 
 def frame(spark, imgs):
@@ -32,7 +53,7 @@ def frame(spark, imgs):
         if a.ndim == 1:
             a = a.reshape(1, -1) if a.size else a.reshape(0, 0)
         h, w = a.shape[:2]
-        rows.append(([float(x) for x in a.ravel()], h, w, 1))
+        rows.append(([float(x) for x in a.ravel()], h, w, a.shape[2] if a.ndim == 3 else 1))
     return spark.createDataFrame(rows, "a array<double>, h int, w int, c int")
 
 
@@ -40,21 +61,42 @@ def grid(row):
     return np.asarray(row["a"]).reshape(row["h"], row["w"]).astype(int).tolist()
 
 
+def cube(row):
+    return np.asarray(row["a"]).reshape(row["h"], row["w"], row["c"]).astype(int)
+
+
 @pytest.mark.parametrize("axis", [1, 2, 3, 4])
-def test_mirror_golden(spark, axis):
-    out = mirror_images(frame(spark, [IMG22, IMG33]), IMG, axis).collect()
-    assert [grid(r) for r in out] == list(MIRRORS[axis])
+def test_mirrors_by_definition(spark, axis):
+    out = mirror_images(frame(spark, GRIDS), IMG, axis).collect()
+    assert [grid(r) for r in out] == [by_definition(a, mirrored(axis)).tolist() for a in GRIDS]
+    out = mirror_images(frame(spark, COLORED), IMG, axis).collect()
+    assert all((cube(r) == by_definition(a, mirrored(axis))).all() for r, a in zip(out, COLORED, strict=True))
 
 
 @pytest.mark.parametrize("deg", [90, 180, 270, 450, -90])
-def test_rotate_golden(spark, deg):
-    out = rotate_images(frame(spark, [IMG22, IMG33]), IMG, deg).collect()
-    assert [grid(r) for r in out] == list(ROTATIONS[deg % 360])
+def test_rotations_by_definition(spark, deg):
+    wide = [RNG.integers(0, 90, (2, 5)), RNG.integers(0, 90, (4, 3))]
+    for images in (GRIDS, wide):
+        out = rotate_images(frame(spark, images), IMG, deg).collect()
+        assert [grid(r) for r in out] == [by_definition(a, turned(deg)).tolist() for a in images]
+    out = rotate_images(frame(spark, COLORED), IMG, deg).collect()
+    assert all((cube(r) == by_definition(a, turned(deg))).all() for r, a in zip(out, COLORED, strict=True))
+
+
+def test_rotation_of_image_structs_that_are_not_square(spark):
+    from panelscope.operators.augment import StructImage
+
+    a = RNG.integers(0, 255, (2, 5, 3)).astype(np.uint8)
+    df = spark.createDataFrame([(("o", 2, 5, 3, 16, a.tobytes()),)], "SAMPLE struct<origin string, height int, width int, nChannels int, mode int, data binary>")
+    s = rotate_images(df, StructImage("SAMPLE"), 90).first()["SAMPLE"]
+    assert (np.frombuffer(s["data"], np.uint8).reshape(s["height"], s["width"], 3) == by_definition(a, turned(90))).all()
+    with pytest.raises(Exception, match="square"):
+        rotate_square_images(df, StructImage("SAMPLE"), 90).collect()
 
 
-def test_rotate_zero_and_full_turn_identity(spark):
+def test_no_turn_and_full_turn(spark):
     for d in (0, 360):
-        assert [grid(r) for r in rotate_images(frame(spark, [IMG22, IMG33]), IMG, d).collect()] == [IMG22, IMG33]
+        assert [grid(r) for r in rotate_images(frame(spark, GRIDS), IMG, d).collect()] == [a.tolist() for a in GRIDS]
 
 
 def test_single_pixel_and_empty_pass_unchanged(spark):
@@ -66,27 +108,27 @@ def test_single_pixel_and_empty_pass_unchanged(spark):
 
 def test_rotation_not_multiple_of_90(spark):
     with pytest.raises(ValueError):
-        rotate_images(frame(spark, [IMG22]), IMG, 45)
+        rotate_images(frame(spark, [SMALL]), IMG, 45)
 
 
 def test_bad_mirror_axis(spark):
     with pytest.raises(ValueError):
-        mirror_images(frame(spark, [IMG22]), IMG, 5)
+        mirror_images(frame(spark, [SMALL]), IMG, 5)
 
 
 @pytest.mark.parametrize("shape", [(2, 3), (2, 4), (3, 2), (4, 2)])
 def test_non_square_diagonal_mirror_and_rotation_fail(spark, shape):
     img = np.arange(np.prod(shape)).reshape(shape).tolist()
     df = frame(spark, [img])
-    for op in (lambda d: mirror_images(d, IMG, 3), lambda d: mirror_images(d, IMG, 4), lambda d: rotate_images(d, IMG, 90)):
+    for op in (lambda d: mirror_images(d, IMG, 3), lambda d: mirror_images(d, IMG, 4), lambda d: rotate_square_images(d, IMG, 90)):
         with pytest.raises(Exception, match="square"):
             op(df).collect()
 
 
 def test_non_square_row_mirror_ok(spark):
-    img = [[1, 2, 3], [4, 5, 6]]
-    out = mirror_images(frame(spark, [img]), IMG, 1).collect()
-    assert grid(out[0]) == [[4, 5, 6], [1, 2, 3]]
+    a = RNG.integers(0, 90, (3, 7))
+    out = mirror_images(frame(spark, [a]), IMG, 1).collect()
+    assert grid(out[0]) == by_definition(a, mirrored(1)).tolist()
 
 
 @pytest.mark.parametrize("bad", ["a string column", "x"])
@@ -95,7 +137,7 @@ def test_wrong_types(spark, bad):
     with pytest.raises(TypeError):
         mirror_images(df, IMG, 1)
     with pytest.raises(TypeError):
-        rotate_images(frame(spark, [IMG22]), IMG, "90")
+        rotate_images(frame(spark, [SMALL]), IMG, "90")
 
 
 def test_translate_fraction_and_pixels(spark):
@@ -111,7 +153,7 @@ def test_translate_fraction_and_pixels(spark):
 
 
 def test_translate_bounds_and_types(spark):
-    df = frame(spark, [IMG22])
+    df = frame(spark, [SMALL])
     with pytest.raises(ValueError):
         translate_images(df, IMG, 1.2, 0.0)
     translate_images(df, IMG, 1.2, 0.0, semantics="observed")
