@@ -14,7 +14,8 @@ import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StringIndexer
-from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,16 +61,9 @@ def classify_defects(train: DataFrame, features: str, category_col: str = "LABEL
 
 def class_centroids(train: DataFrame, features: str, label: str) -> tuple[list[int], np.ndarray]:
     """Mean feature vector per class (a classes × features matrix — bounded
-    by the class count, not by the data); partial sums per partition."""
-    ex = train.select(F.col(label).alias("c"), F.posexplode(F.col(features)).alias("i", "v"))
-    means = ex.groupBy("c", "i").agg(F.avg(F.col("v").cast("double")).alias("m")).collect()
-    classes = sorted({r["c"] for r in means})
-    dim = max(r["i"] for r in means) + 1
-    mat = np.zeros((len(classes), dim))
-    pos = {c: k for k, c in enumerate(classes)}
-    for r in means:
-        mat[pos[r["c"]], r["i"]] = r["m"]
-    return classes, mat
+    by the class count, not by the data): one aggregate over vectors, summed up per partition first."""
+    means = with_features(train, features).groupBy(F.col(label).alias("c")).agg(Summarizer.mean(F.col("features")).alias("m")).orderBy("c").collect()
+    return [r["c"] for r in means], np.array([r["m"].toArray() for r in means])
 
 
 def centroid_predict_fn(centroids: np.ndarray):
@@ -105,10 +99,6 @@ def score_summary(df: DataFrame, probs: str, label: str, class_names: Sequence[s
     )
 
 
-def probabilities(model_output: DataFrame, col: str = "probability", out: str = "probs") -> DataFrame:
-    return model_output.withColumn(out, vector_to_array(F.col(col)))
-
-
 def train_test_arrays(split_df: DataFrame, features: str, label: str, split_col: str = "split"):
     """(train, test) frames of (features, label). The test part really holds
     the test rows (the reference returned the training rows there, D9)."""

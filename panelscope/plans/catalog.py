@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelscope.functions import pixels as px
 from panelscope.functions.ids import id_digits, id_number, id_prefix, id_suffix, url_basename, zfill, concat_id
-from panelscope.functions.scalars import argmax, bin_label, floor_mod, one_hot, predict_line, rescale, round_half_even, softmax
+from panelscope.functions.scalars import argmax, bin_label, floor_mod, is_correct, one_hot, predict_line, rescale, round_half_even, softmax
 from panelscope.operators import aggregates as agg
 from panelscope.operators.augment import add_mirrored, add_rotated, add_translated, amplify, assign_new_ids, reference_id_stats
 from panelscope.operators.filters import DEFAULT_FILTER, Dataset, data_by_label, filter_rows, label_eq, label_prefix, unaugmented_only
@@ -841,32 +841,59 @@ def load_filter_amplify_q(spark, sf):
 
 # ---------------------------------------------------------------- models (no SQL oracle)
 
-@query("mlp_classifier")
+def _brightest(spark, sf):
+    """Images with the quarter (0 to 3) that is the brightest: something that can be learnt from pixels. X: the pixels times 8."""
+    i = image_samples(spark, sf)
+    quarter = lambda r, c: F.aggregate(F.filter("SAMPLE", lambda x, k: (F.floor(k / 32) == r) & (F.floor(k % 8 / 4) == c)), F.lit(0.0), lambda a, x: a + x)
+    sums = F.array(*[quarter(r, c) for r in (0, 1) for c in (0, 1)])
+    return i.select(KEY, F.transform("SAMPLE", lambda x: x.cast("double") * 8).alias("X"), argmax(sums).alias("y"))
+
+
+def _beats_half(scored: DataFrame, right) -> DataFrame:
+    """One row: the held-out images, and whether over half of them are right (chance: a quarter)."""
+    return scored.agg(F.count(F.lit(1)).alias("n_test"), (F.avg(right.cast("double")) > 0.5).alias("beats_half"))
+
+
+_HELD_OUT = "SELECT count(*) - CAST(round_even(count(*)::DOUBLE * 0.65::DOUBLE, 0) AS BIGINT) AS n_test, true AS beats_half FROM embeddings"
+
+
+@query("mlp_classifier", _HELD_OUT)
 def mlp_classifier_q(spark, sf):
-    """Rescaled pixels -> hidden layer -> 10 classes; test-part predictions."""
+    """Pixels -> hidden layer -> the brightest quarter; held-out floor."""
     from panelscope.operators.learn import mlp_classifier, with_features
 
-    i = image_samples(spark, sf).withColumn("X", rescale(F.transform("SAMPLE", lambda x: (x + 0.5) * 255.0)))
-    d = split_exact(i.select(KEY, "X", "CLASS"), 0.65, seed=0).persist(StorageLevel.MEMORY_AND_DISK)
-    model = mlp_classifier(d.where("split = 'train'"), "X", "CLASS", 64, 10, hidden=128, max_iter=60)
+    d = split_exact(_brightest(spark, sf), 0.65, seed=0)
+    model = mlp_classifier(d.where("split = 'train'"), "X", "y", 64, 4, hidden=32, max_iter=60)
     pred = model.transform(with_features(d.where("split = 'test'"), "X"))
-    return pred.select(KEY, F.col("CLASS").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+    return _beats_half(pred, is_correct("prediction", "y"))
 
 
-@query("classify_defects")
+@query("classify_defects", _HELD_OUT)
 def classify_defects_q(spark, sf):
-    """Defect category from the image: labels ⨝ images, split, fit, predict."""
+    """A category (by name) from the image: fit, predict, held-out floor."""
+    from panelscope.functions.scalars import LABEL_NAMES
     from panelscope.operators.learn import classify_defects, with_features
 
-    lbl, img = label_frame(spark, sf), image_samples(spark, sf)
-    m = merge_labels_samples(lbl, img, check="pairs", how="inner")
-    d = split_exact(m.select(KEY, "SAMPLE", "LABEL_CATEGORY"), 0.65, seed=0).persist(StorageLevel.MEMORY_AND_DISK)
-    model = classify_defects(d.where("split = 'train'"), "SAMPLE")
-    out = model.transform(with_features(d.where("split = 'test'"), "SAMPLE"))
-    return out.select(KEY, "LABEL_CATEGORY", F.col("prediction").cast("int").alias("prediction"))
+    names = F.array(*[F.lit(n) for n in LABEL_NAMES])
+    d = split_exact(_brightest(spark, sf).withColumn("LABEL_CATEGORY", F.element_at(names, F.col("y") + 1)), 0.65, seed=0)
+    model = classify_defects(d.where("split = 'train'"), "X")
+    out = model.transform(with_features(d.where("split = 'test'"), "X"))
+    # classes are numbered by name
+    by_name = F.array_position(F.array_sort(names), F.col("LABEL_CATEGORY")) - 1
+    return _beats_half(out, is_correct("prediction", by_name))
 
 
-@query("batch_infer")
+@query(
+    "batch_infer",
+    W + f""", r AS ({_rank_sql('img', 'LABEL_SAMPLE_ID', 0, ', SAMPLE, CLASS')}),
+s AS (SELECT *, rk <= CAST(round_even(n::DOUBLE * 0.65::DOUBLE, 0) AS BIGINT) AS train FROM r),
+px AS (SELECT LABEL_SAMPLE_ID, CLASS, train, unnest(SAMPLE)::DOUBLE AS v, unnest(range(0, 64)) AS i FROM s),
+c AS (SELECT CLASS AS k, i, avg(v) AS m FROM px WHERE train GROUP BY ALL),
+d AS (SELECT LABEL_SAMPLE_ID, px.CLASS, k, -sum((v - m) * (v - m)) AS z FROM px JOIN c USING (i) WHERE NOT train GROUP BY ALL),
+e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY LABEL_SAMPLE_ID)) AS ez FROM d),
+b AS (SELECT LABEL_SAMPLE_ID, any_value(CLASS) AS CLASS, arg_max(k, ez) AS k, max(ez) / sum(ez) AS p FROM e GROUP BY LABEL_SAMPLE_ID)
+SELECT LABEL_SAMPLE_ID, k AS pred, 'class_' || k AS class_name, round(p * 100, 4) AS confidence, CLASS AS true_class, k = CLASS AS correct FROM b""",
+)
 def batch_infer_q(spark, sf):
     """Nearest-centroid model scored with predict_batch_udf, then summarised."""
     from panelscope.operators.learn import batch_infer, centroid_predict_fn, class_centroids, score_summary
@@ -887,11 +914,7 @@ def convnet_floor_q(spark, sf):
     """The convolutional net learns which quarter of an image is the brightest: the loss falls, and it is right on over half of the held-out images (chance: a quarter)."""
     from panelscope.operators.convnet import ConvNet
 
-    i = image_samples(spark, sf)
-    quarter = lambda r, c: F.aggregate(F.filter("SAMPLE", lambda x, k: (F.floor(k / 32) == r) & (F.floor(k % 8 / 4) == c)), F.lit(0.0), lambda a, x: a + x)
-    sums = F.array(*[quarter(r, c) for r in (0, 1) for c in (0, 1)])
-    d = i.select(KEY, F.transform("SAMPLE", lambda x: x.cast("double") * 8).alias("X"), argmax(sums).alias("y"))
-    d = split_exact(d, 0.65, seed=0)
+    d = split_exact(_brightest(spark, sf), 0.65, seed=0)
     net = ConvNet((8, 8, 1), _SMALL_NET, seed=1)
     losses = net.fit(d.where("split = 'train'"), "X", "y", rounds=12, workers=2, batch=16)
     test = d.where("split = 'test'").withColumn("probs", net.probabilities("X"))
@@ -1251,3 +1274,132 @@ def random_augment_q(spark, sf):
     digest = F.round(F.aggregate(F.transform("X", lambda x, k: x * (k + 1)), F.lit(0.0), lambda acc, x: acc + x), 4)
     params = [F.round(f"p.{c}", 6).alias(c) for c in ("theta", "shear", "zx", "zy")]
     return a.select(KEY, "epoch", *params, "p.hflip", "p.vflip", digest.alias("px_digest"))
+
+
+# ---------------------------------------------------------------- schemas, states and parts of a dataset
+
+@query(
+    "schema_columns",
+    """SELECT * FROM (VALUES (0, 'LABEL_CATEGORY', 'string'), (1, 'LABEL_FILENAME', 'string'), (2, 'LABEL_PATH', 'string'), (3, 'LABEL_SAMPLE_ID', 'string'), (4, 'MIRROR_AXIS', 'smallint'),
+(5, 'PROBABILITY', 'double'), (6, 'ROT_DEG', 'smallint'), (7, 'SAMPLE_PATH', 'string'), (8, 'SAMPLE_PATH_CATEGORY', 'string'), (9, 'TRANSL_X', 'double'), (10, 'TRANSL_Y', 'double'), (11, 'TYPE', 'string')) t(place, name, type)
+CROSS JOIN (SELECT count(*) AS n_rows FROM (SELECT DISTINCT doc_id FROM labels UNION SELECT DISTINCT doc_id FROM documents))""",
+)
+def schema_columns_q(spark, sf):
+    """Two schemas merged, an empty frame of them filled with the merged data, checked, and its columns listed."""
+    from panelscope.schema import SCHEMA_LABELS_ELPV, SCHEMA_SAMPLES_IMAGE, check_schema, empty_from_schema, merge_schemas
+
+    schema = T.StructType([f for f in merge_schemas(SCHEMA_LABELS_ELPV, SCHEMA_SAMPLES_IMAGE) if f.name != "SAMPLE"])
+    data = concat_rows(empty_from_schema(spark, schema), cast_to_schema(merged(spark, sf), schema, keep_extra=False))
+    check_schema(data, schema)
+    cols = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("name"), F.lit(t).alias("type")) for i, (n, t) in enumerate(data.dtypes)])
+    return data.agg(F.count(F.lit(1)).alias("n_rows")).select(F.explode(cols).alias("c"), "n_rows").select("c.place", "c.name", "c.type", "n_rows")
+
+
+@query("reset", W + "SELECT TYPE, count(*) AS n_current, (SELECT count(*) FROM lbl WHERE TYPE = 'poly' AND PROBABILITY > 0.5) AS n_filtered FROM lbl GROUP BY TYPE")
+def reset_q(spark, sf):
+    """Two filters one after the other, then back to the original data."""
+    ds = Dataset(label_frame(spark, sf)).filter(DEFAULT_FILTER).filter("PROBABILITY > 0.5")
+    n = ds.current.count()
+    return ds.reset().current.groupBy("TYPE").agg(F.count(F.lit(1)).alias("n_current"), F.lit(n).cast("bigint").alias("n_filtered"))
+
+
+@query("key_first", W + "SELECT LABEL_SAMPLE_ID AS c0, LABEL_CATEGORY AS c1, LABEL_FILENAME AS c2, LABEL_PATH AS c3, PROBABILITY AS c4, TYPE AS c5 FROM lbl")
+def key_first_q(spark, sf):
+    """The columns by their place, the key's being the first."""
+    from panelscope.operators.projections import key_first
+
+    got = key_first(label_frame(spark, sf))
+    return got.toDF(*[f"c{i}" for i in range(len(got.columns))])
+
+
+def _split_arrays(spark, sf, part: int) -> DataFrame:
+    from panelscope.operators.learn import train_test_arrays
+
+    d = split_exact(image_samples(spark, sf).select(KEY, "SAMPLE", "CLASS"), 0.65, seed=0)
+    return train_test_arrays(d, "SAMPLE", "CLASS")[part].select(px_digest("features").alias("px_digest"), "label")
+
+
+def _split_arrays_sql(sign: str) -> str:
+    return W + f""", r AS ({_rank_sql('img', 'LABEL_SAMPLE_ID', 0, ', SAMPLE, CLASS')})
+SELECT {S.digest('SAMPLE')} AS px_digest, CLASS AS label FROM r WHERE rk {sign} CAST(round_even(n::DOUBLE * 0.65::DOUBLE, 0) AS BIGINT)"""
+
+
+query("train_arrays", _split_arrays_sql("<="))(lambda spark, sf: _split_arrays(spark, sf, 0))
+query("test_arrays", _split_arrays_sql(">"))(lambda spark, sf: _split_arrays(spark, sf, 1))
+
+
+@query(
+    "dataset_to_binary",
+    W + f""", q AS (SELECT LABEL_SAMPLE_ID, {_QUANT_SQL} AS q FROM img JOIN embeddings ON LABEL_SAMPLE_ID = {S.sid('vec_id')})
+SELECT LABEL_SAMPLE_ID, 1 AS channels, true AS gray_refused, {S.digest("list_transform(q, lambda x: CASE WHEN x > 128 THEN 255.0 ELSE 0.0 END)")} AS px_digest FROM q""",
+)
+def dataset_to_binary_q(spark, sf):
+    """Gray, then binary, of a whole dataset; then gray again is refused."""
+    from panelscope.operators.images import array_to_image, dataset_to_binary, dataset_to_gray, to_feature_vector
+
+    i, state = image_samples(spark, sf), {}
+    s = i.select(KEY, array_to_image(_quantized(i), "SAMPLE_H", "SAMPLE_W", "SAMPLE_C").alias("SAMPLE"))
+    b = dataset_to_binary(dataset_to_gray(s, state=state), state=state)
+    try:
+        dataset_to_gray(b, state=state)
+        refused = False
+    except ValueError:
+        refused = True
+    return b.select(KEY, F.col("SAMPLE.nChannels").alias("channels"), F.lit(refused).alias("gray_refused"), px_digest(to_feature_vector("SAMPLE")).alias("px_digest"))
+
+
+@query("normalize_shape", W + "SELECT count(*) AS n, 1 AS channels, 1 AS n_shapes FROM img")
+def normalize_shape_q(spark, sf):
+    """Half of the images lose their channel count: two shapes, then one."""
+    from panelscope.operators.images import normalize_shape
+
+    i = image_samples(spark, sf).withColumn("SAMPLE_C", F.when(F.col("CLASS") % 2 == 0, F.col("SAMPLE_C")))
+    same = normalize_shape(i)
+    n = agg.distinct_shapes(same, "SAMPLE_H", "SAMPLE_W", "SAMPLE_C").count()
+    return same.agg(F.count(F.lit(1)).alias("n"), F.max("SAMPLE_C").alias("channels"), F.lit(n).alias("n_shapes"))
+
+
+@query("rotate_square", _px_sql({"px_digest": S.permute("SAMPLE", "SAMPLE_H", lambda r, q, h, w: S.rotate_src(270, r, q, h, w))}))
+def rotate_square_q(spark, sf):
+    from panelscope.operators.images import rotate_square_images
+
+    r = rotate_square_images(image_samples(spark, sf), IMG, 270)
+    return r.select(KEY, px_digest("SAMPLE").alias("px_digest"))
+
+
+@query("project_images", W + f"SELECT {S.digest('SAMPLE')} AS px_digest FROM img")
+def project_images_q(spark, sf):
+    from panelscope.operators.projections import project_images
+
+    return project_images(image_samples(spark, sf)).select(px_digest("SAMPLE").alias("px_digest"))
+
+
+@query("file_predicate", W + "SELECT LABEL_SAMPLE_ID FROM img WHERE regexp_matches(LABEL_SAMPLE_ID, '7[.]png$')")
+def file_predicate_q(spark, sf):
+    """A listing by the caller's own condition on the path."""
+    from panelscope.functions.ids import basename
+    from panelscope.sources.files import list_samples
+
+    files = list_samples(spark, export_embeddings_as_png(spark, sf), predicate=F.col("path").rlike("7[.]png$"))
+    return files.select(basename("path").alias(KEY))
+
+
+@query(
+    "gray_by_dir",
+    W + _LOADED + f""", q AS (SELECT got.LABEL_SAMPLE_ID, LABEL_CATEGORY, {_QUANT_SQL} AS q FROM got JOIN embeddings ON LABEL_SAMPLE_ID = {S.sid('vec_id')})
+SELECT LABEL_SAMPLE_ID, CASE LABEL_CATEGORY WHEN 'fail' THEN 0 ELSE 1 END AS label, {S.digest('q')} AS px_digest FROM q WHERE LABEL_CATEGORY IN ('pass', 'fail')""",
+)
+def gray_by_dir_q(spark, sf):
+    """Images of two category folders, gray and of one size, labelled by their folder's place in the list."""
+    from panelscope.functions.ids import basename
+    from panelscope.operators.images import to_feature_vector
+    from panelscope.plans.datasets import load_image_dataset
+    from panelscope.session import scratch_dir
+    from panelscope.sources.files import scan_images_gray_by_dir
+    from panelscope.sources.sinks import write_category_folders
+
+    ds = load_image_dataset(spark, export_labels(spark, sf), export_embeddings_as_png(spark, sf), default_filter=None, check="pairs").filter("LABEL_PATH IS NOT NULL AND SAMPLE_PATH IS NOT NULL")
+    out = scratch_dir(spark, "classes")
+    write_category_folders(ds.current, out, [], split_col=None, col=None)
+    got = scan_images_gray_by_dir(spark, out, ["fail", "pass"], size=8)
+    return got.select(basename("SAMPLE_PATH").alias(KEY), "label", px_digest(to_feature_vector("SAMPLE")).alias("px_digest"))
