@@ -6,7 +6,10 @@ a target near an insult marks it as aimed, a threat counts only with a target
 near it, a negation shortly before weakens, reported speech before weakens for
 the rest of the clause. They are composed once into one transducer, whose
 output symbols carry the weights; a clause's score is the weight of what it
-puts out, and isolated words are never scored. Clauses without a match score 0.
+puts out. Clauses without a match score 0. The least match is an insult that
+no target stands before: it counts in full, an aimed one by a quarter more. Counting
+aimed ones alone misses most toxic texts of the given kind, whose insults stand among words
+of no language (README).
 
 Which words are insults, and how heavy, is learnt: word stems that stand in
 more differing contexts of toxic labelled texts than of others, by the
