@@ -11,14 +11,13 @@ candidate record with the offset of its successor, by its own header. A magic
 string inside a payload makes false candidates. Those on the chain from the
 start of the file are found by pointer jumping (log2 of the records in joins of
 narrow rows), and only they are kept. An archive is read by one task, so the
-writer begins a new one after as many records as make about ``ARCHIVE_BYTES``
-at the mean size."""
+writer begins a new one after as many records as make ``ARCHIVE_BYTES`` at the
+most that a record of its kind may have (see ``KINDS``)."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import math
 import re
 
 import pandas as pd
@@ -59,6 +58,14 @@ def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return once.unionByName(more).select("id", "url", "html", "bytes", base32_of(F.col("sha")).alias("digest"), "refers")
 
 
+def uri(url: Column) -> Column:
+    """``url`` with its ASCII control signs and blanks percent-encoded, as a header line can't hold them."""
+    out = url
+    for code in (*range(33), 127):
+        out = F.replace(out, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.when(url.rlike(r"[\x00-\x20\x7F]"), out).otherwise(url)
+
+
 def record(date: str) -> Column:
     """A record's text, without the line ends that close it."""
     revisit = F.col("refers").isNotNull()
@@ -69,7 +76,7 @@ def record(date: str) -> Column:
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Date", F.lit(date)),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(">"))),
-        line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20\x7F]", "")),
+        line("WARC-Target-URI", uri(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         line("X-Payload-Length", F.col("bytes").cast("string")),
         F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.col("refers").cast("string"), F.lit(">\r\n"))).otherwise(""),
@@ -79,12 +86,27 @@ def record(date: str) -> Column:
     )
 
 
+#: Payloads of one kind are at most so many times the mean size; an archive holds as many records as fit if all were that long.
+KINDS = (4, 64)
+
+
 def write(pages: DataFrame, path: str, least: int = 0, archive_bytes: int = ARCHIVE_BYTES, date: str = "2000-01-01T00:00:00Z", **columns) -> None:
-    """Write a record per row of ``pages`` into archives under ``path``. An empty table writes no record."""
+    """Write a record per row of ``pages`` into archives under ``path``, of
+    at most about ``archive_bytes`` each or one record: payloads far longer than
+    the mean go to archives of their own kind. An empty table writes no record."""
+    size = F.octet_length(text_of(columns.get("html_col", "html")))
+    total, n = pages.agg(F.sum(size), F.count(F.lit(1))).first()
+    mean = ((total or 0) + 500 * n) // max(n, 1) + 1  # with the header
+    bounds = [0, *(k * mean for k in KINDS), None]
+    ranges = [(size >= a) & (size < b) if b else size >= a for a, b in zip(bounds, bounds[1:])]
+    filled = pages.agg(*(F.count_if(r) for r in ranges)).first()
     p = planned(pages, least=least, **columns)
-    size, n = pages.agg(F.sum(F.octet_length(columns.get("html_col", "html"))), F.count(F.lit(1))).first()
-    most = max(1, math.ceil(archive_bytes * (n or 1) / ((size or 0) + 500 * n + 1)))  # records of the mean size
-    p.select(record(date).alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", most).text(path)
+    for (a, b), count in zip(zip(bounds, bounds[1:]), filled, strict=True):
+        if not count and (a or n):
+            continue
+        own = p.where((F.col("bytes") >= a) & (F.col("bytes") < b)) if b else p.where(F.col("bytes") >= a)
+        most = max(1, archive_bytes // (b + 500)) if b else 1
+        own.select(record(date).alias("value")).write.mode("append").option("lineSep", END.decode()).option("maxRecordsPerFile", most).text(path)
 
 
 HEADER = re.compile(rb"([A-Za-z-]+): ([^\r\n]*)\r\n")

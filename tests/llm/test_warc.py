@@ -31,6 +31,24 @@ def test_round_trip_with_magic_in_payloads(spark, tmp_path):
     assert sorted(((r.id, r.payload_digest) for r in got), key=str) == sorted(((i, warc.digest(p)) for i, p in want), key=str)
 
 
+def test_archives_of_skewed_sizes_stay_small(spark, tmp_path):
+    import os
+
+    rows = [(i, "u", f"{i} " + "a" * (100 if i % 50 else 20_000)) for i in range(2000)] + [(5000 + i, "u", str(i) * 100_000) for i in range(3)]
+    path = f"{tmp_path}/w"
+    warc.write(pages_of(spark, rows).coalesce(1), path, archive_bytes=60_000)
+    sizes = sorted(os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.startswith("part-"))
+    assert len(sizes) > 20 and sizes[-4] < 70_000 and all(100_000 < x < 101_000 for x in sizes[-3:])  # the three long pages alone
+    assert sorted(r.id for r in warc.read_archives(spark, path).collect()) == sorted(i for i, *_ in rows)
+
+
+def test_urls_with_blanks_and_control_signs(spark, tmp_path):
+    urls = ["http://h/a b\tc", "http://h/\r\nWARC-Type: x", "http://h/a%20b", "http://h/é", "\x7f\x00"]
+    warc.write(pages_of(spark, [(i, u, "p") for i, u in enumerate(urls)]), f"{tmp_path}/w")
+    got = {r.id: r.url for r in warc.read_archives(spark, f"{tmp_path}/w").collect()}
+    assert got == {0: "http://h/a%20b%09c", 1: "http://h/%0D%0AWARC-Type:%20x", 2: "http://h/a%20b", 3: "http://h/é", 4: "%7F%00"}
+
+
 def test_least_size(spark, tmp_path):
     warc.write(pages_of(spark, [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")]), f"{tmp_path}/w", least=3)
     got = {r.id: (r.type, r.refers) for r in warc.read_archives(spark, f"{tmp_path}/w").collect()}
