@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from panelscope.schema import KEY, merge_schemas
 
 
-def merge_key_report(labels: DataFrame, samples: DataFrame, key: str = KEY) -> DataFrame:
-    """One-row check frame for the merge guards: row counts, keys only on one
-    side, keys repeated on a side, keys repeated on both sides. One shuffle of
-    the key column (tagged by side, partially aggregated before it)."""
+#: Rows of one key from which a full outer merge is put together from joins that adaptive execution can split.
+HOT_KEY = 100_000
+
+
+def _key_counts(labels: DataFrame, samples: DataFrame, key: str) -> DataFrame:
+    """(key, _nl, _ns): rows of each key on either side, in one shuffle of the key column."""
     tagged = labels.select(key, F.lit(1).alias("_l"), F.lit(0).alias("_s")).unionByName(
         samples.select(key, F.lit(0).alias("_l"), F.lit(1).alias("_s"))
     )
-    per_key = tagged.groupBy(key).agg(F.sum("_l").alias("_nl"), F.sum("_s").alias("_ns"))
-    return per_key.agg(
+    return tagged.groupBy(key).agg(F.sum("_l").alias("_nl"), F.sum("_s").alias("_ns"))
+
+
+def _report_columns() -> list:
+    return [
         F.coalesce(F.sum("_nl"), F.lit(0)).cast("bigint").alias("n_labels"),
         F.coalesce(F.sum("_ns"), F.lit(0)).cast("bigint").alias("n_samples"),
         F.count_if(F.col("_ns") == 0).alias("labels_without_sample"),
@@ -24,7 +29,24 @@ def merge_key_report(labels: DataFrame, samples: DataFrame, key: str = KEY) -> D
         F.count_if(F.col("_nl") > 1).alias("repeated_label_keys"),
         F.count_if(F.col("_ns") > 1).alias("repeated_sample_keys"),
         F.count_if((F.col("_nl") > 1) & (F.col("_ns") > 1)).alias("keys_repeated_on_both_sides"),
-    )
+    ]
+
+
+def merge_key_report(labels: DataFrame, samples: DataFrame, key: str = KEY) -> DataFrame:
+    """One-row check frame for the merge guards: row counts, keys only on one
+    side, keys repeated on a side, keys repeated on both sides. One shuffle of
+    the key column (tagged by side, partially aggregated before it)."""
+    return _key_counts(labels, samples, key).agg(*_report_columns())
+
+
+def full_outer_split(labels: DataFrame, samples: DataFrame, key: str = KEY) -> DataFrame:
+    """The full outer join as an inner join and the rows of either side without
+    a partner. A full outer join leaves all rows of a key to one task; of these three,
+    adaptive execution divides a hot key on either side. A null key has no partner."""
+    both = labels.join(samples, key)
+    lone = labels.join(samples.select(key), key, "left_anti")
+    rest = samples.join(labels.select(key), key, "left_anti")
+    return both.unionByName(lone, allowMissingColumns=True).unionByName(rest, allowMissingColumns=True)
 
 
 def merge_labels_samples(
@@ -55,8 +77,11 @@ def merge_labels_samples(
     shared = (set(labels.columns) & set(samples.columns)) - {key}
     if shared:
         raise ValueError(f"Columns on both sides besides the key: {sorted(shared)}")
+    hot = False
     if check in ("counts", "strict", "pairs"):
-        rep = merge_key_report(labels, samples, key).first().asDict()
+        most = F.coalesce(F.max(F.greatest("_nl", "_ns")), F.lit(0)).alias("most")
+        rep = _key_counts(labels, samples, key).agg(*_report_columns(), most).first().asDict()
+        hot = rep.pop("most") >= HOT_KEY
         if rep["keys_repeated_on_both_sides"]:
             raise ValueError(
                 f"{rep['keys_repeated_on_both_sides']} key(s) repeat in both labels and samples; "
@@ -72,7 +97,8 @@ def merge_labels_samples(
                 raise ValueError(f"Labels and samples are not one-to-one: {bad}")
     elif check != "none":
         raise ValueError(f"Unknown check {check!r}.")
-    out = labels.join(samples, key, how)
+    outer = how.replace("_", "").lower() in ("full", "outer", "fullouter")
+    out = full_outer_split(labels, samples, key) if hot and outer else labels.join(samples, key, how)
     out = out.select(key, *[c for c in out.columns if c != key])
     return out.orderBy(key) if sort else out
 

@@ -124,3 +124,17 @@ def test_merge_refuses_many_to_many(spark):
     # repeated on one side only: allowed (rows are not multiplied)
     m = merge_labels_samples(_labels(spark, ["a", "a", "b"]), _samples(spark, ["a", "c"]), check="pairs")
     assert m.count() == 4
+
+
+def test_merge_with_a_hot_key_equals_the_plain_one(spark, monkeypatch):
+    from panelscope.operators import joins
+
+    labels = spark.createDataFrame([("hot", i) for i in range(50)] + [("a", 1), ("b", 2), (None, 3)], "LABEL_SAMPLE_ID string, l int")
+    samples = spark.createDataFrame([("hot", 1.0), ("a", 2.0), ("warm", 3.0), (None, 4.0)] + [("b", float(i)) for i in range(40)], "LABEL_SAMPLE_ID string, s double")
+    plain = joins.merge_labels_samples(labels, samples, check="pairs")
+    assert "FullOuter" in plain._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(joins, "HOT_KEY", 30)
+    split = joins.merge_labels_samples(labels, samples, check="pairs")
+    assert "FullOuter" not in split._jdf.queryExecution().optimizedPlan().toString()
+    assert split.schema == plain.schema
+    assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))
