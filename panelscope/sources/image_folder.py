@@ -83,12 +83,14 @@ class ImageFolderWriter(DataSourceArrowWriter):
         self.keep = options.get("existing", "error") == "keep"
         self.overwrite = overwrite
         self.stage = f"{TEMPORARY}/{uuid.uuid4().hex}"
+        files, root = filesystem(self.target)
+        files.create_dir(posixpath.join(root, self.stage), recursive=True)  # here only: a task that outlives a failed write must not bring it back
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, root = filesystem(self.target)
         task = TaskContext.get()
         folder = posixpath.join(root, self.stage, f"{task.partitionId()}-{task.taskAttemptId()}")
-        files.create_dir(folder, recursive=True)
+        files.create_dir(folder, recursive=False)
         made, names, n, skipped = set(), set(), 0, 0
         for batch in iterator:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -104,9 +106,11 @@ class ImageFolderWriter(DataSourceArrowWriter):
                 if path in names:
                     raise ValueError(f"Two rows have the file name {name!r}.")
                 names.add(path)
-                if (parent := posixpath.dirname(path)) not in made:
-                    files.create_dir(parent, recursive=True)
-                    made.add(parent)
+                steps = posixpath.dirname(parts).split("/")
+                for k in range(1, len(steps) + 1) if steps[0] else ():
+                    if (inner := posixpath.join(folder, *steps[:k])) not in made:
+                        files.create_dir(inner, recursive=False)
+                        made.add(inner)
                 with files.open_output_stream(path) as out:
                     if pa.types.is_string(content.type):
                         origin, at = filesystem(content.as_py())
