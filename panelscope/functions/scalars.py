@@ -69,11 +69,13 @@ def rescale(arr, factor: float = 1.0 / 255.0) -> Column:
 
 def softmax(arr) -> Column:
     """Max-shifted softmax over an array of logits."""
-    a = F.transform(as_col(arr), lambda x: x.cast("double"))
-    m = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / s)
+    # each value is bound by a lambda over a list of one, so that the logits, their
+    # maximum and the sum are computed once a row and not once an element
+    logits = F.array(F.transform(as_col(arr), lambda x: x.cast("double")))
+    top = F.transform(logits, lambda a: F.struct(a.alias("a"), F.array_max(a).alias("m")))
+    powers = F.transform(top, lambda t: F.transform(t["a"], lambda x: F.exp(x - t["m"])))
+    summed = F.transform(powers, lambda e: F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x).alias("s")))
+    return F.get(F.transform(summed, lambda t: F.transform(t["e"], lambda x: x / t["s"])), 0)
 
 
 def argmax(arr) -> Column:
