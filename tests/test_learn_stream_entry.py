@@ -66,6 +66,25 @@ def test_streaming_labels_equal_batch(spark):
     assert sorted(map(tuple, s.select(*b.columns).collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_streaming_labels_from_a_table_folder_and_from_partitions(spark, tmp_path):
+    """A table that Spark wrote is a folder whose files have other names."""
+    import __spark_entry__ as E
+
+    rows = [(i, i % 3 / 2, i % 2) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, quality double, toxic int")
+    df.repartition(3).write.parquet(str(tmp_path / "labels.parquet"))
+    got = E.queries()["stream_labels"](spark, str(tmp_path))
+    b = label_frame(spark, str(tmp_path))
+    assert b.count() == 20
+    assert sorted(map(tuple, got.select(*b.columns).collect())) == sorted(map(tuple, b.collect()))
+
+    from panelscope.streaming import run_available, stream_labels
+
+    df.withColumn("day", F.col("doc_id") % 2).write.partitionBy("day").parquet(str(tmp_path / "days"))
+    days = run_available(stream_labels(spark, str(tmp_path / "days")), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    assert days.count() == 20
+
+
 @pytest.mark.parametrize(
     "name",
     ["category_summary", "split_exact", "amplify", "merge_guard_report", "key_uniqueness", "ols_train_predict", "score_summary", "zfill"],
