@@ -32,6 +32,16 @@ def case_insensitive_glob(extensions: Sequence[str] = IMAGE_EXTENSIONS) -> str:
     return "*.{" + ",".join(ci(e) for e in extensions) + "}"
 
 
+#: Splits of a scan that one task reads at most: of small files a split holds some 32, by Spark's cost of opening a file.
+SPLITS = 16
+
+
+def packed(files: DataFrame) -> DataFrame:
+    """A scan of files with up to SPLITS of its splits in a task, and no fewer than four tasks a core."""
+    least = 4 * files.sparkSession.sparkContext.defaultParallelism
+    return files.coalesce(max(least, -(-files.rdd.getNumPartitions() // SPLITS)))
+
+
 def list_samples(
     spark: SparkSession,
     dirs,
@@ -45,7 +55,7 @@ def list_samples(
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob_pat)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    df = reader.load(_paths(dirs)).select(_strip_scheme(F.col("path")).alias("path"), "length", "modificationTime")
+    df = packed(reader.load(_paths(dirs)).select(_strip_scheme(F.col("path")).alias("path"), "length", "modificationTime"))
     pred = predicate if predicate is not None else is_image_file(F.col("path"))
     return df.where(pred)
 
@@ -69,6 +79,20 @@ def _origin_path(origin) -> Column:
     return F.try_url_decode(F.replace(_strip_scheme(origin), F.lit("+"), F.lit("%2B")))
 
 
+#: Tasks that look up the paths of a block; Spark's own figure is one a path, up to 10,000.
+LOOKUP_TASKS, LOOKUP_CONF = 64, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def _images_at(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The image source over just these files."""
+    before = spark.conf.get(LOOKUP_CONF)
+    spark.conf.set(LOOKUP_CONF, str(min(int(before), LOOKUP_TASKS)))
+    try:
+        return packed(spark.read.format("image").option("dropInvalid", "false").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]))
+    finally:
+        spark.conf.set(LOOKUP_CONF, before)
+
+
 def read_pixels(rows: DataFrame, path_col: str = "SAMPLE_PATH", col: str = "SAMPLE", channels: int | None = None, counts: dict | None = None, block: int = BLOCK_FILES) -> DataFrame:
     """``rows`` with the image of the file at ``path_col``, decoded once each.
 
@@ -93,7 +117,7 @@ def read_pixels(rows: DataFrame, path_col: str = "SAMPLE_PATH", col: str = "SAMP
         paths = [r[0] for r in part.select(path_col).distinct().collect()]  # about ``block`` of them
         if not paths:
             continue
-        images = spark.read.format("image").option("dropInvalid", "false").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths])
+        images = _images_at(spark, paths)
         found = images.select(_origin_path(F.col("image.origin")).alias("_path"), F.when(F.col("image.nChannels") > 0, F.col("image")).alias(col))
         watch = Observation()
         found = found.observe(watch, F.count(col).alias("decoded"), F.count_if(F.col(col).isNull()).alias("failed"))
@@ -124,7 +148,7 @@ def scan_images(spark: SparkSession, dirs, recursive: bool = True, extensions=IM
     reader = spark.read.format("image").option("dropInvalid", str(invalid == "drop").lower()).option("pathGlobFilter", case_insensitive_glob(extensions))
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    img = reader.load(_paths(dirs))
+    img = packed(reader.load(_paths(dirs)))
     path = _origin_path(F.col("image.origin"))
     out = img.select(
         F.when(F.col("image.nChannels") > 0, F.col("image")).alias("SAMPLE"),
@@ -154,8 +178,9 @@ def scan_dir_as_label(
     imgs = scan_images(spark, root, extensions=extensions)
     cls = parent_dir(F.col("SAMPLE_PATH"))
     if classes is None:
-        # the class list is the set of folder names: bounded by the folder count
-        classes = sorted(r[0] for r in imgs.select(cls.alias("c")).distinct().collect())
+        # the class list is the set of folder names: bounded by the folder count; from the listing, which decodes nothing
+        listed = list_images(spark, root, extensions=extensions)
+        classes = sorted(r[0] for r in listed.select(cls.alias("c")).distinct().collect())
     arr = F.array(*[F.lit(c) for c in classes])
     idx = (F.array_position(arr, cls) - 1).cast("int")
     return (

@@ -372,3 +372,39 @@ def test_category_folders_copy_files_and_read_back(spark, image_dir, tmpdir_path
     write_category_folders(df, out, ["pass"], split_col=None, col=None, existing="keep")
     with pytest.raises(Exception, match="category"):
         write_category_folders(df.withColumn("LABEL_CATEGORY", F.lit(None).cast("string")), out + "2", ["pass"], split_col=None, col=None)
+
+
+def test_class_names_come_from_the_listing_and_small_files_share_tasks(spark, tmp_path, monkeypatch):
+    from panelscope.sources import files
+
+    for i in range(700):
+        _write(str(tmp_path / f"c{i % 3}" / f"f{i}.png"), np.full((2, 2), i % 251, np.uint8))
+    scan = files.scan_images
+    decoded = lambda *a, **kw: scan(*a, **kw).withColumn("SAMPLE_PATH", F.raise_error(F.lit("decoded")).cast("string"))
+    with monkeypatch.context() as m:
+        m.setattr(files, "scan_images", decoded)
+        scan_dir_as_label(spark, str(tmp_path))  # without a pixel
+    got = scan_dir_as_label(spark, str(tmp_path))
+    assert {(r["class_name"], r["label"], r["n"]) for r in got.groupBy("class_name", "label").agg(F.count("SAMPLE").alias("n")).collect()} == {("c0", 0, 234), ("c1", 1, 233), ("c2", 2, 233)}
+    least = 4 * spark.sparkContext.defaultParallelism
+    for df in (list_samples(spark, str(tmp_path)), scan(spark, str(tmp_path))):
+        assert df.rdd.getNumPartitions() <= least < 700 / 32
+
+
+def test_pixels_look_up_their_files_in_few_tasks(spark, tmp_path):
+    from panelscope.sources import files
+
+    for i in range(150):
+        _write(str(tmp_path / f"f{i}.png"), np.full((2, 2), i, np.uint8))
+    rows = files.list_images(spark, str(tmp_path))
+    before = spark.conf.get(files.LOOKUP_CONF)
+    spark.sparkContext.setJobGroup("lookup", "lookup")
+    try:
+        got = files.read_pixels(rows).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("lookup") for s in tracker.getJobInfo(j).stageIds]
+    assert max(i.numTasks for s in stages if (i := tracker.getStageInfo(s))) <= files.LOOKUP_TASKS
+    assert spark.conf.get(files.LOOKUP_CONF) == before
+    assert {(os.path.basename(r["SAMPLE_PATH"]), bytes(r["SAMPLE"]["data"])[0]) for r in got} == {(f"f{i}.png", i) for i in range(150)}
