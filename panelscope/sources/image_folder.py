@@ -15,6 +15,7 @@ import posixpath
 import shutil
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -27,6 +28,8 @@ FORMAT = "panelscope-image-folder"
 TEMPORARY = "_temporary"
 #: Files written between two looks at the free space; bytes copied at a time.
 CHECK_EVERY, COPY_BYTES = 500, 1 << 20
+#: Files that the commit moves at a time.
+THREADS = 16
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -126,11 +129,20 @@ class ImageFolderWriter(DataSourceArrowWriter):
         files, root = filesystem(self.target)
         done = [m for m in messages if m is not None]
         check_free(files, root, self.least)
-        moves = []
-        for m in done:
-            for f in files.get_file_info(pafs.FileSelector(m.folder, recursive=True, allow_not_found=True)):
-                if f.type == pafs.FileType.File:
-                    moves.append((f.path, posixpath.join(root, posixpath.relpath(f.path, m.folder))))
+        with ThreadPoolExecutor(THREADS) as pool:
+            self._place(files, root, done, pool)
+        self._clean(files, root)
+        with files.open_output_stream(posixpath.join(root, "_SUCCESS")):
+            pass
+
+    def _place(self, files: pafs.FileSystem, root: str, done: list[Written], pool: ThreadPoolExecutor) -> None:
+        """Moves the files of the tasks to their places, many at a time: a file system takes most of its time to answer."""
+
+        def of_task(m: Written) -> list[tuple[str, str]]:
+            found = files.get_file_info(pafs.FileSelector(m.folder, recursive=True, allow_not_found=True))
+            return [(f.path, posixpath.join(root, posixpath.relpath(f.path, m.folder))) for f in found if f.type == pafs.FileType.File]
+
+        moves = [pair for part in pool.map(of_task, done) for pair in part]
         targets = [t for _, t in moves]
         if len(set(targets)) != len(targets):
             raise ValueError("Two rows have the same file name; nothing was written.")
@@ -139,17 +151,19 @@ class ImageFolderWriter(DataSourceArrowWriter):
                 if posixpath.basename(f.path) != TEMPORARY:
                     (files.delete_dir if f.type == pafs.FileType.Directory else files.delete_file)(f.path)
         else:
-            there = {f.path for part in range(0, len(targets), 1000) for f in files.get_file_info(targets[part : part + 1000]) if f.type != pafs.FileType.NotFound}
+            parts = [targets[k : k + 1000] for k in range(0, len(targets), 1000)]
+            there = {f.path for found in pool.map(files.get_file_info, parts) for f in found if f.type != pafs.FileType.NotFound}
             if there and not self.keep:
                 raise FileExistsError(f"{len(there)} file(s) exist already, {min(there)!r} among them; nothing was written.")
             moves = [m for m in moves if m[1] not in there]
         for parent in sorted({posixpath.dirname(t) for _, t in moves}):
             files.create_dir(parent, recursive=True)
-        for source, target in moves:
-            files.move(source, target)
-        self._clean(files, root)
-        with files.open_output_stream(posixpath.join(root, "_SUCCESS")):
-            pass
+
+        def move(part: list[tuple[str, str]]) -> None:
+            for source, target in part:
+                files.move(source, target)
+
+        list(pool.map(move, (moves[k : k + 100] for k in range(0, len(moves), 100))))
 
     def abort(self, messages: list[Written | None]) -> None:
         self._clean(*filesystem(self.target))

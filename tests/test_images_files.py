@@ -408,3 +408,38 @@ def test_pixels_look_up_their_files_in_few_tasks(spark, tmp_path):
     assert max(i.numTasks for s in stages if (i := tracker.getStageInfo(s))) <= files.LOOKUP_TASKS
     assert spark.conf.get(files.LOOKUP_CONF) == before
     assert {(os.path.basename(r["SAMPLE_PATH"]), bytes(r["SAMPLE"]["data"])[0]) for r in got} == {(f"f{i}.png", i) for i in range(150)}
+
+
+def test_commit_moves_many_files_at_a_time(tmp_path, monkeypatch):
+    import threading
+    import time
+
+    from panelscope.sources import image_folder as sink
+
+    threads = set()
+
+    class Slow:
+        def __init__(self, files):
+            self.files = files
+
+        def __getattr__(self, name):
+            return getattr(self.files, name)
+
+        def move(self, source, target):
+            threads.add(threading.get_ident())
+            time.sleep(0.001)
+            self.files.move(source, target)
+
+    target = str(tmp_path / "out")
+    w = sink.ImageFolderWriter({"path": target}, False)
+    folder = os.path.join(target, w.stage, "0-0")
+    os.makedirs(os.path.join(folder, "a"))
+    for i in range(500):
+        with open(os.path.join(folder, "a", f"{i}.bin"), "wb") as fh:
+            fh.write(b"%d" % i)
+    real = sink.filesystem
+    monkeypatch.setattr(sink, "filesystem", lambda path: (Slow(real(path)[0]), real(path)[1]))
+    w.commit([sink.Written(folder, 500, 0)])
+    assert len(threads) > 1
+    assert sorted(os.listdir(os.path.join(target, "a"))) == sorted(f"{i}.bin" for i in range(500))
+    assert sorted(os.listdir(target)) == ["_SUCCESS", "a"]
