@@ -16,12 +16,9 @@ lost. Verification takes the shingles at every place.
 In a bucket each line is first compared with the bucket's least line (by hash).
 Where that leaves lines of a bucket in several components, pairs of lines of
 different components are compared too: all of a bucket where these are no more than
-``SMALL`` lines have or than ``EACH`` a line. One with more, such as the lines of one template or those that
-share a passage, is first divided by further minima, in ``WAYS`` independent
-ways of ``DEEPER`` values: similar lines agree in one of them far more often
-than lines that share a part only, so the pairs that are left to compare grow
-little faster than the lines. That is done again with new values up to
-``LEVELS`` times; of buckets that are large even then all pairs are compared.
+``SMALL`` lines have or than ``EACH`` a line. The lines of the others, such as those of one template or those that
+share a passage, meet by their rarest shingles, so many of each line that two similar lines have one in
+common, and are compared where what follows it in both can hold enough. So no similar pair of a bucket is left out.
 
 Signatures are made where the lines are read, and only the least values of a
 task's lines are shuffled. Of the texts only those in a candidate pair are, told by a bitmap of fixed size (8 MB) that is broadcast;
@@ -32,7 +29,7 @@ lines have the same, and these get a hash of both instead."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelscope.llm.common import discard, fresh, marked, read, table, text_key, text_of
@@ -47,8 +44,8 @@ BANDS = [tuple(range(4 * b, 4 * b + 4)) for b in range(6)]
 FEW = 20
 #: Bits of the bitmap of candidate lines.
 SLOTS = 1 << 26
-#: Lines of a bucket, and pairs a line, up to which its pairs are all compared; ways and values by which others are divided, and how often.
-SMALL, EACH, WAYS, DEEPER, LEVELS = 12, 4, 16, 12, 3
+#: Lines of a bucket, and pairs a line, up to which its pairs are all compared.
+SMALL, EACH = 12, 4
 BLANKS = " \t\r\x0b\x0c"
 
 
@@ -118,22 +115,24 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
 
 
 def cross(buckets: DataFrame) -> DataFrame:
-    """(a, b, c, d): pairs of lines of different components in one bucket of (k, a, c), once each."""
-    other = buckets.select("k", F.col("a").alias("b"), F.col("c").alias("d"))
-    return buckets.join(other, "k").where("a < b and c != d").select("a", "b", "c", "d").distinct()
-
-
-def divided(buckets: DataFrame, texts: DataFrame, level: int) -> DataFrame:
-    """The lines of the buckets (k, a, c) dealt anew in WAYS ways by their next
-    minima: (k, a, c) with new keys. First by these alone, as a line may be in several buckets; after that within each bucket."""
-    mixed = constants(MINIMA + (level + 1) * WAYS * DEEPER)[-WAYS * DEEPER :]
-    lines = texts.join(buckets.select("a").distinct(), "a", "left_semi")
-    m = minima(lines.select("a", F.explode(shingles("norm")).alias("h")), ["a"], mixed)
-    ways = F.array(*(F.xxhash64(F.lit(w), *(F.col(f"m{k}") for k in range(w * DEEPER, (w + 1) * DEEPER))) for w in range(WAYS)))
-    keys = m.select("a", F.explode(ways).alias("way"))
-    if level == 0:
-        return buckets.select("a", "c").distinct().join(keys, "a").select(F.col("way").alias("k"), "a", "c")
-    return buckets.join(keys, "a").select(F.xxhash64("k", "way").alias("k"), "a", "c")
+    """(a, b, c, d): pairs of lines of different components in one bucket of (k, a, c), once each; of buckets by
+    ``prefixed`` those that can be similar."""
+    by_prefix = "room" in buckets.columns
+    other = buckets.select("k", F.col("a").alias("b"), F.col("c").alias("d"), *([F.col("room").alias("room2"), F.col("need").alias("need2")] if by_prefix else []))
+    can = F.least("room", "room2") >= F.col("need") + F.col("need2") - 1e-9 if by_prefix else F.lit(True)
+    return buckets.join(other, "k").where(F.expr("a < b and c != d") & can).select("a", "b", "c", "d").distinct()
+
+
+def prefixed(lines: DataFrame, similar: float) -> DataFrame:
+    """(k, a, c, room, need): the rarest shingles ``k`` of each line of (a, c, norm), so many that two lines of the similarity
+    ``similar`` or more have one in common; how many of the line's shingles are no rarer, and its part of the number that both must share."""
+    grams = table(lines.select("a", "c", shingles("norm").alias("s")).select("a", "c", F.size("s").alias("n"), F.explode("s").alias("k")), "grams")
+    times = grams.groupBy("k").agg(F.count(F.lit(1)).alias("times"))
+    placed = grams.join(times, "k").withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("times", "k")))
+    few = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(similar) - 1e-9) + 1).where("times > 1")
+    found = table(few.select("k", "a", "c", (F.col("n") - F.col("place") + 1).alias("room"), (F.col("n") * F.lit(similar / (1 + similar))).alias("need")), "prefixes")
+    discard(grams)
+    return found
 
 
 def sized(buckets: DataFrame) -> DataFrame:
@@ -144,19 +143,14 @@ def sized(buckets: DataFrame) -> DataFrame:
     return buckets.join(by.where("comps > 1").select("k", few.alias("few")), "k")
 
 
-def apart(buckets: DataFrame, texts: DataFrame) -> DataFrame:
+def apart(buckets: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(a, b, c, d): pairs of lines of different components to be compared, of the buckets (k, a, c); ``texts``: (a, norm)."""
-    pairs, spent = None, []
-    for level in range(LEVELS + 1):
-        now = table(sized(buckets), "open")
-        spent.append(now)
-        last = level == LEVELS
-        small = cross(now.select("k", "a", "c") if last else now.where("few").select("k", "a", "c"))
-        pairs = small if pairs is None else pairs.unionByName(small)
-        large = now.where("not few").select("k", "a", "c")
-        if last or large.isEmpty():
-            break
-        buckets = divided(large, texts, level)
+    now = table(sized(buckets), "open")
+    pairs, spent = cross(now.where("few").select("k", "a", "c")), [now]
+    large = now.where("not few").select("a", "c").distinct()
+    if not large.isEmpty():
+        spent.append(prefixed(texts.join(large, "a"), similar))
+        pairs = pairs.unionByName(cross(spent[-1]))
     found = table(pairs.distinct(), "apart")
     discard(*spent)
     return found
@@ -181,7 +175,7 @@ def joined(lines: DataFrame, similar: float = SIMILAR) -> DataFrame:
     # the lines of buckets that have several components beside the line that all were compared with
     of = groups.select(F.col("node").alias("a"), F.col("component").alias("c"))
     open_ = met.where("n > 2").select("k", "a").join(of, "a", "left").select("k", "a", F.coalesce("c", "a").alias("c"))
-    left = apart(open_, texts)
+    left = apart(open_, texts, similar)
     over = table(components(verified(left, texts, similar).select(F.col("c").alias("a"), F.col("d").alias("b"))), "over")
     discard(met, texts, left)
     up = over.select(F.col("node").alias("component"), F.col("component").alias("whole"))

@@ -125,6 +125,23 @@ def test_recall_of_true_links_in_a_family_of_thousands(spark, docs_of, monkeypat
     assert len(pairs) > 1  # buckets were divided
 
 
+def test_no_similar_pair_of_a_large_bucket_is_left_out(spark):
+    """One bucket, each line of a component of its own and with another of similarity little above 0.8: all such pairs are compared, and not all pairs."""
+    rng, lines = random.Random(8), []
+    for _ in range(150):
+        x = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(144)).strip()
+        y = x
+        for k in (20, 60, 100):
+            y = y[:k] + "#" + y[k + 1 :]
+        lines += [x, y]
+    texts = spark.createDataFrame(list(enumerate(lines)), "a long, norm string")
+    bucket = texts.select(F.lit(1).cast("long").alias("k"), "a", F.col("a").alias("c"))
+    pairs = {(r.a, r.b) for r in ld.apart(bucket, texts).collect()}
+    links = {(int(i), int(j)) for i, j in true_links(lines)}
+    assert len(links) >= 100 and links <= pairs, (len(links), len(links - pairs))
+    assert len(pairs) < len(lines) * (len(lines) - 1) // 4
+
+
 def test_recall_of_true_links_among_lines_that_share_a_passage(spark, docs_of):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
