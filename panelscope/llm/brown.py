@@ -1,14 +1,19 @@
 """Language-model scoring with Brown class n-grams.
 
-``learn`` counts every word of the training texts, and every pair of
-neighbouring items: the ``ITEMS`` most frequent words are items of their own,
-all others go by their ending (the ``ENDINGS`` most frequent ones, else a
-common item). Exchange clustering, on the pair counts (a table bounded by the
-number of items), assigns the items to classes: each item in turn moves to the
-class in which the pairs become likeliest. The score of a text is the sum of
-log10 of class transition times word emission, both smoothed.
-
-Word counts are a table of any size. The ``CACHE`` most frequent words travel
+``learn`` counts every word of the training texts and assigns every one of
+them to a class. The ``ITEMS`` most frequent words start it: exchange
+clustering on the driver, on their pair counts (other words stand there by
+their ending: the ``ENDINGS`` most frequent ones, else a common item), moves
+each in turn to the class in which the pairs become likeliest. All other words
+begin in the class of their ending and are moved on Spark: from (word, class
+before or after it, count) each goes to the class in which its occurrences are
+likeliest. First the ``CACHE`` most frequent words, by rounds over their pair
+counts; then all others, by rounds over their occurrences, where the class of
+a neighbour that isn't cached either comes by a join. The score of a text is the sum of
+log10 of class transition times word emission, both smoothed; a word that
+never occurred in training goes by its ending.
+
+Word counts and classes are a table of any size. The ``CACHE`` most frequent words travel
 to the tasks; the other words of a text are looked up by a join, as (row,
 word, times) rows, so nothing that grows with the corpus passes the driver."""
 
@@ -23,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import crc_mod, prepare, read, table, text_of
+from panelscope.llm.common import crc_mod, discard, prepare, read, table, text_of
 
-#: Bounds on what passes the driver: words with known counts, items, endings, classes.
+#: Bounds on what passes the driver: words with known counts, words exchanged one by one, endings, classes.
 CACHE, ITEMS, ENDINGS, CLASSES = 40_000, 600, 150, 48
 ADD, END, SWEEPS = 0.1, b"\n", 8
-#: Distinct words that a task gathers before it passes them on.
-FLUSH = 200_000
+#: Rounds on Spark over the cached words, and over all others.
+ROUNDS, RARE_ROUNDS = 3, 2
+#: Distinct words that a task gathers before it passes them on, and pairs.
+FLUSH, FLUSH_PAIRS = 200_000, 3_000_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -62,7 +69,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def ending(word: bytes) -> bytes:
-    """What a word outside the items goes by: its last three bytes, and whether it has bytes above 127."""
+    """What a word that has no number goes by: its last three bytes, and whether it has bytes above 127."""
     return (b"+" if word.isascii() else b"-") + word[-3:]
 
 
@@ -71,9 +78,9 @@ class Numbering:
 
     def __init__(self, words: list[bytes], endings: list[bytes]):
         self.words = {w: i + 1 for i, w in enumerate(words)} | {END: 0}
-        first = len(words) + 1
-        self.endings = {e: first + i for i, e in enumerate(endings)}
-        self.rest = first + len(endings)
+        self.first = len(words) + 1
+        self.endings = {e: self.first + i for i, e in enumerate(endings)}
+        self.rest = self.first + len(endings)
         self.size = self.rest + 1
         self.known: dict[bytes, int] = dict(self.words)
 
@@ -90,19 +97,22 @@ def pair_counts(texts: DataFrame, numbering: Numbering) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(numbering)
 
     def count(batches):
-        n = shared.value
-        seen = np.zeros(n.size * n.size, np.int64)
+        n, held, size = shared.value, [], 0
+
+        def out():
+            at, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array((at // n.size).astype(np.int32)), pa.array((at % n.size).astype(np.int32)), pa.array(c.astype(np.int64))], ["i", "j", "c"])
+
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 ids = np.fromiter(map(n.of, tokens(t)), np.int64)
-                pairs = np.r_[0, ids[:-1]] * n.size + ids
-                if pairs.size > 4096:
-                    k, c = np.unique(pairs, return_counts=True)
-                    seen[k] += c
-                else:
-                    np.add.at(seen, pairs, 1)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array((at // n.size).astype(np.int32)), pa.array((at % n.size).astype(np.int32)), pa.array(seen[at])], ["i", "j", "c"])
+                held.append(np.r_[0, ids[:-1]] * n.size + ids)
+                size += ids.size
+                if size > FLUSH_PAIRS:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
 
     return texts.select(text_of()).mapInArrow(count, "i int, j int, c long").groupBy("i", "j").agg(F.sum("c").alias("c"))
 
@@ -163,75 +173,243 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
+def logs(by: np.ndarray) -> np.ndarray:
+    """log10 of the transitions, from the counts of class pairs."""
+    return np.log10((by + ADD) / (by.sum(1, keepdims=True) + ADD * len(by)))
+
+
+def classes_of(spark: SparkSession, of: np.ndarray, code: str, out: str) -> DataFrame:
+    """(code, out): the class of each item, to be broadcast."""
+    return F.broadcast(spark.createDataFrame(pd.DataFrame({code: np.arange(len(of), dtype=np.int32), out: of.astype(np.int32)})))
+
+
+def class_pairs(rows: DataFrame, k: int) -> np.ndarray:
+    """The k by k sums of ``rows`` (a, b, c)."""
+    by = np.zeros((k, k))
+    for a, b, c in rows.groupBy("a", "b").agg(F.sum("c").alias("c")).collect():  # bounded by the classes
+        by[a, b] = c
+    return by
+
+
+def place(near: DataFrame, by: np.ndarray, kind: str) -> DataFrame:
+    """(word, c, class): the class in which each word's occurrences are likeliest, given the counts ``by`` of class pairs.
+
+    ``near``: (word, at, n), rows of lists for a word of type ``kind``: how often (n) its neighbour has a class; ``at`` is the
+    class of the one after it, or the number of classes more for the one before it. c: how often the word occurs."""
+    k, move, total = len(by), logs(by), by.sum(0)
+    # a class without words takes none, the end's class neither
+    own = np.where((total > 0) & (np.arange(k) > 0), -np.log10(np.maximum(total, 1) + ADD), -np.inf)
+    if not np.isfinite(own).any():
+        own[-1] = 0
+    shared = near.sparkSession.sparkContext.broadcast((np.vstack([move.T, move]), own))
+
+    def likeliest(batches):
+        weight, own = shared.value
+        for batch in batches:
+            at, n = batch.column(1), batch.column(2)
+            rows = np.repeat(np.arange(len(at)), np.asarray(at.value_lengths()))
+            times = n.flatten().to_numpy(zero_copy_only=False)
+            has = np.bincount(rows * 2 * k + at.flatten().to_numpy(zero_copy_only=False), times, len(at) * 2 * k).reshape(len(at), 2 * k)
+            c = has[:, :k].sum(1)
+            best = (has @ weight + np.where(c[:, None] > 0, c[:, None], 1) * own).argmax(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c.astype(np.int64)), pa.array(best.astype(np.int32))], ["word", "c", "class"])
+
+    lists = near.groupBy("word").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("n")).alias("n"))
+    return lists.mapInArrow(likeliest, f"word {kind}, c long, class int")
+
+
+def place_cached(pairs: DataFrame, of: np.ndarray, fixed: int, first: int) -> np.ndarray:
+    """The classes ``of`` after one round over the cached words from number ``fixed``; ``pairs``: (i, j, c)."""
+    spark, k = pairs.sparkSession, int(of.max()) + 1
+    both = pairs.join(classes_of(spark, of, "i", "a"), "i").join(classes_of(spark, of, "j", "b"), "j")
+    by = class_pairs(both, k)
+    sides = F.array(F.struct(F.col("i").alias("word"), F.col("b").alias("at"), "c"), F.struct(F.col("j").alias("word"), (F.col("a") + k).alias("at"), "c"))
+    sums = both.select(F.explode(sides).alias("x")).select("x.*").where(F.col("word").between(fixed, first - 1)).groupBy("word", "at").agg(F.sum("c").alias("n"))
+    near = sums.select("word", F.array("at").alias("at"), F.array("n").alias("n"))
+    moved = of.copy()
+    for r in place(near, by, "int").collect():  # bounded by the cached words
+        moved[r["word"]] = r["class"]
+    return moved
+
+
+def rare_neighbours(texts: DataFrame, numbering: Numbering, of: np.ndarray) -> DataFrame:
+    """(word, other, at, n) of the words that aren't cached. ``other`` null: how often (n) a cached neighbour of the
+    word has a class (at, as in ``place``). Else: the word before ``other``, neither cached, the classes of both endings and how often."""
+    k = int(of.max()) + 1
+    shared = texts.sparkSession.sparkContext.broadcast((numbering, of))
+
+    def gather(batches):
+        numbering, of = shared.value
+        first = numbering.first
+        numbers, pairs, words, held = {}, Counter(), [], []
+
+        def out():
+            at, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64), np.empty(0, np.int64))
+            word, start = np.unique(at // (2 * k), return_index=True)
+            near = [words[i] for i in word]
+            double = list(pairs)
+            seeds = of[[numbering.of(w) for p in double for w in p]].tolist() if double else []
+            starts = np.r_[start, at.size, at.size + 2 * np.arange(1, len(double) + 1)].astype(np.int32)
+            counts = np.r_[start, n.size, n.size + np.arange(1, len(double) + 1)].astype(np.int32)
+            batch = pa.RecordBatch.from_arrays([
+                pa.array(near + [p[0] for p in double], pa.binary()),
+                pa.array([None] * len(near) + [p[1] for p in double], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(starts), pa.array(np.r_[at % (2 * k), seeds].astype(np.int32))),
+                pa.ListArray.from_arrays(pa.array(counts), pa.array(np.r_[n, list(pairs.values())].astype(np.int64))),
+            ], ["word", "other", "at", "n"])
+            numbers.clear(), pairs.clear(), words.clear(), held.clear()
+            return batch
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                t = tokens(t)
+                ids = np.fromiter(map(numbering.of, t), np.int64, len(t))
+                rare = np.flatnonzero(ids >= first)
+                if not rare.size:
+                    continue
+                mine = np.empty(rare.size, np.int64)
+                for x, p in enumerate(rare):
+                    if (i := numbers.get(w := t[p])) is None:
+                        i = numbers[w] = len(words)
+                        words.append(w)
+                    mine[x] = i
+                left, right = np.r_[0, ids[:-1]][rare], ids[rare + 1]  # the last token is the end
+                held.append(mine[right < first] * 2 * k + of[right[right < first]])
+                held.append(mine[left < first] * 2 * k + k + of[left[left < first]])
+                pairs.update((t[p], t[p + 1]) for p in rare[right >= first])
+                if len(words) + len(pairs) > FLUSH:
+                    yield out()
+        if words:
+            yield out()
+
+    return texts.select(text_of()).mapInArrow(gather, "word binary, other binary, at array<int>, n array<long>")
+
+
+def place_rare(found: DataFrame, by: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """(word, c, class) of the words that aren't cached, and the counts of the class pairs with such a word. ``found``: by ``rare_neighbours``."""
+    k = len(by)
+    alone = found.where("other is null").select("word", "at", "n")
+    # neighbours of which neither is cached: first by the classes of their endings, then by their own
+    two = found.where("other is not null").select("word", "other", F.col("at")[0].alias("a"), F.col("at")[1].alias("b"), F.col("n")[0].alias("c"))
+    two = table(two.groupBy("word", "other", "a", "b").agg(F.sum("c").alias("c")), "two")
+    both, spent = two, []
+    for _ in range(RARE_ROUNDS):
+        after = both.select("word", F.array("b").alias("at"), F.array("c").alias("n"))
+        before = both.select(F.col("other").alias("word"), F.array(F.col("a") + k).alias("at"), F.array("c").alias("n"))
+        placed = table(place(alone.unionByName(after).unionByName(before), by, "binary"), "classes")
+        own = placed.select("word", "class")
+        left = two.select("word", "other", "c").join(own.withColumnRenamed("class", "a"), "word")
+        both = left.join(own.select(F.col("word").alias("other"), F.col("class").alias("b")), "other")
+        spent.append(placed)
+    discard(*spent[:-1])
+    near = alone.join(own, "word").select("class", F.explode(F.arrays_zip("at", "n")).alias("x")).select("class", "x.at", F.col("x.n").alias("c"))
+    ahead = F.col("at") < k
+    near = near.select(F.when(ahead, F.col("class")).otherwise(F.col("at") - k).alias("a"), F.when(ahead, F.col("at")).otherwise(F.col("class")).alias("b"), "c")
+    counted = class_pairs(near.unionByName(both.select("a", "b", "c")), k)
+    discard(two)
+    return placed, counted
+
+
 class Model:
-    """What scoring needs; its size is bounded by CACHE, ITEMS, ENDINGS and CLASSES.
-
-    log10 of a token is step[class before, item] + log10(c + ADD) for words
-    that go by their ending (c: the word's count), and step alone for items."""
-
-    def __init__(self, numbering: Numbering, of: np.ndarray, pairs: np.ndarray, kinds: np.ndarray, total: int, distinct: int, cache: dict[bytes, int]):
-        self.numbering, self.of, self.total, self.distinct, self.cache = numbering, of, total, distinct, cache
-        k = int(of.max()) + 1
-        n = numbering.size
-        self.classes = k
-        by = np.zeros((k, k))
-        np.add.at(by, (of[:, None], of[None, :]), pairs)
-        move = np.log10((by + ADD) / (by.sum(1, keepdims=True) + ADD * k))
-        count = pairs.sum(0).astype(float)
-        of_class, size = np.bincount(of, count, k), np.bincount(of, minlength=k)
-        emit = np.log10((count + ADD) / (of_class + ADD * size)[of])
-        spread = np.zeros(n)  # of a word among those of its ending: (c + ADD) / (count + ADD * (kinds + 1))
-        first = 1 + len(numbering.words) - 1
-        spread[first:] = -np.log10(count[first:] + ADD * (kinds[first:] + 1))
-        self.step = move[:, of] + (emit + spread)[None, :]
-        self.first = first
+    """What scoring needs; its size is bounded by CACHE, ENDINGS and CLASSES.
+
+    ``of``: the class of each item; ``by``: counts of class pairs; ``count``: of each cached word; ``kinds``: of each class,
+    its words. Each ending stands for one word never seen, in its class. log10 of a token is move[class before, class] +
+    log10(c + ADD) + share[class], c: the word's count. ``step`` has the whole of it for cached words, and all but log10(c + ADD) for endings."""
+
+    def __init__(self, numbering: Numbering, of: np.ndarray, by: np.ndarray, count: np.ndarray, kinds: np.ndarray, total: int, distinct: int):
+        self.numbering, self.of, self.count, self.total, self.distinct = numbering, of, count, total, distinct
+        self.classes, self.first = len(by), numbering.first
+        self.move = logs(by)
+        unseen = np.bincount(of[self.first :], minlength=self.classes)
+        self.share = -np.log10(np.maximum(by.sum(0) + ADD * (kinds + unseen), ADD))
+        self.log_count = np.log10(count + ADD)
+        self.emit = self.share[of] + np.r_[self.log_count, np.zeros(numbering.size - self.first)]
         self.base = math.log10(total + ADD * (distinct + 1))
 
-    def of_text(self, text: str) -> tuple[int, int, float, float, list[bytes], list[int]]:
-        """n_tokens, n_known, base and model sums without what the rare words' counts add, the rare words and how often each."""
+    @property
+    def step(self) -> np.ndarray:
+        return self.move[:, self.of] + self.emit[None, :]
+
+    def of_text(self, text: str) -> tuple[int, int, float, float, list[bytes], list[int], list[int], bytes]:
+        """n_tokens, n_known, base and model sums without what words outside the cache add; these words, how often each, the class of its
+        ending; and the class pairs with such a word, as 32-bit integers: -1 and less for the words, from the first."""
         t = tokens(text)
-        n = self.numbering
+        n, first = self.numbering, self.first
         ids = np.fromiter(map(n.of, t), np.int64, len(t))
-        score = float(self.step[self.of[np.r_[0, ids[:-1]]], ids].sum())
-        base, known, rare, times = -len(t) * self.base, 0, [], []
-        for w, m in Counter(t).items():
-            if (c := self.cache.get(w)) is None:
-                rare.append(w)
-                times.append(m)
-            else:
-                x = m * math.log10(c + ADD)
-                known += m
-                base += x
-                if n.of(w) >= self.first:
-                    score += x
-        return len(t), known, base, score, rare, times
+        known = ids < first
+        cached = ids[known]
+        base = float(self.log_count[cached].sum()) - len(t) * self.base
+        code = self.of[ids]
+        numbers: dict[bytes, int] = {}
+        times: Counter = Counter()
+        seeds = []
+        for p in np.flatnonzero(~known):
+            if (i := numbers.get(w := t[p])) is None:
+                i = numbers[w] = len(numbers)
+                seeds.append(int(code[p]))
+            times[i] += 1
+            code[p] = -1 - i
+        left = np.r_[0, code[:-1]]  # the end's class
+        both = (left >= 0) & (code >= 0)
+        score = float(self.emit[cached].sum() + self.move[left[both], code[both]].sum())
+        rest = np.stack([left[~both], code[~both]], 1).astype(np.int32).tobytes()
+        return len(t), int((self.count[cached] > 0).sum()), base, score, list(numbers), [times[i] for i in range(len(numbers))], seeds, rest
+
+    def of_rare(self, rest: bytes, times: np.ndarray, seeds: np.ndarray, at: np.ndarray, classes: np.ndarray) -> float:
+        """What the words outside the cache add to the model sum but for their counts; those numbered ``at`` have
+        ``classes``, those never seen go by their endings'."""
+        of = np.array(seeds, np.int64)
+        of[at] = classes
+        pairs = np.frombuffer(rest, np.int32).astype(np.int64).reshape(-1, 2)
+        word = pairs < 0
+        pairs[word] = of[-1 - pairs[word]]
+        return float(self.move[pairs[:, 0], pairs[:, 1]].sum() + (np.asarray(times) * self.share[of]).sum())
 
 
 def learn(texts: DataFrame, cache: int = CACHE, items: int = ITEMS, endings: int = ENDINGS, classes: int = CLASSES) -> tuple[Model, DataFrame]:
-    """The model of the column ``text`` of all rows, and the table (word, c) of all word counts."""
-    prepare(texts.sparkSession)
+    """The model of the column ``text`` of all rows, and the table (word, c, class) of all words."""
+    spark = texts.sparkSession
+    prepare(spark)
     counts = table(word_counts(texts), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(cache).collect()  # bounded
-    words = [bytes(r["word"]) for r in top[:items]]
-    kept = {bytes(r["word"]): r["c"] for r in top} | {END: r["c"] for r in counts.where(F.col("word") == F.lit(END)).collect()}
-    # the most frequent endings of the words that are no items, and how many words have each
-    by = counts.join(F.broadcast(texts.sparkSession.createDataFrame([(w,) for w in [*words, END]], "word binary")), "word", "left_anti")
+    ends = sum(r["c"] for r in counts.where(F.col("word") == F.lit(END)).collect())
+    words = [bytes(r["word"]) for r in top]
+    # the most frequent endings of the words that aren't exchanged one by one
+    by = counts.join(F.broadcast(spark.createDataFrame([(w,) for w in [*words[:items], END]], "word binary")), "word", "left_anti")
     ascii_ = F.octet_length("word") == F.length(F.decode("word", "UTF-8"))
     by = by.select(F.concat(F.when(ascii_, F.lit(b"+")).otherwise(F.lit(b"-")), F.expr("substring(word, greatest(1, octet_length(word) - 2), 3)")).alias("e"), "c")
-    sums = by.groupBy("e").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("kinds"))
-    most = sums.orderBy(F.desc("c"), "e").limit(endings).collect()  # bounded
-    kinds_all = by.count()
-    numbering = Numbering(words, [bytes(r["e"]) for r in most])
-    kinds = np.zeros(numbering.size)
-    for r in most:
-        kinds[numbering.endings[bytes(r["e"])]] = r["kinds"]
-    kinds[numbering.rest] = kinds_all - sum(r["kinds"] for r in most)
-    got = pair_counts(texts, numbering).toPandas()  # bounded by the number of items, squared
-    pairs = np.zeros((numbering.size, numbering.size))
-    pairs[got["i"].to_numpy(int), got["j"].to_numpy(int)] = got["c"].to_numpy(float)
+    most = [bytes(r["e"]) for r in by.groupBy("e").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "e").limit(endings).collect()]  # bounded
+    numbering, small = Numbering(words, most), Numbering(words[:items], most)
+    pairs = table(pair_counts(texts, numbering), "pairs")
     numbering.known = dict(numbering.words)
-    return Model(numbering, exchange(pairs, classes), pairs, kinds, total, distinct, kept), counts
+    # words exchanged one by one, all others as their endings
+    to = np.array([small.of(w) for w in [END, *words]] + list(range(small.first, small.size)))
+    got = pairs.join(classes_of(spark, to, "i", "a"), "i").join(classes_of(spark, to, "j", "b"), "j")
+    of = exchange(class_pairs(got, small.size), classes)[to]
+    k, fixed = int(of.max()) + 1, min(items, len(words)) + 1
+    if fixed < numbering.first:
+        for _ in range(ROUNDS):
+            before, of = of, place_cached(pairs, of, fixed, numbering.first)
+            if (of == before).all():
+                break
+    got = pairs.join(classes_of(spark, of, "i", "a"), "i").join(classes_of(spark, of, "j", "b"), "j")
+    count = np.array([ends, *(r["c"] for r in top)], float)
+    kinds = np.bincount(of[: numbering.first], count > 0, k)
+    named = spark.createDataFrame([(w, int(c), int(o)) for w, c, o in zip([END, *words], count, of) if c > 0], "word binary, c long, class int")
+    if distinct <= len(words) + 1:
+        by = class_pairs(got, k)
+    else:
+        found = table(rare_neighbours(texts, numbering, of), "near")
+        rare, more = place_rare(found, class_pairs(got, k))
+        discard(found)
+        by = more + class_pairs(got.where((F.col("i") < numbering.first) & (F.col("j") < numbering.first)), k)
+        for c, m in rare.groupBy("class").count().collect():
+            kinds[c] += m
+        named = named.unionByName(rare)
+    discard(pairs, counts)
+    return Model(numbering, of, by, count, kinds, total, distinct), named
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -242,26 +420,35 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "tex
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
+    names = ["n_tokens", "n_known", "base", "score", "words", "times", "seeds", "rest"]
 
-    @F.pandas_udf("n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>")
+    @F.pandas_udf("n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>, seeds array<int>, rest binary")
     def of_texts(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
-        return pd.DataFrame([m.of_text(t or "") for t in texts], columns=["n_tokens", "n_known", "base", "score", "words", "times"])
+        return pd.DataFrame([m.of_text(t or "") for t in texts], columns=names)
+
+    @F.pandas_udf("double")
+    def of_rare(rest: pd.Series, times: pd.Series, seeds: pd.Series, at: pd.Series, classes: pd.Series) -> pd.Series:
+        m = shared.value
+        return pd.Series([m.of_rare(*x) if len(x[1]) else 0.0 for x in zip(rest, times, seeds, at, classes)], dtype=float)
 
     keep = [c for c in docs.columns if c.lower() not in {text_col.lower(), "n_tokens", "n_known", "base_score", "score"}]
     own = F.struct(*(F.col(c) for c in keep)) if keep else F.lit(None).cast("int")
     # written before the row numbers are used twice: they needn't be the same in a second run
     rows = table(docs.select(F.monotonically_increasing_id().alias("row"), own.alias("own"), of_texts(text_of(text_col)).alias("s")), "scored")
-    rare = rows.select("row", F.explode(F.arrays_zip(F.col("s.words").alias("w"), F.col("s.times").alias("m"))).alias("x")).select("row", F.col("x.w").alias("word"), F.col("x.m").alias("m"))
-    found = rare.join(counts, "word", "left").select("row", "m", F.coalesce("c", F.lit(0)).alias("c"))
-    more = found.groupBy("row").agg(F.sum(F.col("m") * F.log10(F.col("c") + ADD)).alias("x"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("k"))
+    rare = rows.select("row", F.posexplode(F.arrays_zip(F.col("s.words").alias("w"), F.col("s.times").alias("m"))).alias("p", "x")).select("row", "p", F.col("x.w").alias("word"), F.col("x.m").alias("m"))
+    found = rare.join(counts, "word", "left").select("row", "p", "m", F.coalesce("c", F.lit(0)).alias("c"), "class")
+    placed = F.collect_list(F.when(F.col("class").isNotNull(), F.struct("p", "class"))).alias("placed")
+    more = found.groupBy("row").agg(F.sum(F.col("m") * F.log10(F.col("c") + ADD)).alias("x"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("k"), placed)
     more = more.withColumnRenamed("row", "of")
-    out = rows.select("row", "own", "s.n_tokens", "s.n_known", "s.base", "s.score").join(more, F.col("row") == F.col("of"), "left")
+    out = rows.select("row", "own", "s.*").drop("words").join(more, F.col("row") == F.col("of"), "left")
     x = F.coalesce("x", F.lit(0.0))
+    none = F.array().cast("array<int>")
+    of_class = of_rare("rest", "times", "seeds", F.coalesce("placed.p", none), F.coalesce("placed.class", none))
     return out.select(
         *(F.col("own").getField(c).alias(c) for c in keep),
         "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
-        (F.col("base") + x).alias("base_score"), (F.col("score") + x).alias("score"),
+        (F.col("base") + x).alias("base_score"), (F.col("score") + x + of_class).alias("score"),
     )
 
 

@@ -72,3 +72,37 @@ def test_probabilities_sum_to_one(spark, docs_of):
 
 def test_empty(spark, docs_of, sf):
     assert brown.op7_brown(spark, sf(documents=docs_of([]))).count() == 0
+
+
+def test_every_word_has_a_class_by_its_neighbours(spark, docs_of):
+    """Words outside the cache, all of one ending, in two kinds of place where cached words stand too: they get two classes, and the score is the model's, by brute force."""
+    rng = random.Random(2)
+    rare = {f"{p}{i}qqq": p for i in range(40) for p in "uv"}
+    docs = []
+    for i in range(400):
+        w = rng.choice(list(rare))
+        u, v = rng.choice(["cat", "dog", w]), rng.choice(["see", "hit", w])
+        docs.append((i, f"the {u} runs" if rare[w] == "u" else f"we {v} it") if i % 9 else (i, f"z{i % 7}qqz z{i % 5}qqz"))
+    docs += [(400 + i, f"the {w} runs" if p == "u" else f"we {w} it") for i, (w, p) in enumerate(3 * list(rare.items()))]
+    model, words = brown.learn(docs_of(docs), cache=8, items=8, endings=3, classes=13)
+    rows = {bytes(r.word): r for r in words.collect()}
+    assert {w: r.c for w, r in rows.items()} == dict(Counter(x.encode() for _, t in docs for x in toks(t)))
+    kinds = Counter((p, rows[w.encode()]["class"]) for w, p in rare.items())
+    (_, a), n = Counter({x: m for x, m in kinds.items() if x[0] == "u"}).most_common(1)[0]
+    (_, b), m = Counter({x: m for x, m in kinds.items() if x[0] == "v"}).most_common(1)[0]
+    assert a != b and n >= 36 and m >= 36, kinds
+    # probabilities over all words and the endings of words never seen
+    of = lambda w: rows[w]["class"] if w in rows else int(model.of[model.numbering.of(w)])
+    by = np.zeros((model.classes, model.classes))
+    for _, t in docs:
+        c = [0, *(of(x.encode()) for x in toks(t))]
+        np.add.at(by, (c[:-1], c[1:]), 1)
+    move = (by + 0.1) / (by.sum(1, keepdims=True) + 0.1 * model.classes)
+    size = np.bincount([r["class"] for r in rows.values()], minlength=model.classes) + np.bincount(model.of[model.first :], minlength=model.classes)
+    mass = by.sum(0) + 0.1 * size
+    assert np.allclose(10**model.move, move)
+    more = [(1000, "the never u1qqq seenqqq we"), (1001, None), (1002, "v3qqq v4qqq v3qqq"), (1003, "the")]
+    for r in brown.score(docs_of(docs[:30] + more), model, words).collect():
+        t = [x.encode() for x in toks(dict(docs + more)[r.doc_id])]
+        p = sum(math.log10(move[of(x), of(y)] * ((rows[y].c if y in rows else 0) + 0.1) / mass[of(y)]) for x, y in zip([b"\n", *t], t))
+        assert abs(r.score - p) < 1e-9, (r, p)
