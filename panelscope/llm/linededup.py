@@ -18,7 +18,8 @@ Where that leaves lines of a bucket in several components, pairs of lines of
 different components are compared too: all of a bucket where these are no more than
 ``SMALL`` lines have or than ``EACH`` a line. The lines of the others, such as those of one template or those that
 share a passage, meet by their rarest shingles, so many of each line that two similar lines have one in
-common, and are compared where what follows it in both can hold enough. So no similar pair of a bucket is left out.
+common, and are compared where what follows it in both can hold enough and where their shingles, folded into a few
+bits, don't differ in more bits than similar lines have shingles that differ. So no similar pair of a bucket is left out.
 
 Signatures are made where the lines are read, and only the least values of a
 task's lines are shuffled. Of the texts only those in a candidate pair are, told by a bitmap of fixed size (8 MB) that is broadcast;
@@ -46,6 +47,8 @@ FEW = 20
 SLOTS = 1 << 26
 #: Lines of a bucket, and pairs a line, up to which its pairs are all compared.
 SMALL, EACH = 12, 4
+#: 64-bit numbers that hold the parities of a line's shingles.
+FOLDS = [f"f{i}" for i in range(8)]
 BLANKS = " \t\r\x0b\x0c"
 
 
@@ -118,19 +121,34 @@ def cross(buckets: DataFrame) -> DataFrame:
     """(a, b, c, d): pairs of lines of different components in one bucket of (k, a, c), once each; of buckets by
     ``prefixed`` those that can be similar."""
     by_prefix = "room" in buckets.columns
-    other = buckets.select("k", F.col("a").alias("b"), F.col("c").alias("d"), *([F.col("room").alias("room2"), F.col("need").alias("need2")] if by_prefix else []))
-    can = F.least("room", "room2") >= F.col("need") + F.col("need2") - 1e-9 if by_prefix else F.lit(True)
+    more = ["room", "need", "spare", *FOLDS] if by_prefix else []
+    other = buckets.select("k", F.col("a").alias("b"), F.col("c").alias("d"), *(F.col(x).alias(f"{x}_2") for x in more))
+    can = F.lit(True)
+    if by_prefix:
+        differ = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"{f}_2"))) for f in FOLDS), F.lit(0))
+        can = (F.least("room", "room_2") >= F.col("need") + F.col("need_2") - 1e-9) & (differ <= F.col("spare") + F.col("spare_2") + 1e-9)
     return buckets.join(other, "k").where(F.expr("a < b and c != d") & can).select("a", "b", "c", "d").distinct()
 
 
+def folded(grams: DataFrame) -> DataFrame:
+    """(a, f0, f1, ...): the shingles ``k`` of each line, distinct, folded into bits, each the parity of those that fall on it.
+    Where two lines differ in a bit, one has a shingle that the other hasn't."""
+    at = F.pmod("k", F.lit(len(FOLDS)))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(shiftright(k, {(len(FOLDS) - 1).bit_length()}), 64) as int))")
+    return grams.groupBy("a").agg(*(F.bit_xor(F.when(at == i, bit).otherwise(F.lit(0).cast("long"))).alias(f) for i, f in enumerate(FOLDS)))
+
+
 def prefixed(lines: DataFrame, similar: float) -> DataFrame:
-    """(k, a, c, room, need): the rarest shingles ``k`` of each line of (a, c, norm), so many that two lines of the similarity
-    ``similar`` or more have one in common; how many of the line's shingles are no rarer, and its part of the number that both must share."""
+    """(k, a, c, room, need, spare, f0, f1, ...): the rarest shingles ``k`` of each line of (a, c, norm), so many that two lines of the similarity
+    ``similar`` or more have one in common; how many of the line's shingles are no rarer, its part of the number that both must share and
+    of the number that may be in one alone; and its shingles ``folded``."""
     grams = table(lines.select("a", "c", shingles("norm").alias("s")).select("a", "c", F.size("s").alias("n"), F.explode("s").alias("k")), "grams")
     times = grams.groupBy("k").agg(F.count(F.lit(1)).alias("times"))
     placed = grams.join(times, "k").withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("times", "k")))
     few = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(similar) - 1e-9) + 1).where("times > 1")
-    found = table(few.select("k", "a", "c", (F.col("n") - F.col("place") + 1).alias("room"), (F.col("n") * F.lit(similar / (1 + similar))).alias("need")), "prefixes")
+    room, part = F.col("n") - F.col("place") + 1, lambda x: F.col("n") * F.lit(x / (1 + similar))
+    few = few.select("k", "a", "c", room.alias("room"), part(similar).alias("need"), part(1 - similar).alias("spare"))
+    found = table(few.join(folded(grams), "a"), "prefixes")
     discard(grams)
     return found
 

@@ -142,6 +142,26 @@ def test_no_similar_pair_of_a_large_bucket_is_left_out(spark):
     assert len(pairs) < len(lines) * (len(lines) - 1) // 4
 
 
+def test_pairs_of_a_large_bucket_that_cannot_be_similar_are_not_made(spark):
+    """Lines of one template, each a component of its own: all similar pairs are made, and few others."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 9)))
+    template, pool, lines = [word() for _ in range(20)], [word() for _ in range(30)], set()
+    for _ in range(300):
+        w = list(template)
+        for k in rng.sample(range(20), 7):
+            w[k] = rng.choice(pool)
+        x = " ".join(w)
+        lines |= {x, x[:9] + "#" + x[10:]}
+    lines = sorted(lines)
+    texts = spark.createDataFrame(list(enumerate(lines)), "a long, norm string")
+    bucket = texts.select(F.lit(1).cast("long").alias("k"), "a", F.col("a").alias("c"))
+    pairs = {(r.a, r.b) for r in ld.apart(bucket, texts).collect()}
+    links = {(int(i), int(j)) for i, j in true_links(lines)}
+    assert len(links) >= 250 and links <= pairs, (len(links), len(links - pairs))
+    assert len(pairs) <= 2 * len(links), (len(pairs), len(links))
+
+
 def test_recall_of_true_links_among_lines_that_share_a_passage(spark, docs_of):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
