@@ -14,8 +14,10 @@ takes, so short lines, those of few long tokens and those without blanks aren't
 lost. Verification takes the shingles at every place.
 
 In a bucket each line is first compared with the bucket's least line (by hash).
-Where that leaves lines of a bucket in several components, pairs of lines of
-different components are compared too: all of a bucket where these are no more than
+Where that leaves lines of a large bucket in several components, those outside the bucket's
+largest component are compared with ``HUBS`` of its lines, in up to ``ROUNDS`` rounds with other lines of it: of
+one family of near copies nearly all then are one component. What is still in several, pairs of lines of
+different components, is compared too: all of a bucket where these are no more than
 ``SMALL`` lines have or than ``EACH`` a line. The lines of the others, such as those of one template or those that
 share a passage, meet by their rarest shingles, so many of each line that two similar lines have one in
 common, and are compared where what follows it in both can hold enough and where their shingles, folded into a few
@@ -47,6 +49,8 @@ FEW = 20
 SLOTS = 1 << 26
 #: Lines of a bucket, and pairs a line, up to which its pairs are all compared.
 SMALL, EACH = 12, 4
+#: Lines of a large bucket's largest component that its others are compared with in a round; rounds at most.
+HUBS, ROUNDS = 3, 3
 #: 64-bit numbers that hold the parities of a line's shingles.
 FOLDS = [f"f{i}" for i in range(8)]
 BLANKS = " \t\r\x0b\x0c"
@@ -122,12 +126,17 @@ def cross(buckets: DataFrame) -> DataFrame:
     ``prefixed`` those that can be similar."""
     by_prefix = "room" in buckets.columns
     more = ["room", "need", "spare", *FOLDS] if by_prefix else []
-    other = buckets.select("k", F.col("a").alias("b"), F.col("c").alias("d"), *(F.col(x).alias(f"{x}_2") for x in more))
+    # of each pair one line isn't of the bucket's largest component: only those are joined with all
+    most = buckets.groupBy("k", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("k").agg(F.max_by("c", F.struct("m", "c")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    marked_ = buckets.join(most, "k").select("k", "a", "c", *more, (F.col("c") != F.col("most")).alias("rest"))
+    other = marked_.select("k", F.col("a").alias("b"), F.col("c").alias("d"), F.col("rest").alias("rest_2"), *(F.col(x).alias(f"{x}_2") for x in more))
     can = F.lit(True)
     if by_prefix:
         differ = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"{f}_2"))) for f in FOLDS), F.lit(0))
         can = (F.least("room", "room_2") >= F.col("need") + F.col("need_2") - 1e-9) & (differ <= F.col("spare") + F.col("spare_2") + 1e-9)
-    return buckets.join(other, "k").where(F.expr("a < b and c != d") & can).select("a", "b", "c", "d").distinct()
+    pairs = marked_.where("rest").join(other, "k").where(F.expr("c != d and (a < b or not rest_2)") & can)
+    turned = F.col("a") > F.col("b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("d")).otherwise(F.col("c")).alias("c"), F.when(turned, F.col("c")).otherwise(F.col("d")).alias("d")).distinct()
 
 
 def folded(grams: DataFrame) -> DataFrame:
@@ -161,11 +170,38 @@ def sized(buckets: DataFrame) -> DataFrame:
     return buckets.join(by.where("comps > 1").select("k", few.alias("few")), "k")
 
 
-def apart(buckets: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(a, b, c, d): pairs of lines of different components to be compared, of the buckets (k, a, c); ``texts``: (a, norm)."""
+def hubs(buckets: DataFrame, seed: int) -> DataFrame:
+    """(a, b, c, d): the lines of those buckets (k, a, c) that are still large, but those of their bucket's largest component, each with HUBS
+    lines of that component, others for another ``seed``."""
+    large = table(sized(buckets).where("not few").select("k", "a", "c"), "large")
+    most = large.groupBy("k", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("k").agg(F.max_by("c", F.struct("m", "c")).alias("d"))
+    least = [F.min_by("a", F.xxhash64(F.lit(seed * HUBS + i), "a")) for i in range(HUBS)]
+    chosen = large.join(most, "k").where("c = d").groupBy("k", "d").agg(F.array_distinct(F.array(*least)).alias("bs"))
+    # the same two lines may meet in several buckets
+    found = table(large.join(chosen, "k").where("c != d").select("a", F.explode("bs").alias("b"), "c", "d").distinct(), "hubs")
+    discard(large)
+    return found
+
+
+def grown(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` (node, component) with the components that ``links`` (c, d) link joined; a line without a link is its own component."""
+    over = table(components(links, "c", "d"), "over")
+    up = over.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    named = groups.join(up, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    # lines that had no link before
+    alone = over.join(groups, "node", "left_anti").select("node", "component")
+    found = table(named.unionByName(alone), "groups")
+    discard(over)
+    return found
+
+
+def apart(buckets: DataFrame, texts: DataFrame, similar: float = SIMILAR, more: DataFrame | None = None) -> DataFrame:
+    """(a, b, c, d): pairs of lines of different components to be compared, of the buckets (k, a, c); ``texts``: (a, norm).
+    ``more``: (a, c) of lines that are to meet by their rarest shingles like those of large buckets."""
     now = table(sized(buckets), "open")
     pairs, spent = cross(now.where("few").select("k", "a", "c")), [now]
-    large = now.where("not few").select("a", "c").distinct()
+    large = now.where("not few").select("a", "c")
+    large = (large if more is None else large.unionByName(more)).distinct()
     if not large.isEmpty():
         spent.append(prefixed(texts.join(large, "a"), similar))
         pairs = pairs.unionByName(cross(spent[-1]))
@@ -191,16 +227,27 @@ def joined(lines: DataFrame, similar: float = SIMILAR) -> DataFrame:
     groups = table(components(verified(pairs, texts, similar)), "groups")
     discard(pairs, ids)
     # the lines of buckets that have several components beside the line that all were compared with
-    of = groups.select(F.col("node").alias("a"), F.col("component").alias("c"))
-    open_ = met.where("n > 2").select("k", "a").join(of, "a", "left").select("k", "a", F.coalesce("c", "a").alias("c"))
-    left = apart(open_, texts, similar)
-    over = table(components(verified(left, texts, similar).select(F.col("c").alias("a"), F.col("d").alias("b"))), "over")
-    discard(met, texts, left)
-    up = over.select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    named = groups.join(up, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
-    # lines that had no link before
-    alone = over.join(groups, "node", "left_anti").select("node", "component")
-    return named.unionByName(alone)
+    shared = met.where("n > 2").select("k", "a")
+
+    def of_groups(lines):
+        of = groups.select(F.col("node").alias("a"), F.col("component").alias("c"))
+        return lines.join(of, "a", "left").withColumn("c", F.coalesce("c", "a"))
+
+    large = table(sized(of_groups(shared)).where("not few").select("k", "a"), "first_large")
+    for seed in range(ROUNDS):
+        near = hubs(of_groups(large), seed)
+        links = table(verified(near, texts, similar).select("c", "d").distinct(), "near")
+        none = links.isEmpty()
+        if not none:
+            done, groups = groups, grown(groups, links)
+            discard(done)
+        discard(near, links)
+        if none:
+            break
+    left = apart(of_groups(shared), texts, similar, of_groups(large.select("a").distinct()))
+    found = grown(groups, verified(left, texts, similar).select("c", "d"))
+    discard(groups, met, texts, left, large)
+    return found
 
 
 def clashing(at: DataFrame) -> DataFrame | None:

@@ -162,6 +162,22 @@ def test_pairs_of_a_large_bucket_that_cannot_be_similar_are_not_made(spark):
     assert len(pairs) <= 2 * len(links), (len(pairs), len(links))
 
 
+def test_lines_of_one_family_are_not_compared_pair_by_pair(spark, docs_of, monkeypatch):
+    """Near copies of one line, about half of the pairs similar: most are joined through a few of them, so few pairs are compared, and no link is lost."""
+    rng, lines, compared, verified = random.Random(21), set(), [], ld.verified
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+    template, pool = [word() for _ in range(70)], [word() for _ in range(300)]
+    for _ in range(500):
+        w = list(template)
+        for k in rng.sample(range(70), rng.randrange(2, 9)):
+            w[k] = rng.choice(pool)
+        lines.add(" ".join(w))
+    monkeypatch.setattr(ld, "verified", lambda pairs, *x: compared.append(pairs.count()) or verified(pairs, *x))
+    n, share = recall(spark, docs_of, sorted(lines))
+    assert n >= 5_000 and share >= 0.99, (n, share)
+    assert max(compared) <= 16 * len(lines), compared
+
+
 def test_recall_of_true_links_among_lines_that_share_a_passage(spark, docs_of):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
