@@ -36,7 +36,7 @@ ADD, END, SWEEPS = 0.1, b"\n", 8
 #: Rounds on Spark over the cached words, and over all others.
 ROUNDS, RARE_ROUNDS = 3, 2
 #: Distinct words that a task gathers before it passes them on, and pairs.
-FLUSH, FLUSH_PAIRS = 200_000, 3_000_000
+FLUSH, FLUSH_PAIRS = 500_000, 3_000_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -93,7 +93,8 @@ class Numbering:
 
 
 def pair_counts(texts: DataFrame, numbering: Numbering) -> DataFrame:
-    """(i, j, c): how often item j follows item i; a text starts after an end."""
+    """(i, at, n): how often (n) items (at) follow item i; a text starts after an end. Rows of lists, several for an item:
+    as each task has gathered them, so that no pair is shuffled."""
     shared = texts.sparkSession.sparkContext.broadcast(numbering)
 
     def count(batches):
@@ -101,7 +102,10 @@ def pair_counts(texts: DataFrame, numbering: Numbering) -> DataFrame:
 
         def out():
             at, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array((at // n.size).astype(np.int32)), pa.array((at % n.size).astype(np.int32)), pa.array(c.astype(np.int64))], ["i", "j", "c"])
+            i, start = np.unique(at // n.size, return_index=True)
+            starts = pa.array(np.r_[start, at.size].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(starts, pa.array(x.astype(np.int32))) for x in (at % n.size, c)]
+            return pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), *lists], ["i", "at", "n"])
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
@@ -114,7 +118,13 @@ def pair_counts(texts: DataFrame, numbering: Numbering) -> DataFrame:
         if held:
             yield out()
 
-    return texts.select(text_of()).mapInArrow(count, "i int, j int, c long").groupBy("i", "j").agg(F.sum("c").alias("c"))
+    return texts.select(text_of()).mapInArrow(count, "i int, at array<int>, n array<int>")
+
+
+def flat(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The first column, once for each entry of its row's lists, and the entries of the lists beside it."""
+    first = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.asarray(batch.column(1).value_lengths()))
+    return [first, *(x.flatten().to_numpy(zero_copy_only=False) for x in batch.columns[1:])]
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -178,11 +188,6 @@ def logs(by: np.ndarray) -> np.ndarray:
     return np.log10((by + ADD) / (by.sum(1, keepdims=True) + ADD * len(by)))
 
 
-def classes_of(spark: SparkSession, of: np.ndarray, code: str, out: str) -> DataFrame:
-    """(code, out): the class of each item, to be broadcast."""
-    return F.broadcast(spark.createDataFrame(pd.DataFrame({code: np.arange(len(of), dtype=np.int32), out: of.astype(np.int32)})))
-
-
 def class_pairs(rows: DataFrame, k: int) -> np.ndarray:
     """The k by k sums of ``rows`` (a, b, c)."""
     by = np.zeros((k, k))
@@ -191,11 +196,37 @@ def class_pairs(rows: DataFrame, k: int) -> np.ndarray:
     return by
 
 
+def cells(batches, key, k: int):
+    """The batches of (a, b, c): the sums of the numbers with each a * k + b; ``key`` makes both, of what ``flat`` returns."""
+    has = np.zeros(k * k)
+    for batch in batches:
+        at, n = key(*flat(batch))
+        has += np.bincount(at, n, k * k)
+    cell = np.flatnonzero(has)
+    yield pa.RecordBatch.from_arrays([pa.array((cell // k).astype(np.int32)), pa.array((cell % k).astype(np.int32)), pa.array(has[cell].astype(np.int64))], ["a", "b", "c"])
+
+
+def pairs_by_class(pairs: DataFrame, of: np.ndarray, k: int) -> np.ndarray:
+    """The k by k counts of class pairs of ``pairs`` (i, at, n); ``of``: the class of each item."""
+    shared = pairs.sparkSession.sparkContext.broadcast(of)
+
+    def count(batches):
+        of = shared.value
+        yield from cells(batches, lambda i, at, n: (of[i] * k + of[at], n), k)
+
+    return class_pairs(pairs.mapInArrow(count, "a int, b int, c long"), k)
+
+
+def by_word(near: DataFrame) -> DataFrame:
+    """One row (word, x) for each word, of all its lists."""
+    return near.groupBy("word").agg(F.flatten(F.collect_list("x")).alias("x"))
+
+
 def place(near: DataFrame, by: np.ndarray, kind: str) -> DataFrame:
     """(word, c, class): the class in which each word's occurrences are likeliest, given the counts ``by`` of class pairs.
 
-    ``near``: (word, at, n), rows of lists for a word of type ``kind``: how often (n) its neighbour has a class; ``at`` is the
-    class of the one after it, or the number of classes more for the one before it. c: how often the word occurs."""
+    ``near``: (word, x), rows of lists for a word of type ``kind``: how often (n) its neighbour has a class; ``at`` is the
+    class of the one after it, or the number of classes k more for the one before it; x is n * 2k + at. c: how often the word occurs."""
     k, move, total = len(by), logs(by), by.sum(0)
     # a class without words takes none, the end's class neither
     own = np.where((total > 0) & (np.arange(k) > 0), -np.log10(np.maximum(total, 1) + ADD), -np.inf)
@@ -206,26 +237,48 @@ def place(near: DataFrame, by: np.ndarray, kind: str) -> DataFrame:
     def likeliest(batches):
         weight, own = shared.value
         for batch in batches:
-            at, n = batch.column(1), batch.column(2)
-            rows = np.repeat(np.arange(len(at)), np.asarray(at.value_lengths()))
-            times = n.flatten().to_numpy(zero_copy_only=False)
-            has = np.bincount(rows * 2 * k + at.flatten().to_numpy(zero_copy_only=False), times, len(at) * 2 * k).reshape(len(at), 2 * k)
+            lists = batch.column(1)
+            rows, x = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths())), lists.flatten().to_numpy(zero_copy_only=False)
+            has = np.bincount(rows * 2 * k + x % (2 * k), x // (2 * k), len(lists) * 2 * k).reshape(len(lists), 2 * k)
             c = has[:, :k].sum(1)
             best = (has @ weight + np.where(c[:, None] > 0, c[:, None], 1) * own).argmax(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c.astype(np.int64)), pa.array(best.astype(np.int32))], ["word", "c", "class"])
 
-    lists = near.groupBy("word").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("n")).alias("n"))
-    return lists.mapInArrow(likeliest, f"word {kind}, c long, class int")
+    return by_word(near).mapInArrow(likeliest, f"word {kind}, c long, class int")
 
 
 def place_cached(pairs: DataFrame, of: np.ndarray, fixed: int, first: int) -> np.ndarray:
-    """The classes ``of`` after one round over the cached words from number ``fixed``; ``pairs``: (i, j, c)."""
-    spark, k = pairs.sparkSession, int(of.max()) + 1
-    both = pairs.join(classes_of(spark, of, "i", "a"), "i").join(classes_of(spark, of, "j", "b"), "j")
-    by = class_pairs(both, k)
-    sides = F.array(F.struct(F.col("i").alias("word"), F.col("b").alias("at"), "c"), F.struct(F.col("j").alias("word"), (F.col("a") + k).alias("at"), "c"))
-    sums = both.select(F.explode(sides).alias("x")).select("x.*").where(F.col("word").between(fixed, first - 1)).groupBy("word", "at").agg(F.sum("c").alias("n"))
-    near = sums.select("word", F.array("at").alias("at"), F.array("n").alias("n"))
+    """The classes ``of`` after one round over the cached words from number ``fixed``; ``pairs``: (i, at, n)."""
+    k = int(of.max()) + 1
+    by = pairs_by_class(pairs, of, k)
+    shared = pairs.sparkSession.sparkContext.broadcast(of)
+
+    def gather(batches):
+        of, held, size = shared.value, [], 0
+        has = np.zeros((first - fixed) * 2 * k, np.int64)
+
+        def add():
+            key, n = (np.concatenate(x) for x in zip(*held))
+            np.add(has, np.bincount(key, n, has.size).astype(np.int64), out=has)
+
+        for batch in batches:
+            i, j, n = flat(batch)
+            for word, at in ((i, of[j]), (j, k + of[i])):
+                mine = (word >= fixed) & (word < first)
+                held.append(((word[mine] - fixed).astype(np.int64) * 2 * k + at[mine], n[mine]))
+                size += held[-1][0].size
+            if size > FLUSH_PAIRS:
+                add()
+                held, size = [], 0
+        if held:
+            add()
+        at = np.flatnonzero(has)
+        word, start = np.unique(at // (2 * k), return_index=True)
+        starts = pa.array(np.r_[start, at.size].astype(np.int32))
+        lists = pa.ListArray.from_arrays(starts, pa.array(has[at] * 2 * k + at % (2 * k)))
+        yield pa.RecordBatch.from_arrays([pa.array((word + fixed).astype(np.int32)), lists], ["word", "x"])
+
+    near = pairs.mapInArrow(gather, "word int, x array<long>")
     moved = of.copy()
     for r in place(near, by, "int").collect():  # bounded by the cached words
         moved[r["word"]] = r["class"]
@@ -233,8 +286,8 @@ def place_cached(pairs: DataFrame, of: np.ndarray, fixed: int, first: int) -> np
 
 
 def rare_neighbours(texts: DataFrame, numbering: Numbering, of: np.ndarray) -> DataFrame:
-    """(word, other, at, n) of the words that aren't cached. ``other`` null: how often (n) a cached neighbour of the
-    word has a class (at, as in ``place``). Else: the word before ``other``, neither cached, the classes of both endings and how often."""
+    """(word, other, x) of the words that aren't cached. ``other`` null: how often a cached neighbour of the
+    word has a class, as in ``place``. Else: the word before ``other``, neither cached; x: the classes of both endings, and how often."""
     k = int(of.max()) + 1
     shared = texts.sparkSession.sparkContext.broadcast((numbering, of))
 
@@ -248,15 +301,14 @@ def rare_neighbours(texts: DataFrame, numbering: Numbering, of: np.ndarray) -> D
             word, start = np.unique(at // (2 * k), return_index=True)
             near = [words[i] for i in word]
             double = list(pairs)
-            seeds = of[[numbering.of(w) for p in double for w in p]].tolist() if double else []
-            starts = np.r_[start, at.size, at.size + 2 * np.arange(1, len(double) + 1)].astype(np.int32)
-            counts = np.r_[start, n.size, n.size + np.arange(1, len(double) + 1)].astype(np.int32)
+            seeds = of[[numbering.of(w) for p in double for w in p]].reshape(-1, 2) if double else np.empty((0, 2), np.int64)
+            starts = np.r_[start, at.size + 3 * np.arange(len(double) + 1)].astype(np.int32)
+            x = np.r_[n * 2 * k + at % (2 * k), np.c_[seeds, np.fromiter(pairs.values(), np.int64, len(double))].ravel()]
             batch = pa.RecordBatch.from_arrays([
                 pa.array(near + [p[0] for p in double], pa.binary()),
                 pa.array([None] * len(near) + [p[1] for p in double], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(starts), pa.array(np.r_[at % (2 * k), seeds].astype(np.int32))),
-                pa.ListArray.from_arrays(pa.array(counts), pa.array(np.r_[n, list(pairs.values())].astype(np.int64))),
-            ], ["word", "other", "at", "n"])
+                pa.ListArray.from_arrays(pa.array(starts), pa.array(x.astype(np.int64))),
+            ], ["word", "other", "x"])
             numbers.clear(), pairs.clear(), words.clear(), held.clear()
             return batch
 
@@ -282,31 +334,37 @@ def rare_neighbours(texts: DataFrame, numbering: Numbering, of: np.ndarray) -> D
         if words:
             yield out()
 
-    return texts.select(text_of()).mapInArrow(gather, "word binary, other binary, at array<int>, n array<long>")
+    return texts.select(text_of()).mapInArrow(gather, "word binary, other binary, x array<long>")
 
 
 def place_rare(found: DataFrame, by: np.ndarray) -> tuple[DataFrame, np.ndarray]:
     """(word, c, class) of the words that aren't cached, and the counts of the class pairs with such a word. ``found``: by ``rare_neighbours``."""
     k = len(by)
-    alone = found.where("other is null").select("word", "at", "n")
+    # a row a word, once: each round reads it again
+    alone = table(by_word(found.where("other is null").select("word", "x")), "alone")
     # neighbours of which neither is cached: first by the classes of their endings, then by their own
-    two = found.where("other is not null").select("word", "other", F.col("at")[0].alias("a"), F.col("at")[1].alias("b"), F.col("n")[0].alias("c"))
-    two = table(two.groupBy("word", "other", "a", "b").agg(F.sum("c").alias("c")), "two")
+    two = found.where("other is not null").select("word", "other", *(F.col("x")[i].alias(c) for i, c in enumerate("abc")))
     both, spent = two, []
     for _ in range(RARE_ROUNDS):
-        after = both.select("word", F.array("b").alias("at"), F.array("c").alias("n"))
-        before = both.select(F.col("other").alias("word"), F.array(F.col("a") + k).alias("at"), F.array("c").alias("n"))
-        placed = table(place(alone.unionByName(after).unionByName(before), by, "binary"), "classes")
+        sides = F.array(F.struct("word", F.col("b").alias("at"), "c"), F.struct(F.col("other").alias("word"), (F.col("a") + k).alias("at"), "c"))
+        beside = both.select(F.explode(sides).alias("x")).select("x.word", F.array(F.col("x.c") * (2 * k) + F.col("x.at")).alias("x"))
+        placed = table(place(alone.unionByName(beside), by, "binary"), "classes")
         own = placed.select("word", "class")
         left = two.select("word", "other", "c").join(own.withColumnRenamed("class", "a"), "word")
         both = left.join(own.select(F.col("word").alias("other"), F.col("class").alias("b")), "other")
         spent.append(placed)
     discard(*spent[:-1])
-    near = alone.join(own, "word").select("class", F.explode(F.arrays_zip("at", "n")).alias("x")).select("class", "x.at", F.col("x.n").alias("c"))
-    ahead = F.col("at") < k
-    near = near.select(F.when(ahead, F.col("class")).otherwise(F.col("at") - k).alias("a"), F.when(ahead, F.col("at")).otherwise(F.col("class")).alias("b"), "c")
-    counted = class_pairs(near.unionByName(both.select("a", "b", "c")), k)
-    discard(two)
+
+    def count(batches):
+        def sides(own, x):
+            at = x % (2 * k)
+            return np.where(at < k, own * k + at, (at - k) * k + own), x // (2 * k)
+
+        yield from cells(batches, sides, k)
+
+    near = class_pairs(alone.join(own, "word").select("class", "x").mapInArrow(count, "a int, b int, c long"), k)
+    counted = near + class_pairs(both.select("a", "b", "c"), k)
+    discard(alone)
     return placed, counted
 
 
@@ -386,25 +444,25 @@ def learn(texts: DataFrame, cache: int = CACHE, items: int = ITEMS, endings: int
     numbering.known = dict(numbering.words)
     # words exchanged one by one, all others as their endings
     to = np.array([small.of(w) for w in [END, *words]] + list(range(small.first, small.size)))
-    got = pairs.join(classes_of(spark, to, "i", "a"), "i").join(classes_of(spark, to, "j", "b"), "j")
-    of = exchange(class_pairs(got, small.size), classes)[to]
+    of = exchange(pairs_by_class(pairs, to, small.size), classes)[to]
     k, fixed = int(of.max()) + 1, min(items, len(words)) + 1
     if fixed < numbering.first:
         for _ in range(ROUNDS):
             before, of = of, place_cached(pairs, of, fixed, numbering.first)
             if (of == before).all():
                 break
-    got = pairs.join(classes_of(spark, of, "i", "a"), "i").join(classes_of(spark, of, "j", "b"), "j")
     count = np.array([ends, *(r["c"] for r in top)], float)
     kinds = np.bincount(of[: numbering.first], count > 0, k)
     named = spark.createDataFrame([(w, int(c), int(o)) for w, c, o in zip([END, *words], count, of) if c > 0], "word binary, c long, class int")
     if distinct <= len(words) + 1:
-        by = class_pairs(got, k)
+        by = pairs_by_class(pairs, of, k)
     else:
         found = table(rare_neighbours(texts, numbering, of), "near")
-        rare, more = place_rare(found, class_pairs(got, k))
+        rare, more = place_rare(found, pairs_by_class(pairs, of, k))
         discard(found)
-        by = more + class_pairs(got.where((F.col("i") < numbering.first) & (F.col("j") < numbering.first)), k)
+        # pairs of cached words alone: all others have a class of their own, left out
+        cached = np.where(np.arange(numbering.size) < numbering.first, of, k)
+        by = more + pairs_by_class(pairs, cached, k + 1)[:k, :k]
         for c, m in rare.groupBy("class").count().collect():
             kinds[c] += m
         named = named.unionByName(rare)
@@ -428,9 +486,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "tex
         return pd.DataFrame([m.of_text(t or "") for t in texts], columns=names)
 
     @F.pandas_udf("double")
-    def of_rare(rest: pd.Series, times: pd.Series, seeds: pd.Series, at: pd.Series, classes: pd.Series) -> pd.Series:
+    def of_rare(rest: pd.Series, times: pd.Series, seeds: pd.Series, placed: pd.Series) -> pd.Series:
         m = shared.value
-        return pd.Series([m.of_rare(*x) if len(x[1]) else 0.0 for x in zip(rest, times, seeds, at, classes)], dtype=float)
+        return pd.Series([m.of_rare(*x, *np.divmod(np.asarray(y, np.int64), m.classes)) if len(x[1]) else 0.0 for *x, y in zip(rest, times, seeds, placed)], dtype=float)
 
     keep = [c for c in docs.columns if c.lower() not in {text_col.lower(), "n_tokens", "n_known", "base_score", "score"}]
     own = F.struct(*(F.col(c) for c in keep)) if keep else F.lit(None).cast("int")
@@ -438,13 +496,12 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "tex
     rows = table(docs.select(F.monotonically_increasing_id().alias("row"), own.alias("own"), of_texts(text_of(text_col)).alias("s")), "scored")
     rare = rows.select("row", F.posexplode(F.arrays_zip(F.col("s.words").alias("w"), F.col("s.times").alias("m"))).alias("p", "x")).select("row", "p", F.col("x.w").alias("word"), F.col("x.m").alias("m"))
     found = rare.join(counts, "word", "left").select("row", "p", "m", F.coalesce("c", F.lit(0)).alias("c"), "class")
-    placed = F.collect_list(F.when(F.col("class").isNotNull(), F.struct("p", "class"))).alias("placed")
+    placed = F.collect_list(F.col("p").cast("long") * model.classes + F.col("class")).alias("placed")
     more = found.groupBy("row").agg(F.sum(F.col("m") * F.log10(F.col("c") + ADD)).alias("x"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("k"), placed)
     more = more.withColumnRenamed("row", "of")
     out = rows.select("row", "own", "s.*").drop("words").join(more, F.col("row") == F.col("of"), "left")
     x = F.coalesce("x", F.lit(0.0))
-    none = F.array().cast("array<int>")
-    of_class = of_rare("rest", "times", "seeds", F.coalesce("placed.p", none), F.coalesce("placed.class", none))
+    of_class = of_rare("rest", "times", "seeds", F.coalesce("placed", F.array().cast("array<long>")))
     return out.select(
         *(F.col("own").getField(c).alias(c) for c in keep),
         "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),

@@ -106,3 +106,28 @@ def test_every_word_has_a_class_by_its_neighbours(spark, docs_of):
         t = [x.encode() for x in toks(dict(docs + more)[r.doc_id])]
         p = sum(math.log10(move[of(x), of(y)] * ((rows[y].c if y in rows else 0) + 0.1) / mass[of(y)]) for x, y in zip([b"\n", *t], t))
         assert abs(r.score - p) < 1e-9, (r, p)
+
+
+def test_pairs_of_cached_words_are_gathered_not_shuffled(spark, docs_of):
+    """Pair counts are rows of lists, at most one for an item and task, in a plan without an exchange; their sums are those of all pairs."""
+    rng = random.Random(31)
+    docs = docs_of([(i, " ".join(f"w{rng.randrange(60)}" for _ in range(50))) for i in range(80)]).repartition(2).localCheckpoint()
+    numbering = brown.Numbering([f"w{i}".encode() for i in range(60)], [])
+    got = brown.pair_counts(docs, numbering)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.collect()
+    assert len(rows) <= 2 * numbering.size
+    want = Counter()
+    for (t,) in docs.select("text").collect():
+        ids = [0, *(numbering.of(x.encode()) for x in toks(t))]
+        want.update(zip(ids, ids[1:]))
+    have = Counter()
+    for r in rows:
+        for j, n in zip(r["at"], r["n"], strict=True):
+            have[r["i"], j] += n
+    assert have == want and len(want) > 3000
+    of = np.arange(numbering.size) % 5
+    by = np.zeros((5, 5))
+    for (i, j), n in want.items():
+        by[of[i], of[j]] += n
+    assert (brown.pairs_by_class(got, of, 5) == by).all()
