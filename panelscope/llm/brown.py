@@ -15,16 +15,18 @@ never occurred in training goes by its ending.
 
 Word counts and classes are a table of any size. The ``CACHE`` most frequent words travel
 to the tasks; the other words of a text are looked up by a join, as (row,
-word, times) rows, so nothing that grows with the corpus passes the driver."""
+word) rows, and texts are scored in blocks with what it found, so nothing that
+grows with the corpus passes the driver. In tasks, words are split, numbered
+and counted a batch at a time, by Arrow and NumPy."""
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,34 +37,89 @@ CACHE, ITEMS, ENDINGS, CLASSES = 40_000, 600, 150, 48
 ADD, END, SWEEPS = 0.1, b"\n", 8
 #: Rounds on Spark over the cached words, and over all others.
 ROUNDS, RARE_ROUNDS = 3, 2
-#: Distinct words that a task gathers before it passes them on, and pairs.
-FLUSH, FLUSH_PAIRS = 500_000, 3_000_000
-
-
-def tokens(text: str) -> list[bytes]:
-    """Words in UTF-8, A-Z lower-cased, split at ASCII white space; then the end (a line feed, which no word holds)."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    words.append(END)
-    return words
+#: Tokens, and bytes of words, that a task gathers before it passes them on, and pairs.
+FLUSH, FLUSH_BYTES, FLUSH_PAIRS = 6_000_000, 200_000_000, 3_000_000
+#: Rows of an Arrow batch that holds words, not texts.
+WORD_ROWS = 5000
+#: 2 to the power of this: rows whose words outside the cache are scored together.
+BLOCK = 7
+
+
+@contextmanager
+def word_batches(spark: SparkSession):
+    """For what runs inside it, Arrow batches of WORD_ROWS rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(WORD_ROWS))
+    try:
+        yield
+    finally:
+        prepare(spark)
+
+
+@contextmanager
+def shuffles_deleted(spark: SparkSession):
+    """Inside it the shuffle files of a query go at its end, not when the driver next collects garbage. For queries that are run once."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after another, in UTF-8, A-Z lower-cased, split at ASCII white space; and how many each text has.
+    A text's tokens are its words, then the end (a line feed, which no word holds)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    # white space around a text leaves empty words there
+    is_word = pc.greater(pc.binary_length(words), 0)
+    full = np.r_[0, np.cumsum(is_word.to_numpy(zero_copy_only=False))]
+    ends = np.cumsum(sizes)
+    return words.filter(is_word).cast(pa.binary()), full[ends] - full[ends - sizes]
+
+
+def with_ends(x: np.ndarray, sizes: np.ndarray, end: int = 0) -> np.ndarray:
+    """``x`` of the words of all texts, with ``end`` after each text."""
+    out = np.full(len(x) + len(sizes), end, x.dtype)
+    out[np.arange(len(x)) + np.repeat(np.arange(len(sizes)), sizes)] = x
+    return out
+
+
+def packed(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Binary values that hold ``sizes`` of the numbers ``values``, one after another: quicker through Spark than arrays."""
+    offsets = pa.array(np.r_[0, np.cumsum(sizes)] * values.itemsize, pa.int32())  # an error, should it be too large
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, offsets.buffers()[1], pa.py_buffer(values.tobytes())])
+
+
+def unpacked(x: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """How many numbers each of the ``packed`` values holds, and these."""
+    _, offsets, data = x.buffers()
+    at = np.frombuffer(offsets, np.int32)[x.offset : x.offset + len(x) + 1] if len(x) else np.zeros(1, np.int32)
+    size = np.dtype(kind).itemsize
+    return np.diff(at).astype(np.int64) // size, np.frombuffer(data or b"", kind, (at[-1] - at[0]) // size, at[0])
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) over the column ``text``, words as binary."""
 
     def count(batches):
-        seen: Counter = Counter()
+        held, ends, n_bytes = [], 0, 0
 
         def out():
-            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
-            seen.clear()
-            return batch
+            found = pa.concat_arrays(held).value_counts()
+            words, c = pa.concat_arrays([found.field(0), pa.array([END], pa.binary())]), np.r_[found.field(1).to_numpy(), ends]
+            return pa.RecordBatch.from_arrays([words, pa.array(c.astype(np.int64))], ["word", "c"])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(tokens(t))
-                if len(seen) > FLUSH:
-                    yield out()
-        if seen:
+            words, sizes = words_of(batch.column(0))
+            held.append(words)
+            ends += len(sizes)
+            n_bytes += words.nbytes
+            if sum(map(len, held)) > FLUSH or n_bytes > FLUSH_BYTES:
+                yield out()
+                held, ends, n_bytes = [], 0, 0
+        if ends:
             yield out()
 
     return texts.select(text_of()).mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -73,6 +130,22 @@ def ending(word: bytes) -> bytes:
     return (b"+" if word.isascii() else b"-") + word[-3:]
 
 
+def ending_codes(words: pa.Array) -> np.ndarray:
+    """The ``ending`` of each word of a binary array, as a number."""
+    if not len(words):
+        return np.empty(0, np.int64)
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+    at -= at[0]
+    first, last = at[:-1], at[1:]
+    code = np.minimum(last - first, 3)
+    for i in (1, 2, 3):
+        code = code * 256 + np.where(last - first >= i, data[np.maximum(last - i, 0)], 0)
+    above = np.r_[0, np.cumsum(data > 127)]
+    return code * 2 + (above[last] == above[first])
+
+
 class Numbering:
     """Numbers for items: 0 for the end, then words, endings, and one for the rest."""
 
@@ -82,19 +155,28 @@ class Numbering:
         self.endings = {e: self.first + i for i, e in enumerate(endings)}
         self.rest = self.first + len(endings)
         self.size = self.rest + 1
-        self.known: dict[bytes, int] = dict(self.words)
+        self.list = pa.array(words, pa.binary())
+        self.codes = ending_codes(pa.array([e[1:] for e in endings], pa.binary())) // 2 * 2 + np.array([e[:1] == b"+" for e in endings], np.int64)
+        self.sorted = np.argsort(self.codes)
 
     def of(self, word: bytes) -> int:
-        if (i := self.known.get(word)) is None:
-            i = self.endings.get(ending(word), self.rest)
-            if len(self.known) < 120_000:
-                self.known[word] = i
-        return i
-
-
-def pair_counts(texts: DataFrame, numbering: Numbering) -> DataFrame:
-    """(i, at, n): how often (n) items (at) follow item i; a text starts after an end. Rows of lists, several for an item:
-    as each task has gathered them, so that no pair is shuffled."""
+        return i if (i := self.words.get(word)) is not None else self.endings.get(ending(word), self.rest)
+
+    def of_all(self, words: pa.Array) -> np.ndarray:
+        """The number of each word of a binary array, by ``of``; no word is the end."""
+        ids = pc.fill_null(pc.index_in(words, value_set=self.list), -1).to_numpy().astype(np.int64) + 1
+        rare = np.flatnonzero(ids == 0)
+        ids[rare] = self.rest
+        if rare.size and self.codes.size:
+            codes = ending_codes(words.take(pa.array(rare)))
+            at = self.sorted[np.minimum(np.searchsorted(self.codes, codes, sorter=self.sorted), self.codes.size - 1)]
+            ids[rare] = np.where(self.codes[at] == codes, self.first + at, self.rest)
+        return ids
+
+
+def pair_counts(texts: DataFrame, numbering: Numbering, pack: bool = False) -> DataFrame:
+    """(i, at, n): how often (n) items (at) follow item i; a text starts after an end. Rows of lists, or of ``packed`` 32-bit numbers,
+    several for an item: as each task has gathered them, so that no pair is shuffled."""
     shared = texts.sparkSession.sparkContext.broadcast(numbering)
 
     def count(batches):
@@ -103,26 +185,29 @@ def pair_counts(texts: DataFrame, numbering: Numbering) -> DataFrame:
         def out():
             at, c = np.unique(np.concatenate(held), return_counts=True)
             i, start = np.unique(at // n.size, return_index=True)
-            starts = pa.array(np.r_[start, at.size].astype(np.int32))
-            lists = [pa.ListArray.from_arrays(starts, pa.array(x.astype(np.int32))) for x in (at % n.size, c)]
+            ends, both = np.r_[start, at.size].astype(np.int32), [x.astype(np.int32) for x in (at % n.size, c)]
+            lists = [packed(np.diff(ends), x) if pack else pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in both]
             return pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), *lists], ["i", "at", "n"])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                ids = np.fromiter(map(n.of, tokens(t)), np.int64)
-                held.append(np.r_[0, ids[:-1]] * n.size + ids)
-                size += ids.size
-                if size > FLUSH_PAIRS:
-                    yield out()
-                    held, size = [], 0
+            words, sizes = words_of(batch.column(0))
+            ids = with_ends(n.of_all(words), sizes)
+            held.append(np.r_[0, ids[:-1]] * n.size + ids)
+            size += ids.size
+            if size > FLUSH_PAIRS:
+                yield out()
+                held, size = [], 0
         if held:
             yield out()
 
-    return texts.select(text_of()).mapInArrow(count, "i int, at array<int>, n array<int>")
+    return texts.select(text_of()).mapInArrow(count, "i int, at binary, n binary" if pack else "i int, at array<int>, n array<int>")
 
 
 def flat(batch: pa.RecordBatch) -> list[np.ndarray]:
-    """The first column, once for each entry of its row's lists, and the entries of the lists beside it."""
+    """The first column, once for each entry of its row's lists, and the entries of the lists beside it; they may be ``packed``."""
+    if pa.types.is_binary(batch.column(1).type):
+        (sizes, at), *more = (unpacked(x, np.int32) for x in batch.columns[1:])
+        return [np.repeat(batch.column(0).to_numpy(), sizes), at, *(x for _, x in more)]
     first = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.asarray(batch.column(1).value_lengths()))
     return [first, *(x.flatten().to_numpy(zero_copy_only=False) for x in batch.columns[1:])]
 
@@ -197,10 +282,10 @@ def class_pairs(rows: DataFrame, k: int) -> np.ndarray:
 
 
 def cells(batches, key, k: int):
-    """The batches of (a, b, c): the sums of the numbers with each a * k + b; ``key`` makes both, of what ``flat`` returns."""
+    """The batches of (a, b, c): the sums of the numbers with each a * k + b; ``key`` makes both, of a batch's columns as ``flat`` returns them."""
     has = np.zeros(k * k)
     for batch in batches:
-        at, n = key(*flat(batch))
+        at, n = key(*batch)
         has += np.bincount(at, n, k * k)
     cell = np.flatnonzero(has)
     yield pa.RecordBatch.from_arrays([pa.array((cell // k).astype(np.int32)), pa.array((cell % k).astype(np.int32)), pa.array(has[cell].astype(np.int64))], ["a", "b", "c"])
@@ -212,21 +297,17 @@ def pairs_by_class(pairs: DataFrame, of: np.ndarray, k: int) -> np.ndarray:
 
     def count(batches):
         of = shared.value
-        yield from cells(batches, lambda i, at, n: (of[i] * k + of[at], n), k)
+        yield from cells(map(flat, batches), lambda i, at, n: (of[i] * k + of[at], n), k)
 
     return class_pairs(pairs.mapInArrow(count, "a int, b int, c long"), k)
 
 
-def by_word(near: DataFrame) -> DataFrame:
-    """One row (word, x) for each word, of all its lists."""
-    return near.groupBy("word").agg(F.flatten(F.collect_list("x")).alias("x"))
-
-
 def place(near: DataFrame, by: np.ndarray, kind: str) -> DataFrame:
-    """(word, c, class): the class in which each word's occurrences are likeliest, given the counts ``by`` of class pairs.
+    """(word, c, class, x): the class in which each word's occurrences are likeliest, given the counts ``by`` of class pairs.
 
-    ``near``: (word, x), rows of lists for a word of type ``kind``: how often (n) its neighbour has a class; ``at`` is the
-    class of the one after it, or the number of classes k more for the one before it; x is n * 2k + at. c: how often the word occurs."""
+    ``near``: (word, x, y, z), rows of ``packed`` 64-bit numbers x and y and a number z for a word of type ``kind``: how often (n) its neighbour has a class; ``at`` is the
+    class of the one after it, or the number of classes k more for the one before it; the numbers are n * 2k + at. c: how often the word
+    occurs; x returned: the word's, in one."""
     k, move, total = len(by), logs(by), by.sum(0)
     # a class without words takes none, the end's class neither
     own = np.where((total > 0) & (np.arange(k) > 0), -np.log10(np.maximum(total, 1) + ADD), -np.inf)
@@ -236,15 +317,42 @@ def place(near: DataFrame, by: np.ndarray, kind: str) -> DataFrame:
 
     def likeliest(batches):
         weight, own = shared.value
-        for batch in batches:
-            lists = batch.column(1)
-            rows, x = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths())), lists.flatten().to_numpy(zero_copy_only=False)
-            has = np.bincount(rows * 2 * k + x % (2 * k), x // (2 * k), len(lists) * 2 * k).reshape(len(lists), 2 * k)
+
+        def sums(word, x, size):
+            # of no numbers, bincount makes integers
+            return np.bincount(word * 2 * k + x % (2 * k), x // (2 * k), size * 2 * k).astype(float).reshape(size, 2 * k)
+
+        def out(words, alone, beside):
+            has = alone + beside
             c = has[:, :k].sum(1)
             best = (has @ weight + np.where(c[:, None] > 0, c[:, None], 1) * own).argmax(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c.astype(np.int64)), pa.array(best.astype(np.int32))], ["word", "c", "class"])
+            word, at = np.nonzero(alone)
+            x = packed(np.bincount(word, minlength=len(words)), alone[word, at].astype(np.int64) * 2 * k + at)
+            return pa.RecordBatch.from_arrays([words, pa.array(c.astype(np.int64)), pa.array(best.astype(np.int32)), x], ["word", "c", "class", "x"])
 
-    return by_word(near).mapInArrow(likeliest, f"word {kind}, c long, class int")
+        last = None
+        for batch in batches:
+            words, x, y, z = batch.columns
+            # rows of a word stand together; its first is not the word before it
+            first = np.r_[True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)][: len(words)]
+            if not first.size:
+                continue
+            words = words.take(pa.array(np.flatnonzero(first)))
+            word = np.cumsum(first) - 1
+            (n_x, x), (n_y, y), z = unpacked(x, np.int64), unpacked(y, np.int64), z.to_numpy()
+            counts = [sums(np.repeat(word, n_x), x, len(words)), sums(np.r_[np.repeat(word, n_y), word], np.r_[y, z], len(words))]
+            if last and last[0][0] == words[0]:
+                for mine, before in zip(counts, last[1:]):
+                    mine[0] += before[0]
+            elif last:
+                yield out(*last)
+            # the last word may go on
+            last = [words[-1:], *(x[-1:] for x in counts)]
+            yield out(words[:-1], *(x[:-1] for x in counts))
+        if last:
+            yield out(*last)
+
+    return near.select("word", "x", "y", "z").repartition("word").sortWithinPartitions("word").mapInArrow(likeliest, f"word {kind}, c long, class int, x binary")
 
 
 def place_cached(pairs: DataFrame, of: np.ndarray, fixed: int, first: int) -> np.ndarray:
@@ -274,98 +382,96 @@ def place_cached(pairs: DataFrame, of: np.ndarray, fixed: int, first: int) -> np
             add()
         at = np.flatnonzero(has)
         word, start = np.unique(at // (2 * k), return_index=True)
-        starts = pa.array(np.r_[start, at.size].astype(np.int32))
-        lists = pa.ListArray.from_arrays(starts, pa.array(has[at] * 2 * k + at % (2 * k)))
-        yield pa.RecordBatch.from_arrays([pa.array((word + fixed).astype(np.int32)), lists], ["word", "x"])
+        x = packed(np.diff(np.r_[start, at.size]), has[at] * 2 * k + at % (2 * k))
+        yield pa.RecordBatch.from_arrays([pa.array((word + fixed).astype(np.int32)), x], ["word", "x"])
 
-    near = pairs.mapInArrow(gather, "word int, x array<long>")
+    near = pairs.mapInArrow(gather, "word int, x binary").select("word", "x", F.lit(b"").alias("y"), F.lit(0).cast("long").alias("z"))
     moved = of.copy()
-    for r in place(near, by, "int").collect():  # bounded by the cached words
+    for r in place(near, by, "int").select("word", "class").collect():  # bounded by the cached words
         moved[r["word"]] = r["class"]
     return moved
 
 
 def rare_neighbours(texts: DataFrame, numbering: Numbering, of: np.ndarray) -> DataFrame:
-    """(word, other, x) of the words that aren't cached. ``other`` null: how often a cached neighbour of the
-    word has a class, as in ``place``. Else: the word before ``other``, neither cached; x: the classes of both endings, and how often."""
+    """(word, other, x, y, z) of the words that aren't cached. ``other`` null: how often a neighbour of the word has a class, as in ``place``,
+    x of the cached ones, y of the others by the classes of their endings. Else: how often (z) the word stands before ``other``, neither cached."""
     k = int(of.max()) + 1
     shared = texts.sparkSession.sparkContext.broadcast((numbering, of))
 
     def gather(batches):
         numbering, of = shared.value
         first = numbering.first
-        numbers, pairs, words, held = {}, Counter(), [], []
+        held, n_bytes = [], 0
 
         def out():
-            at, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64), np.empty(0, np.int64))
-            word, start = np.unique(at // (2 * k), return_index=True)
-            near = [words[i] for i in word]
-            double = list(pairs)
-            seeds = of[[numbering.of(w) for p in double for w in p]].reshape(-1, 2) if double else np.empty((0, 2), np.int64)
-            starts = np.r_[start, at.size + 3 * np.arange(len(double) + 1)].astype(np.int32)
-            x = np.r_[n * 2 * k + at % (2 * k), np.c_[seeds, np.fromiter(pairs.values(), np.int64, len(double))].ravel()]
-            batch = pa.RecordBatch.from_arrays([
-                pa.array(near + [p[0] for p in double], pa.binary()),
-                pa.array([None] * len(near) + [p[1] for p in double], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(starts), pa.array(x.astype(np.int64))),
-            ], ["word", "other", "x"])
-            numbers.clear(), pairs.clear(), words.clear(), held.clear()
-            return batch
+            coded = pa.concat_arrays([words for words, _ in held]).dictionary_encode()
+            words, mine = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+            left, right = np.concatenate([sides for _, sides in held], 1)
+            sides = np.r_[mine * 2 * k + of[right], mine * 2 * k + k + of[left]]
+            cached = np.r_[right < first, left < first]
+            lists = []
+            for which in (cached, ~cached):
+                at, n = np.unique(sides[which], return_counts=True)
+                lists.append((np.bincount(at // (2 * k), minlength=len(words)), n * 2 * k + at % (2 * k)))
+            # a word that isn't cached follows
+            p = np.flatnonzero(right >= first)
+            double, m = np.unique(mine[p] * len(words) + mine[p + 1], return_counts=True)
+            one, two = np.divmod(double, len(words))
+            return pa.RecordBatch.from_arrays([
+                pa.concat_arrays([words, words.take(pa.array(one))]),
+                pa.concat_arrays([pa.nulls(len(words), pa.binary()), words.take(pa.array(two))]),
+                *(packed(np.r_[sizes, np.zeros(len(double), np.int64)], x.astype(np.int64)) for sizes, x in lists),
+                pa.array(np.r_[np.zeros(len(words), np.int64), m]),
+            ], ["word", "other", "x", "y", "z"])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                t = tokens(t)
-                ids = np.fromiter(map(numbering.of, t), np.int64, len(t))
-                rare = np.flatnonzero(ids >= first)
-                if not rare.size:
-                    continue
-                mine = np.empty(rare.size, np.int64)
-                for x, p in enumerate(rare):
-                    if (i := numbers.get(w := t[p])) is None:
-                        i = numbers[w] = len(words)
-                        words.append(w)
-                    mine[x] = i
-                left, right = np.r_[0, ids[:-1]][rare], ids[rare + 1]  # the last token is the end
-                held.append(mine[right < first] * 2 * k + of[right[right < first]])
-                held.append(mine[left < first] * 2 * k + k + of[left[left < first]])
-                pairs.update((t[p], t[p + 1]) for p in rare[right >= first])
-                if len(words) + len(pairs) > FLUSH:
-                    yield out()
-        if words:
+            words, sizes = words_of(batch.column(0))
+            ids = numbering.of_all(words)
+            own = words.filter(pa.array(ids >= first))
+            if not len(own):
+                continue
+            ids = with_ends(ids, sizes)
+            at = np.flatnonzero(ids >= first)
+            held.append((own, np.stack([np.r_[0, ids[:-1]][at], ids[at + 1]])))  # the last token is the end
+            n_bytes += own.nbytes
+            if sum(len(w) for w, _ in held) > FLUSH_PAIRS or n_bytes > FLUSH_BYTES:
+                yield out()
+                held, n_bytes = [], 0
+        if held:
             yield out()
 
-    return texts.select(text_of()).mapInArrow(gather, "word binary, other binary, x array<long>")
+    return texts.select(text_of()).mapInArrow(gather, "word binary, other binary, x binary, y binary, z long")
 
 
 def place_rare(found: DataFrame, by: np.ndarray) -> tuple[DataFrame, np.ndarray]:
     """(word, c, class) of the words that aren't cached, and the counts of the class pairs with such a word. ``found``: by ``rare_neighbours``."""
-    k = len(by)
-    # a row a word, once: each round reads it again
-    alone = table(by_word(found.where("other is null").select("word", "x")), "alone")
-    # neighbours of which neither is cached: first by the classes of their endings, then by their own
-    two = found.where("other is not null").select("word", "other", *(F.col("x")[i].alias(c) for i, c in enumerate("abc")))
-    both, spent = two, []
+    k, none = len(by), F.lit(b"")
+    near = found.where("other is null").select("word", "x", "y", "z")
+    two, spent = found.where("other is not null").select("word", "other", F.col("z").alias("c")), []
     for _ in range(RARE_ROUNDS):
-        sides = F.array(F.struct("word", F.col("b").alias("at"), "c"), F.struct(F.col("other").alias("word"), (F.col("a") + k).alias("at"), "c"))
-        beside = both.select(F.explode(sides).alias("x")).select("x.word", F.array(F.col("x.c") * (2 * k) + F.col("x.at")).alias("x"))
-        placed = table(place(alone.unionByName(beside), by, "binary"), "classes")
-        own = placed.select("word", "class")
-        left = two.select("word", "other", "c").join(own.withColumnRenamed("class", "a"), "word")
-        both = left.join(own.select(F.col("word").alias("other"), F.col("class").alias("b")), "other")
+        placed = table(place(near, by, "binary"), "classes")
+        own = placed.select("word", "class").hint("shuffle_hash")
+        # neighbours of which neither is cached, by their own classes
+        both = two.join(own.withColumnRenamed("class", "a"), "word").join(own.select(F.col("word").alias("other"), F.col("class").alias("b")), "other")
+        sides = F.array(F.struct("word", F.col("b").alias("at")), F.struct(F.col("other").alias("word"), (F.col("a") + k).alias("at")))
+        beside = both.select("c", F.explode(sides).alias("s")).select("s.word", none.alias("x"), none.alias("y"), (F.col("c") * (2 * k) + F.col("s.at")).alias("z"))
+        near = placed.select("word", "x", none.alias("y"), F.lit(0).cast("long").alias("z")).unionByName(beside)
         spent.append(placed)
     discard(*spent[:-1])
 
     def count(batches):
+        def columns(batch):
+            sizes, x = unpacked(batch.column(1), np.int64)
+            return np.repeat(batch.column(0).to_numpy(), sizes), x
+
         def sides(own, x):
             at = x % (2 * k)
             return np.where(at < k, own * k + at, (at - k) * k + own), x // (2 * k)
 
-        yield from cells(batches, sides, k)
+        yield from cells(map(columns, batches), sides, k)
 
-    near = class_pairs(alone.join(own, "word").select("class", "x").mapInArrow(count, "a int, b int, c long"), k)
-    counted = near + class_pairs(both.select("a", "b", "c"), k)
-    discard(alone)
-    return placed, counted
+    near = class_pairs(placed.select("class", "x").mapInArrow(count, "a int, b int, c long"), k)
+    return placed.drop("x"), near + class_pairs(both.select("a", "b", "c"), k)
 
 
 class Model:
@@ -389,46 +495,69 @@ class Model:
     def step(self) -> np.ndarray:
         return self.move[:, self.of] + self.emit[None, :]
 
-    def of_text(self, text: str) -> tuple[int, int, float, float, list[bytes], list[int], list[int], bytes]:
-        """n_tokens, n_known, base and model sums without what words outside the cache add; these words, how often each, the class of its
-        ending; and the class pairs with such a word, as 32-bit integers: -1 and less for the words, from the first."""
-        t = tokens(text)
-        n, first = self.numbering, self.first
-        ids = np.fromiter(map(n.of, t), np.int64, len(t))
+    def of_texts(self, texts: pa.Array) -> pa.Array:
+        """Of each text: n_tokens, n_known, base and model sums without what words outside the cache add; these words, how often each, the
+        class of its ending; and the class pairs with such a word, one after another: -1 and less for the words, from the first. Numbers of the words ``packed``, 32 bits each."""
+        words, sizes = words_of(texts)
+        n, first, size = self.numbering, self.first, len(texts)
+        ids = n.of_all(words)
+        own = words.filter(pa.array(ids >= first)).dictionary_encode()
+        ids = with_ends(ids, sizes)
+        doc = np.repeat(np.arange(size), sizes + 1)
         known = ids < first
-        cached = ids[known]
-        base = float(self.log_count[cached].sum()) - len(t) * self.base
+        cached, of_cached = ids[known], doc[known]
+        base = np.bincount(of_cached, self.log_count[cached], size) - (sizes + 1) * self.base
+        n_known = np.bincount(of_cached[self.count[cached] > 0], minlength=size)
         code = self.of[ids]
-        numbers: dict[bytes, int] = {}
-        times: Counter = Counter()
-        seeds = []
-        for p in np.flatnonzero(~known):
-            if (i := numbers.get(w := t[p])) is None:
-                i = numbers[w] = len(numbers)
-                seeds.append(int(code[p]))
-            times[i] += 1
-            code[p] = -1 - i
+        # the distinct words of each text, by text
+        key = doc[~known] * max(len(own.dictionary), 1) + own.indices.to_numpy()
+        distinct, at, which, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        of_doc, word = np.divmod(distinct, max(len(own.dictionary), 1))
+        many = np.bincount(of_doc, minlength=size)
+        start = np.r_[0, np.cumsum(many)[:-1]].astype(np.int64)
+        seeds = code[~known][at]
+        code[~known] = -1 - (which - start[doc[~known]])
         left = np.r_[0, code[:-1]]  # the end's class
         both = (left >= 0) & (code >= 0)
-        score = float(self.emit[cached].sum() + self.move[left[both], code[both]].sum())
-        rest = np.stack([left[~both], code[~both]], 1).astype(np.int32).tobytes()
-        return len(t), int((self.count[cached] > 0).sum()), base, score, list(numbers), [times[i] for i in range(len(numbers))], seeds, rest
-
-    def of_rare(self, rest: bytes, times: np.ndarray, seeds: np.ndarray, at: np.ndarray, classes: np.ndarray) -> float:
-        """What the words outside the cache add to the model sum but for their counts; those numbered ``at`` have
-        ``classes``, those never seen go by their endings'."""
-        of = np.array(seeds, np.int64)
-        of[at] = classes
-        pairs = np.frombuffer(rest, np.int32).astype(np.int64).reshape(-1, 2)
-        word = pairs < 0
-        pairs[word] = of[-1 - pairs[word]]
-        return float(self.move[pairs[:, 0], pairs[:, 1]].sum() + (np.asarray(times) * self.share[of]).sum())
+        score = np.bincount(of_cached, self.emit[cached], size) + np.bincount(doc[both], self.move[left[both], code[both]], size)
+        rest = np.stack([left[~both], code[~both]], 1).astype(np.int32).ravel()
+        names = ["n_tokens", "n_known", "base", "score", "words", "times", "seeds", "rest"]
+        starts = pa.array(np.r_[0, np.cumsum(many)].astype(np.int32))
+        words = pa.ListArray.from_arrays(starts, own.dictionary.take(pa.array(word)))
+        columns = [pa.array(sizes + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score)]
+        columns += [words, *(packed(many, x.astype(np.int32)) for x in (times, seeds)), packed(2 * np.bincount(doc[~both], minlength=size), rest)]
+        return pa.StructArray.from_arrays(columns, names)
+
+    def of_rare(self, docs: pa.Table, found: pa.Table) -> pa.Table:
+        """What the words outside the cache add to each text's sums: (of, k, x, y), y in the model's alone; of: its row. ``docs``: (row, times,
+        seeds, rest), ``found``: (of, p, c, class) of the words, numbered by p, that occur in training; the others go by their endings."""
+        docs = docs.sort_by("row").combine_chunks()
+        row, times, seeds, rest = (docs.column(c).combine_chunks() for c in ("row", "times", "seeds", "rest"))
+        row, size = row.to_numpy(), len(row)
+        (many, of), (_, times), (pairs, pair) = (unpacked(x, np.int32) for x in (seeds, times, rest))
+        start, of, pair = np.r_[0, np.cumsum(many)[:-1]].astype(np.int64), of.astype(np.int64), pair.astype(np.int64)
+        at = start[np.searchsorted(row, found.column("of").to_numpy())] + found.column("p").to_numpy()
+        c = np.zeros(len(of), np.int64)
+        c[at], of[at] = found.column("c").to_numpy(), found.column("class").to_numpy()
+        word = pair < 0
+        pair[word] = of[np.repeat(start, pairs)[word] - 1 - pair[word]]
+        doc = np.repeat(np.arange(size), many)
+        x = np.bincount(doc, times * np.log10(c + ADD), size)
+        y = np.bincount(doc, times * self.share[of], size) + np.bincount(np.repeat(np.arange(size), pairs // 2), self.move[pair[::2], pair[1::2]], size)
+        k = np.bincount(doc[c > 0], times[c > 0], size).astype(np.int64)
+        return pa.table({"of": row, "k": k, "x": x, "y": y})
 
 
 def learn(texts: DataFrame, cache: int = CACHE, items: int = ITEMS, endings: int = ENDINGS, classes: int = CLASSES) -> tuple[Model, DataFrame]:
     """The model of the column ``text`` of all rows, and the table (word, c, class) of all words."""
+    prepare(texts.sparkSession)
+    with shuffles_deleted(texts.sparkSession):
+        return learned(texts, cache, items, endings, classes)
+
+
+def learned(texts: DataFrame, cache: int, items: int, endings: int, classes: int) -> tuple[Model, DataFrame]:
+    """What ``learn`` returns."""
     spark = texts.sparkSession
-    prepare(spark)
     counts = table(word_counts(texts), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(cache).collect()  # bounded
@@ -440,17 +569,17 @@ def learn(texts: DataFrame, cache: int = CACHE, items: int = ITEMS, endings: int
     by = by.select(F.concat(F.when(ascii_, F.lit(b"+")).otherwise(F.lit(b"-")), F.expr("substring(word, greatest(1, octet_length(word) - 2), 3)")).alias("e"), "c")
     most = [bytes(r["e"]) for r in by.groupBy("e").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "e").limit(endings).collect()]  # bounded
     numbering, small = Numbering(words, most), Numbering(words[:items], most)
-    pairs = table(pair_counts(texts, numbering), "pairs")
-    numbering.known = dict(numbering.words)
+    pairs = table(pair_counts(texts, numbering, pack=True), "pairs")
     # words exchanged one by one, all others as their endings
     to = np.array([small.of(w) for w in [END, *words]] + list(range(small.first, small.size)))
     of = exchange(pairs_by_class(pairs, to, small.size), classes)[to]
     k, fixed = int(of.max()) + 1, min(items, len(words)) + 1
     if fixed < numbering.first:
-        for _ in range(ROUNDS):
-            before, of = of, place_cached(pairs, of, fixed, numbering.first)
-            if (of == before).all():
-                break
+        with word_batches(spark):
+            for _ in range(ROUNDS):
+                before, of = of, place_cached(pairs, of, fixed, numbering.first)
+                if (of == before).all():
+                    break
     count = np.array([ends, *(r["c"] for r in top)], float)
     kinds = np.bincount(of[: numbering.first], count > 0, k)
     named = spark.createDataFrame([(w, int(c), int(o)) for w, c, o in zip([END, *words], count, of) if c > 0], "word binary, c long, class int")
@@ -458,7 +587,8 @@ def learn(texts: DataFrame, cache: int = CACHE, items: int = ITEMS, endings: int
         by = pairs_by_class(pairs, of, k)
     else:
         found = table(rare_neighbours(texts, numbering, of), "near")
-        rare, more = place_rare(found, pairs_by_class(pairs, of, k))
+        with word_batches(spark):
+            rare, more = place_rare(found, pairs_by_class(pairs, of, k))
         discard(found)
         # pairs of cached words alone: all others have a class of their own, left out
         cached = np.where(np.arange(numbering.size) < numbering.first, of, k)
@@ -478,34 +608,29 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "tex
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
-    names = ["n_tokens", "n_known", "base", "score", "words", "times", "seeds", "rest"]
 
-    @F.pandas_udf("n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>, seeds array<int>, rest binary")
-    def of_texts(texts: pd.Series) -> pd.DataFrame:
-        m = shared.value
-        return pd.DataFrame([m.of_text(t or "") for t in texts], columns=names)
+    @F.arrow_udf("n_tokens long, n_known long, base double, score double, words array<binary>, times binary, seeds binary, rest binary")
+    def of_texts(texts: pa.Array) -> pa.Array:
+        return shared.value.of_texts(texts)
 
-    @F.pandas_udf("double")
-    def of_rare(rest: pd.Series, times: pd.Series, seeds: pd.Series, placed: pd.Series) -> pd.Series:
-        m = shared.value
-        return pd.Series([m.of_rare(*x, *np.divmod(np.asarray(y, np.int64), m.classes)) if len(x[1]) else 0.0 for *x, y in zip(rest, times, seeds, placed)], dtype=float)
+    def of_rare(docs: pa.Table, found: pa.Table) -> pa.Table:
+        return shared.value.of_rare(docs, found)
 
     keep = [c for c in docs.columns if c.lower() not in {text_col.lower(), "n_tokens", "n_known", "base_score", "score"}]
     own = F.struct(*(F.col(c) for c in keep)) if keep else F.lit(None).cast("int")
     # written before the row numbers are used twice: they needn't be the same in a second run
     rows = table(docs.select(F.monotonically_increasing_id().alias("row"), own.alias("own"), of_texts(text_of(text_col)).alias("s")), "scored")
-    rare = rows.select("row", F.posexplode(F.arrays_zip(F.col("s.words").alias("w"), F.col("s.times").alias("m"))).alias("p", "x")).select("row", "p", F.col("x.w").alias("word"), F.col("x.m").alias("m"))
-    found = rare.join(counts, "word", "left").select("row", "p", "m", F.coalesce("c", F.lit(0)).alias("c"), "class")
-    placed = F.collect_list(F.col("p").cast("long") * model.classes + F.col("class")).alias("placed")
-    more = found.groupBy("row").agg(F.sum(F.col("m") * F.log10(F.col("c") + ADD)).alias("x"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("k"), placed)
-    more = more.withColumnRenamed("row", "of")
-    out = rows.select("row", "own", "s.*").drop("words").join(more, F.col("row") == F.col("of"), "left")
-    x = F.coalesce("x", F.lit(0.0))
-    of_class = of_rare("rest", "times", "seeds", F.coalesce("placed", F.array().cast("array<long>")))
+    rare = rows.where(F.size("s.words") > 0).select("row", "s.words", "s.times", "s.seeds", "s.rest")
+    words = rare.select(F.col("row").alias("of"), F.posexplode("words").alias("p", "word"))
+    found = words.join(counts.hint("shuffle_hash"), "word").select("of", "p", "c", "class")
+    block = lambda c: F.shiftright(c, BLOCK).alias(f"{c}_block")
+    more = rare.drop("words").groupBy(block("row")).cogroup(found.groupBy(block("of"))).applyInArrow(of_rare, "of long, k long, x double, y double")
+    out = rows.select("row", "own", "s.n_tokens", "s.n_known", "s.base", "s.score").join(more, F.col("row") == F.col("of"), "left")
+    k, x, y = (F.coalesce(c, F.lit(0)) for c in ("k", "x", "y"))
     return out.select(
         *(F.col("own").getField(c).alias(c) for c in keep),
-        "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
-        (F.col("base") + x).alias("base_score"), (F.col("score") + x + of_class).alias("score"),
+        "n_tokens", (F.col("n_known") + k).alias("n_known"),
+        (F.col("base") + x).alias("base_score"), (F.col("score") + x + y).alias("score"),
     )
 
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelscope.llm import brown
@@ -131,3 +132,60 @@ def test_pairs_of_cached_words_are_gathered_not_shuffled(spark, docs_of):
     for (i, j), n in want.items():
         by[of[i], of[j]] += n
     assert (brown.pairs_by_class(got, of, 5) == by).all()
+
+
+def test_words_of_a_batch_are_numbered_as_each_word():
+    """Texts are split, and words numbered, a batch at a time, with the results of one word at a time."""
+    texts = ["", " ", "\n", " A  b\x0b\nÉc\x85d \x1c", "don't STOP", "x" * 5000, "\tz yz xyz wxyz éyz éé é\r"]
+    words, sizes = brown.words_of(pa.array(texts))
+    want = [toks(t)[:-1] for t in texts]
+    assert [w.decode() for w in words.to_pylist()] == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+    endings = [brown.ending(w.encode()) for w in ("yz", "wxyz", "éyz", "é")]
+    for numbering in (brown.Numbering([b"b", "éé".encode()], endings), brown.Numbering([b"b"], []), brown.Numbering([], endings[:1])):
+        assert numbering.of_all(words).tolist() == [numbering.of(w) for w in words.to_pylist()]
+        assert numbering.of_all(words[:0]).tolist() == []
+    assert brown.with_ends(np.array([5, 6, 7]), np.array([0, 2, 0, 1])).tolist() == [0, 5, 6, 0, 0, 7, 0]
+
+
+def test_packed_numbers_are_read_back():
+    x = brown.packed(np.array([2, 0, 3]), np.arange(5))
+    for part, sizes, values in ((x, [2, 0, 3], [0, 1, 2, 3, 4]), (x[1:], [0, 3], [2, 3, 4]), (x[1:2], [0], []), (x[:0], [], [])):
+        n, got = brown.unpacked(part, np.int64)
+        assert n.tolist() == sizes and got.tolist() == values
+    n, got = brown.unpacked(brown.packed(np.zeros(2, np.int64), np.empty(0, np.int32)), np.int32)
+    assert n.tolist() == [0, 0] and not got.size
+
+
+def test_rows_of_a_word_are_placed_by_one_sort(spark):
+    """A word's rows reach its class by one exchange and a sort, without lists collected in the JVM, also where they go on over several Arrow batches."""
+    rng = random.Random(4)
+    by = np.array([[rng.randrange(1, 90) for _ in range(4)] for _ in range(4)], float)
+    rows, want = [], {}
+    for _ in range(300):
+        w = f"w{rng.randrange(40)}".encode()
+        x, y, z = ([rng.randrange(1, 5) * 8 + rng.randrange(8) for _ in range(rng.randrange(n))] for n in (4, 3, 2))
+        rows.append((w, *(np.array(v, np.int64).tobytes() for v in (x, y)), z[0] if z else 0))
+        has = want.setdefault(w, np.zeros((2, 8)))
+        for i, v in ((0, x), (1, y + z)):
+            for m in v:
+                has[i, m % 8] += m // 8
+    near = spark.createDataFrame(rows, "word binary, x binary, y binary, z long").repartition(3)
+    got = brown.place(near, by, "binary")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "collect_list" not in plan
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        found = got.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(bytes(r.word) for r in found) == sorted(want)
+    move, share = brown.logs(by), -np.log10(by.sum(0) + 0.1)
+    share[0] = -np.inf
+    for r in found:
+        own, has = want[bytes(r.word)][0], want[bytes(r.word)].sum(0)
+        assert r.c == has[:4].sum()
+        scores = has @ np.vstack([move.T, move]) + max(r.c, 1) * share
+        assert scores[r["class"]] >= scores.max() - 1e-9
+        x = np.frombuffer(bytes(r.x), np.int64)
+        assert (np.bincount(x % 8, x // 8, 8) == own).all()
